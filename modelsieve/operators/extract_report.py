@@ -13,7 +13,6 @@ from modelsieve.functions import report_json as J
 from modelsieve.operators.usage import column_usage, measure_usage
 from modelsieve.schemas import conform
 
-_ITEM = F.col("item_id").alias("report_id")
 _VISUAL_FILE = r"^definition/pages/([^/]+)/visuals/[^/]+/visual\.json$"
 _PAGE_FILE = r"^definition/pages/([^/]+)/page\.json$"
 
@@ -34,6 +33,10 @@ def _json(column: str, path: str) -> F.Column:
     return F.get_json_object(column, path)
 
 
+def _report_id() -> F.Column:
+    return F.col("item_id").alias("report_id")
+
+
 def _main_files(files: DataFrame) -> DataFrame:
     """The ``report.json`` of each report: the folder layout wins over the single file."""
     found = files.where(F.col("rel_path").isin("definition/report.json", "report.json"))
@@ -90,10 +93,10 @@ def extract_report_header(files: DataFrame) -> DataFrame:
 def extract_pages(files: DataFrame) -> DataFrame:
     """Pages of the folder layout, in ``pageOrder``; pages missing from the order are left out."""
     order = files.where(F.col("rel_path") == "definition/pages/pages.json").select(
-        _ITEM, F.posexplode(F.from_json(_json("content", "$.pageOrder"), "ARRAY<STRING>")).alias("position", "folder")
+        _report_id(), F.posexplode(F.from_json(_json("content", "$.pageOrder"), "ARRAY<STRING>")).alias("position", "folder")
     )
     pages = files.where(F.col("rel_path").rlike(_PAGE_FILE)).select(
-        _ITEM, F.regexp_extract("rel_path", _PAGE_FILE, 1).alias("folder"), "content"
+        _report_id(), F.regexp_extract("rel_path", _PAGE_FILE, 1).alias("folder"), "content"
     )
     return order.join(pages, ["report_id", "folder"]).select(
         "report_id",
@@ -111,7 +114,7 @@ def extract_pages(files: DataFrame) -> DataFrame:
 
 def _page_visuals(files: DataFrame, pages: DataFrame) -> DataFrame:
     docs = files.where(F.col("rel_path").rlike(_VISUAL_FILE)).select(
-        _ITEM, F.regexp_extract("rel_path", _VISUAL_FILE, 1).alias("folder"), F.col("content").alias("doc")
+        _report_id(), F.regexp_extract("rel_path", _VISUAL_FILE, 1).alias("folder"), F.col("content").alias("doc")
     )
     names = pages.select("report_id", "folder", F.col("name").alias("page_name"))
     return docs.join(names, ["report_id", "folder"]).select("report_id", "page_name", "doc")
@@ -125,7 +128,7 @@ def flatten_legacy_sections(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     docs = _main_files(files).where(report_format(F.col("content")) == "legacy")
     sections = docs.select(
-        _ITEM, F.posexplode(F.from_json(_json("content", "$.sections"), f"ARRAY<{_SECTION}>")).alias("position", "s")
+        _report_id(), F.posexplode(F.from_json(_json("content", "$.sections"), f"ARRAY<{_SECTION}>")).alias("position", "s")
     )
     page_name = F.coalesce("s.name", F.concat(F.lit("Page "), (F.col("position") + 1).cast("string")))
     visibility = F.coalesce("s.visibility", _json("s.config", "$.visibility").cast("int"), F.lit(0))

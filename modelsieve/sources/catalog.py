@@ -20,6 +20,7 @@ _ITEM_KEY = {
     **{t: "report_id" for t in DDL if t.startswith("report")},
 }
 BUCKET = "item_bucket"
+_PARENT = {"semantic_model_id": "semantic_model", "report_id": "report"}
 
 
 def replace_items(target: DataFrame, batch: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -112,19 +113,25 @@ def write_catalog(catalog: Catalog, path: str, buckets: int = 64) -> None:
 
 
 def upsert_stored_catalog(spark: SparkSession, path: str, batch: Catalog, buckets: int = 64) -> None:
-    """Replace the items of ``batch`` in a stored catalog; only their buckets are rewritten."""
+    """Replace the items of ``batch`` in a stored catalog; only their buckets are rewritten.
+
+    Items are those of the parent table (``semantic_model`` or ``report``) where the batch has
+    it, so an item that lost all its rows of some kind loses the stored ones too.
+    """
     for table, rows in batch.items():
         key = _ITEM_KEY[table]
         rows = materialize(_bucketed(conform(rows, table), table, buckets), "upsert")
+        items = _bucketed(batch.get(_PARENT[key], rows).select(key).distinct(), table, buckets)
+        items = materialize(items, "upsert")
         stored = _stored(spark, path, table)
         if stored is None:
             _write_buckets(rows, path, table)
             continue
         # The list of touched buckets is at most ``buckets`` long.
-        touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]
+        touched = [r[0] for r in items.select(BUCKET).distinct().collect()]
         old = stored.where(F.col(BUCKET).isin(touched))
-        merged = old.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
-        _write_buckets(materialize(merged, "upsert"), path, table)
+        merged = materialize(old.join(items.select(key), key, "left_anti").unionByName(rows), "upsert")
+        _write_buckets(merged, path, table)
 
 
 def _stored(spark: SparkSession, path: str, table: str) -> DataFrame | None:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from modelsieve.functions.names import MODEL_SUFFIX, REPORT_SUFFIX
 
@@ -64,7 +63,7 @@ def decode_definition_parts(items: DataFrame) -> DataFrame:
 
 
 _ENTRY = "ARRAY<STRUCT<id: STRING, name: STRING>>"
-INVENTORY_SCHEMA = T.StructType.fromDDL(
+INVENTORY_SCHEMA = (
     f"workspaces ARRAY<STRUCT<id: STRING, name: STRING, reports: {_ENTRY}, semantic_models: {_ENTRY}>>"
 )
 
