@@ -111,8 +111,8 @@ def object_entries(text: Column, name: str) -> Column:
     nested = F.regexp_extract(
         text, rf"(?m)^([ \t]*){name}[ \t]*[:{{]?[ \t]*((?:\n(?:\1[ \t]++[^\n]*+|[ \t]*+(?=\n|\z)))*+)", 2
     )
-    lines = F.filter(F.transform(F.split(nested, "\n"), F.trim), lambda s: F.regexp_like(s, F.lit(r"^\w+")))
-    lines = F.transform(lines, lambda s: F.regexp_replace(s, r"^\s+", ""))
+    lines = F.transform(F.split(nested, "\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    lines = F.filter(lines, lambda s: F.regexp_like(s, F.lit(r"^\w+")))
     pairs = F.transform(
         lines,
         lambda s: F.struct(

@@ -27,7 +27,7 @@ def with_clean_text(df: DataFrame, text: str) -> DataFrame:
 
 
 def reference_rows(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    """Distinct reference tokens of each expression: ``raw_table`` (may be empty) and ``raw_field``.
+    """Reference tokens of each expression: ``raw_table`` (may be empty) and ``raw_field``.
 
     ``raw_table`` has keyword prefixes removed; ``raw_word`` keeps the last word before the
     bracket, so that a table whose name is a keyword can still be recognised.
@@ -43,7 +43,7 @@ def reference_rows(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
         F.when(quoted, F.col("__before")).otherwise(X.drop_keyword_prefix(F.col("__before"))).alias("raw_table"),
         F.regexp_extract("__before", r"(\S*)$", 1).alias("raw_word"),
         X.token_field(F.col("__token")).alias("raw_field"),
-    ).distinct()
+    )
 
 
 def resolved_refs(df: DataFrame, text: str, keep: Sequence[str], tables: DataFrame, measures: DataFrame) -> DataFrame:
@@ -53,35 +53,33 @@ def resolved_refs(df: DataFrame, text: str, keep: Sequence[str], tables: DataFra
     ``referenced_table`` (column rows: the table; measure rows: home table or empty) and
     ``is_known``. Names compare without case; unknown names stay as written.
     """
-    rows = reference_rows(df, text, keep)
     known = _canonical(tables.select(MODEL, "table_name"), "table_name", "__table")
-    # A token before the bracket that is only keywords may still be a table of that name.
-    lookup = F.lower(F.when(F.col("raw_table") != "", F.col("raw_table")).otherwise(F.col("raw_word")))
-    rows = rows.withColumn("__key", lookup).join(known, [MODEL, "__key"], "left").drop("__key")
-    is_column = (F.col("raw_table") != "") | F.col("__table").isNotNull()
-    columns = rows.where(is_column).select(
-        *keep,
-        F.lit("column").alias("dependency_type"),
-        F.col("raw_field").alias("referenced_name"),
-        F.coalesce("__table", "raw_table").alias("referenced_table"),
-        F.col("__table").isNotNull().alias("is_known"),
-    )
-    homes = measures.groupBy(MODEL, F.lower("measure_name").alias("__key")).agg(
+    homes = measures.groupBy(MODEL, F.lower("measure_name").alias("__name")).agg(
         F.max(F.struct("measure_name", "table_name")).alias("__home")
     )
-    bare = (
-        rows.where(~is_column)
-        .withColumn("__key", F.lower("raw_field"))
-        .join(homes, [MODEL, "__key"], "left")
-        .select(
-            *keep,
-            F.lit("measure").alias("dependency_type"),
-            F.coalesce("__home.measure_name", "raw_field").alias("referenced_name"),
-            F.coalesce("__home.table_name", F.lit("")).alias("referenced_table"),
-            F.col("__home").isNotNull().alias("is_known"),
-        )
+    # Text before the bracket that holds only keywords may still be a table of that name.
+    lookup = F.lower(F.when(F.col("raw_table") != "", F.col("raw_table")).otherwise(F.col("raw_word")))
+    # Both look-ups run over one scan of the texts. Every row has keys of its own, so rows
+    # that need only one of the two do not pile up under a null key.
+    rows = (
+        reference_rows(df, text, keep)
+        .withColumn("__key", lookup)
+        .withColumn("__name", F.lower("raw_field"))
+        .join(known, [MODEL, "__key"], "left")
+        .join(homes, [MODEL, "__name"], "left")
     )
-    return columns.unionByName(bare).distinct()
+    is_column = (F.col("raw_table") != "") | F.col("__table").isNotNull()
+    return rows.select(
+        *keep,
+        F.when(is_column, "column").otherwise("measure").alias("dependency_type"),
+        F.when(is_column, F.col("raw_field"))
+        .otherwise(F.coalesce("__home.measure_name", "raw_field"))
+        .alias("referenced_name"),
+        F.when(is_column, F.coalesce("__table", "raw_table"))
+        .otherwise(F.coalesce("__home.table_name", F.lit("")))
+        .alias("referenced_table"),
+        F.when(is_column, F.col("__table").isNotNull()).otherwise(F.col("__home").isNotNull()).alias("is_known"),
+    ).distinct()
 
 
 _MEASURE_KEYS = (MODEL, "table_name", "measure_name")

@@ -7,6 +7,9 @@ become usage; suppliers become workspaces; nations become models.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -290,18 +293,39 @@ _BUILDERS = {
 }
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+class _Tables(Mapping):
+    """Catalog tables that are set up when a query asks for them."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]) -> None:
+        self._builders = builders
+        self._built: Catalog = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
     """The catalog without the tables that are computed from expressions."""
-    return {name: build(spark, sf_dir) for name, build in _BUILDERS.items()}
+    return _Tables({name: partial(build, spark, sf_dir) for name, build in _BUILDERS.items()})
 
 
-def resolved_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+def resolved_catalog(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
     """The catalog with closed measure dependencies and calculated-table dependencies."""
     cat = catalog(spark, sf_dir)
-    cat["direct_dependencies"] = materialize(direct_dependencies(cat), "direct")
-    cat["measure_dependencies"] = materialize(transitive_dependencies(cat["direct_dependencies"]), "closed")
-    cat["calculated_table_dependencies"] = materialize(calculated_table_dependencies(cat), "calculated")
-    return cat
+    builders: dict[str, Callable[[], DataFrame]] = {name: partial(cat.__getitem__, name) for name in cat}
+    builders["measure_dependencies"] = lambda: materialize(
+        transitive_dependencies(materialize(direct_dependencies(cat), "direct")), "closed"
+    )
+    builders["calculated_table_dependencies"] = lambda: materialize(calculated_table_dependencies(cat), "calculated")
+    return _Tables(builders)
 
 
 def data_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
