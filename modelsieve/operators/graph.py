@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelsieve.plans.fixpoint import ROUND, grow
+from modelsieve.plans.fixpoint import ROUND, grow, materialize
 from modelsieve.schemas import conform
 
 MODEL = "semantic_model_id"
@@ -17,7 +17,8 @@ DIRECTIONS = ("ManyToOne", "OneToMany", "Both")
 def _measure_pairs(direct: DataFrame) -> DataFrame:
     """(measure, reached measure) pairs; home tables travel along, so no join brings them back."""
     blank = F.lit("")
-    edges = (
+    # Written once: the edges are the first frontier and the join partner of every round.
+    edges = materialize(
         direct.where(F.col("dependency_type") == "measure")
         .select(
             MODEL,
@@ -26,14 +27,15 @@ def _measure_pairs(direct: DataFrame) -> DataFrame:
             F.col("referenced_name").alias("reached"),
             F.coalesce("referenced_table", blank).alias("reached_table"),
         )
-        .distinct()
+        .distinct(),
+        "measure-edges",
     )
     hops = edges.select(
         MODEL,
         F.col("measure_name").alias("reached"),
         F.col("reached").alias("__next"),
         F.col("reached_table").alias("__next_table"),
-    ).distinct()
+    )
     return grow(
         edges,
         lambda frontier: frontier.join(hops, [MODEL, "reached"]).select(
@@ -44,6 +46,7 @@ def _measure_pairs(direct: DataFrame) -> DataFrame:
             F.col("__next_table").alias("reached_table"),
         ),
         label="measure-closure",
+        seed_is_distinct=True,
     )
 
 
@@ -112,7 +115,7 @@ def expand_tables(
     step; tables that were found go on from the many side to the one side. With ``tables``,
     seeds that the model does not have are left out (see :func:`missing_seeds`).
     """
-    walk = _walkable(edges, active_only)
+    walk = materialize(_walkable(edges, active_only), "walk")
     forward = walk.select(MODEL, F.col("from_table").alias("table_name"), F.col("to_table").alias("__next"))
     backward = walk.select(MODEL, F.col("to_table").alias("table_name"), F.col("from_table").alias("__next"))
     start = seeds.select(MODEL, "table_name", "direction").distinct()
@@ -163,7 +166,7 @@ def neighbours(edges: DataFrame, table: str | None = None) -> DataFrame:
 
 def close_calculated_tables(tables: DataFrame, calc_deps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tables that included calculated tables need, until no change; and the columns they name."""
-    needed = (
+    needed = materialize(
         calc_deps.where(
             (F.col("dependency_type") == "table")
             | ((F.col("dependency_type") == "column") & (F.coalesce("referenced_table", F.lit("")) != ""))
@@ -176,7 +179,8 @@ def close_calculated_tables(tables: DataFrame, calc_deps: DataFrame) -> tuple[Da
             .alias("__next"),
             F.when(F.col("dependency_type") == "column", F.col("referenced_name")).alias("column_name"),
         )
-        .distinct()
+        .distinct(),
+        "calculated-needs",
     )
     hops = needed.select(MODEL, "table_name", "__next").distinct()
     closed = grow(
@@ -196,11 +200,12 @@ def close_calculated_tables(tables: DataFrame, calc_deps: DataFrame) -> tuple[Da
 def close_sort_by(columns: DataFrame, model_column: DataFrame, max_rounds: int = 10) -> DataFrame:
     """Included columns plus the columns they sort by, if the table has them."""
     exists = model_column.select(MODEL, "table_name", F.col("column_name").alias("sort_by_column"))
-    hops = (
+    hops = materialize(
         model_column.where(F.coalesce("sort_by_column", F.lit("")) != "")
         .select(MODEL, "table_name", "column_name", "sort_by_column")
         .join(exists, [MODEL, "table_name", "sort_by_column"], "left_semi")
-        .distinct()
+        .distinct(),
+        "sort-by-edges",
     )
     return grow(
         columns.select(MODEL, "table_name", "column_name").distinct(),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelsieve.functions import expressions as X
@@ -126,6 +126,45 @@ def variables_used(measures: DataFrame) -> DataFrame:
     )
 
 
+def _name_candidates() -> Column:
+    """Runs of ``__pieces`` that may be a table name: ``{start, length, key}`` per run."""
+    pieces, variables = F.col("__pieces"), F.col("__variables")
+    size = F.size(pieces)
+
+    def piece(i: Column) -> Column:
+        return F.coalesce(F.get(pieces, i - 1), F.lit(" "))
+
+    def blank(text: Column) -> Column:
+        return F.trim(F.translate(text, "\t\n\r", "   ")) == ""
+
+    def word(text: Column) -> Column:
+        return F.regexp_like(text, F.lit(r"(?U)^\w"))
+
+    def may_start(i: Column) -> Column:
+        first, before = piece(i), piece(i - 1)
+        # Plain comparisons first: the pattern runs only for what they leave.
+        return ~blank(first) & ~before.isin("'", ".") & (word(first) | ~word(before))
+
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), may_start)
+    runs = F.flatten(
+        F.transform(
+            starts,
+            lambda i: F.transform(
+                F.filter("__lengths", lambda n: i + n - 1 <= size),
+                lambda n: F.struct(
+                    i.alias("start"), n.alias("length"), F.array_join(F.slice(pieces, i, n), "").alias("key")
+                ),
+            ),
+        )
+    )
+
+    def is_call(run: Column) -> Column:
+        after = run["start"] + run["length"]
+        return F.when(blank(piece(after)), piece(after + 1)).otherwise(piece(after)) == "("
+
+    return F.filter(runs, lambda run: ~is_call(run) & ~F.array_contains(variables, run["key"]))
+
+
 def bare_table_refs(
     df: DataFrame,
     tables: DataFrame,
@@ -150,32 +189,16 @@ def bare_table_refs(
     if include_quoted:
         quoted = r"(\[[^\]]*+\]|\"(?:[^\"]|\"\")*+\")|'((?:[^'\n]|'')++)'(?!\s*\[)"
         cleaned = cleaned.withColumn(_TEXT, F.regexp_replace(_TEXT, quoted, "$1 $2 "))
-    words = (
-        cleaned.select(
-            *keep,
-            F.transform(X.declared_variables(F.col(_TEXT)), F.lower).alias("__variables"),
-            X.pieces(F.lower(X.without_references(F.col(_TEXT)))).alias("__pieces"),
-        )
-        .join(lengths, MODEL)
-        .withColumn("__last", F.size("__pieces"))
-    )
-    starts = words.where(F.col("__last") > 0).select(
-        *keep, "__variables", "__pieces", "__lengths", "__last",
-        F.explode(F.sequence(F.lit(1), F.col("__last"))).alias("__start"),
-    )
-    before = F.when(F.col("__start") > 1, F.element_at("__pieces", F.col("__start") - 1)).otherwise(" ")
-    first = F.element_at("__pieces", F.col("__start"))
-    starts = starts.where(~before.rlike(r"(?U)['.]$|\w$") & ~first.rlike(r"(?U)^\s"))
-    runs = starts.select(
-        *keep, "__variables", "__pieces", "__last", "__start", F.explode("__lengths").alias("__length")
-    ).where(F.col("__start") + F.col("__length") - 1 <= F.col("__last"))
-    follow = F.trim(
-        F.array_join(F.slice("__pieces", F.col("__start") + F.col("__length"), F.lit(2)), "")
+    words = cleaned.select(
+        *keep,
+        F.transform(X.declared_variables(F.col(_TEXT)), F.lower).alias("__variables"),
+        X.pieces(F.lower(X.without_references(F.col(_TEXT)))).alias("__pieces"),
+    ).join(lengths, MODEL)
+    # Candidates are built inside the row, so the pieces of a long text are not copied to
+    # every start position.
+    candidates = words.select(*keep, F.explode(_name_candidates()).alias("__c")).select(
+        *keep, F.col("__c.start").alias("__start"), F.col("__c.length").alias("__length"), F.col("__c.key").alias("__key")
     )
-    candidates = runs.where(~follow.startswith("(")).select(
-        *keep, "__variables", "__start", "__length",
-        F.array_join(F.slice("__pieces", F.col("__start"), F.col("__length")), "").alias("__key"),
-    ).where(~F.array_contains("__variables", F.col("__key")))
 
     known = _canonical(named, "table_name", "ref_table")
     hits = candidates.join(known, [MODEL, "__key"]).select(

@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 from modelsieve.operators.graph import relationship_key_columns
 from modelsieve.operators.links import MODEL
 from modelsieve.operators.usage import linked_usage, model_kpis
+from modelsieve.plans.fixpoint import materialize
 
 
-def used_measures_closed(cat: dict[str, DataFrame], link_by: str = "name") -> DataFrame:
-    """Measure names used by the reports of a model, and the measures those depend on."""
+def _linked(cat: dict[str, DataFrame], link_by: str, linked: DataFrame | None) -> DataFrame:
+    return linked_usage(cat, link_by) if linked is None else linked
+
+
+def used_measures_closed(
+    cat: dict[str, DataFrame], link_by: str = "name", linked: DataFrame | None = None
+) -> DataFrame:
+    """Measure names used by the reports of a model, and the measures those depend on.
+
+    ``linked`` is the result of ``linked_usage`` where the caller has it already.
+    """
     used = (
-        linked_usage(cat, link_by)
+        _linked(cat, link_by, linked)
         .where(F.col("kind") == "measure")
         .select(MODEL, F.col("field").alias("measure_name"))
         .distinct()
@@ -28,20 +38,24 @@ def used_measures_closed(cat: dict[str, DataFrame], link_by: str = "name") -> Da
     return used.unionByName(chained).distinct()
 
 
-def unused_measures(cat: dict[str, DataFrame], link_by: str = "name") -> DataFrame:
+def unused_measures(
+    cat: dict[str, DataFrame], link_by: str = "name", linked: DataFrame | None = None
+) -> DataFrame:
     """Measures that no linked report uses, directly or through another measure."""
     return (
         cat["semantic_model_measure"]
         .select(MODEL, "table_name", "measure_name", "expression")
-        .join(used_measures_closed(cat, link_by), [MODEL, "measure_name"], "left_anti")
+        .join(used_measures_closed(cat, link_by, linked), [MODEL, "measure_name"], "left_anti")
         .select(MODEL, "table_name", "measure_name", "expression")
     )
 
 
-def unused_columns(cat: dict[str, DataFrame], link_by: str = "name") -> DataFrame:
+def unused_columns(
+    cat: dict[str, DataFrame], link_by: str = "name", linked: DataFrame | None = None
+) -> DataFrame:
     """Columns that no linked report, no measure of the model and no relationship uses."""
     in_reports = (
-        linked_usage(cat, link_by)
+        _linked(cat, link_by, linked)
         .where(F.col("kind") == "column")
         .select(MODEL, "table_name", F.col("field").alias("column_name"))
     )
@@ -60,14 +74,16 @@ def unused_columns(cat: dict[str, DataFrame], link_by: str = "name") -> DataFram
     )
 
 
-def unused_tables(cat: dict[str, DataFrame], link_by: str = "name") -> DataFrame:
+def unused_tables(
+    cat: dict[str, DataFrame], link_by: str = "name", linked: DataFrame | None = None
+) -> DataFrame:
     """Tables that nothing reaches: no usage, no measure and no relationship to a used table.
 
     A relationship with one used end keeps both of its tables, for one step.
     """
     deps = cat["measure_dependencies"]
     used = (
-        linked_usage(cat, link_by)
+        _linked(cat, link_by, linked)
         .select(MODEL, "table_name")
         .unionByName(
             deps.where(F.col("dependency_type") == "table").select(MODEL, F.col("referenced_name").alias("table_name"))
@@ -98,12 +114,13 @@ def unused_tables(cat: dict[str, DataFrame], link_by: str = "name") -> DataFrame
 
 def unused_summary(cat: dict[str, DataFrame], link_by: str = "name") -> DataFrame:
     """Unused columns, measures and tables: per table, and per model (table name null)."""
+    linked = materialize(linked_usage(cat, link_by), "linked-usage")
     parts = [
         df.select(MODEL, "table_name", F.lit(kind).alias("kind"))
         for kind, df in (
-            ("column", unused_columns(cat, link_by)),
-            ("measure", unused_measures(cat, link_by)),
-            ("table", unused_tables(cat, link_by)),
+            ("column", unused_columns(cat, link_by, linked)),
+            ("measure", unused_measures(cat, link_by, linked)),
+            ("table", unused_tables(cat, link_by, linked)),
         )
     ]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])

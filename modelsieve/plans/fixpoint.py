@@ -74,6 +74,7 @@ def grow(
     key: Sequence[str] | None = None,
     max_rounds: int | None = None,
     label: str = "grow",
+    seed_is_distinct: bool = False,
 ) -> DataFrame:
     """Least fixpoint of ``step`` over ``seed``.
 
@@ -85,7 +86,7 @@ def grow(
     key = list(key or seed.columns)
     columns = seed.columns
     table = RoundTable(seed.sparkSession, seed.schema, label)
-    frontier = table.append(seed.dropDuplicates(key))
+    frontier = table.append(seed if seed_is_distinct else seed.dropDuplicates(key))
     while max_rounds is None or table.rounds <= max_rounds:
         candidates = step(frontier).select(*columns)
         candidates = candidates.distinct() if set(key) == set(columns) else candidates.dropDuplicates(key)
@@ -95,10 +96,3 @@ def grow(
             break
     return table.all()
 
-
-def null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> F.Column:
-    """Null-safe equality of the named columns of two frames, for use as a join condition."""
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
