@@ -130,16 +130,21 @@ def upsert_stored_catalog(spark: SparkSession, path: str, batch: Catalog, bucket
         # The list of touched buckets is at most ``buckets`` long.
         touched = [r[0] for r in items.select(BUCKET).distinct().collect()]
         old = stored.where(F.col(BUCKET).isin(touched))
-        merged = materialize(old.join(items.select(key), key, "left_anti").unionByName(rows), "upsert")
-        _write_buckets(merged, path, table)
+        # An overwrite leaves a folder alone that it has no rows for, so each touched bucket
+        # gets one row without an item; readers drop such rows.
+        marks = items.select(BUCKET).distinct()
+        merged = old.join(items.select(key), key, "left_anti").unionByName(rows)
+        merged = merged.unionByName(marks, allowMissingColumns=True)
+        _write_buckets(materialize(merged, "upsert"), path, table)
 
 
 def _stored(spark: SparkSession, path: str, table: str) -> DataFrame | None:
     schema = struct_of(table)
     if table in _ITEM_KEY:
-        schema = schema.add(BUCKET, "int")
+        schema = schema.add(BUCKET, "integer")
     try:
-        return spark.read.schema(schema).parquet(f"{path}/{table}")
+        stored = spark.read.schema(schema).parquet(f"{path}/{table}")
+        return stored.where(F.col(_ITEM_KEY[table]).isNotNull()) if table in _ITEM_KEY else stored
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None

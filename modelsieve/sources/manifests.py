@@ -64,7 +64,7 @@ def parse_subset_specs(documents: DataFrame, text: str = "content") -> DataFrame
 
 def load_subset_spec(spark: SparkSession, path: str) -> DataFrame:
     """Specifications stored as one JSON document per file."""
-    files = spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "content")
+    files = spark.read.text(path, wholetext=True).withColumnRenamed("value", "content")
     return parse_subset_specs(files)
 
 

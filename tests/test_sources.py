@@ -22,10 +22,10 @@ def test_scan_definitions(spark, tmp_path, rows):
     write(tmp_path / "My Space" / "Shop.Report" / "definition" / "report.json", '{"$schema":"x"}')
     write(tmp_path / "My Space" / "other" / "report.json", "{}")
     found = D.scan_definitions(spark, str(tmp_path))
-    assert rows(found, "workspace", "item_id", "item_kind", "rel_path") == [
+    assert set(rows(found, "workspace", "item_id", "item_kind", "rel_path")) == {
         ("My Space", "local_Shop", "report", "definition/report.json"),
         ("My Space", "local_Shop á+", "model", "definition/tables/T 1.tmdl"),
-    ]
+    }
     assert rows(extract_model.extract_tables(found), "table_name") == [("T 1",)]
 
 
