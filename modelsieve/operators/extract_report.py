@@ -13,6 +13,7 @@ from modelsieve.functions import report_json as J
 from modelsieve.operators.usage import column_usage, measure_usage
 from modelsieve.schemas import conform
 
+_KEYS = ("report_id", "folder", "page_name")
 _VISUAL_FILE = r"^definition/pages/([^/]+)/visuals/[^/]+/visual\.json$"
 _PAGE_FILE = r"^definition/pages/([^/]+)/page\.json$"
 
@@ -112,14 +113,6 @@ def extract_pages(files: DataFrame) -> DataFrame:
     )
 
 
-def _page_visuals(files: DataFrame, pages: DataFrame) -> DataFrame:
-    docs = files.where(F.col("rel_path").rlike(_VISUAL_FILE)).select(
-        _report_id(), F.regexp_extract("rel_path", _VISUAL_FILE, 1).alias("folder"), F.col("content").alias("doc")
-    )
-    names = pages.select("report_id", "folder", F.col("name").alias("page_name"))
-    return docs.join(names, ["report_id", "folder"]).select("report_id", "page_name", "doc")
-
-
 def flatten_legacy_sections(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages and visual documents of the older single-file layout.
 
@@ -168,18 +161,24 @@ def flatten_legacy_sections(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pages, visuals
 
 
-def visual_documents(files: DataFrame, pages: DataFrame, legacy: DataFrame) -> DataFrame:
-    """Visuals of both layouts: ``report_id, page_name, name, doc, filters, container_position``."""
-    modern = _page_visuals(files, pages).select(
-        "report_id",
-        "page_name",
-        _json("doc", "$.name").alias("name"),
-        "doc",
-        _json("doc", "$.filterConfig.filters").alias("filters"),
+def visual_documents(files: DataFrame, legacy: DataFrame) -> DataFrame:
+    """Visuals of both layouts, one document per row, without a shuffle.
+
+    A visual of the folder layout knows the ``folder`` of its page; its page name is attached
+    to the small extracted rows by :func:`with_page_names`, so documents are never moved.
+    """
+    modern = files.where(F.col("rel_path").rlike(_VISUAL_FILE)).select(
+        _report_id(),
+        F.regexp_extract("rel_path", _VISUAL_FILE, 1).alias("folder"),
+        F.lit(None).cast("string").alias("page_name"),
+        _json("content", "$.name").alias("name"),
+        F.col("content").alias("doc"),
+        _json("content", "$.filterConfig.filters").alias("filters"),
         F.lit(None).cast("struct<x:double,y:double,width:double,height:double>").alias("container_position"),
     )
     older = legacy.select(
         "report_id",
+        F.lit(None).cast("string").alias("folder"),
         "page_name",
         "name",
         "doc",
@@ -189,6 +188,17 @@ def visual_documents(files: DataFrame, pages: DataFrame, legacy: DataFrame) -> D
     return modern.unionByName(older)
 
 
+def with_page_names(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rows with the name of their page; rows of folders that are no page of the report go."""
+    names = pages.select("report_id", "folder", F.col("name").alias("__name"), F.lit(True).alias("__page"))
+    keep = [c for c in rows.columns if c not in ("folder", "page_name")]
+    return (
+        rows.join(names, ["report_id", "folder"], "left")
+        .where(F.col("folder").isNull() | F.col("__page"))
+        .select(*keep, F.coalesce("page_name", "__name").alias("page_name"))
+    )
+
+
 _TEXT_OBJECTS = "ARRAY<STRUCT<properties: STRUCT<text: STRUCT<expr: STRUCT<Literal: STRUCT<Value: STRING>>>>>>"
 _LINK_OBJECTS = (
     "ARRAY<STRUCT<properties: STRUCT<navigationSection: STRUCT<expr: STRUCT<Literal: STRUCT<Value: STRING>>>>>>"
@@ -201,7 +211,7 @@ def _last_literal(entries: F.Column, prop: str) -> F.Column:
     return F.when(F.size(present) > 0, J.literal_text(F.coalesce(value, F.lit(""))))
 
 
-def extract_visuals(visuals: DataFrame) -> DataFrame:
+def extract_visuals(visuals: DataFrame, pages: DataFrame) -> DataFrame:
     """Visual rows: type, position (defaults 0, 0, 100, 100), text and navigation target."""
     def position(name: str, default: float) -> F.Column:
         return F.coalesce(
@@ -210,9 +220,9 @@ def extract_visuals(visuals: DataFrame) -> DataFrame:
 
     texts = F.from_json(_json("doc", "$.visual.objects.text"), _TEXT_OBJECTS)
     links = F.from_json(_json("doc", "$.visual.visualContainerObjects.visualLink"), _LINK_OBJECTS)
-    return conform(
-        visuals.select(
+    found = visuals.select(
             "report_id",
+            "folder",
             "page_name",
             "name",
             F.coalesce(_json("doc", "$.visual.visualType"), _json("doc", "$.singleVisual.visualType")).alias("visual_type"),
@@ -222,19 +232,29 @@ def extract_visuals(visuals: DataFrame) -> DataFrame:
             position("height", 100.0).alias("height"),
             _last_literal(texts, "text").alias("text_content"),
             _last_literal(links, "navigationSection").alias("navigation_target"),
-        ),
-        "report_visual",
     )
+    return conform(with_page_names(found, pages), "report_visual")
 
 
-def query_aliases(doc: str) -> F.Column:
-    """Alias map of a visual's query: the top-level prototype, else that of ``singleVisual``."""
-    proto = F.coalesce(_json(doc, "$.prototypeQuery.From"), _json(doc, "$.singleVisual.prototypeQuery.From"))
-    return J.alias_map(F.from_json(proto, J.ALIASES))
+_FROM = f"STRUCT<`From`: {J.ALIASES}>"
+_VISUAL = (
+    "STRUCT<visual: STRUCT<query: STRUCT<"
+    f"queryState: MAP<STRING, STRUCT<projections: ARRAY<STRUCT<field: {J.FIELD}, queryRef: STRING>>>>, "
+    f"sortDefinition: STRUCT<sort: ARRAY<STRUCT<field: {J.FIELD}>>>>, objects: STRING>, "
+    f"prototypeQuery: {_FROM}, singleVisual: STRUCT<prototypeQuery: {_FROM}>>"
+)
 
 
-_PROJECTIONS = f"MAP<STRING, STRUCT<projections: ARRAY<STRUCT<field: {J.FIELD}, queryRef: STRING>>>>"
-_SORTS = f"ARRAY<STRUCT<field: {J.FIELD}>>"
+def query_aliases(parsed: F.Column) -> F.Column:
+    """Alias map of a parsed visual: its own query prototype, else that of ``singleVisual``."""
+    return J.alias_map(F.coalesce(parsed["prototypeQuery"]["From"], parsed["singleVisual"]["prototypeQuery"]["From"]))
+
+
+def visual_aliases(visuals: DataFrame, pages: DataFrame) -> DataFrame:
+    """Alias → entity rows of the query of each visual."""
+    parsed = visuals.select(*_KEYS, F.col("name").alias("visual_name"), F.from_json("doc", _VISUAL).alias("v"))
+    found = parsed.select(*_KEYS, "visual_name", F.explode(query_aliases(F.col("v"))).alias("alias", "entity"))
+    return with_page_names(found, pages)
 
 
 def _no_refs() -> F.Column:
@@ -259,57 +279,53 @@ def _field_ref(field: F.Column, query_ref: F.Column, aliases: F.Column) -> F.Col
     )
 
 
-def extract_field_refs(visuals: DataFrame) -> DataFrame:
+def extract_field_refs(visuals: DataFrame, pages: DataFrame) -> DataFrame:
     """One row per field reference occurrence: ``report_id, page_name, visual_name, kind, ref``.
 
     A field counts once for its projection, once per sort entry, once for each place below
     ``objects`` and once for each place in the whole document. Aliases inside a filter
     resolve with the filter's own sources, all others with the visual's query.
     """
+    # Two parses per document: one for the known places, one for the text of each top-level
+    # entry, in which any other place is found by pattern.
     parsed = visuals.select(
-        "report_id",
-        "page_name",
+        *_KEYS,
         F.col("name").alias("visual_name"),
-        "doc",
-        "filters",
-        query_aliases("doc").alias("aliases"),
+        F.from_json("doc", _VISUAL).alias("v"),
         F.from_json("doc", "MAP<STRING, STRING>").alias("top"),
-    )
-    aliases = F.col("aliases")
-    roles = F.map_values(F.from_json(_json("doc", "$.visual.query.queryState"), _PROJECTIONS))
+        F.from_json("filters", "ARRAY<STRING>").alias("filter_texts"),
+    ).withColumn("aliases", query_aliases(F.col("v")))
+    aliases, shown = F.col("aliases"), F.col("v.visual")
+    roles = F.map_values(shown["query"]["queryState"])
     projected = F.transform(
         F.flatten(F.transform(roles, lambda r: F.coalesce(r["projections"], F.array()))),
         lambda p: _field_ref(p["field"], p["queryRef"], aliases),
     )
     sorts = F.transform(
-        F.from_json(_json("doc", "$.visual.query.sortDefinition.sort"), _SORTS),
+        shown["query"]["sortDefinition"]["sort"],
         lambda s: _field_ref(s["field"], F.lit(None).cast("string"), aliases),
     )
-    in_objects = J.nested_refs(_json("doc", "$.visual.objects"), aliases)
+    in_objects = J.nested_refs(shown["objects"], aliases)
     rest = F.map_values(F.map_filter(F.col("top"), lambda k, v: (k != "filterConfig") & v.isNotNull()))
     in_rest = F.flatten(F.transform(rest, lambda v: J.nested_refs(v, aliases)))
-    filter_texts = F.from_json("filters", "ARRAY<STRING>")
-    in_filters = F.flatten(
-        F.transform(
-            filter_texts,
-            lambda f: J.nested_refs(
-                f,
-                F.map_concat(
-                    F.map_filter(
-                        aliases,
-                        lambda k, v: ~F.map_contains_key(_filter_aliases(f), k),
-                    ),
-                    _filter_aliases(f),
-                ),
-            ),
-        )
+    own = F.transform("filter_texts", lambda f: F.struct(f.alias("text"), _filter_aliases(f).alias("own")))
+    scoped = F.transform(
+        own,
+        lambda s: F.struct(
+            s["text"].alias("text"),
+            F.map_concat(
+                F.map_filter(aliases, lambda k, v: ~F.map_contains_key(s["own"], k)), s["own"]
+            ).alias("aliases"),
+        ),
     )
+    in_filters = F.flatten(F.transform(scoped, lambda s: J.nested_refs(s["text"], s["aliases"])))
     refs = F.concat(*[F.coalesce(part, _no_refs()) for part in (projected, sorts, in_objects, in_rest, in_filters)])
-    return (
-        parsed.select("report_id", "page_name", "visual_name", F.explode(refs).alias("r"))
-        .select("report_id", "page_name", "visual_name", "r.kind", "r.ref")
+    found = (
+        parsed.select(*_KEYS, "visual_name", F.explode(refs).alias("r"))
+        .select(*_KEYS, "visual_name", "r.kind", "r.ref")
         .where(F.col("kind").isNotNull() & F.col("ref").isNotNull())
     )
+    return with_page_names(found, pages)
 
 
 def _filter_aliases(filter_text: F.Column) -> F.Column:
@@ -319,16 +335,16 @@ def _filter_aliases(filter_text: F.Column) -> F.Column:
 def filter_rows(owners: DataFrame, level: str) -> DataFrame:
     """Filters of reports, pages or visuals.
 
-    ``owners`` has report_id, page_name, visual_name and ``filters`` (JSON array text).
+    ``owners`` has report_id, page_name, visual_name and ``filters`` (JSON array text), and may
+    have other key columns, which stay.
     """
+    keys = [c for c in owners.columns if c != "filters"]
     rows = owners.select(
-        "report_id", "page_name", "visual_name", F.explode(F.from_json("filters", f"ARRAY<{FILTER}>")).alias("f")
+        *keys, F.explode(F.from_json("filters", f"ARRAY<{FILTER}>")).alias("f")
     ).where(F.col("f").isNotNull())
     field = F.coalesce("f.field", "f.expression")
     rows = rows.select(
-        "report_id",
-        "page_name",
-        "visual_name",
+        *keys,
         F.coalesce(F.nullif(F.col("f.name"), F.lit("")), F.lit("Unnamed Filter")).alias("filter_name"),
         F.when(field["Column"].isNotNull(), "column")
         .when(field["Measure"].isNotNull(), "measure")
@@ -354,11 +370,11 @@ def filter_rows(owners: DataFrame, level: str) -> DataFrame:
     )
     rows = rows.withColumn("table_name", table).withColumn("column_name", F.coalesce("node.Property", unknown))
     texts = describe_conditions(F.col("conditions"))
-    return conform(
+    return (
         rows.where((F.col("table_name") != "UnknownTable") | (F.col("column_name") != "UnknownField"))
         .withColumn("level", F.lit(level))
-        .withColumn("filter_description", texts),
-        "report_filter",
+        .withColumn("filter_description", texts)
+        .select(*keys, "level", "filter_name", "table_name", "column_name", "filter_description")
     )
 
 
@@ -381,12 +397,10 @@ def extract_filters(reports: DataFrame, pages: DataFrame, visuals: DataFrame) ->
     none = F.lit(None).cast("string")
     at_report = reports.select("report_id", none.alias("page_name"), none.alias("visual_name"), "filters")
     at_page = pages.select("report_id", F.col("name").alias("page_name"), none.alias("visual_name"), "filters")
-    at_visual = visuals.select("report_id", "page_name", F.col("name").alias("visual_name"), "filters")
-    return (
-        filter_rows(at_report, "report")
-        .unionByName(filter_rows(at_page, "page"))
-        .unionByName(filter_rows(at_visual, "visual"))
-    )
+    at_visual = visuals.select(*_KEYS, F.col("name").alias("visual_name"), "filters")
+    found = filter_rows(at_report, "report").unionByName(filter_rows(at_page, "page"))
+    in_visuals = with_page_names(filter_rows(at_visual, "visual"), pages)
+    return conform(found.unionByName(in_visuals), "report_filter")
 
 
 def extract_report_catalog(files: DataFrame) -> dict[str, DataFrame]:
@@ -395,13 +409,13 @@ def extract_report_catalog(files: DataFrame) -> dict[str, DataFrame]:
     headers = extract_report_header(items)
     modern_pages = extract_pages(items)
     legacy_pages, legacy_visuals = flatten_legacy_sections(items)
-    visuals = visual_documents(items, modern_pages, legacy_visuals)
-    pages = modern_pages.drop("folder").unionByName(legacy_pages)
-    refs = extract_field_refs(visuals)
+    visuals = visual_documents(items, legacy_visuals)
+    pages = modern_pages.unionByName(legacy_pages, allowMissingColumns=True)
+    refs = extract_field_refs(visuals, pages)
     return {
         "report": conform(headers, "report"),
         "report_page": conform(pages, "report_page"),
-        "report_visual": extract_visuals(visuals),
+        "report_visual": extract_visuals(visuals, pages),
         "report_column_used": column_usage(refs),
         "report_measure_used": measure_usage(refs),
         "report_filter": extract_filters(headers, pages, visuals),

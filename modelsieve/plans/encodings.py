@@ -27,6 +27,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Table whose rows go into costly text work, over all cores.
+
+    A table of few files gives few scan tasks; its rows are dealt out before the texts are
+    built. A table of many files is left as it is scanned.
+    """
+    df = load(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _sql(df: DataFrame, *columns: str) -> DataFrame:
     return df.selectExpr(*columns)
 
@@ -38,7 +49,7 @@ def type_name(index: str) -> str:
 
 
 def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = load(spark, sf_dir, "part")
+    part = spread(spark, sf_dir, "part")
     expression = r"""concat(
         'VAR v_', p_partkey, ' = SUM(''', if(p_partkey % 2 = 1, upper(p_brand), p_brand), '''[', p_type, ']) // old: [m0]', chr(10),
         'RETURN v_', p_partkey,
@@ -391,7 +402,7 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         chr(9), chr(9), chr(9), chr(9), 'in a', chr(10), chr(10),
         chr(9), 'annotation Kind = Table', chr(10))"""
     return _sql(
-        load(spark, sf_dir, "part"),
+        spread(spark, sf_dir, "part"),
         "concat('sm', p_partkey % 25) as item_id",
         "concat('Model ', p_partkey % 25) as item_name",
         "'model' as item_kind",
@@ -448,7 +459,7 @@ def visual_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         case o_orderkey % 4 when 0 then '{{"In":{{"Values":[]}}}}' when 1 then '{{"Not":{{"Expression":{{}}}}}}'
              when 2 then '{{"Comparison":{{"ComparisonKind":3}}}}' else '{{"Between":{{}}}}' end, '}}]}}}}]}}}}')"""
     return _sql(
-        load(spark, sf_dir, "orders"),
+        spread(spark, sf_dir, "orders"),
         "concat('r', o_custkey) as item_id",
         "concat('Report ', o_custkey) as item_name",
         "'report' as item_kind",

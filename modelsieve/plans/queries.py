@@ -124,7 +124,7 @@ def resolve_model_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def clean_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.load(spark, sf_dir, "documents").select("doc_id", X.clean_expression(F.col("text")).alias("cleaned"))
+    return E.spread(spark, sf_dir, "documents").select("doc_id", X.clean_expression(F.col("text")).alias("cleaned"))
 
 
 _over_catalog("qualified_refs", lambda cat: refs.qualified_refs(cat["semantic_model_measure"], cat["semantic_model_table"]))
@@ -162,7 +162,7 @@ def search_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = E.load(spark, sf_dir, "documents").selectExpr("doc_id", "'' as measure_name", "text as expression")
+    texts = E.spread(spark, sf_dir, "documents").selectExpr("doc_id", "'' as measure_name", "text as expression")
     return refs.search_measures(texts, "license").select("doc_id")
 
 
@@ -389,7 +389,7 @@ def normalize_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def safe_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.load(spark, sf_dir, "documents").select("doc_id", N.safe_name(F.col("text")).alias("name"))
+    return E.spread(spark, sf_dir, "documents").select("doc_id", N.safe_name(F.col("text")).alias("name"))
 
 
 @query
@@ -518,8 +518,8 @@ def _report_items(spark: SparkSession, sf_dir: str, legacy: bool = True) -> Data
     return files.unionByName(E.legacy_files(spark, sf_dir)) if legacy else files
 
 
-def _report_visuals(files: DataFrame) -> DataFrame:
-    return XR.visual_documents(files, XR.extract_pages(files), XR.flatten_legacy_sections(files)[1])
+def _report_visuals(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return XR.visual_documents(files, XR.flatten_legacy_sections(files)[1]), XR.extract_pages(files)
 
 
 @query
@@ -540,21 +540,17 @@ def flatten_legacy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def extract_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return XR.extract_visuals(_report_visuals(_report_items(spark, sf_dir))).drop("navigation_target")
+    return XR.extract_visuals(*_report_visuals(_report_items(spark, sf_dir))).drop("navigation_target")
 
 
 @query
 def resolve_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    visuals = _report_visuals(_report_items(spark, sf_dir, legacy=False))
-    return visuals.select(
-        "report_id", "page_name", F.col("name").alias("visual_name"),
-        F.try_element_at(XR.query_aliases("doc"), F.lit("d")).alias("entity"),
-    )
+    return XR.visual_aliases(*_report_visuals(_report_items(spark, sf_dir, legacy=False))).where("alias = 'd'").drop("alias")
 
 
 @query
 def extract_field_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = XR.extract_field_refs(_report_visuals(_report_items(spark, sf_dir)))
+    found = XR.extract_field_refs(*_report_visuals(_report_items(spark, sf_dir)))
     return found.groupBy("report_id", "page_name", "visual_name", "kind", "ref").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -177,8 +177,8 @@ def test_field_occurrences(cat, rows):
 
 def test_distinct_refs_option(files, rows):
     pages = XR.extract_pages(files)
-    visuals = XR.visual_documents(files, pages, XR.flatten_legacy_sections(files)[1])
-    counts = column_usage(XR.extract_field_refs(visuals), distinct_refs=True)
+    visuals = XR.visual_documents(files, XR.flatten_legacy_sections(files)[1])
+    counts = column_usage(XR.extract_field_refs(visuals, pages), distinct_refs=True)
     assert {n for (n,) in rows(counts, "usage_count")} == {1}
 
 
