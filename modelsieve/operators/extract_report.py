@@ -13,7 +13,7 @@ from modelsieve.functions import report_json as J
 from modelsieve.operators.usage import column_usage, measure_usage
 from modelsieve.schemas import conform
 
-_KEYS = ("report_id", "folder", "page_name")
+_KEYS = ("report_id", "folder")
 _VISUAL_FILE = r"^definition/pages/([^/]+)/visuals/[^/]+/visual\.json$"
 _PAGE_FILE = r"^definition/pages/([^/]+)/page\.json$"
 
@@ -38,11 +38,19 @@ def _report_id() -> F.Column:
     return F.col("item_id").alias("report_id")
 
 
-def _main_files(files: DataFrame) -> DataFrame:
-    """The ``report.json`` of each report: the folder layout wins over the single file."""
-    found = files.where(F.col("rel_path").isin("definition/report.json", "report.json"))
-    best = found.groupBy("item_id").agg(F.min("rel_path").alias("rel_path"))
-    return found.join(best, ["item_id", "rel_path"], "left_semi")
+_MAIN = ("definition/report.json", "report.json")
+
+
+def _superseded(files: DataFrame) -> DataFrame:
+    """Reports that have both main files: the folder layout wins over the single file."""
+    paths = files.where(F.col("rel_path").isin(*_MAIN)).groupBy("item_id").agg(F.count_distinct("rel_path").alias("n"))
+    return paths.where("n = 2").select(_report_id())
+
+
+def _without_superseded(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Small rows taken from main files (with ``rel_path``), one main file per report."""
+    old = _superseded(files).withColumn("rel_path", F.lit(_MAIN[1]))
+    return rows.join(old, ["report_id", "rel_path"], "left_anti").drop("rel_path")
 
 
 def report_format(content: F.Column) -> F.Column:
@@ -53,40 +61,52 @@ def report_format(content: F.Column) -> F.Column:
 
 def extract_report_header(files: DataFrame) -> DataFrame:
     """Report rows: format, model name and model id from the reference, active page."""
-    main = _main_files(files).select("item_id", "item_name", "workspace", F.col("content").alias("doc"))
-    refs = files.where(F.col("rel_path") == "definition.pbir").select(
-        "item_id",
-        _json("content", "$.datasetReference.byConnection.connectionString").alias("connection"),
-        _json("content", "$.datasetReference.byPath.path").alias("path"),
+    fmt = report_format(F.col("content"))
+    first_section = F.coalesce(
+        _json("content", "$.sections[0].name"), F.when(_json("content", "$.sections[0]").isNotNull(), "Page 1")
     )
-    order = files.where(F.col("rel_path") == "definition/pages/pages.json").select(
-        "item_id", _json("content", "$.activePageName").alias("__active")
+    # Fields are taken out where the documents are read; only these go through the joins.
+    main = files.where(F.col("rel_path").isin(*_MAIN)).select(
+        _report_id(),
+        "rel_path",
+        F.col("item_name").alias("name"),
+        F.col("workspace").alias("workspace_id"),
+        fmt.alias("report_format"),
+        first_section.alias("__first"),
+        F.coalesce(
+            _json("content", "$.filterConfig.filters"), F.when(fmt == "legacy", _json("content", "$.filters"))
+        ).alias("filters"),
     )
+    connection = _json("content", "$.datasetReference.byConnection.connectionString")
     by_connection = F.regexp_extract(
-        "connection", r'Data Source="?powerbi://api\.powerbi\.com/v1\.0/myorg/(.*?)[";]', 1
+        connection, r'Data Source="?powerbi://api\.powerbi\.com/v1\.0/myorg/(.*?)[";]', 1
     )
-    by_path = F.regexp_extract("path", r"\.\./(.*?)\.SemanticModel", 1)
-    model_id = F.regexp_extract("connection", r"semanticmodelid=([a-f0-9\-]+)", 1)
-    first_section = F.coalesce(
-        _json("doc", "$.sections[0].name"), F.when(_json("doc", "$.sections[0]").isNotNull(), "Page 1")
+    by_path = F.regexp_extract(_json("content", "$.datasetReference.byPath.path"), r"\.\./(.*?)\.SemanticModel", 1)
+    refs = files.where(F.col("rel_path") == "definition.pbir").select(
+        _report_id(),
+        F.nullif(F.when(connection.isNotNull(), by_connection).otherwise(by_path), F.lit("")).alias("model_name"),
+        F.nullif(F.regexp_extract(connection, r"semanticmodelid=([a-f0-9\-]+)", 1), F.lit("")).alias(
+            "semantic_model_reference"
+        ),
+    )
+    order = files.where(F.col("rel_path") == "definition/pages/pages.json").select(
+        _report_id(), _json("content", "$.activePageName").alias("__active")
     )
-    fmt = report_format(F.col("doc"))
     return (
-        main.join(refs, "item_id", "left")
-        .join(order, "item_id", "left")
+        _without_superseded(main, files)
+        .join(refs, "report_id", "left")
+        .join(order, "report_id", "left")
         .select(
-            F.col("item_id").alias("report_id"),
-            F.col("item_name").alias("name"),
-            F.col("workspace").alias("workspace_id"),
-            F.nullif(model_id, F.lit("")).alias("semantic_model_reference"),
-            F.nullif(F.when(F.col("connection").isNotNull(), by_connection).otherwise(by_path), F.lit("")).alias(
-                "model_name"
+            "report_id",
+            "name",
+            "workspace_id",
+            "semantic_model_reference",
+            "model_name",
+            "report_format",
+            F.when(F.col("report_format") == "pbir", F.col("__active")).otherwise(F.col("__first")).alias(
+                "active_page_name"
             ),
-            fmt.alias("report_format"),
-            F.when(fmt == "pbir", F.col("__active")).otherwise(first_section).alias("active_page_name"),
-            F.coalesce(
-                _json("doc", "$.filterConfig.filters"), F.when(fmt == "legacy", _json("doc", "$.filters"))
-            ).alias("filters"),
+            "filters",
         )
     )
 
@@ -119,14 +139,18 @@ def flatten_legacy_sections(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``config`` and ``filters`` are JSON inside strings. The position comes from the container
     when the config has none, and the container's filters become the visual's filters.
     """
-    docs = _main_files(files).where(report_format(F.col("content")) == "legacy")
+    docs = files.where(F.col("rel_path").isin(*_MAIN)).where(report_format(F.col("content")) == "legacy")
     sections = docs.select(
-        _report_id(), F.posexplode(F.from_json(_json("content", "$.sections"), f"ARRAY<{_SECTION}>")).alias("position", "s")
+        _report_id(), "rel_path", F.posexplode(F.from_json(_json("content", "$.sections"), f"ARRAY<{_SECTION}>")).alias("position", "s")
     )
+    # The section takes the part that a page folder has in the other layout.
+    folder = F.concat_ws(" ", "rel_path", F.lit("section"), F.col("position").cast("string"))
     page_name = F.coalesce("s.name", F.concat(F.lit("Page "), (F.col("position") + 1).cast("string")))
     visibility = F.coalesce("s.visibility", _json("s.config", "$.visibility").cast("int"), F.lit(0))
     pages = sections.select(
         "report_id",
+        "rel_path",
+        folder.alias("folder"),
         page_name.alias("name"),
         F.coalesce("s.displayName", page_name).alias("display_name"),
         F.lit(None).cast("string").alias("display_option"),
@@ -137,12 +161,12 @@ def flatten_legacy_sections(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("s.filters").alias("filters"),
     )
     containers = sections.select(
-        "report_id", page_name.alias("page_name"), F.posexplode("s.visualContainers").alias("n", "c")
+        "report_id", folder.alias("folder"), F.posexplode("s.visualContainers").alias("n", "c")
     )
     entries = F.coalesce(F.from_json("c.config", "MAP<STRING, STRING>"), F.create_map().cast("map<string,string>"))
     visuals = containers.select(
         "report_id",
-        "page_name",
+        "folder",
         F.coalesce("c.config", F.lit("{}")).alias("doc"),
         F.coalesce(F.try_element_at(entries, F.lit("name")), F.concat(F.lit("visual_"), F.col("n").cast("string"))).alias(
             "name"
@@ -158,19 +182,18 @@ def flatten_legacy_sections(files: DataFrame) -> tuple[DataFrame, DataFrame]:
             ),
         ).alias("container_position"),
     )
-    return pages, visuals
+    return _without_superseded(pages, files), visuals
 
 
 def visual_documents(files: DataFrame, legacy: DataFrame) -> DataFrame:
     """Visuals of both layouts, one document per row, without a shuffle.
 
-    A visual of the folder layout knows the ``folder`` of its page; its page name is attached
-    to the small extracted rows by :func:`with_page_names`, so documents are never moved.
+    A visual knows the ``folder`` of its page. The page name is attached to the small extracted
+    rows by :func:`with_page_names`, so documents are never moved.
     """
     modern = files.where(F.col("rel_path").rlike(_VISUAL_FILE)).select(
         _report_id(),
         F.regexp_extract("rel_path", _VISUAL_FILE, 1).alias("folder"),
-        F.lit(None).cast("string").alias("page_name"),
         _json("content", "$.name").alias("name"),
         F.col("content").alias("doc"),
         _json("content", "$.filterConfig.filters").alias("filters"),
@@ -178,8 +201,7 @@ def visual_documents(files: DataFrame, legacy: DataFrame) -> DataFrame:
     )
     older = legacy.select(
         "report_id",
-        F.lit(None).cast("string").alias("folder"),
-        "page_name",
+        "folder",
         "name",
         "doc",
         F.coalesce("container_filters", _json("doc", "$.filterConfig.filters")).alias("filters"),
@@ -190,13 +212,15 @@ def visual_documents(files: DataFrame, legacy: DataFrame) -> DataFrame:
 
 def with_page_names(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Rows with the name of their page; rows of folders that are no page of the report go."""
-    names = pages.select("report_id", "folder", F.col("name").alias("__name"), F.lit(True).alias("__page"))
-    keep = [c for c in rows.columns if c not in ("folder", "page_name")]
-    return (
-        rows.join(names, ["report_id", "folder"], "left")
-        .where(F.col("folder").isNull() | F.col("__page"))
-        .select(*keep, F.coalesce("page_name", "__name").alias("page_name"))
-    )
+    names = pages.select("report_id", "folder", F.col("name").alias("page_name"))
+    return rows.join(names, ["report_id", "folder"]).drop("folder")
+
+
+def report_visuals(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Visual documents and pages of all reports, whichever layout they have."""
+    legacy_pages, legacy_visuals = flatten_legacy_sections(files)
+    pages = extract_pages(files).unionByName(legacy_pages)
+    return visual_documents(files, legacy_visuals), pages
 
 
 _TEXT_OBJECTS = "ARRAY<STRUCT<properties: STRUCT<text: STRUCT<expr: STRUCT<Literal: STRUCT<Value: STRING>>>>>>"
@@ -213,6 +237,7 @@ def _last_literal(entries: F.Column, prop: str) -> F.Column:
 
 def extract_visuals(visuals: DataFrame, pages: DataFrame) -> DataFrame:
     """Visual rows: type, position (defaults 0, 0, 100, 100), text and navigation target."""
+
     def position(name: str, default: float) -> F.Column:
         return F.coalesce(
             F.col(f"container_position.{name}"), _json("doc", f"$.position.{name}").cast("double"), F.lit(default)
@@ -221,17 +246,15 @@ def extract_visuals(visuals: DataFrame, pages: DataFrame) -> DataFrame:
     texts = F.from_json(_json("doc", "$.visual.objects.text"), _TEXT_OBJECTS)
     links = F.from_json(_json("doc", "$.visual.visualContainerObjects.visualLink"), _LINK_OBJECTS)
     found = visuals.select(
-            "report_id",
-            "folder",
-            "page_name",
-            "name",
-            F.coalesce(_json("doc", "$.visual.visualType"), _json("doc", "$.singleVisual.visualType")).alias("visual_type"),
-            position("x", 0.0).alias("x"),
-            position("y", 0.0).alias("y"),
-            position("width", 100.0).alias("width"),
-            position("height", 100.0).alias("height"),
-            _last_literal(texts, "text").alias("text_content"),
-            _last_literal(links, "navigationSection").alias("navigation_target"),
+        *_KEYS,
+        "name",
+        F.coalesce(_json("doc", "$.visual.visualType"), _json("doc", "$.singleVisual.visualType")).alias("visual_type"),
+        position("x", 0.0).alias("x"),
+        position("y", 0.0).alias("y"),
+        position("width", 100.0).alias("width"),
+        position("height", 100.0).alias("height"),
+        _last_literal(texts, "text").alias("text_content"),
+        _last_literal(links, "navigationSection").alias("navigation_target"),
     )
     return conform(with_page_names(found, pages), "report_visual")
 
@@ -335,8 +358,7 @@ def _filter_aliases(filter_text: F.Column) -> F.Column:
 def filter_rows(owners: DataFrame, level: str) -> DataFrame:
     """Filters of reports, pages or visuals.
 
-    ``owners`` has report_id, page_name, visual_name and ``filters`` (JSON array text), and may
-    have other key columns, which stay.
+    ``owners`` has ``filters`` (JSON array text); its other columns stay as keys.
     """
     keys = [c for c in owners.columns if c != "filters"]
     rows = owners.select(
@@ -400,17 +422,14 @@ def extract_filters(reports: DataFrame, pages: DataFrame, visuals: DataFrame) ->
     at_visual = visuals.select(*_KEYS, F.col("name").alias("visual_name"), "filters")
     found = filter_rows(at_report, "report").unionByName(filter_rows(at_page, "page"))
     in_visuals = with_page_names(filter_rows(at_visual, "visual"), pages)
-    return conform(found.unionByName(in_visuals), "report_filter")
+    return conform(found, "report_filter").unionByName(conform(in_visuals, "report_filter"))
 
 
 def extract_report_catalog(files: DataFrame) -> dict[str, DataFrame]:
     """All report tables of the catalog from definition files."""
     items = files.where(F.col("item_kind") == "report") if "item_kind" in files.columns else files
     headers = extract_report_header(items)
-    modern_pages = extract_pages(items)
-    legacy_pages, legacy_visuals = flatten_legacy_sections(items)
-    visuals = visual_documents(items, legacy_visuals)
-    pages = modern_pages.unionByName(legacy_pages, allowMissingColumns=True)
+    visuals, pages = report_visuals(items)
     refs = extract_field_refs(visuals, pages)
     return {
         "report": conform(headers, "report"),

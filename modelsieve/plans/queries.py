@@ -518,10 +518,6 @@ def _report_items(spark: SparkSession, sf_dir: str, legacy: bool = True) -> Data
     return files.unionByName(E.legacy_files(spark, sf_dir)) if legacy else files
 
 
-def _report_visuals(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return XR.visual_documents(files, XR.flatten_legacy_sections(files)[1]), XR.extract_pages(files)
-
-
 @query
 def extract_report_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return XR.extract_report_header(_report_items(spark, sf_dir)).drop("workspace_id", "filters")
@@ -540,17 +536,17 @@ def flatten_legacy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def extract_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return XR.extract_visuals(*_report_visuals(_report_items(spark, sf_dir))).drop("navigation_target")
+    return XR.extract_visuals(*XR.report_visuals(_report_items(spark, sf_dir))).drop("navigation_target")
 
 
 @query
 def resolve_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return XR.visual_aliases(*_report_visuals(_report_items(spark, sf_dir, legacy=False))).where("alias = 'd'").drop("alias")
+    return XR.visual_aliases(*XR.report_visuals(_report_items(spark, sf_dir, legacy=False))).where("alias = 'd'").drop("alias")
 
 
 @query
 def extract_field_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = XR.extract_field_refs(*_report_visuals(_report_items(spark, sf_dir)))
+    found = XR.extract_field_refs(*XR.report_visuals(_report_items(spark, sf_dir)))
     return found.groupBy("report_id", "page_name", "visual_name", "kind", "ref").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -129,6 +129,7 @@ def load_calc_dependencies(rows: DataFrame, models: DataFrame) -> DataFrame:
     the upper-case key wins unless it is empty. Unknown databases get a null model id.
     ``models``: (semantic_model_id, name).
     """
+
     def field(name: str) -> F.Column:
         upper = F.try_element_at("fields", F.lit(name.upper()))
         return F.coalesce(F.nullif(upper, F.lit("")), F.try_element_at("fields", F.lit(name)))

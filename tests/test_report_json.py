@@ -175,10 +175,15 @@ def test_field_occurrences(cat, rows):
     }
 
 
+def test_the_folder_layout_wins_over_a_single_file(spark, files, rows):
+    both = files.unionByName(spark.createDataFrame(item("modern", {"report.json": LEGACY}), FILES_DDL))
+    cat, twice = XR.extract_report_catalog(files), XR.extract_report_catalog(both)
+    for table in ("report", "report_page", "report_visual", "report_column_used", "report_filter"):
+        assert rows(twice[table]) == rows(cat[table])
+
+
 def test_distinct_refs_option(files, rows):
-    pages = XR.extract_pages(files)
-    visuals = XR.visual_documents(files, XR.flatten_legacy_sections(files)[1])
-    counts = column_usage(XR.extract_field_refs(visuals, pages), distinct_refs=True)
+    counts = column_usage(XR.extract_field_refs(*XR.report_visuals(files)), distinct_refs=True)
     assert {n for (n,) in rows(counts, "usage_count")} == {1}
 
 
