@@ -43,8 +43,9 @@ _MAIN = ("definition/report.json", "report.json")
 
 def _superseded(files: DataFrame) -> DataFrame:
     """Reports that have both main files: the folder layout wins over the single file."""
-    paths = files.where(F.col("rel_path").isin(*_MAIN)).groupBy("item_id").agg(F.count_distinct("rel_path").alias("n"))
-    return paths.where("n = 2").select(_report_id())
+    has = [F.max((F.col("rel_path") == path).cast("int")).alias(f"has_{i}") for i, path in enumerate(_MAIN)]
+    found = files.where(F.col("rel_path").isin(*_MAIN)).groupBy("item_id").agg(*has)
+    return found.where("has_0 = 1 AND has_1 = 1").select(_report_id())
 
 
 def _without_superseded(rows: DataFrame, files: DataFrame) -> DataFrame:

@@ -369,3 +369,35 @@ def subset_totals(minimal: dict[str, DataFrame]) -> DataFrame:
         minimal["relationships"].select(MODEL, F.lit(0).alias("t"), F.lit(1).alias("r"))
     )
     return rows.groupBy(MODEL).agg(F.sum("t").alias("tables"), F.sum("r").alias("relationships"))
+
+
+def subset_manifest(minimal: dict[str, DataFrame], used_measures: DataFrame, name: str) -> DataFrame:
+    """Record of a subset, one row per entry, ready for ``write_subset_manifest``.
+
+    Sections: ``report_table`` (used by reports), ``dax_extra_table`` (added by dependencies),
+    ``used_measure`` (used by reports), ``chained_measure`` (kept for other measures) and
+    ``relationship``. ``used_measures`` comes from :func:`used_objects`.
+    """
+    none = F.lit(None).cast("string")
+    tables = minimal["tables"].select(
+        MODEL,
+        F.when(F.col("provenance") == "report", "report_table").otherwise("dax_extra_table").alias("section"),
+        "table_name",
+        none.alias("entry"),
+    )
+    direct = used_measures.select(*MEASURE).distinct().withColumn("__used", F.lit(True))
+    measures = (
+        minimal["measures"]
+        .join(direct, MEASURE, "left")
+        .select(
+            MODEL,
+            F.when(F.col("__used"), "used_measure").otherwise("chained_measure").alias("section"),
+            "table_name",
+            F.col("measure_name").alias("entry"),
+        )
+    )
+    relationships = minimal["relationships"].select(
+        MODEL, F.lit("relationship").alias("section"), F.col("from_table").alias("table_name"), F.col("relationship_name").alias("entry")
+    )
+    rows = tables.unionByName(measures).unionByName(relationships)
+    return rows.select(F.lit(name).alias("subset_name"), F.lit("from_db").alias("method"), "*")

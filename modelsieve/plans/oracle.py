@@ -484,6 +484,15 @@ BODIES: dict[str, str] = {
           (SELECT count(*) FROM m_kept_measure x WHERE x.semantic_model_id = f.semantic_model_id AND x.table_name = f.table_name) AS measures
         FROM m_flag f""",
     "removed_columns": "SELECT semantic_model_id, table_name, column_name FROM e_column ANTI JOIN m_kept_column USING (semantic_model_id, table_name, column_name)",
+    "subset_manifest": """
+        SELECT 'all reports' AS subset_name, 'from_db' AS method, semantic_model_id, CASE provenance WHEN 'report' THEN 'report_table' ELSE 'dax_extra_table' END AS section,
+          table_name, CAST(NULL AS VARCHAR) AS entry FROM m_flag
+        UNION ALL SELECT 'all reports', 'from_db', k.semantic_model_id, CASE WHEN u.measure_name IS NULL THEN 'chained_measure' ELSE 'used_measure' END, k.table_name, k.measure_name
+          FROM m_kept_measure k LEFT JOIN m_used_measure u USING (semantic_model_id, table_name, measure_name)
+        UNION ALL SELECT 'all reports', 'from_db', semantic_model_id, 'relationship', from_table, relationship_name FROM m_rel""",
+    "subset_totals": """
+        SELECT k.semantic_model_id, count(*) AS tables, (SELECT count(*) FROM m_rel r WHERE r.semantic_model_id = k.semantic_model_id) AS relationships
+        FROM m_kept k GROUP BY k.semantic_model_id""",
     "clear_invalid_sort_by": """
         SELECT c.semantic_model_id, c.table_name, c.column_name, k.column_name AS sort_by_column FROM e_column c
         SEMI JOIN m_kept_column s ON s.semantic_model_id = c.semantic_model_id AND s.table_name = c.table_name AND s.column_name = c.column_name

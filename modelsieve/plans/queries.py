@@ -284,6 +284,17 @@ _over_resolved(
 )
 
 
+@query
+def subset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = E.resolved_catalog(spark, sf_dir)
+    return subset.subset_manifest(subset.minimal_model(cat), subset.used_objects(cat)["measures"], "all reports")
+
+
+@query
+def subset_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subset.subset_totals(subset.minimal_model(E.resolved_catalog(spark, sf_dir)))
+
+
 @query
 def clear_invalid_sort_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = E.resolved_catalog(spark, sf_dir)
