@@ -103,7 +103,7 @@ UNKNOWN_CONDITION = "Condición desconocida en "
 def describe_condition(condition: Column, table: Column, field: Column, field_kind: Column) -> Column:
     """Readable text for one condition, given as a map of its kind to the JSON behind it."""
     place = F.concat(F.lit("'"), table, F.lit("'.'"), field, F.lit("'"))
-    code = F.get_json_object(F.try_element_at(condition, F.lit("Comparison")), "$.ComparisonKind").cast("int")
+    code = F.get_json_object(F.try_element_at(condition, F.lit("Comparison")), "$.ComparisonKind").try_cast("int")
     texts = F.array(*[F.lit(t) for t in COMPARISON_TEXT])
     comparison = F.when((code >= 0) & (code < len(COMPARISON_TEXT)), F.get(texts, code)).otherwise(UNKNOWN_COMPARISON)
 

@@ -134,9 +134,7 @@ def flag_calculated_tables(tables: DataFrame, partitions: DataFrame) -> DataFram
 
 def extract_tables(files: DataFrame) -> DataFrame:
     """One row per table file: name from the file, hidden flag from the table's own lines."""
-    first = F.element_at(
-        F.filter(D.split_blocks(F.col("content")), lambda b: D.block_kind(b) == "table"), F.lit(1)
-    )
+    first = F.get(F.filter(D.split_blocks(F.col("content")), lambda b: D.block_kind(b) == "table"), 0)
     table_name = F.regexp_extract("rel_path", _TABLE_FILE, 1)
     return files.where(F.col("rel_path").rlike(_TABLE_FILE)).select(
         F.col("item_id").alias("semantic_model_id"),

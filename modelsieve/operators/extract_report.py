@@ -126,8 +126,8 @@ def extract_pages(files: DataFrame) -> DataFrame:
         _json("content", "$.name").alias("name"),
         _json("content", "$.displayName").alias("display_name"),
         _json("content", "$.displayOption").alias("display_option"),
-        _json("content", "$.height").cast("double").cast("int").alias("height"),
-        _json("content", "$.width").cast("double").cast("int").alias("width"),
+        _json("content", "$.height").try_cast("double").try_cast("int").alias("height"),
+        _json("content", "$.width").try_cast("double").try_cast("int").alias("width"),
         (F.coalesce(_json("content", "$.visibility"), F.lit("0")) != "1").alias("is_visible"),
         "position",
         _json("content", "$.filterConfig.filters").alias("filters"),
@@ -147,7 +147,7 @@ def flatten_legacy_sections(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     # The section takes the part that a page folder has in the other layout.
     folder = F.concat_ws(" ", "rel_path", F.lit("section"), F.col("position").cast("string"))
     page_name = F.coalesce("s.name", F.concat(F.lit("Page "), (F.col("position") + 1).cast("string")))
-    visibility = F.coalesce("s.visibility", _json("s.config", "$.visibility").cast("int"), F.lit(0))
+    visibility = F.coalesce("s.visibility", _json("s.config", "$.visibility").try_cast("int"), F.lit(0))
     pages = sections.select(
         "report_id",
         "rel_path",
@@ -155,8 +155,8 @@ def flatten_legacy_sections(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         page_name.alias("name"),
         F.coalesce("s.displayName", page_name).alias("display_name"),
         F.lit(None).cast("string").alias("display_option"),
-        F.col("s.height").cast("int").alias("height"),
-        F.col("s.width").cast("int").alias("width"),
+        F.col("s.height").try_cast("int").alias("height"),
+        F.col("s.width").try_cast("int").alias("width"),
         (visibility != 1).alias("is_visible"),
         "position",
         F.col("s.filters").alias("filters"),
@@ -241,7 +241,7 @@ def extract_visuals(visuals: DataFrame, pages: DataFrame) -> DataFrame:
 
     def position(name: str, default: float) -> F.Column:
         return F.coalesce(
-            F.col(f"container_position.{name}"), _json("doc", f"$.position.{name}").cast("double"), F.lit(default)
+            F.col(f"container_position.{name}"), _json("doc", f"$.position.{name}").try_cast("double"), F.lit(default)
         )
 
     texts = F.from_json(_json("doc", "$.visual.objects.text"), _TEXT_OBJECTS)

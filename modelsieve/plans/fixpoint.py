@@ -19,6 +19,9 @@ from pyspark.sql import types as T
 ROUND = "round"
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables, taken from the session.
 
@@ -30,9 +33,10 @@ def scratch_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="modelsieve-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="modelsieve-")
+    return _LOCAL_DIRS[app]
 
 
 def _fresh(spark: SparkSession, label: str) -> str:

@@ -39,7 +39,7 @@ def scan_definitions(spark: SparkSession, path: str) -> DataFrame:
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{tmdl,json,pbir,pbism}")
         .load(path)
-        .select("path", F.decode("content", "UTF-8").alias("content"))
+        .select("path", F.col("content").cast("string").alias("content"))
     )
     return classify_files(raw)
 
@@ -48,7 +48,8 @@ def decode_definition_parts(items: DataFrame) -> DataFrame:
     """File rows of item-definition payloads.
 
     ``items`` has a column ``definition`` with ``parts`` (path, payload, payloadType); all
-    other columns are kept. Parts that are not inline base64 are dropped.
+    other columns are kept. Parts that are not inline base64 are dropped; a payload that is not
+    valid base64 gives a null content, so that one damaged part does not stop the job.
     """
     keep = [c for c in items.columns if c != "definition"]
     return (
@@ -57,7 +58,7 @@ def decode_definition_parts(items: DataFrame) -> DataFrame:
         .select(
             *keep,
             F.col("__part.path").alias("rel_path"),
-            F.decode(F.unbase64("__part.payload"), "UTF-8").alias("content"),
+            F.try_to_binary("__part.payload", F.lit("base64")).cast("string").alias("content"),
         )
     )
 

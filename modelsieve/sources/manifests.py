@@ -53,8 +53,8 @@ def parse_subset_specs(documents: DataFrame, text: str = "content") -> DataFrame
         *keep,
         value("$.name").alias("name"),
         value("$.base_model").alias("base_model"),
-        F.coalesce(value("$.recursive").cast("boolean"), F.lit(True)).alias("recursive"),
-        F.coalesce(value("$.max_depth").cast("int"), F.lit(10)).alias("max_depth"),
+        F.coalesce(value("$.recursive").try_cast("boolean"), F.lit(True)).alias("recursive"),
+        F.coalesce(value("$.max_depth").try_cast("int"), F.lit(10)).alias("max_depth"),
         seeds.alias("seeds"),
         F.from_json(F.coalesce(value("$.table_elements"), F.lit("{}")), f"MAP<STRING, {_SPEC}>").alias(
             "table_elements"
