@@ -70,8 +70,8 @@ def drop_keyword_prefix(table: Column) -> Column:
 
 
 def without_references(cleaned: Column) -> Column:
-    """Expression with string literals and every bracketed reference blanked out."""
-    qualified = rf"(?U){_STRING}|'(?:[^']|'')++'\s*+{_BRACKET}|{_WORDS}\s*+{_BRACKET}|{_BRACKET}"
+    """Expression with string literals, quoted names and bracketed references blanked out."""
+    qualified = rf"(?U){_STRING}|'(?:[^']|'')++'(?:\s*+{_BRACKET})?|{_WORDS}\s*+{_BRACKET}|{_BRACKET}"
     return F.regexp_replace(cleaned, qualified, " ")
 
 
@@ -97,6 +97,18 @@ def pieces(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0))
 
 
+def piece_class(piece: Column) -> Column:
+    """``s`` for white space, ``d`` for a word that starts with a digit, ``w`` word, ``m`` mark."""
+    blank = F.trim(F.translate(piece, "\t\n\r", "   ")) == ""
+    return (
+        F.when(blank, "s")
+        .when((piece >= "0") & (piece < ":"), "d")
+        .when(F.regexp_like(piece, F.lit(r"(?U)^\w")), "w")
+        .when(F.regexp_like(piece, F.lit(r"(?U)^\s")), "s")
+        .otherwise("m")
+    )
+
+
 def light_references(c: Column) -> Column:
     """Array of ``{table, column}`` for plain ``Name[Name]`` references (ASCII names only)."""
     pattern = r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_ ]*+\s*+(?:\[\s*[A-Za-z_][A-Za-z0-9_ ]*\s*\])?"

@@ -127,40 +127,42 @@ def variables_used(measures: DataFrame) -> DataFrame:
 
 
 def _name_candidates() -> Column:
-    """Runs of ``__pieces`` that may be a table name: ``{start, length, key}`` per run."""
+    """Runs of ``__pieces`` that may be a table name: ``{start, length, key}`` per run.
+
+    ``__pieces`` holds ``{text, cls}``; ``__shapes`` holds the (class of the first piece,
+    number of pieces) that names of the model have. Marks and numbers, which fill most of a
+    formula, are candidates only in models with names that start so.
+    """
     pieces, variables = F.col("__pieces"), F.col("__variables")
     size = F.size(pieces)
 
-    def piece(i: Column) -> Column:
-        return F.coalesce(F.get(pieces, i - 1), F.lit(" "))
-
-    def blank(text: Column) -> Column:
-        return F.trim(F.translate(text, "\t\n\r", "   ")) == ""
+    def text(i: Column) -> Column:
+        return F.coalesce(F.get(pieces, i - 1)["text"], F.lit(""))
 
-    def word(text: Column) -> Column:
-        return F.regexp_like(text, F.lit(r"(?U)^\w"))
+    def cls(i: Column) -> Column:
+        return F.coalesce(F.get(pieces, i - 1)["cls"], F.lit("s"))
 
     def may_start(i: Column) -> Column:
-        first, before = piece(i), piece(i - 1)
-        # Plain comparisons first: the pattern runs only for what they leave.
-        return ~blank(first) & ~before.isin("'", ".") & (word(first) | ~word(before))
+        joins_word = (cls(i) == "m") & cls(i - 1).isin("w", "d")
+        return (cls(i) != "s") & ~text(i - 1).isin("'", ".") & ~joins_word
+
+    def run_text(i: Column, n: Column) -> Column:
+        return F.array_join(F.transform(F.slice(pieces, i, n), lambda p: p["text"]), "")
 
     starts = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), may_start)
     runs = F.flatten(
         F.transform(
             starts,
             lambda i: F.transform(
-                F.filter("__lengths", lambda n: i + n - 1 <= size),
-                lambda n: F.struct(
-                    i.alias("start"), n.alias("length"), F.array_join(F.slice(pieces, i, n), "").alias("key")
-                ),
+                F.filter("__shapes", lambda s: (s["cls"] == cls(i)) & (i + s["n"] - 1 <= size)),
+                lambda s: F.struct(i.alias("start"), s["n"].alias("length"), run_text(i, s["n"]).alias("key")),
             ),
         )
     )
 
     def is_call(run: Column) -> Column:
         after = run["start"] + run["length"]
-        return F.when(blank(piece(after)), piece(after + 1)).otherwise(piece(after)) == "("
+        return F.when(cls(after) == "s", text(after + 1)).otherwise(text(after)) == "("
 
     return F.filter(runs, lambda run: ~is_call(run) & ~F.array_contains(variables, run["key"]))
 
@@ -181,9 +183,13 @@ def bare_table_refs(
     quotes count only with ``include_quoted``.
     """
     named = tables.where(F.col("table_name") != "").select(MODEL, "table_name").distinct()
-    named = named.withColumn("__length", F.size(X.pieces(F.col("table_name"))))
-    # Bounded per model: one entry per distinct name length, not per table.
-    lengths = named.groupBy(MODEL).agg(F.sort_array(F.collect_set("__length")).alias("__lengths"))
+    name_pieces = X.pieces(F.col("table_name"))
+    # Bounded per model: one entry per shape that some name has, not per table.
+    shapes = (
+        named.select(MODEL, X.piece_class(F.get(name_pieces, 0)).alias("cls"), F.size(name_pieces).alias("n"))
+        .groupBy(MODEL)
+        .agg(F.sort_array(F.collect_set(F.struct("cls", "n"))).alias("__shapes"))
+    )
 
     cleaned = with_clean_text(df, text)
     if include_quoted:
@@ -192,8 +198,11 @@ def bare_table_refs(
     words = cleaned.select(
         *keep,
         F.transform(X.declared_variables(F.col(_TEXT)), F.lower).alias("__variables"),
-        X.pieces(F.lower(X.without_references(F.col(_TEXT)))).alias("__pieces"),
-    ).join(lengths, MODEL)
+        F.transform(
+            X.pieces(F.lower(X.without_references(F.col(_TEXT)))),
+            lambda p: F.struct(p.alias("text"), X.piece_class(p).alias("cls")),
+        ).alias("__pieces"),
+    ).join(shapes, MODEL)
     # Candidates are built inside the row, so the pieces of a long text are not copied to
     # every start position.
     candidates = words.select(*keep, F.explode(_name_candidates()).alias("__c")).select(
