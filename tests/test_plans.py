@@ -24,13 +24,13 @@ def test_scratch_folder_comes_from_the_session(tmp_path):
 
 
 def test_grow_stops_after_the_rounds_and_on_cycles(spark, rows):
-    steps = spark.createDataFrame([(i, (i + 1) % 30) for i in range(30)], "a INT, b INT")
+    steps = spark.createDataFrame([(i, (i + 1) % 12) for i in range(12)], "a INT, b INT")
     seed = spark.createDataFrame([(0,)], "a INT")
 
     def step(frontier):
         return frontier.join(steps, "a").select(F.col("b").alias("a"))
 
-    assert grow(seed, step).count() == 30
+    assert grow(seed, step).count() == 12
     limited = grow(seed, step, max_rounds=4)
     assert rows(limited, "a", "round") == [(i, i) for i in range(5)]
     assert grow(seed, step, max_rounds=0).count() == 1

@@ -121,7 +121,7 @@ def plain_minimal(p):
     }
 
 
-@pytest.mark.parametrize("seed", [11, 12, 13])
+@pytest.mark.parametrize("seed", [11, 12])
 def test_minimal_model_and_unused_objects(spark, rows, seed):
     cat, plain = build(spark, seed)
     expected = plain_minimal(plain)
