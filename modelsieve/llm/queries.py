@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from modelsieve.llm import decontaminate, exact_dedup
+from modelsieve.llm import decontaminate, exact_dedup, order_minhash, packing, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,11 +20,28 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_count.token_counts(table(spark, sf_dir, "documents"), path)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.packed_documents(table(spark, sf_dir, "documents"), path)
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_minhash_dedup": op4_minhash_dedup,
+    "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
+    "op10_packing": op10_packing,
 }
