@@ -10,6 +10,23 @@ ORACLES: dict[str, str] = {
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept,
                sha256(t.body) AS text_sha256
         FROM t JOIN g ON t.body = g.body""",
+    "op7_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+            FROM documents
+        ), b AS (
+            SELECT trim(line) AS line, min({'doc_id': doc_id, 'pos': pos}) AS first FROM l WHERE trim(line) <> ''
+            GROUP BY trim(line) HAVING count(DISTINCT coalesce(source, '')) >= 10
+        ), m AS (
+            SELECT l.doc_id, l.pos, l.line, b.line IS NOT NULL AND {'doc_id': l.doc_id, 'pos': l.pos} <> b.first AS gone
+            FROM l LEFT JOIN b ON trim(l.line) = b.line
+        ), d AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+                   coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS rest
+            FROM m GROUP BY doc_id
+        )
+        SELECT doc_id, n_lines, n_removed, length(rest) AS n_chars, sha256(rest) AS text_sha256 FROM d""",
     # Every window of the size of an item, compared with that item through their shingle texts.
     "op9_decontaminate": r"""
         WITH dw AS (
