@@ -2,7 +2,62 @@
 
 from __future__ import annotations
 
+
+
+def _merkle_sql() -> str:
+    """Every node of both trees, compared without descending; levels as the longest file needs."""
+    ctes = [
+        r"""r AS (
+            SELECT page_id, 'segment-' || floor(page_id / 500)::BIGINT AS file, 'WARC/1.1' || e || 'WARC-Type: resource' || e
+                   || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e
+                   || 'Content-Type: text/html' || e || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e
+                   || coalesce(html, '') || e || e AS record
+            FROM pages, (SELECT chr(13) || chr(10) AS e)
+        )""",
+        """o AS (
+            SELECT page_id, file, record, coalesce(sum(strlen(record)) OVER (
+                PARTITION BY file ORDER BY page_id, record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+            FROM r
+        )""",
+        "a AS (SELECT file, pos, sha256(record) AS digest FROM o)",
+        """b AS (
+            SELECT file, pos + CASE WHEN page_id % 211 = 13 THEN 7 ELSE 0 END AS pos,
+                   sha256(CASE WHEN page_id % 211 = 7 THEN 'w' || substr(record, 2) ELSE record END) AS digest
+            FROM o WHERE page_id % 211 <> 11
+        )""",
+        "longest AS (SELECT max(pos) AS pos FROM (SELECT pos FROM a UNION ALL SELECT pos FROM b))",
+    ]
+    parts = [
+        """SELECT file, -1 AS level, pos AS first_offset, NULL::BIGINT AS end_offset, a.digest AS a_digest, b.digest AS b_digest
+           FROM a FULL JOIN b USING (file, pos)"""
+    ]
+    for level in range(6):
+        span = 65536 * 16**level
+        for side in "ab":
+            below = side if level == 0 else f"{side}{level - 1}"
+            step = 65536 if level == 0 else 16
+            ctes.append(
+                f"""{side}{level} AS (
+                    SELECT file, pos // {step} AS pos, sha256(string_agg(pos || ':' || digest, ',' ORDER BY pos, digest)) AS digest
+                    FROM {below} GROUP BY file, pos // {step}
+                )"""
+            )
+        # A level is part of the trees if the one below does not cover the longest file.
+        needed = "TRUE" if level == 0 else f"(SELECT pos FROM longest) >= {span // 16}"
+        parts.append(
+            f"""SELECT file, {level}, pos * {span}, (pos + 1) * {span}, a{level}.digest, b{level}.digest
+                FROM a{level} FULL JOIN b{level} USING (file, pos) WHERE {needed}"""
+        )
+    union = " UNION ALL ".join(parts)
+    return f"""WITH {", ".join(ctes)}
+        SELECT file, level, first_offset, end_offset,
+               CASE WHEN a_digest IS NULL THEN 'extra' WHEN b_digest IS NULL THEN 'missing' ELSE 'differs' END AS status,
+               a_digest, b_digest
+        FROM ({union}) WHERE a_digest IS DISTINCT FROM b_digest"""
+
+
 ORACLES: dict[str, str] = {
+    "op6_warc_fixity": _merkle_sql(),
     "op1_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents

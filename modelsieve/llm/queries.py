@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from modelsieve.llm import decontaminate, exact_dedup, language_id, line_dedup, order_minhash, packing, secret_scan, token_count
+from modelsieve.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, order_minhash, packing, secret_scan, token_count, warc_fixity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licences(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -33,6 +37,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica with known damage."""
+    records = warc_fixity.page_records(table(spark, sf_dir, "pages"))
+    return warc_fixity.audit(records, warc_fixity.damaged_replica(records))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -53,9 +63,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_language_id": op3_language_id,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op6_warc_fixity": op6_warc_fixity,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
