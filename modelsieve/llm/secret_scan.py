@@ -244,7 +244,7 @@ class Scan:
     def _open(self, raw: bytes, run: Layer) -> None:
         """Decompress, again and again, and add the text as a layer that stands for the whole run."""
         first, last = int(run.starts.min()), int(run.ends.max())
-        place = f"{first}:{last}:".encode()
+        place = f"raw {first}:{last}:".encode()
         try:
             while (out := inflated(raw)) is not None and self._new(place + out):
                 raw = out
