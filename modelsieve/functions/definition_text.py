@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-KINDS = ("table", "column", "measure", "partition", "hierarchy", "relationship")
+#: Kinds of blocks at the margin of a file and one step further in.
+TOP_KINDS = ("table", "relationship")
+MEMBER_KINDS = ("column", "measure", "partition", "hierarchy")
+KINDS = TOP_KINDS + MEMBER_KINDS
 
 _FENCE_NEWLINE = "\u0001"
-_HEADER = "(?:" + "|".join(KINDS) + r")[ \t]"
 _NAME = r"(?:'((?:[^']|'')+)'|\"([^\"]+)\"|([^'\"=\s]+))"
 
 # Property lines that are not part of a measure expression.
@@ -32,8 +34,17 @@ def protect_fences(content: Column) -> Column:
 
 
 def split_blocks(content: Column) -> Column:
-    """Text pieces that each start at a block header (the first one may be a preamble)."""
-    return F.split(protect_fences(content), rf"\n(?=[ \t]*{_HEADER})")
+    """Text pieces that each start at a block header (the first one may be a preamble).
+
+    A header opens a block only at the depth of its kind: at the margin, or as far in as the first
+    indented line of the file. Such words further in belong to the text of the block around them.
+    """
+    text = protect_fences(content)
+    step = F.regexp_extract(text, r"(?:^|\n)([ \t]+)[^\s]", 1)
+    headers = F.concat(
+        F.lit(rf"\n(?=(?:{'|'.join(TOP_KINDS)})[ \t]|"), step, F.lit(rf"(?:{'|'.join(MEMBER_KINDS)})[ \t])")
+    )
+    return F.split(text, headers)
 
 
 def block_kind(block: Column) -> Column:
@@ -161,7 +172,7 @@ def partition_source(block: Column) -> Column:
     """Source text of a partition block, one trimmed line per source line."""
     source = F.regexp_extract(block_body(block), r"(?s)(?:^|\n)[ \t]*source[ \t]*=[ \t]*(.*)$", 1)
     lines = F.transform(_lines(source), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
-    lines = F.filter(lines, lambda s: (s != "") & ~F.regexp_like(s, F.lit(r"^mode:\s*\w+")))
+    lines = F.filter(lines, lambda s: (s != "") & ~s.startswith("mode:"))
     text = F.array_join(F.transform(lines, _restore_fence), "\n")
     return F.nullif(text, F.lit(""))
 
@@ -170,14 +181,25 @@ def _restore_fence(line: Column) -> Column:
     return F.when(F.instr(line, "```") > 0, _unfence(line)).otherwise(line)
 
 
-_ENDPOINT = r"^('(?:[^']|'')+'|[^.]+)\.('(?:[^']|'')+'|[^.]+)$"
-
-
 def endpoint_part(value: Column, part: int) -> Column:
-    """Table (1) or column (2) of ``Table.Column``, quotes removed; null when unparsable."""
-    raw = F.nullif(F.regexp_extract(F.trim(value), _ENDPOINT, part), F.lit(""))
+    """Table (1) or column (2) of ``Table.Column``; null unless there are exactly two parts.
+
+    A part is a run without dots, or lies in quotes, where a doubled quote stands for one.
+    """
+    text = F.trim(value)
+    parts = F.regexp_extract_all(text, F.lit(r"(?:'(?:[^']|'')*+'|[^'.])++"), F.lit(0))
+    readable = (F.size(parts) == 2) & (F.array_join(parts, ".") == text)
+    raw = F.when(readable, F.get(parts, part - 1))
+    quoted = raw.startswith("'") & raw.endswith("'") & (F.length(raw) > 2)
     inner = F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit("''"), F.lit("'"))
-    return F.when(raw.startswith("'") & raw.endswith("'") & (F.length(raw) >= 2), inner).otherwise(raw)
+    return F.when(quoted, inner).otherwise(raw)
+
+
+def header_value(block: Column) -> Column:
+    """Word behind the last ``=`` of a header, null without one."""
+    header = block_header(block)
+    value = F.trim(F.substring_index(header, "=", -1))
+    return F.when(header.contains("=") & F.regexp_like(value, F.lit(r"^\w+$")), value)
 
 
 def nullable_measure_name(block: Column) -> Column:

@@ -77,8 +77,11 @@ def without_references(cleaned: Column) -> Column:
 
 def called_names(cleaned: Column) -> Column:
     """Upper-case names that are followed by an opening parenthesis."""
-    names = F.regexp_extract_all(cleaned, F.lit(r"(?U)(?<!\w)([A-Za-z_][\w.]*+)\s*+\("), F.lit(1))
-    return F.array_distinct(F.transform(names, F.upper))
+    before = F.split(cleaned, r"\(")
+    # What stands before each parenthesis; the last piece is behind all of them.
+    before = F.slice(before, 1, F.size(before) - 1)
+    names = F.transform(before, lambda s: F.ltrim(F.regexp_extract(s, r"(?U)([\w.]++)\s*+$", 1), F.lit(".")))
+    return F.array_distinct(F.transform(F.filter(names, lambda n: F.regexp_like(n, F.lit("^[A-Za-z_]"))), F.upper))
 
 
 def declared_variables(cleaned: Column) -> Column:

@@ -18,6 +18,7 @@ _TABLE_FILE = r"^definition/tables/([^/]+)\.tmdl$"
 _RELATIONSHIP_FILE = r"^definition/relationships\.tmdl$"
 _MODEL_FILE = r"^definition/model\.tmdl$"
 
+LINKS_ANNOTATION = "__PBI_SemanticLinks"
 SEMANTIC_LINKS = "ARRAY<STRUCT<LinkType: STRING, LinkTarget: STRUCT<TableName: STRING, TableItemName: STRING, ObjectType: INT>>>"
 
 
@@ -62,15 +63,10 @@ def _of_kind(blocks: DataFrame, kind: str) -> DataFrame:
     return blocks.where((F.col("kind") == kind) & F.col("table_name").isNotNull())
 
 
-def _own_text() -> Column:
-    """Property lines of a block; nested blocks have been split off by their headers."""
-    return F.col("body")
-
-
 def extract_columns(blocks: DataFrame) -> DataFrame:
     """Column rows, with ``source_column`` and the raw ``semantic_links`` annotation."""
-    text = _own_text()
-    links = F.regexp_extract(text, r"annotation\s+__PBI_SemanticLinks\s*=\s*(\[.+\])", 1)
+    text = F.col("body")
+    links = F.try_element_at(D.annotations(text), F.lit(LINKS_ANNOTATION))
     return _of_kind(blocks, "column").select(
         "semantic_model_id",
         "table_name",
@@ -81,13 +77,13 @@ def extract_columns(blocks: DataFrame) -> DataFrame:
         D.property_text(text, "summarizeBy").alias("summarize_by"),
         D.property_text(text, "sortByColumn").alias("sort_by_column"),
         D.property_flag(text, "isHidden").alias("is_hidden"),
-        F.nullif(links, F.lit("")).alias("semantic_links"),
+        F.when(links.startswith("["), links).alias("semantic_links"),
     )
 
 
 def extract_measures(blocks: DataFrame) -> DataFrame:
     """Measure rows with their expression text."""
-    text = _own_text()
+    text = F.col("body")
     return conform(
         _of_kind(blocks, "measure").select(
             "semantic_model_id",
@@ -103,15 +99,12 @@ def extract_measures(blocks: DataFrame) -> DataFrame:
 
 def extract_partitions(blocks: DataFrame) -> DataFrame:
     """Partition rows; ``block_no`` keeps the order within the table."""
-    header = D.block_header(F.col("block"))
-    source_type = F.regexp_extract(header, r"^\s*partition\s+(?:'[^']+'|[^\s=]+)\s*=\s*(\w+)", 1)
-    mode = F.regexp_extract("body", r"(?m)^\s*mode:\s*(\w+)", 1)
     return _of_kind(blocks, "partition").select(
         "semantic_model_id",
         "table_name",
         F.col("block_name").alias("partition_name"),
-        F.nullif(source_type, F.lit("")).alias("source_type"),
-        F.nullif(mode, F.lit("")).alias("mode"),
+        D.header_value(F.col("block")).alias("source_type"),
+        D.property_text(F.col("body"), "mode").alias("mode"),
         D.partition_source(F.col("block")).alias("source_expression"),
         "block_no",
     )

@@ -6,21 +6,22 @@ their JSON text. Everything after that is shared.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelsieve.functions import report_json as J
+from modelsieve.functions.names import MODEL_SUFFIX
 from modelsieve.operators.usage import column_usage, measure_usage
+from modelsieve.plans.fixpoint import materialize
 from modelsieve.schemas import conform
 
 _KEYS = ("report_id", "folder")
 _VISUAL_FILE = r"^definition/pages/([^/]+)/visuals/[^/]+/visual\.json$"
 _PAGE_FILE = r"^definition/pages/([^/]+)/page\.json$"
 
-FILTER = (
-    "STRUCT<name: STRING, field: " + J.FIELD + ", expression: " + J.FIELD + ", "
-    "filter: STRUCT<`From`: " + J.ALIASES + ", `Where`: ARRAY<STRUCT<Condition: MAP<STRING, STRING>>>>>"
-)
 _CONTAINER = (
     "STRUCT<config: STRING, filters: STRING, x: DOUBLE, y: DOUBLE, width: DOUBLE, height: DOUBLE>"
 )
@@ -60,6 +61,15 @@ def report_format(content: F.Column) -> F.Column:
     return F.when(F.array_contains(keys, "$schema"), "pbir").otherwise("legacy")
 
 
+def _setting(connection: F.Column, name: str) -> F.Column:
+    """Value of a ``name=value`` entry of a connection string, without quotes."""
+    entries = F.filter(
+        F.split(connection, ";"), lambda e: F.lower(F.trim(F.substring_index(e, "=", 1))) == name
+    )
+    value = F.trim(F.substring(F.get(entries, 0), F.instr(F.get(entries, 0), "=") + 1, F.length(connection)))
+    return F.translate(value, '"', "")
+
+
 def extract_report_header(files: DataFrame) -> DataFrame:
     """Report rows: format, model name and model id from the reference, active page."""
     fmt = report_format(F.col("content"))
@@ -79,16 +89,15 @@ def extract_report_header(files: DataFrame) -> DataFrame:
         ).alias("filters"),
     )
     connection = _json("content", "$.datasetReference.byConnection.connectionString")
-    by_connection = F.regexp_extract(
-        connection, r'Data Source="?powerbi://api\.powerbi\.com/v1\.0/myorg/(.*?)[";]', 1
-    )
-    by_path = F.regexp_extract(_json("content", "$.datasetReference.byPath.path"), r"\.\./(.*?)\.SemanticModel", 1)
+    # Where a source lies: protocol, host, version and tenant come before the name.
+    source = F.split(_setting(connection, "data source"), "/")
+    by_connection = F.array_join(F.slice(source, 6, F.greatest(F.size(source), F.lit(1))), "/")
+    folder = F.element_at(F.split(_json("content", "$.datasetReference.byPath.path"), "/"), -1)
+    by_path = F.when(folder.endswith(MODEL_SUFFIX), F.substring(folder, F.lit(1), F.length(folder) - len(MODEL_SUFFIX)))
     refs = files.where(F.col("rel_path") == "definition.pbir").select(
         _report_id(),
         F.nullif(F.when(connection.isNotNull(), by_connection).otherwise(by_path), F.lit("")).alias("model_name"),
-        F.nullif(F.regexp_extract(connection, r"semanticmodelid=([a-f0-9\-]+)", 1), F.lit("")).alias(
-            "semantic_model_reference"
-        ),
+        F.nullif(_setting(connection, "semanticmodelid"), F.lit("")).alias("semantic_model_reference"),
     )
     order = files.where(F.col("rel_path") == "definition/pages/pages.json").select(
         _report_id(), _json("content", "$.activePageName").alias("__active")
@@ -261,12 +270,7 @@ def extract_visuals(visuals: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 _FROM = f"STRUCT<`From`: {J.ALIASES}>"
-_VISUAL = (
-    "STRUCT<visual: STRUCT<query: STRUCT<"
-    f"queryState: MAP<STRING, STRUCT<projections: ARRAY<STRUCT<field: {J.FIELD}, queryRef: STRING>>>>, "
-    f"sortDefinition: STRUCT<sort: ARRAY<STRUCT<field: {J.FIELD}>>>>, objects: STRING>, "
-    f"prototypeQuery: {_FROM}, singleVisual: STRUCT<prototypeQuery: {_FROM}>>"
-)
+_QUERY = f"STRUCT<prototypeQuery: {_FROM}, singleVisual: STRUCT<prototypeQuery: {_FROM}>>"
 
 
 def query_aliases(parsed: F.Column) -> F.Column:
@@ -276,167 +280,100 @@ def query_aliases(parsed: F.Column) -> F.Column:
 
 def visual_aliases(visuals: DataFrame, pages: DataFrame) -> DataFrame:
     """Alias → entity rows of the query of each visual."""
-    parsed = visuals.select(*_KEYS, F.col("name").alias("visual_name"), F.from_json("doc", _VISUAL).alias("v"))
+    parsed = visuals.select(*_KEYS, F.col("name").alias("visual_name"), F.from_json("doc", _QUERY).alias("v"))
     found = parsed.select(*_KEYS, "visual_name", F.explode(query_aliases(F.col("v"))).alias("alias", "entity"))
     return with_page_names(found, pages)
 
 
-def _no_refs() -> F.Column:
-    return F.from_json(F.lit("[]"), "ARRAY<STRUCT<kind: STRING, ref: STRING>>")
-
-
-def _field_ref(field: F.Column, query_ref: F.Column, aliases: F.Column) -> F.Column:
-    """Reference of one projected or sorted field; aggregations give none here."""
-    alias = F.substring_index(query_ref, ".", 1)
-    rest = F.substring(query_ref, F.instr(query_ref, "."), F.length(query_ref))
-    from_query = F.when(F.instr(query_ref, ".") > 0, F.concat(J.resolve(alias, aliases), rest)).otherwise(query_ref)
-    use_query = F.coalesce(query_ref, F.lit("")) != ""
-    measure, column = field["Measure"], field["Column"]
-    return F.struct(
-        F.when(measure.isNotNull() & (use_query | column.isNull()), "measure")
-        .when(column.isNotNull(), "column")
-        .alias("kind"),
-        F.when(use_query & (measure.isNotNull() | column.isNotNull()), from_query)
-        .when(column.isNotNull(), J.node_ref(column, aliases))
-        .when(measure.isNotNull(), J.node_ref(measure, aliases))
-        .alias("ref"),
-    )
+_FACTS = (
+    "report_id STRING, folder STRING, visual_name STRING, fact STRING, ref STRING, "
+    "filter_name STRING, table_name STRING, column_name STRING, filter_description STRING"
+)
 
 
-def extract_field_refs(visuals: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row per field reference occurrence: ``report_id, page_name, visual_name, kind, ref``.
+def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for *keys, doc, filters in batch.itertuples(index=False, name=None):
+            filters = J.parsed(filters)
+            for kind, ref in J.document_refs(J.parsed(doc), filters):
+                rows.append((*keys, kind, ref, None, None, None, None))
+            for parts in J.filter_parts(filters):
+                rows.append((*keys, "filter", None, *parts))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _FACTS.split(", ")], dtype=object)
+
 
-    A field counts once for its projection, once per sort entry, once for each place below
-    ``objects`` and once for each place in the whole document. Aliases inside a filter
-    resolve with the filter's own sources, all others with the visual's query.
+def visual_facts(visuals: DataFrame) -> DataFrame:
+    """Field references and filters of visual documents, each document parsed once.
+
+    ``fact`` is ``column`` or ``measure`` (with ``ref``) or ``filter`` (with the filter columns).
     """
-    # Two parses per document: one for the known places, one for the text of each top-level
-    # entry, in which any other place is found by pattern.
-    parsed = visuals.select(
-        *_KEYS,
-        F.col("name").alias("visual_name"),
-        F.from_json("doc", _VISUAL).alias("v"),
-        F.from_json("doc", "MAP<STRING, STRING>").alias("top"),
-        F.from_json("filters", "ARRAY<STRING>").alias("filter_texts"),
-    ).withColumn("aliases", query_aliases(F.col("v")))
-    aliases, shown = F.col("aliases"), F.col("v.visual")
-    roles = F.map_values(shown["query"]["queryState"])
-    projected = F.transform(
-        F.flatten(F.transform(roles, lambda r: F.coalesce(r["projections"], F.array()))),
-        lambda p: _field_ref(p["field"], p["queryRef"], aliases),
-    )
-    sorts = F.transform(
-        shown["query"]["sortDefinition"]["sort"],
-        lambda s: _field_ref(s["field"], F.lit(None).cast("string"), aliases),
-    )
-    in_objects = J.nested_refs(shown["objects"], aliases)
-    rest = F.map_values(F.map_filter(F.col("top"), lambda k, v: (k != "filterConfig") & v.isNotNull()))
-    in_rest = F.flatten(F.transform(rest, lambda v: J.nested_refs(v, aliases)))
-    own = F.transform("filter_texts", lambda f: F.struct(f.alias("text"), _filter_aliases(f).alias("own")))
-    scoped = F.transform(
-        own,
-        lambda s: F.struct(
-            s["text"].alias("text"),
-            F.map_concat(
-                F.map_filter(aliases, lambda k, v: ~F.map_contains_key(s["own"], k)), s["own"]
-            ).alias("aliases"),
-        ),
-    )
-    in_filters = F.flatten(F.transform(scoped, lambda s: J.nested_refs(s["text"], s["aliases"])))
-    refs = F.concat(*[F.coalesce(part, _no_refs()) for part in (projected, sorts, in_objects, in_rest, in_filters)])
-    found = (
-        parsed.select(*_KEYS, "visual_name", F.explode(refs).alias("r"))
-        .select(*_KEYS, "visual_name", "r.kind", "r.ref")
-        .where(F.col("kind").isNotNull() & F.col("ref").isNotNull())
-    )
+    return visuals.select(*_KEYS, F.col("name").alias("visual_name"), "doc", "filters").mapInPandas(_facts, _FACTS)
+
+
+def field_refs(facts: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row per field reference occurrence: ``report_id, page_name, visual_name, kind, ref``."""
+    found = facts.where(F.col("fact") != "filter").select(*_KEYS, "visual_name", F.col("fact").alias("kind"), "ref")
     return with_page_names(found, pages)
 
 
-def _filter_aliases(filter_text: F.Column) -> F.Column:
-    return J.alias_map(F.from_json(F.get_json_object(filter_text, "$.filter.From"), J.ALIASES))
+def extract_field_refs(visuals: DataFrame, pages: DataFrame) -> DataFrame:
+    """Field reference occurrences of visuals; see :func:`report_json.document_refs` for what counts."""
+    return field_refs(visual_facts(visuals), pages)
 
 
 def filter_rows(owners: DataFrame, level: str) -> DataFrame:
-    """Filters of reports, pages or visuals.
+    """Filters of reports or pages.
 
-    ``owners`` has ``filters`` (JSON array text); its other columns stay as keys.
+    ``owners`` has ``report_id``, ``page_name`` and ``filters`` (JSON array text).
     """
-    keys = [c for c in owners.columns if c != "filters"]
-    rows = owners.select(
-        *keys, F.explode(F.from_json("filters", f"ARRAY<{FILTER}>")).alias("f")
-    ).where(F.col("f").isNotNull())
-    field = F.coalesce("f.field", "f.expression")
-    rows = rows.select(
-        *keys,
-        F.coalesce(F.nullif(F.col("f.name"), F.lit("")), F.lit("Unnamed Filter")).alias("filter_name"),
-        F.when(field["Column"].isNotNull(), "column")
-        .when(field["Measure"].isNotNull(), "measure")
-        .when(field["Aggregation"].isNotNull(), "aggregation")
-        .otherwise("field")
-        .alias("field_kind"),
-        F.coalesce(field["Column"], field["Measure"], field["Aggregation"]["Expression"]["Column"]).alias("node"),
-        J.alias_map(F.col("f.filter.From")).alias("aliases"),
-        F.coalesce(F.col("f.filter.Where"), F.array()).alias("conditions"),
-    )
-    source_ref = F.col("node.Expression.SourceRef")
-    blank = F.lit("")
-    table = F.coalesce(
-        F.nullif(source_ref["Entity"], blank),
-        J.resolve(F.nullif(source_ref["Source"], blank), F.col("aliases")),
-        F.lit("UnknownTable"),
-    )
-    unknown = (
-        F.when(F.col("field_kind") == "column", "UnknownColumn")
-        .when(F.col("field_kind") == "measure", "UnknownMeasure")
-        .when(F.col("field_kind") == "aggregation", "UnknownAggregation")
-        .otherwise("UnknownField")
-    )
-    rows = rows.withColumn("table_name", table).withColumn("column_name", F.coalesce("node.Property", unknown))
-    texts = describe_conditions(F.col("conditions"))
-    return (
-        rows.where((F.col("table_name") != "UnknownTable") | (F.col("column_name") != "UnknownField"))
-        .withColumn("level", F.lit(level))
-        .withColumn("filter_description", texts)
-        .select(*keys, "level", "filter_name", "table_name", "column_name", "filter_description")
-    )
 
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["report_id", "page_name", "filter_name", "table_name", "column_name", "filter_description"]
+        for batch in batches:
+            rows = [
+                (report, page, *parts)
+                for report, page, filters in batch.itertuples(index=False, name=None)
+                for parts in J.filter_parts(J.parsed(filters))
+            ]
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
-def describe_conditions(conditions: F.Column) -> F.Column:
-    """Text of all conditions of a filter, joined with ``; ``; null without conditions."""
-    texts = F.transform(
-        conditions,
-        lambda w: J.describe_condition(
-            F.coalesce(w["Condition"], F.create_map().cast("map<string,string>")),
-            F.col("table_name"),
-            F.col("column_name"),
-            F.col("field_kind"),
-        ),
-    )
-    return F.when(F.size(conditions) > 0, F.array_join(texts, "; "))
+    schema = "report_id STRING, page_name STRING, filter_name STRING, table_name STRING, column_name STRING, filter_description STRING"
+    found = owners.where("filters is not null").select("report_id", "page_name", "filters").mapInPandas(parse, schema)
+    return found.withColumn("level", F.lit(level))
 
 
-def extract_filters(reports: DataFrame, pages: DataFrame, visuals: DataFrame) -> DataFrame:
+def all_filters(reports: DataFrame, pages: DataFrame, facts: DataFrame) -> DataFrame:
     """Filters of all three levels in one frame with a ``level`` column."""
-    none = F.lit(None).cast("string")
-    at_report = reports.select("report_id", none.alias("page_name"), none.alias("visual_name"), "filters")
-    at_page = pages.select("report_id", F.col("name").alias("page_name"), none.alias("visual_name"), "filters")
-    at_visual = visuals.select(*_KEYS, F.col("name").alias("visual_name"), "filters")
+    at_report = reports.select("report_id", F.lit(None).cast("string").alias("page_name"), "filters")
+    at_page = pages.select("report_id", F.col("name").alias("page_name"), "filters")
     found = filter_rows(at_report, "report").unionByName(filter_rows(at_page, "page"))
-    in_visuals = with_page_names(filter_rows(at_visual, "visual"), pages)
+    at_visual = facts.where(F.col("fact") == "filter").drop("fact", "ref").withColumn("level", F.lit("visual"))
+    in_visuals = with_page_names(at_visual, pages)
     return conform(found, "report_filter").unionByName(conform(in_visuals, "report_filter"))
 
 
+def extract_filters(reports: DataFrame, pages: DataFrame, visuals: DataFrame) -> DataFrame:
+    """Filters of reports, pages and visuals."""
+    return all_filters(reports, pages, visual_facts(visuals))
+
+
 def extract_report_catalog(files: DataFrame) -> dict[str, DataFrame]:
-    """All report tables of the catalog from definition files."""
-    items = files.where(F.col("item_kind") == "report") if "item_kind" in files.columns else files
-    headers = extract_report_header(items)
-    visuals, pages = report_visuals(items)
-    refs = extract_field_refs(visuals, pages)
+    """All report tables of the catalog from definition files.
+
+    The facts of visuals are written once, as three tables come from them; documents are parsed
+    in that one pass.
+    """
+    found = files.where(F.col("item_kind") == "report") if "item_kind" in files.columns else files
+    headers = extract_report_header(found)
+    visuals, pages = report_visuals(found)
+    facts = materialize(visual_facts(visuals), "visual-facts")
+    refs = field_refs(facts, pages)
     return {
         "report": conform(headers, "report"),
         "report_page": conform(pages, "report_page"),
         "report_visual": extract_visuals(visuals, pages),
         "report_column_used": column_usage(refs),
         "report_measure_used": measure_usage(refs),
-        "report_filter": extract_filters(headers, pages, visuals),
+        "report_filter": all_filters(headers, pages, facts),
     }

@@ -197,3 +197,41 @@ def test_a_large_file_stays_linear(spark):
     blocks = XM.attribute_blocks(df)
     assert XM.extract_columns(blocks).where("data_type = 'int64'").count() == 20_000
     assert len(XM.extract_partitions(blocks).first()["source_expression"]) == 200_000 - 1
+
+
+def test_header_words_open_blocks_only_at_their_depth(spark, rows):
+    text = (
+        "table T\n\tmeasure M =\n\t\t\tVAR x = 1\n\t\t\tcolumn + x\n\t\t\tmeasure - x\n\t\t\tRETURN x\n\t\tformatString: 0\n\n"
+        "\tcolumn A\n\t\tdataType: int64\n\n"
+        "\tpartition T = m\n\t\tmode: import\n\t\tsource =\n\t\t\t\tlet\n\t\t\t\t  table = src{[Item=\"Sales\"]}[Data],\n"
+        "\t\t\t\t  column = 5\n\t\t\t\tin table\n"
+    )
+    spaced = text.replace("\t", "  ").replace("\n", "\r\n")
+    files = [("w", f"m{i}", "M", "model", "definition/tables/T.tmdl", t) for i, t in enumerate((text, spaced))]
+    blocks = XM.attribute_blocks(spark.createDataFrame(files, FILES_DDL))
+    for i in (0, 1):
+        mine = blocks.where(f"semantic_model_id = 'm{i}'")
+        assert rows(mine, "kind", "block_name") == [("column", "A"), ("measure", "M"), ("partition", "T"), ("table", "T")]
+        assert XM.extract_measures(mine).first()["expression"] == "VAR x = 1\ncolumn + x\nmeasure - x\nRETURN x"
+        source = 'let\ntable = src{[Item="Sales"]}[Data],\ncolumn = 5\nin table'
+        assert XM.extract_partitions(mine).first()["source_expression"] == source
+
+
+@pytest.mark.parametrize(
+    ("value", "parts"),
+    [
+        ("Fact.Key", ("Fact", "Key")),
+        ("'Dim 1'.'The ''Key'''", ("Dim 1", "The 'Key'")),
+        ("'A.B'.C", ("A.B", "C")),
+        ("one", (None, None)),
+        ("a.b.c", (None, None)),
+        ("a..b", (None, None)),
+    ],
+)
+def test_relationship_ends(spark, value, parts):
+    from pyspark.sql import functions as F
+
+    from modelsieve.functions import definition_text as T
+
+    frame = spark.createDataFrame([(value,)], "v STRING")
+    assert tuple(frame.select(T.endpoint_part(F.col("v"), 1), T.endpoint_part(F.col("v"), 2)).first()) == parts

@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from modelsieve.functions import report_json as J
 from modelsieve.operators import extract_report as XR
 from modelsieve.operators.usage import column_usage
 from modelsieve.sources.definitions import FILES_DDL
@@ -201,3 +202,17 @@ def test_filters(cat, rows):
         ("old", "page", "pf", "Sales", "Total", None),
         ("old", "visual", "lf", "Geo", "City", None),
     }
+
+
+@pytest.mark.parametrize("levels", [3, 5, 9, 60])
+def test_field_nodes_at_any_depth(levels):
+    node = {"Property": "P", "Expression": {"SourceRef": {"Entity": "T"}}}
+    inner = {"Column": {"Property": "inner", "Table": "T"}}
+    for _ in range(levels):
+        inner = {"more": [inner]}
+    value = {"Column": {**node, "deep": inner}}
+    for _ in range(levels):
+        value = {"x": value}
+    # What lies inside a node belongs to it.
+    assert list(J.document_refs({"a": value}, None)) == [("column", "T.P")]
+    assert J.parsed("{broken") is None and list(J.document_refs(None, None)) == []
