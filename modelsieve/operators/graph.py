@@ -14,6 +14,21 @@ MODEL = "semantic_model_id"
 DIRECTIONS = ("ManyToOne", "OneToMany", "Both")
 
 
+def reachable_measures(dependencies: DataFrame, measures: DataFrame) -> DataFrame:
+    """``measures`` (model, measure name) and all measures they reach, each once.
+
+    ``dependencies`` may be direct or closed. The work grows with the measures, not with pairs.
+    """
+    hops = dependencies.where(F.col("dependency_type") == "measure").select(
+        MODEL, "measure_name", F.col("referenced_name").alias("__next")
+    )
+    return grow(
+        measures.select(MODEL, "measure_name"),
+        lambda frontier: frontier.join(hops, [MODEL, "measure_name"]).select(MODEL, F.col("__next").alias("measure_name")),
+        label="reachable-measures",
+    ).select(MODEL, "measure_name")
+
+
 def _measure_pairs(direct: DataFrame) -> DataFrame:
     """(measure, reached measure) pairs; home tables travel along, so no join brings them back."""
     blank = F.lit("")
@@ -197,8 +212,8 @@ def close_calculated_tables(tables: DataFrame, calc_deps: DataFrame) -> tuple[Da
     return closed, columns
 
 
-def close_sort_by(columns: DataFrame, model_column: DataFrame, max_rounds: int = 10) -> DataFrame:
-    """Included columns plus the columns they sort by, if the table has them."""
+def close_sort_by(columns: DataFrame, model_column: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """Included columns plus the columns they sort by, if the table has them, along whole chains."""
     exists = model_column.select(MODEL, "table_name", F.col("column_name").alias("sort_by_column"))
     hops = materialize(
         model_column.where(F.coalesce("sort_by_column", F.lit("")) != "")

@@ -38,6 +38,24 @@ def report_links(cat: dict[str, DataFrame], link_by: str = "name") -> DataFrame:
     raise ValueError(f"unknown link rule: {link_by}")
 
 
+def link_keys(cat: dict[str, DataFrame], link_by: str = "name") -> tuple[DataFrame, DataFrame]:
+    """What reports and models have in common: (report_id, link) and (model id, link).
+
+    Rows of reports are reduced by ``link`` before models join, so a name that a thousand reports
+    and a thousand models bear does not give a million pairs.
+    """
+    if link_by == "name":
+        key, model = model_name_of_report(F.col("name")), F.col("name")
+    elif link_by == "reference":
+        key, model = F.col("semantic_model_reference"), F.col(MODEL)
+    else:
+        raise ValueError(f"unknown link rule: {link_by}")
+    return (
+        cat["report"].select("report_id", key.alias("link")),
+        cat["semantic_model"].select(MODEL, model.alias("link")).distinct(),
+    )
+
+
 def reports_for_model(cat: dict[str, DataFrame], model_name: str | None = None) -> DataFrame:
     """Reports of one model, or of all models, by naming convention."""
     models = cat["semantic_model"].select(MODEL, F.col("name").alias("model_name"))

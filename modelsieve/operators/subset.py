@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from modelsieve.operators.graph import (
     expand_tables,
     missing_seeds,
     pair_bins,
+    reachable_measures,
     relationship_key_columns,
     relationships_between,
 )
@@ -55,8 +57,11 @@ def used_objects(cat: Catalog, link_by: str = "name", include_filters: bool = Fa
 
 
 def required_by_measures(dependencies: DataFrame, used_measures: DataFrame) -> dict[str, DataFrame]:
-    """Tables, columns and measures that the used measures need, from the closed dependencies."""
-    names = used_measures.select(MODEL, "measure_name").distinct()
+    """Tables, columns and measures that the used measures need, through any number of steps.
+
+    ``dependencies`` may be direct or closed rows.
+    """
+    names = reachable_measures(dependencies, used_measures.select(MODEL, "measure_name").distinct())
     needed = materialize(
         dependencies.join(names, [MODEL, "measure_name"], "left_semi")
         .select(MODEL, "dependency_type", "referenced_name", "referenced_table")
@@ -84,9 +89,118 @@ def _keep_listed(objects: DataFrame, kept: DataFrame, listed: DataFrame, key: li
     return inside.join(listed, key, "left_semi").unionByName(inside.join(partial, TABLE, "left_anti"))
 
 
+class MinimalModel(Mapping):
+    """``tables``, ``columns``, ``measures`` and ``relationships``, each set up when it is asked for.
+
+    Only what several parts read is written as a table.
+    """
+
+    parts = ("tables", "columns", "measures", "relationships")
+
+    def __init__(self, cat: Catalog, link_by: str, include_filters: bool) -> None:
+        self.cat, self.link_by, self.include_filters = cat, link_by, include_filters
+
+    def __getitem__(self, part: str) -> DataFrame:
+        if part not in self.parts:
+            raise KeyError(part)
+        return getattr(self, part)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.parts)
+
+    def __len__(self) -> int:
+        return len(self.parts)
+
+    @cached_property
+    def _used(self) -> dict[str, DataFrame]:
+        return used_objects(self.cat, self.link_by, self.include_filters)
+
+    @cached_property
+    def _report_tables(self) -> DataFrame:
+        return self._used["columns"].select(*TABLE).unionByName(self._used["measures"].select(*TABLE)).distinct()
+
+    @cached_property
+    def _needed(self) -> dict[str, DataFrame]:
+        return required_by_measures(self.cat["measure_dependencies"], self._used["measures"])
+
+    @cached_property
+    def _closed(self) -> tuple[DataFrame, DataFrame]:
+        needed = self._needed
+        start = self._report_tables.unionByName(needed["tables"]).unionByName(needed["columns"].select(*TABLE))
+        return close_calculated_tables(start.distinct(), self.cat["calculated_table_dependencies"])
+
+    @cached_property
+    def _listed_measures(self) -> DataFrame:
+        model_measure = self.cat["semantic_model_measure"].select(*MEASURE)
+        chained = model_measure.join(self._needed["measures"], [MODEL, "measure_name"], "left_semi")
+        return self._used["measures"].unionByName(chained).distinct()
+
+    @cached_property
+    def _reached(self) -> DataFrame:
+        return materialize(self._closed[0].unionByName(self._listed_measures.select(*TABLE)).distinct(), "tables")
+
+    @cached_property
+    def relationships(self) -> DataFrame:
+        return relationships_between(self.cat["semantic_model_relationship"], self._reached)
+
+    @cached_property
+    def _with_bins(self) -> tuple[DataFrame, DataFrame]:
+        columns = (
+            self._used["columns"]
+            .unionByName(self._needed["columns"])
+            .unionByName(self._closed[1])
+            .unionByName(relationship_key_columns(self.relationships))
+        )
+        sorted_columns = close_sort_by(columns, self.cat["semantic_model_column"])
+        all_columns, all_tables = pair_bins(sorted_columns, self._reached, self.cat["semantic_model_table_bins"])
+        return materialize(all_columns, "columns"), all_tables
+
+    @cached_property
+    def _kept(self) -> DataFrame:
+        return self.cat["semantic_model_table"].select(*TABLE).join(self._with_bins[1], TABLE, "left_semi").distinct()
+
+    @cached_property
+    def tables(self) -> DataFrame:
+        # One row per table and mark, summed up at once.
+        marks = [
+            rows.select(*TABLE, F.lit(mark).alias("__mark"))
+            for mark, rows in (
+                ("kept", self._kept),
+                ("report", self._report_tables),
+                ("columns", self._with_bins[0]),
+                ("measures", self._listed_measures),
+            )
+        ]
+        has = {
+            mark: F.max(F.col("__mark") == mark).alias(f"__{mark}") for mark in ("kept", "report", "columns", "measures")
+        }
+        rows = marks[0].unionByName(marks[1]).unionByName(marks[2]).unionByName(marks[3])
+        return (
+            rows.groupBy(*TABLE)
+            .agg(*has.values())
+            .where("__kept")
+            .select(
+                *TABLE,
+                F.when(F.col("__report"), "report").otherwise("dax-dep").alias("provenance"),
+                (~F.col("__columns")).alias("keeps_all_columns"),
+                (~F.col("__measures")).alias("keeps_all_measures"),
+            )
+        )
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        model_column = self.cat["semantic_model_column"].select(*COLUMN)
+        return _keep_listed(model_column, self._kept, self._with_bins[0], COLUMN).distinct()
+
+    @cached_property
+    def measures(self) -> DataFrame:
+        model_measure = self.cat["semantic_model_measure"].select(*MEASURE)
+        return _keep_listed(model_measure, self._kept, self._listed_measures, MEASURE).distinct()
+
+
 def minimal_model(
     cat: Catalog, model: str | None = None, link_by: str = "name", include_filters: bool = False
-) -> dict[str, DataFrame]:
+) -> MinimalModel:
     """Tables, columns, measures and relationships that the reports of a model need.
 
     All models of the catalog at once, or one model id. A kept table that nothing names a
@@ -98,45 +212,7 @@ def minimal_model(
         cat = {
             name: (df.where(F.col(MODEL) == model) if MODEL in df.columns else df) for name, df in cat.items()
         }
-    used = used_objects(cat, link_by, include_filters)
-    needed = required_by_measures(cat["measure_dependencies"], used["measures"])
-    report_tables = used["columns"].select(*TABLE).unionByName(used["measures"].select(*TABLE)).distinct()
-    start = report_tables.unionByName(needed["tables"]).unionByName(needed["columns"].select(*TABLE)).distinct()
-    closed, calc_columns = close_calculated_tables(start, cat["calculated_table_dependencies"])
-    chained = (
-        cat["semantic_model_measure"].select(*MEASURE).join(needed["measures"], [MODEL, "measure_name"], "left_semi")
-    )
-    measures = materialize(used["measures"].unionByName(chained).distinct(), "measures")
-    tables = materialize(closed.unionByName(measures.select(*TABLE)).distinct(), "tables")
-    relationships = relationships_between(cat["semantic_model_relationship"], tables)
-    columns = (
-        used["columns"]
-        .unionByName(needed["columns"])
-        .unionByName(calc_columns)
-        .unionByName(relationship_key_columns(relationships))
-    )
-    sorted_columns = close_sort_by(columns, cat["semantic_model_column"])
-    all_columns, all_tables = pair_bins(sorted_columns, tables, cat["semantic_model_table_bins"])
-    all_columns = materialize(all_columns, "columns")
-
-    kept = cat["semantic_model_table"].select(*TABLE).join(all_tables, TABLE, "left_semi").distinct()
-    flags = (
-        kept.join(report_tables.withColumn("__report", F.lit(True)), TABLE, "left")
-        .join(all_columns.select(*TABLE).distinct().withColumn("__columns", F.lit(True)), TABLE, "left")
-        .join(measures.select(*TABLE).distinct().withColumn("__measures", F.lit(True)), TABLE, "left")
-        .select(
-            *TABLE,
-            F.when(F.col("__report"), "report").otherwise("dax-dep").alias("provenance"),
-            F.col("__columns").isNull().alias("keeps_all_columns"),
-            F.col("__measures").isNull().alias("keeps_all_measures"),
-        )
-    )
-    return {
-        "tables": flags,
-        "columns": _keep_listed(cat["semantic_model_column"].select(*COLUMN), kept, all_columns, COLUMN).distinct(),
-        "measures": _keep_listed(cat["semantic_model_measure"].select(*MEASURE), kept, measures, MEASURE).distinct(),
-        "relationships": relationships,
-    }
+    return MinimalModel(cat, link_by, include_filters)
 
 
 def subset_from_seeds(
@@ -299,56 +375,108 @@ def report_based_specs(cat: Catalog, link_by: str = "name") -> DataFrame:
 
 
 def merge_pages(target: DataFrame, sources: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Pages of a target report followed by pages of source reports, with unique names.
-
-    Both frames: ``name``, ``source_order``, ``position`` (and ``keys`` that tell targets
-    apart). The first page with a name keeps it; later ones become ``name (2)``, ``name (3)``
-    and so on in arrival order, skipping numbers that some page already bears. Pages without
-    a name are only appended. The result has ``original_name`` and the new ``name``.
+    """Pages of a target report followed by pages of source reports.
+
+    Both frames: ``name``, ``source_order``, ``position`` (and ``keys`` that tell targets apart). The
+    target's pages stay as they are, also if they share a name. Source pages come in the order of
+    ``source_order`` and ``position``; one whose name is present already, in the target or in an
+    earlier source page as it is named then, becomes ``name (k)`` with the smallest k from 2 on
+    that is not present. Pages without a name are only appended. The result has ``original_name``
+    and the new ``name``.
+
+    Names of generated form make the names of sources depend on each other along chains such as
+    ``A``, ``A (2)``, ``A (2) (2)``. Each round settles the names at one depth of such a chain: names whose
+    base (the name without its last number) is no name of a page. The next round sees their
+    results. Within a name all pages are numbered at once, however many there are.
     """
     first = F.lit(-1).cast("bigint")
+    arrival = ["source_order", "position"]
     pages = target.withColumn("source_order", first).unionByName(
         sources.withColumn("source_order", F.col("source_order").cast("bigint")), allowMissingColumns=True
     )
-    named = pages.where(F.coalesce("name", F.lit("")) != "")
-    group = [*keys, "name"]
-    ranked = running_count(named, group, ["source_order", "position"], name="__rank")
+    columns = [*pages.columns, "original_name"]
+    pages = pages.withColumn("original_name", F.col("name"))
+    is_named = F.coalesce("name", F.lit("")) != ""
+    done = pages.where(~is_named | (F.col("source_order") == -1))
+    fixed = done.where(is_named).select(*keys, "name", *arrival)
+    open_pages = materialize(pages.where(is_named & (F.col("source_order") != -1)), "open-pages")
+    return _settle(done, fixed, open_pages, list(keys), arrival).select(*columns)
+
+
+#: A name that ends in a number as this operator gives them.
+_NUMBER = r"(?:[2-9]|[1-9][0-9]+)"
 
-    taken = F.regexp_extract("name", r"(?s)^.* \(([0-9]{1,9})\)$", 1)
+
+def _settle(
+    done: DataFrame, fixed: DataFrame, open_pages: DataFrame, keys: list[str], arrival: list[str]
+) -> DataFrame:
+    """Names of the open pages, depth by depth; ``fixed`` has the names of the target."""
+    group = [*keys, "name"]
+    endings = F.regexp_extract("name", rf"((?: \({_NUMBER}\))*)$", 1)
+    open_pages = open_pages.withColumn("__depth", F.size(F.split(endings, r"\(")) - 1)
+    deepest = open_pages.agg(F.max("__depth")).first()[0]
+    if deepest is None:
+        return done
+    # Names "base (k)" that pages bear from the start, with the first arrival of each.
     numbered = (
-        named.select(*keys, "name", F.nullif(taken, F.lit("")).cast("bigint").alias("__k"))
-        .where(F.col("__k") >= 2)
-        .select(*keys, F.regexp_extract("name", r"(?s)^(.*) \([0-9]{1,9}\)$", 1).alias("name"), "__k", F.col("name").alias("__full"))
-        .where(F.col("__full") == F.concat("name", F.lit(" ("), F.col("__k").cast("string"), F.lit(")")))
-        .select(*keys, "name", "__k")
-        .distinct()
+        fixed.unionByName(open_pages.select(*group, *arrival))
+        .groupBy(*group)
+        .agg(F.min(F.struct(*arrival)).alias("__first"))
+        .withColumn("__k", F.nullif(F.regexp_extract("name", rf" \(({_NUMBER})\)$", 1), F.lit("")).try_cast("bigint"))
+        .where(F.col("__k").isNotNull())
+        .select(*keys, F.regexp_replace("name", rf" \({_NUMBER}\)$", "").alias("name"), "__k", "__first.*")
+    )
+    held = fixed.select(*group).distinct()
+    for depth in range(deepest + 1):
+        here = open_pages.where(F.col("__depth") == depth).drop("__depth")
+        ranked = running_count(here, group, arrival, name="__rank")
+        ranked = ranked.join(held.withColumn("__held", F.lit(True)), group, "left")
+        # The first page keeps its name unless an earlier page has it.
+        ranked = ranked.withColumn("__rank", F.col("__rank") - F.when(F.col("__held"), 0).otherwise(1)).drop("__held")
+        numbers = _numbers(ranked.where("__rank > 0"), numbered, group, arrival)
+        ranked = ranked.join(numbers, [*group, "__rank"], "left")
+        new = F.concat("name", F.lit(" ("), F.col("__number").cast("string"), F.lit(")"))
+        named = materialize(ranked.withColumn("name", F.coalesce(new, F.col("name"))), "named-pages")
+        done = done.unionByName(named.drop("__rank", "__number"))
+        held = held.union(named.where("__number is not null").select(*group))
+    return done
+
+
+def _numbers(renamed: DataFrame, numbered: DataFrame, group: list[str], arrival: list[str]) -> DataFrame:
+    """Number of the r-th renamed page of each name (``__rank``)."""
+    # A number that a page bears is skipped if that page arrives before the renamed page whose turn
+    # it would be. How many renamed pages arrive before it decides that.
+    seen = running_count(
+        renamed.select(*group, *arrival, F.lit(None).cast("bigint").alias("__k")).unionByName(numbered),
+        group,
+        arrival,
+        flag=F.col("__k").isNull(),
+        name="__before",
+    ).where(F.col("__k").isNotNull())
+    skipped = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("__k", "__before"))),
+        F.array().cast("array<bigint>"),
+        lambda taken, n: F.when(
+            n["__k"] - 1 - F.size(taken) > n["__before"], F.array_append(taken, n["__k"])
+        ).otherwise(taken),
     )
-    numbered = running_count(numbered, group, ["__k"], name="__index")
-    # A number is skipped by the r-th renamed page when fewer than r free numbers lie before it.
-    marks = numbered.select(*group, (F.col("__k") - 1 - F.col("__index")).alias("__at"), F.lit(0).alias("__is_page"))
-    renamed = ranked.where(F.col("__rank") > 1)
-    slots = renamed.select(*group, (F.col("__rank") - 1).alias("__at"), F.lit(1).alias("__is_page"))
-    # At equal positions a page comes before a mark: only marks strictly before it count.
+    marks = seen.groupBy(*group).agg(skipped.alias("__skipped")).select(
+        *group, F.posexplode("__skipped").alias("__index", "__k")
+    )
+    marks = marks.select(*group, (F.col("__k") - 2 - F.col("__index")).alias("__at"), F.lit(0).alias("__is_page"))
+    slots = renamed.select(*group, F.col("__rank").alias("__at"), F.lit(1).alias("__is_page"))
+    # At equal places a page comes before a mark: only marks strictly before it count.
     merged = running_count(
         slots.unionByName(marks.select(*slots.columns)).withColumn("__sort", 1 - F.col("__is_page")),
         group,
         ["__at", "__sort"],
         flag=F.col("__is_page") == 0,
-        name="__skipped",
+        name="__marks",
     ).where(F.col("__is_page") == 1)
-    numbers = merged.select(*group, (F.col("__at") + 1).alias("__rank"), (F.col("__at") + 1 + F.col("__skipped")).alias("__number"))
-    result = ranked.join(numbers, [*group, "__rank"], "left").withColumn("original_name", F.col("name")).withColumn(
-        "name",
-        F.when(F.col("__number").isNull(), F.col("name")).otherwise(
-            F.concat("name", F.lit(" ("), F.col("__number").cast("string"), F.lit(")"))
-        ),
-    )
-    unnamed = pages.where(F.coalesce("name", F.lit("")) == "").withColumn("original_name", F.col("name"))
-    columns = [*pages.columns, "original_name"]
-    return result.select(*columns).unionByName(unnamed.select(*columns))
+    return merged.select(*group, F.col("__at").alias("__rank"), (F.col("__at") + 1 + F.col("__marks")).alias("__number"))
 
 
-def subset_summary(minimal: dict[str, DataFrame]) -> DataFrame:
+def subset_summary(minimal: Mapping[str, DataFrame]) -> DataFrame:
     """Per kept table: number of columns and measures and where the table came from."""
     extra = [c for c in minimal["tables"].columns if c not in TABLE]
     counts = []
@@ -363,7 +491,7 @@ def subset_summary(minimal: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def subset_totals(minimal: dict[str, DataFrame]) -> DataFrame:
+def subset_totals(minimal: Mapping[str, DataFrame]) -> DataFrame:
     """Per model: number of kept tables and relationships."""
     rows = minimal["tables"].select(MODEL, F.lit(1).alias("t"), F.lit(0).alias("r")).unionByName(
         minimal["relationships"].select(MODEL, F.lit(0).alias("t"), F.lit(1).alias("r"))
@@ -371,7 +499,7 @@ def subset_totals(minimal: dict[str, DataFrame]) -> DataFrame:
     return rows.groupBy(MODEL).agg(F.sum("t").alias("tables"), F.sum("r").alias("relationships"))
 
 
-def subset_manifest(minimal: dict[str, DataFrame], used_measures: DataFrame, name: str) -> DataFrame:
+def subset_manifest(minimal: Mapping[str, DataFrame], used_measures: DataFrame, name: str) -> DataFrame:
     """Record of a subset, one row per entry, ready for ``write_subset_manifest``.
 
     Sections: ``report_table`` (used by reports), ``dax_extra_table`` (added by dependencies),

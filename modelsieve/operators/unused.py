@@ -1,11 +1,16 @@
-"""Objects of a model that nobody uses. ``cat["measure_dependencies"]`` is the closed table."""
+"""Objects of a model that nobody uses.
+
+``cat["measure_dependencies"]`` may hold the direct rows or the closed ones. What all measures of a
+model reach together is what they name directly, so columns and tables need no closure; measures
+are followed from the used ones only.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelsieve.operators.graph import relationship_key_columns
+from modelsieve.operators.graph import reachable_measures, relationship_key_columns
 from modelsieve.operators.links import MODEL
 from modelsieve.operators.usage import linked_usage, model_kpis
 from modelsieve.plans.fixpoint import materialize
@@ -28,14 +33,7 @@ def used_measures_closed(
         .select(MODEL, F.col("field").alias("measure_name"))
         .distinct()
     )
-    chained = (
-        cat["measure_dependencies"]
-        .where(F.col("dependency_type") == "measure")
-        .select(MODEL, "measure_name", "referenced_name")
-        .join(used, [MODEL, "measure_name"], "left_semi")
-        .select(MODEL, F.col("referenced_name").alias("measure_name"))
-    )
-    return used.unionByName(chained).distinct()
+    return reachable_measures(cat["measure_dependencies"], used)
 
 
 def unused_measures(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from modelsieve.functions.names import field_part, table_part
-from modelsieve.operators.links import MODEL, report_links
+from modelsieve.operators.links import MODEL, link_keys, report_links
 from modelsieve.schemas import conform
 
 _VISUAL = ("report_id", "page_name", "visual_name")
@@ -117,8 +117,11 @@ def reports_per_table(cat: dict[str, DataFrame]) -> DataFrame:
 
 def linked_usage(cat: dict[str, DataFrame], link_by: str = "name") -> DataFrame:
     """Distinct (model, kind, table, field) used by the reports of each model."""
-    per_report = field_usage(cat).select("report_id", "kind", "table_name", "field").distinct()
-    return per_report.join(report_links(cat, link_by), "report_id").select(MODEL, "kind", "table_name", "field").distinct()
+    reports, models = link_keys(cat, link_by)
+    fields = ["kind", "table_name", "field"]
+    per_report = field_usage(cat).select("report_id", *fields).distinct()
+    per_link = per_report.join(reports, "report_id").select("link", *fields).distinct()
+    return per_link.join(models, "link").select(MODEL, *fields).distinct()
 
 
 def model_usage_summary(cat: dict[str, DataFrame], link_by: str = "reference") -> DataFrame:
@@ -147,15 +150,21 @@ def tables_without_usage(cat: dict[str, DataFrame], link_by: str = "reference")
 
 def model_kpis(cat: dict[str, DataFrame], link_by: str = "name") -> DataFrame:
     """Per model: columns, measures, tables, relationships, reports using it and their pages."""
-    links = report_links(cat, link_by)
-    pages = cat["report_page"].groupBy("report_id").agg(F.count(F.lit(1)).alias("n")).join(links, "report_id")
+    reports, models = link_keys(cat, link_by)
+    page_counts = cat["report_page"].groupBy("report_id").agg(F.count(F.lit(1)).alias("n"))
+    reached = (
+        reports.join(page_counts, "report_id", "left")
+        .groupBy("link")
+        .agg(F.count(F.lit(1)).alias("reports"), F.sum(F.coalesce("n", F.lit(0))).alias("pages"))
+        .join(models, "link")
+    )
     parts = {
         "columns": cat["semantic_model_column"].select(MODEL, F.lit(1).alias("n")),
         "measures": cat["semantic_model_measure"].select(MODEL, F.lit(1).alias("n")),
         "tables": cat["semantic_model_table"].select(MODEL, F.lit(1).alias("n")),
         "relationships": cat["semantic_model_relationship"].select(MODEL, F.lit(1).alias("n")),
-        "reports_using_model": links.select(MODEL, F.lit(1).alias("n")),
-        "pages": pages.select(MODEL, "n"),
+        "reports_using_model": reached.select(MODEL, F.col("reports").alias("n")),
+        "pages": reached.select(MODEL, F.col("pages").alias("n")),
     }
     rows = cat["semantic_model"].select(MODEL, F.lit("").alias("kpi"), F.lit(0).cast("bigint").alias("n"))
     for kpi, df in parts.items():

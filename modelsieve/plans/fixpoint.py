@@ -8,35 +8,22 @@ the whole history of the loop.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROUND = "round"
 
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables, taken from the session.
-
-    A cluster names a shared folder in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a folder of its own.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` named."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="modelsieve-")
-    return _LOCAL_DIRS[app]
+    return folder.rstrip("/")
 
 
 def _fresh(spark: SparkSession, label: str) -> str:
@@ -59,12 +46,13 @@ class RoundTable:
         self.path = _fresh(spark, label)
         self.rounds = 0
 
-    def append(self, df: DataFrame) -> DataFrame:
-        """Write the next round and return a scan of it."""
+    def append(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """Write the next round; a scan of it and its number of rows, counted while writing."""
         folder = f"{self.path}/{ROUND}={self.rounds}"
-        df.select(*self.schema.names).write.parquet(folder)
+        seen = Observation()
+        df.select(*self.schema.names).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(folder)
         self.rounds += 1
-        return self.spark.read.schema(self.schema).parquet(folder)
+        return self.spark.read.schema(self.schema).parquet(folder), seen.get.get("n", 0)
 
     def all(self) -> DataFrame:
         """Scan of every round so far, with the round number as a partition column."""
@@ -90,13 +78,10 @@ def grow(
     key = list(key or seed.columns)
     columns = seed.columns
     table = RoundTable(seed.sparkSession, seed.schema, label)
-    frontier = table.append(seed if seed_is_distinct else seed.dropDuplicates(key))
-    while max_rounds is None or table.rounds <= max_rounds:
+    frontier, n = table.append(seed if seed_is_distinct else seed.dropDuplicates(key))
+    while n and (max_rounds is None or table.rounds <= max_rounds):
         candidates = step(frontier).select(*columns)
         candidates = candidates.distinct() if set(key) == set(columns) else candidates.dropDuplicates(key)
-        found = candidates.join(table.all().select(*key), key, "left_anti")
-        frontier = table.append(found)
-        if frontier.isEmpty():
-            break
+        frontier, n = table.append(candidates.join(table.all().select(*key), key, "left_anti"))
     return table.all()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +23,15 @@ def builder(app: str = "modelsieve") -> SparkSession.Builder:
     for key, value in SETTINGS.items():
         b = b.config(key, value)
     return b
+
+
+def ensure_scratch(spark: SparkSession) -> None:
+    """Give a local session without ``spark.checkpoint.dir`` a folder for intermediate tables.
+
+    On a cluster the caller has to name a folder that all executors share.
+    """
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="modelsieve-"))

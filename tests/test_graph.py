@@ -146,7 +146,7 @@ def test_calculated_tables_close_over_tables_and_columns(spark, rows):
     assert rows(columns, "table_name", "column_name") == [("Base", "k")]
 
 
-def test_sort_by_needs_an_existing_column_and_stops_after_the_rounds(spark, rows):
+def test_sort_by_needs_an_existing_column_and_follows_whole_chains(spark, rows):
     model = frame(
         spark,
         [("m", "T", f"c{i}", f"c{i + 1}") for i in range(15)] + [("m", "T", "x", "gone")],
@@ -154,7 +154,15 @@ def test_sort_by_needs_an_existing_column_and_stops_after_the_rounds(spark, rows
     )
     start = frame(spark, [("m", "T", "c0"), ("m", "T", "x")], "semantic_model_id STRING, table_name STRING, column_name STRING")
     found = {c for (c,) in rows(graph.close_sort_by(start, model), "column_name")}
-    assert found == {"x"} | {f"c{i}" for i in range(11)}
+    assert found == {"x"} | {f"c{i}" for i in range(15)}
+    found = {c for (c,) in rows(graph.close_sort_by(start, model, max_rounds=3), "column_name")}
+    assert found == {"x"} | {f"c{i}" for i in range(4)}
+
+
+def test_reachable_measures_end_on_cycles(spark, rows):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("c", "d")]
+    start = frame(spark, [("m", "a")], "semantic_model_id STRING, measure_name STRING")
+    assert rows(graph.reachable_measures(direct_frame(spark, edges), start), "measure_name") == [("a",), ("b",), ("c",), ("d",)]
 
 
 def test_bins_pair_in_both_directions(spark, rows):

@@ -263,38 +263,43 @@ def test_report_based_specs_sort_fields_by_what_the_model_knows(spark, star, row
     ]
 
 
-def plain_merge(names):
-    taken_numbers = {n for n in names if n}
-    seen, result = {}, []
-    for name in names:
-        if not name:
-            result.append(name)
-            continue
-        if name not in seen:
-            seen[name] = 1
-            result.append(name)
-            continue
-        number = seen[name] + 1
-        while f"{name} ({number})" in taken_numbers:
-            number += 1
-        seen[name] = number
-        result.append(f"{name} ({number})")
+def plain_merge(target, sources):
+    """Names of the source pages, one page after the other."""
+    present = {n for n in target if n}
+    result = []
+    for name in sources:
+        if name and name in present:
+            number = 2
+            while f"{name} ({number})" in present:
+                number += 1
+            name = f"{name} ({number})"
+        if name:
+            present.add(name)
+        result.append(name)
     return result
 
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_merge_pages(spark, seed):
     rng = random.Random(seed)
-    pool = ["P", "P", "P", "Q", "P (3)", "P (2)", "Q (2) (2)", "Q (2)", "Q (x)", "P (02)", "", None]
+    pool = ["P", "P", "P", "Q", "P (3)", "P (2)", "Q (2) (2)", "Q (2)", "Q (x)", "P (02)", "P (12345678901234567890123)", "", None]
     arrivals = [(o, i, rng.choice(pool)) for o in range(6) for i in range(12)]
-    expected = plain_merge([n for _, _, n in arrivals])
     ddl = "source_order BIGINT, position BIGINT, name STRING"
     target = spark.createDataFrame(arrivals[:12], ddl)
     found = subset.merge_pages(target, spark.createDataFrame(arrivals[12:], ddl)).collect()
     by_place = {(max(r["source_order"], 0), r["position"]): r["name"] for r in found}
-    assert [by_place[o, i] for o, i, _ in arrivals] == expected
-    named = [n for n in expected if n]
-    assert len(set(named)) == len(named)
+    assert len(found) == len(arrivals)
+    assert [by_place[o, i] for o, i, _ in arrivals[:12]] == [n for _, _, n in arrivals[:12]]
+    expected = plain_merge([n for _, _, n in arrivals[:12]], [n for _, _, n in arrivals[12:]])
+    assert [by_place[o, i] for o, i, _ in arrivals[12:]] == expected
+
+
+def test_merge_pages_keeps_the_pages_of_the_target(spark):
+    ddl = "source_order BIGINT, position BIGINT, name STRING"
+    target = spark.createDataFrame([(0, 0, "A"), (0, 1, "A")], ddl)
+    sources = spark.createDataFrame([(1, 0, "A"), (1, 1, "A (2)")], ddl)
+    found = {(r["source_order"], r["position"]): r["name"] for r in subset.merge_pages(target, sources).collect()}
+    assert found == {(-1, 0): "A", (-1, 1): "A", (1, 0): "A (2)", (1, 1): "A (2) (2)"}
 
 
 def test_merge_pages_with_one_name_on_most_pages(spark):
