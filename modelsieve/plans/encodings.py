@@ -13,7 +13,6 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelsieve.operators.graph import transitive_dependencies
 from modelsieve.operators.refs import calculated_table_dependencies, direct_dependencies
 from modelsieve.plans.fixpoint import materialize
 from modelsieve.schemas import conform
@@ -28,14 +27,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Table whose rows go into costly text work, over all cores.
+    """Table whose rows go into costly text work, dealt out evenly before the texts are built.
 
-    A table of few files gives few scan tasks; its rows are dealt out before the texts are
-    built. A table of many files is left as it is scanned.
+    A table of few files gives few scan tasks, so its short rows are dealt out by their key, the
+    first column.
     """
     df = load(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(df.columns[0])
 
 
 def _sql(df: DataFrame, *columns: str) -> DataFrame:
@@ -329,12 +327,10 @@ def catalog(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
 
 
 def resolved_catalog(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
-    """The catalog with closed measure dependencies and calculated-table dependencies."""
+    """The catalog with direct measure dependencies and calculated-table dependencies."""
     cat = catalog(spark, sf_dir)
     builders: dict[str, Callable[[], DataFrame]] = {name: partial(cat.__getitem__, name) for name in cat}
-    builders["measure_dependencies"] = lambda: materialize(
-        transitive_dependencies(materialize(direct_dependencies(cat), "direct")), "closed"
-    )
+    builders["measure_dependencies"] = lambda: materialize(direct_dependencies(cat), "direct")
     builders["calculated_table_dependencies"] = lambda: materialize(calculated_table_dependencies(cat), "calculated")
     return _Tables(builders)
 
@@ -378,6 +374,7 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         chr(9), chr(9), 'lineageTag: a', p_partkey, chr(10), chr(10),
         chr(9), 'measure n', p_partkey, ' =', chr(10),
         chr(9), chr(9), chr(9), 'VAR x = ', p_size, chr(10),
+        chr(9), chr(9), chr(9), 'column + x', chr(10),
         chr(9), chr(9), chr(9), 'RETURN x + [M ', p_partkey, ']', chr(10),
         chr(9), chr(9), 'isHidden', chr(10), chr(10),
         chr(9), 'column ', p_type, chr(10),
@@ -399,6 +396,7 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         chr(9), chr(9), 'source =', chr(10),
         chr(9), chr(9), chr(9), chr(9), 'let', chr(10),
         chr(9), chr(9), chr(9), chr(9), '    a = ', p_partkey, chr(10),
+        chr(9), chr(9), chr(9), chr(9), '    table = a{[Item="Sales"]}[Data],', chr(10),
         chr(9), chr(9), chr(9), chr(9), 'in a', chr(10), chr(10),
         chr(9), 'annotation Kind = Table', chr(10))"""
     return _sql(
@@ -436,8 +434,13 @@ def supplier_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _node(kind: str, ref: str, prop: str) -> str:
-    return "'\"" + kind + "\":{\"Expression\":{\"SourceRef\":{" + ref + "}},\"Property\":\"'," + prop + ",'\"}'"
+def _node(kind: str, ref: str, prop: str, more: str = "") -> str:
+    return "'\"" + kind + "\":{\"Expression\":{\"SourceRef\":{" + ref + "}}" + more + ",\"Property\":\"'," + prop + ",'\"}'"
+
+
+#: Parts of a node that reach five and nine levels down and hold a node of their own.
+_DEEP = ',"More":{"a":{"b":[{"c":1}]}}'
+_DEEPER = ',"More":{"a":{"b":{"c":{"d":{"e":{"f":[{"Column":{"Property":"Inner","Table":"In"}}]}}}}}}'
 
 
 def visual_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -450,9 +453,9 @@ def visual_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         {_node("Measure", entity, "concat('M', o_orderkey % 11)")}, '}},"queryRef":"T', o_custkey % 7, '.M', o_orderkey % 11, '"}}]}},',
         '"Category":{{"projections":[{{"field":{{', {_node("Column", source_d, "concat('C', o_orderkey % 5)")},
         '}},"queryRef":"d.C', o_orderkey % 5, '"}}]}}}},"sortDefinition":{{"sort":[{{"field":{{',
-        {_node("Column", entity, "'Sort'")}, '}},"direction":"Descending"}}]}}}},',
+        {_node("Column", entity, "'Sort'", _DEEP)}, '}},"direction":"Descending"}}]}}}},',
         '"objects":{{"text":[{{"properties":{{"text":{{"expr":{{"Literal":{{"Value":"''', o_orderpriority, '''"}}}}}}}}}}],',
-        '"fill":[{{"properties":{{"c":{{"expr":{{', {_node("Column", entity, "'Fill'")}, '}}}}}}}}]}}}},',
+        '"fill":[{{"properties":{{"c":{{"expr":{{', {_node("Column", entity, "'Fill'", _DEEPER)}, '}}}}}}}}]}}}},',
         '"prototypeQuery":{{"From":[{{"Name":"d","Entity":"Dim', o_custkey % 3, '"}}]}},',
         '"filterConfig":{{"filters":[{{"name":"f', o_orderkey, '","field":{{', {_node("Column", source_e, "'Flt'")},
         '}},"filter":{{"From":[{{"Name":"e","Entity":"E', o_custkey % 2, '"}}],"Where":[{{"Condition":',

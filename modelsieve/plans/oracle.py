@@ -262,6 +262,17 @@ CTES: dict[str, str] = {
         SELECT * FROM s_edge WHERE ft IN (SELECT table_name FROM s_used) AND tt IN (SELECT table_name FROM s_used)""",
     "s_kept": "SELECT * FROM s_used UNION SELECT ft, fc FROM s_rel UNION SELECT tt, tc FROM s_rel",
     # Report documents.
+    "p_page": """
+        SELECT CAST(user_id AS BIGINT) AS source_order, event_id AS position,
+          event_type || CASE WHEN user_id = 0 AND event_id % 3 = 0 THEN ' (' || (event_id % 50) || ')' ELSE '' END AS name FROM events""",
+    "p_renamed": """
+        SELECT source_order, position, name, row_number() OVER (PARTITION BY name ORDER BY source_order, position)
+          - CASE WHEN name IN (SELECT name FROM p_page WHERE source_order = 0) THEN 0 ELSE 1 END AS rank
+        FROM p_page WHERE source_order <> 0""",
+    "p_free": """
+        SELECT name, number, row_number() OVER (PARTITION BY name ORDER BY number) AS rank
+        FROM (SELECT name, unnest(range(2, max(rank) + 60)) AS number FROM p_renamed GROUP BY name) n
+        WHERE name || ' (' || number || ')' NOT IN (SELECT name FROM p_page WHERE source_order = 0)""",
     "v_doc": "SELECT 'r' || o_custkey AS report_id, 'page' || o_orderstatus AS page_name, 'v' || o_orderkey AS visual_name, * FROM orders",
     "v_ref": """
         SELECT report_id, page_name, visual_name, 'measure' AS kind, 'T' || (o_custkey % 7) || '.M' || (o_orderkey % 11) AS ref, 2 AS n FROM v_doc
@@ -425,7 +436,6 @@ BODIES: dict[str, str] = {
     "measure_refs": "SELECT * FROM e_measure_ref",
     "functions_used": """
         SELECT semantic_model_id, table_name, measure_name, 'SUM' AS function_name FROM e_measure
-        UNION ALL SELECT semantic_model_id, table_name, measure_name, 'MAX' FROM e_measure WHERE p_partkey % 3 = 0
         UNION ALL SELECT semantic_model_id, table_name, measure_name, 'COUNTROWS' FROM e_measure WHERE p_partkey % 7 = 0 OR p_partkey % 13 = 0""",
     "variables_used": "SELECT semantic_model_id, table_name, measure_name, 'v_' || p_partkey AS variable_name FROM e_measure",
     "bare_table_refs": "SELECT * FROM e_table_ref",
@@ -516,15 +526,16 @@ BODIES: dict[str, str] = {
               AND coalesce(cardinality, 'many') ILIKE '%many%')
           OR EXISTS (SELECT 1 FROM e_measure m WHERE m.semantic_model_id = e.semantic_model_id AND m.table_name = 'Brand#1' AND p_partkey % 3 = 0
               AND 'Dim_' || p_type = e.table_name)""",
+    # Only pages of the target bear numbers, so the r-th renamed page takes the r-th number that they leave free.
     "merge_pages": """
-        SELECT source_order, position, name AS original_name, CASE WHEN rn = 1 THEN name ELSE name || ' (' || rn || ')' END AS name FROM (
-          SELECT CASE WHEN user_id = 0 THEN -1 ELSE CAST(user_id AS BIGINT) END AS source_order, event_id AS position, event_type AS name,
-            row_number() OVER (PARTITION BY event_type ORDER BY user_id, event_id) AS rn FROM events)""",
+        SELECT -1 AS source_order, position, name AS original_name, name FROM p_page WHERE source_order = 0
+        UNION ALL SELECT source_order, position, r.name, CASE WHEN r.rank = 0 THEN r.name ELSE r.name || ' (' || f.number || ')' END
+        FROM p_renamed r LEFT JOIN p_free f ON f.name = r.name AND f.rank = r.rank""",
     "prune_star": """
         SELECT p.* FROM (""" + _profile() + """) p SEMI JOIN s_kept USING (table_name, column_name)""",
     # sources
     "classify_files": r"""
-        SELECT 'src ' || source AS workspace, 'local_Doc ' || doc_id AS item_id, CASE WHEN doc_id % 2 = 0 THEN 'model' ELSE 'report' END AS item_kind,
+        SELECT 'src ' || source AS workspace, 'local_src ' || source || '/Doc ' || doc_id AS item_id, CASE WHEN doc_id % 2 = 0 THEN 'model' ELSE 'report' END AS item_kind,
           CASE WHEN doc_id % 2 = 0 THEN 'definition/tables/' || lang || '.tmdl' ELSE 'definition/report.json' END AS rel_path, text AS content FROM documents""",
     "decode_definition_parts": "SELECT doc_id, 'files/' || doc_id || '.txt' AS rel_path, text AS content FROM documents",
     "explode_workspace_inventory": """
@@ -543,6 +554,9 @@ BODIES: dict[str, str] = {
     "upsert_catalog": """
         SELECT semantic_model_id, table_name, measure_name, CASE WHEN semantic_model_id IN (SELECT 'sm' || n_nationkey FROM nation WHERE n_regionkey = 1) THEN 'new' ELSE expression END AS expression
         FROM e_measure WHERE NOT (semantic_model_id IN (SELECT 'sm' || n_nationkey FROM nation WHERE n_regionkey = 1) AND p_type = 'LARGE')""",
+    "stored_catalog": """
+        SELECT m.semantic_model_id, n_name || '.SemanticModel' AS name, m.table_name, m.measure_name, CASE WHEN n_regionkey = 1 THEN 'new' ELSE m.expression END AS expression
+        FROM e_measure m JOIN nation ON m.semantic_model_id = 'sm' || n_nationkey WHERE NOT (n_regionkey = 1 AND m.p_type = 'LARGE')""",
     "upsert_workspaces": """
         SELECT 'u' || user_id AS id, arg_max(event_type, event_id) AS displayName, max(event_id) AS updated_at, min(event_id) AS created_at FROM events GROUP BY user_id""",
     "table_counts": """
@@ -571,11 +585,11 @@ BODIES: dict[str, str] = {
         SELECT 'sm' || (p_partkey % 25) AS semantic_model_id, p_brand || '-' || p_partkey AS table_name, b.kind,
           CASE b.i WHEN 0 THEN p_brand || '-' || p_partkey WHEN 1 THEN 'M ' || p_partkey WHEN 2 THEN 'n' || p_partkey WHEN 3 THEN p_type
             WHEN 4 THEN 'Size ' || p_size ELSE p_brand || '-' || p_partkey END AS block_name,
-          CAST(CASE b.i WHEN 0 THEN CASE WHEN p_size > 40 THEN 2 ELSE 1 END WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 8 WHEN 4 THEN 2 ELSE 5 END AS BIGINT) AS lines
+          CAST(CASE b.i WHEN 0 THEN CASE WHEN p_size > 40 THEN 2 ELSE 1 END WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 8 WHEN 4 THEN 2 ELSE 6 END AS BIGINT) AS lines
         FROM part, (SELECT unnest(['table', 'measure', 'measure', 'column', 'column', 'partition']) AS kind, unnest([0, 1, 2, 3, 4, 5]) AS i) b""",
     "extract_tables": """
         SELECT 'sm' || (p_partkey % 25) AS semantic_model_id, p_brand || '-' || p_partkey AS table_name, p_size > 40 AS is_hidden, p_partkey % 5 = 0 AS is_calculated,
-          CASE WHEN p_partkey % 5 = 0 THEN 'let' || chr(10) || 'a = ' || p_partkey || chr(10) || 'in a' END AS source_code FROM part""",
+          CASE WHEN p_partkey % 5 = 0 THEN 'let' || chr(10) || 'a = ' || p_partkey || chr(10) || 'table = a{[Item="Sales"]}[Data],' || chr(10) || 'in a' END AS source_code FROM part""",
     "extract_columns": """
         SELECT 'sm' || (p_partkey % 25) AS semantic_model_id, p_brand || '-' || p_partkey AS table_name, p_type AS column_name, 'int64' AS data_type,
           'src_' || p_type AS source_column, 'none' AS summarize_by, 'Size ' || p_size AS sort_by_column, false AS is_hidden FROM part
@@ -584,11 +598,11 @@ BODIES: dict[str, str] = {
         SELECT 'sm' || (p_partkey % 25) AS semantic_model_id, p_brand || '-' || p_partkey AS table_name, 'M ' || p_partkey AS measure_name,
           'SUM(''' || p_brand || '''[' || p_type || '])'::VARCHAR AS expression, '0' AS format_string, false AS is_hidden FROM part
         UNION ALL SELECT 'sm' || (p_partkey % 25), p_brand || '-' || p_partkey, 'n' || p_partkey,
-          'VAR x = ' || p_size || chr(10) || 'RETURN x + [M ' || p_partkey || ']', NULL, true FROM part""",
+          'VAR x = ' || p_size || chr(10) || 'column + x' || chr(10) || 'RETURN x + [M ' || p_partkey || ']', NULL, true FROM part""",
     "extract_partitions": """
         SELECT 'sm' || (p_partkey % 25) AS semantic_model_id, p_brand || '-' || p_partkey AS table_name, p_brand || '-' || p_partkey AS partition_name,
           CASE WHEN p_partkey % 5 = 0 THEN 'calculated' ELSE 'm' END AS source_type, 'import' AS mode,
-          'let' || chr(10) || 'a = ' || p_partkey || chr(10) || 'in a' AS source_expression FROM part""",
+          'let' || chr(10) || 'a = ' || p_partkey || chr(10) || 'table = a{[Item="Sales"]}[Data],' || chr(10) || 'in a' AS source_expression FROM part""",
     "extract_bins": """
         SELECT 'sm' || (p_partkey % 25) AS semantic_model_id, p_brand || '-' || p_partkey AS table_name, p_type AS source_column,
           'G' || p_size AS bin_table, p_type || ' (bins)' AS bin_column FROM part WHERE p_partkey % 3 = 0""",
@@ -623,9 +637,14 @@ BODIES: dict[str, str] = {
         UNION ALL SELECT 'leg' || s_suppkey, 'Page 1', 'lv' || s_suppkey, 'column', 'Tab' || s_nationkey || '.Col' || (s_suppkey % 6), 1 FROM supplier
         UNION ALL SELECT 'leg' || s_suppkey, 'Page 1', 'lv' || s_suppkey, 'measure', 'Tab.Mes', 1 FROM supplier""",
     "resolve_alias": """
-        SELECT report_id, page_name, visual_name, 'Dim' || (o_custkey % 3) AS entity FROM v_doc""",
+        SELECT report_id, page_name, visual_name, 'd' AS alias, 'Dim' || (o_custkey % 3) AS entity FROM v_doc
+        UNION ALL SELECT 'leg' || s_suppkey, 'Page 1', 'lv' || s_suppkey, 'a', 'Tab' || s_nationkey FROM supplier""",
     "document_column_usage": f"""
-        SELECT {_VISUAL}, split_part(ref, '.', 1) AS table_name, split_part(ref, '.', 2) AS column_name, CAST(n AS BIGINT) AS usage_count FROM v_ref WHERE kind = 'column'""",
+        SELECT {_VISUAL}, split_part(ref, '.', 1) AS table_name, split_part(ref, '.', 2) AS column_name, CAST(n AS BIGINT) AS usage_count FROM v_ref WHERE kind = 'column'
+        UNION ALL SELECT 'leg' || s_suppkey, 'Page 1', 'lv' || s_suppkey, 'Tab' || s_nationkey, 'Col' || (s_suppkey % 6), 1 FROM supplier""",
+    "document_measure_usage": f"""
+        SELECT {_VISUAL}, split_part(ref, '.', 1) AS table_name, split_part(ref, '.', 2) AS measure_name, CAST(n AS BIGINT) AS usage_count FROM v_ref WHERE kind = 'measure'
+        UNION ALL SELECT 'leg' || s_suppkey, 'Page 1', 'lv' || s_suppkey, 'Tab', 'Mes', 1 FROM supplier""",
     "extract_filters": """
         SELECT 'r' || c_custkey AS report_id, 'report' AS level, CAST(NULL AS VARCHAR) AS page_name, CAST(NULL AS VARCHAR) AS visual_name, 'rf' AS filter_name,
           'Seg' AS table_name, c_mktsegment AS column_name, CAST(NULL AS VARCHAR) AS filter_description FROM customer

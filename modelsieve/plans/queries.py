@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from modelsieve.operators import extract_report as XR
 from modelsieve.operators import graph, links, refs, subset, unused, usage
 from modelsieve.operators.links import MODEL
 from modelsieve.plans import encodings as E
-from modelsieve.plans.fixpoint import materialize
+from modelsieve.plans.fixpoint import materialize, scratch_dir
 from modelsieve.plans.oracle import checksum_sql
 from modelsieve.sources import catalog as C
 from modelsieve.sources import definitions as D
@@ -129,7 +130,14 @@ def clean_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _over_catalog("qualified_refs", lambda cat: refs.qualified_refs(cat["semantic_model_measure"], cat["semantic_model_table"]))
 _over_catalog("measure_refs", lambda cat: refs.measure_refs(cat["semantic_model_measure"], cat["semantic_model_table"]))
-_over_catalog("functions_used", lambda cat: refs.functions_used(cat["semantic_model_measure"]))
+
+
+@query
+def functions_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([("sum",), ("COUNTROWS",), ("FILTER",)], "name STRING")
+    return refs.functions_used(E.measures(spark, sf_dir), known)
+
+
 _over_catalog("variables_used", lambda cat: refs.variables_used(cat["semantic_model_measure"]))
 _over_catalog("bare_table_refs", lambda cat: refs.bare_table_refs(cat["semantic_model_measure"], cat["semantic_model_table"]))
 _over_catalog("direct_dependencies", refs.direct_dependencies)
@@ -190,7 +198,7 @@ def table_dependency_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def expand_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.expand_tables(E.data_edges(spark, sf_dir), E.data_seeds(spark, sf_dir), max_depth=4)
+    return graph.expand_tables(E.data_edges(spark, sf_dir), E.data_seeds(spark, sf_dir))
 
 
 @query
@@ -327,13 +335,15 @@ def drop_invalid_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def subset_from_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = E.catalog(spark, sf_dir)
     seeds = cat["semantic_model"].select(MODEL, F.lit("Brand#1").alias("table_name"), F.lit("ManyToOne").alias("direction"))
-    return subset.subset_from_seeds(cat, seeds, max_depth=1)["tables"].select(*subset.TABLE)
+    return subset.subset_from_seeds(cat, seeds)["tables"].select(*subset.TABLE)
 
 
 @query
 def merge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = E.load(spark, sf_dir, "events").selectExpr(
-        "user_id as source_order", "event_id as position", "event_type as name"
+        "user_id as source_order",
+        "event_id as position",
+        "concat(event_type, if(user_id = 0 and event_id % 3 = 0, concat(' (', event_id % 50, ')'), '')) as name",
     )
     first, rest = pages.where("source_order = 0"), pages.where("source_order <> 0")
     return subset.merge_pages(first, rest).select("source_order", "position", "original_name", "name")
@@ -419,6 +429,32 @@ def upsert_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result["semantic_model_measure"].select(MODEL, "table_name", "measure_name", "expression")
 
 
+@query
+def stored_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models and measures written, partly imported again (some by name only), and read back."""
+    path = f"{scratch_dir(spark)}/stored-catalog-{uuid.uuid4().hex}"
+    models = E.models(spark, sf_dir)
+    C.write_catalog({"semantic_model": models, "semantic_model_measure": E.measures(spark, sf_dir)}, path, buckets=16)
+    region = E.load(spark, sf_dir, "nation").where("n_regionkey = 1")
+    again = region.selectExpr(
+        "concat('sm', n_nationkey) as stored", "concat(if(n_nationkey % 2 = 0, 'sm', 'local_'), n_nationkey) as new_id"
+    )
+    batch_models = models.join(again, F.col(MODEL) == F.col("stored")).withColumn(MODEL, F.col("new_id")).drop("stored", "new_id")
+    batch_measures = (
+        E.measures(spark, sf_dir)
+        .join(again, F.col(MODEL) == F.col("stored"))
+        .where(~F.col("expression").contains("[LARGE]"))
+        .withColumn(MODEL, F.col("new_id"))
+        .withColumn("expression", F.lit("new"))
+        .drop("stored", "new_id")
+    )
+    C.upsert_stored_catalog(spark, path, {"semantic_model": batch_models, "semantic_model_measure": batch_measures})
+    cat = C.read_catalog(spark, path, views=False)
+    return cat["semantic_model_measure"].join(cat["semantic_model"].select(MODEL, "name"), MODEL).select(
+        MODEL, "name", "table_name", "measure_name", "expression"
+    )
+
+
 @query
 def upsert_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = E.load(spark, sf_dir, "events").selectExpr(
@@ -463,9 +499,7 @@ def subset_spec_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
             if(c_custkey % 2 = 1, ',"recursive":false', ''), if(c_custkey % 5 = 0, ',"max_depth":3', ''), '}') as content"""
     )
     specs = S.parse_subset_specs(documents)
-    return specs.select("name", "base_model", "recursive", "max_depth", F.explode("seeds").alias("s")).select(
-        "name", "base_model", "recursive", "max_depth", "s.*"
-    )
+    return S.spec_seeds(specs).join(specs.select("name", "recursive", "max_depth"), "name")
 
 
 # Extraction from definition text.
@@ -524,9 +558,9 @@ def extract_model_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Extraction from report documents.
 
 
-def _report_items(spark: SparkSession, sf_dir: str, legacy: bool = True) -> DataFrame:
+def _report_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = E.report_files(spark, sf_dir).unionByName(E.visual_files(spark, sf_dir))
-    return files.unionByName(E.legacy_files(spark, sf_dir)) if legacy else files
+    return files.unionByName(E.legacy_files(spark, sf_dir))
 
 
 @query
@@ -552,7 +586,7 @@ def extract_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def resolve_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return XR.visual_aliases(*XR.report_visuals(_report_items(spark, sf_dir, legacy=False))).where("alias = 'd'").drop("alias")
+    return XR.visual_aliases(*XR.report_visuals(_report_items(spark, sf_dir)))
 
 
 @query
@@ -563,9 +597,16 @@ def extract_field_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def document_column_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return XR.extract_report_catalog(_report_items(spark, sf_dir, legacy=False))["report_column_used"]
+    return XR.extract_report_catalog(_report_items(spark, sf_dir))["report_column_used"]
+
+
+@query
+def document_measure_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return XR.extract_report_catalog(_report_items(spark, sf_dir))["report_measure_used"]
 
 
 @query
 def extract_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return XR.extract_report_catalog(_report_items(spark, sf_dir))["report_filter"]
+    headers = XR.extract_report_header(_report_items(spark, sf_dir))
+    visuals, pages = XR.report_visuals(_report_items(spark, sf_dir))
+    return XR.extract_filters(headers, pages, visuals)

@@ -88,6 +88,24 @@ def upsert_workspaces(target: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
+LAYOUT = "catalog_layout"
+BUCKETS = 64
+
+
+def _layout(spark: SparkSession, path: str) -> int | None:
+    """Bucket count a stored catalog was written with."""
+    try:
+        return spark.read.schema("buckets INT").json(f"{path}/{LAYOUT}").first()["buckets"]
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _set_layout(spark: SparkSession, path: str, buckets: int) -> None:
+    spark.createDataFrame([(buckets,)], "buckets INT").coalesce(1).write.mode("overwrite").json(f"{path}/{LAYOUT}")
+
+
 def _bucketed(df: DataFrame, table: str, buckets: int) -> DataFrame:
     return df.withColumn(BUCKET, F.pmod(F.xxhash64(_ITEM_KEY[table]), F.lit(buckets)).cast("int"))
 
@@ -103,8 +121,17 @@ def _write_buckets(df: DataFrame, path: str, table: str) -> None:
     )
 
 
-def write_catalog(catalog: Catalog, path: str, buckets: int = 64) -> None:
-    """Write whole catalog tables as Parquet, in ``buckets`` hash buckets of their item key."""
+def write_catalog(catalog: Catalog, path: str, buckets: int = BUCKETS) -> None:
+    """Write whole catalog tables as Parquet, in ``buckets`` hash buckets of their item key.
+
+    The bucket count is stored with the catalog and holds for every later upsert. Choose it by
+    the size of the catalog: an upsert rewrites whole buckets.
+    """
+    spark = next(iter(catalog.values())).sparkSession
+    known = _layout(spark, path)
+    if known not in (None, buckets):
+        raise ValueError(f"the catalog is stored in {known} buckets, not {buckets}")
+    _set_layout(spark, path, buckets)
     for table, df in catalog.items():
         if table in _ITEM_KEY:
             _write_buckets(_bucketed(df, table, buckets), path, table)
@@ -112,30 +139,87 @@ def write_catalog(catalog: Catalog, path: str, buckets: int = 64) -> None:
             df.write.mode("overwrite").parquet(f"{path}/{table}")
 
 
-def upsert_stored_catalog(spark: SparkSession, path: str, batch: Catalog, buckets: int = 64) -> None:
+def upsert_stored_catalog(spark: SparkSession, path: str, batch: Catalog, buckets: int | None = None) -> None:
     """Replace the items of ``batch`` in a stored catalog; only their buckets are rewritten.
 
-    Items are those of the parent table (``semantic_model`` or ``report``) where the batch has
-    it, so an item that lost all its rows of some kind loses the stored ones too.
+    Items are those of the parent table (``semantic_model`` or ``report``) where the batch has it.
+    An item is matched by id, else by name, and takes over the stored id. Every child table of the
+    kind loses its rows first, whether or not the batch has that table. Workspaces are upserted by
+    id, workspace-wide dependencies replaced by workspace. The bucket count is the stored one;
+    ``buckets`` is for a catalog that is not there yet. All tables are prepared before the first
+    is rewritten.
     """
+    known = _layout(spark, path)
+    if known is None:
+        known = buckets or BUCKETS
+        _set_layout(spark, path, known)
+    elif buckets not in (None, known):
+        raise ValueError(f"the catalog is stored in {known} buckets, not {buckets}")
+    prepared: list[tuple[str, DataFrame]] = []
+    for key, parent in _PARENT.items():
+        mine = {t: conform(df, t) for t, df in batch.items() if _ITEM_KEY.get(t) == key}
+        if mine:
+            prepared += _prepared_items(spark, path, mine, key, parent, known)
     for table, rows in batch.items():
-        key = _ITEM_KEY[table]
-        rows = materialize(_bucketed(conform(rows, table), table, buckets), "upsert")
-        items = _bucketed(batch.get(_PARENT[key], rows).select(key).distinct(), table, buckets)
-        items = materialize(items, "upsert")
-        stored = _stored(spark, path, table)
-        if stored is None:
+        if table not in _ITEM_KEY:
+            prepared.append((table, _prepared_plain(spark, path, table, conform(rows, table))))
+    for table, rows in prepared:
+        if table in _ITEM_KEY:
             _write_buckets(rows, path, table)
+        else:
+            rows.write.mode("overwrite").parquet(f"{path}/{table}")
+
+
+def _prepared_items(
+    spark: SparkSession, path: str, batch: Catalog, key: str, parent: str, buckets: int
+) -> list[tuple[str, DataFrame]]:
+    """New content of the touched buckets of every table with this item key."""
+    items = batch.get(parent)
+    stored_parent = _stored(spark, path, parent)
+    if items is None:
+        rows = [df.select(key) for df in batch.values()]
+        keys = rows[0]
+        for more in rows[1:]:
+            keys = keys.union(more)
+        keys = keys.distinct().withColumn("stored_key", F.col(key))
+    elif stored_parent is None:
+        keys = items.select(key).distinct().withColumn("stored_key", F.col(key))
+    else:
+        keys = match_items(stored_parent, items.dropDuplicates([key]), key).select(key, "stored_key")
+    keys = materialize(keys.withColumnRenamed(key, "__key"), "upsert-keys")
+    marks = keys.select(F.col("stored_key").alias(key)).distinct()
+    # The list of touched buckets is at most ``buckets`` long.
+    touched = [r[0] for r in _bucketed(marks, parent, buckets).select(BUCKET).distinct().collect()]
+    result = []
+    for table in (t for t, k in _ITEM_KEY.items() if k == key):
+        stored, rows = _stored(spark, path, table), batch.get(table)
+        if stored is None and rows is None:
             continue
-        # The list of touched buckets is at most ``buckets`` long.
-        touched = [r[0] for r in items.select(BUCKET).distinct().collect()]
-        old = stored.where(F.col(BUCKET).isin(touched))
-        # An overwrite leaves a folder alone that it has no rows for, so each touched bucket
-        # gets one row without an item; readers drop such rows.
-        marks = items.select(BUCKET).distinct()
-        merged = old.join(items.select(key), key, "left_anti").unionByName(rows)
-        merged = merged.unionByName(marks, allowMissingColumns=True)
-        _write_buckets(materialize(merged, "upsert"), path, table)
+        parts = []
+        if rows is not None:
+            renamed = rows.join(keys, rows[key] == keys["__key"]).select(
+                *[(F.col("stored_key").alias(key) if c == key else rows[c]) for c in rows.columns]
+            )
+            parts.append(_bucketed(renamed, table, buckets))
+        if stored is not None:
+            old = stored.where(F.col(BUCKET).isin(touched))
+            parts.append(old.join(marks, key, "left_anti"))
+            # An overwrite leaves a folder alone that it has no rows for, so each touched bucket
+            # gets one row without an item; readers drop such rows.
+            parts.append(_bucketed(marks, table, buckets).select(BUCKET).distinct())
+        merged = parts[0]
+        for more in parts[1:]:
+            merged = merged.unionByName(more, allowMissingColumns=True)
+        result.append((table, materialize(merged, "upsert")))
+    return result
+
+
+def _prepared_plain(spark: SparkSession, path: str, table: str, rows: DataFrame) -> DataFrame:
+    stored = _stored(spark, path, table)
+    if stored is None:
+        return rows
+    key = "id" if table == "workspaces" else "workspace_id"
+    return materialize(replace_items(conform(stored, table), rows, key), "upsert")
 
 
 def _stored(spark: SparkSession, path: str, table: str) -> DataFrame | None:

@@ -16,14 +16,16 @@ def classify_files(files: DataFrame) -> DataFrame:
     """Turn (path, content) rows into definition files of items.
 
     The item is the folder that ends in ``.SemanticModel`` or ``.Report``; its parent folder
-    is the workspace. Other files are dropped. Item ids of local folders are ``local_<name>``.
+    is the workspace. Other files are dropped. Item ids of local folders are
+    ``local_<workspace>/<name>``, so items of one name in two workspaces stay apart.
     """
     suffix = F.regexp_extract("path", _ITEM, 3)
+    workspace = F.regexp_extract(F.regexp_extract("path", _ITEM, 1), r"([^/]+)/$", 1)
     return (
         files.where(F.col("path").rlike(_ITEM))
         .select(
-            F.regexp_extract(F.regexp_extract("path", _ITEM, 1), r"([^/]+)/$", 1).alias("workspace"),
-            F.concat(F.lit("local_"), F.regexp_extract("path", _ITEM, 2)).alias("item_id"),
+            workspace.alias("workspace"),
+            F.concat(F.lit("local_"), workspace, F.lit("/"), F.regexp_extract("path", _ITEM, 2)).alias("item_id"),
             F.regexp_extract("path", _ITEM, 2).alias("item_name"),
             F.when(suffix == MODEL_SUFFIX, "model").when(suffix == REPORT_SUFFIX, "report").alias("item_kind"),
             F.regexp_extract("path", _ITEM, 4).alias("rel_path"),

@@ -24,7 +24,7 @@ def parse_subset_specs(documents: DataFrame, text: str = "content") -> DataFrame
 
     One row per document: ``name``, ``base_model``, ``recursive`` (default true), ``max_depth``
     (default 10), ``seeds`` (array of table and direction) and ``table_elements``. Seeds come
-    from ``initial_tables`` as objects or plain names, else from ``included_tables``. The
+    from ``initial_tables`` as objects or plain names, in any mix, else from ``included_tables``. The
     direction is ``search_direction``, else the older ``direction``, else ManyToOne.
     """
     doc = F.col(text)
@@ -33,21 +33,18 @@ def parse_subset_specs(documents: DataFrame, text: str = "content") -> DataFrame
         return F.get_json_object(doc, path)
 
     initial, included = value("$.initial_tables"), value("$.included_tables")
-    # A list counts as objects when its first entry is one.
-    as_objects = F.regexp_like(initial, F.lit(r"^\s*\[\s*\{"))
-    plain = F.from_json(F.coalesce(initial, included, F.lit("[]")), "ARRAY<STRING>")
-    objects = F.from_json(F.when(as_objects, initial).otherwise("[]"), f"ARRAY<{_SEED}>")
     default = F.lit("ManyToOne")
-    seeds = F.when(
-        as_objects,
-        F.transform(
-            objects,
-            lambda s: F.struct(
-                s["name"].alias("table_name"),
-                F.coalesce(s["search_direction"], s["direction"], default).alias("direction"),
-            ),
-        ),
-    ).otherwise(F.transform(plain, lambda s: F.struct(s.alias("table_name"), default.alias("direction"))))
+
+    def seed(entry: F.Column) -> F.Column:
+        # Each entry is an object or a plain name, whatever the others are.
+        fields = F.from_json(F.when(F.ltrim(entry).startswith("{"), entry), _SEED)
+        return F.struct(
+            F.when(fields.isNull(), entry).otherwise(fields["name"]).alias("table_name"),
+            F.coalesce(fields["search_direction"], fields["direction"], default).alias("direction"),
+        )
+
+    entries = F.from_json(F.coalesce(initial, included, F.lit("[]")), "ARRAY<STRING>")
+    seeds = F.filter(F.transform(entries, seed), lambda s: s["table_name"].isNotNull())
     keep = [c for c in documents.columns if c != text]
     return documents.select(
         *keep,

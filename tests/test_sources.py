@@ -23,8 +23,8 @@ def test_scan_definitions(spark, tmp_path, rows):
     write(tmp_path / "My Space" / "other" / "report.json", "{}")
     found = D.scan_definitions(spark, str(tmp_path))
     assert set(rows(found, "workspace", "item_id", "item_kind", "rel_path")) == {
-        ("My Space", "local_Shop", "report", "definition/report.json"),
-        ("My Space", "local_Shop á+", "model", "definition/tables/T 1.tmdl"),
+        ("My Space", "local_My Space/Shop", "report", "definition/report.json"),
+        ("My Space", "local_My Space/Shop á+", "model", "definition/tables/T 1.tmdl"),
     }
     assert rows(extract_model.extract_tables(found), "table_name") == [("T 1",)]
 
@@ -213,3 +213,78 @@ def test_links(spark, rows):
     assert [tuple(r) for r in usage.workspace_counts(cat).select("displayName", "reports", "models", "is_empty").collect()] == [
         ("One", 2, 1, False), ("Two", 1, 0, False), ("Aaa", 0, 0, True),
     ]
+
+
+def test_items_of_one_name_in_two_workspaces_stay_apart(spark, rows):
+    files = spark.createDataFrame(
+        [(f"file:/x/ws{i}/Sales.SemanticModel/definition/tables/T.tmdl", "table T") for i in (1, 2)], "path STRING, content STRING"
+    )
+    assert rows(D.classify_files(files), "item_id") == [("local_ws1/Sales",), ("local_ws2/Sales",)]
+
+
+def test_stored_catalog_keeps_its_bucket_count(spark, tmp_path, rows):
+    path = str(tmp_path / "catalog")
+    models = conform(spark.createDataFrame([("a", "A"), ("b", "B")], "semantic_model_id STRING, name STRING"), "semantic_model")
+    measures = conform(spark.createDataFrame([("a", "T", "old", ""), ("b", "T", "stays", "")], MEASURE), "semantic_model_measure")
+    tables = conform(spark.createDataFrame([("a", "T")], "semantic_model_id STRING, table_name STRING"), "semantic_model_table")
+    spaces = conform(spark.createDataFrame([("w1", "One"), ("w2", "Two")], "id STRING, displayName STRING"), "workspaces")
+    whole = {"semantic_model": models, "semantic_model_measure": measures, "semantic_model_table": tables, "workspaces": spaces}
+    C.write_catalog(whole, path, buckets=4)
+    batch = {
+        # Known by name only; without tables of its own.
+        "semantic_model": conform(spark.createDataFrame([("local_A", "A")], "semantic_model_id STRING, name STRING"), "semantic_model"),
+        "semantic_model_measure": conform(spark.createDataFrame([("local_A", "T", "new", "")], MEASURE), "semantic_model_measure"),
+        "workspaces": conform(spark.createDataFrame([("w2", "Zwei")], "id STRING, displayName STRING"), "workspaces"),
+    }
+    with pytest.raises(ValueError):
+        C.upsert_stored_catalog(spark, path, batch, buckets=64)
+    C.upsert_stored_catalog(spark, path, batch)
+    cat = C.read_catalog(spark, path, views=False)
+    assert rows(cat["semantic_model_measure"], "semantic_model_id", "measure_name") == [("a", "new"), ("b", "stays")]
+    assert rows(cat["semantic_model"], "semantic_model_id", "name") == [("a", "A"), ("b", "B")]
+    assert rows(cat["semantic_model_table"]) == []
+    assert rows(cat["workspaces"], "id", "displayName") == [("w1", "One"), ("w2", "Zwei")]
+    with pytest.raises(ValueError):
+        C.write_catalog(whole, path, buckets=8)
+
+
+def test_stream_stores_the_latest_version_of_a_batch(spark, tmp_path, rows):
+    ddl = "item_id STRING, version INT, measure_name STRING"
+    lines = [("a", 1, "old"), ("a", 2, "new"), ("b", 1, "only")]
+    write(tmp_path / "in" / "1.json", "\n".join(json.dumps(dict(zip(("item_id", "version", "measure_name"), x))) for x in lines))
+
+    def extract(batch):
+        found = batch.withColumnRenamed("item_id", "semantic_model_id").select("semantic_model_id", "measure_name")
+        return {"semantic_model_measure": conform(found, "semantic_model_measure")}
+
+    query = upsert_stream(
+        item_stream(spark, str(tmp_path / "in"), ddl), extract, str(tmp_path / "cat"), str(tmp_path / "progress"), buckets=2, version="version"
+    )
+    query.awaitTermination()
+    cat = C.read_catalog(spark, str(tmp_path / "cat"), views=False)
+    assert rows(cat["semantic_model_measure"], "semantic_model_id", "measure_name") == [("a", "new"), ("b", "only")]
+
+
+def test_seeds_in_mixed_form(spark, rows):
+    texts = ['[{"name":"B","direction":"Both"}, "A"]', '["A", {"name":"B"}]']
+    docs = spark.createDataFrame([(f'{{"name":"s{i}","initial_tables":{t}}}',) for i, t in enumerate(texts)], "content STRING")
+    assert rows(S.spec_seeds(S.parse_subset_specs(docs)), "name", "table_name", "direction") == [
+        ("s0", "A", "ManyToOne"), ("s0", "B", "Both"), ("s1", "A", "ManyToOne"), ("s1", "B", "ManyToOne"),
+    ]
+
+
+def test_a_name_of_many_reports_and_models_gives_no_pairs(spark):
+    n = 1000
+    cat = {
+        "semantic_model": conform(spark.range(n).selectExpr("concat('m', id) as semantic_model_id", "'Sales.SemanticModel' as name"), "semantic_model"),
+        "report": conform(spark.range(n).selectExpr("concat('r', id) as report_id", "'Sales' as name"), "report"),
+        "report_column_used": conform(
+            spark.range(n).selectExpr("concat('r', id) as report_id", "'T' as table_name", "concat('c', id % 2) as column_name"), "report_column_used"
+        ),
+        "report_measure_used": conform(spark.createDataFrame([], "report_id STRING"), "report_measure_used"),
+    }
+    found = usage.linked_usage(cat)
+    assert found.count() == 2 * n
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Usage is reduced by name before the models join.
+    assert plan.index("semantic_model_id") < plan.index("Aggregate [link")
