@@ -37,13 +37,15 @@ def cut_metadata(c: Column) -> Column:
     return F.regexp_replace(c, _CUT, "")
 
 
-def clean_expression(c: Column) -> Column:
+def clean_expression(c: Column, dash_comments: bool = False) -> Column:
     """Expression text without trailing metadata lines and without comments.
 
     Comment marks inside string literals, quoted names and brackets are text, not comments.
+    ``--`` starts a comment only with ``dash_comments``.
     """
     kept = rf"(\[[^\]]*+\]|{_QUOTED}|{_STRING})"
-    return F.regexp_replace(cut_metadata(c), rf"{kept}|{_COMMENT}", "$1 ")
+    comment = rf"{_COMMENT}|--[^\n]*" if dash_comments else _COMMENT
+    return F.regexp_replace(cut_metadata(c), rf"{kept}|{comment}", "$1 ")
 
 
 def reference_tokens(cleaned: Column) -> Column:

@@ -233,42 +233,86 @@ def bare_table_refs(
     )
 
 
-def direct_dependencies(cat: dict[str, DataFrame]) -> DataFrame:
-    """Table, column and measure dependencies of every measure of every model."""
-    measures = cat["semantic_model_measure"]
+def _dependencies(
+    texts: DataFrame,
+    text: str,
+    keep: Sequence[str],
+    cat: dict[str, DataFrame],
+    include_quoted: bool,
+    spell_columns: bool,
+    dash_comments: bool,
+) -> DataFrame:
+    """Table, column and measure rows of expressions: ``keep`` and the three dependency columns."""
     tables = cat["semantic_model_table"]
-    owner = [MODEL, "measure_name", F.col("table_name").alias("measure_table")]
-    refs = resolved_refs(measures, "expression", _MEASURE_KEYS, tables, measures).select(
-        *owner, "dependency_type", "referenced_name", "referenced_table"
-    )
-    bare = bare_table_refs(measures, tables).select(
-        *owner,
+    if dash_comments:
+        texts = texts.withColumn(text, X.clean_expression(F.col(text), dash_comments=True))
+    refs = resolved_refs(texts, text, keep, tables, cat["semantic_model_measure"]).drop("is_known")
+    if spell_columns:
+        columns = cat["semantic_model_column"]
+        spelled = columns.groupBy(
+            MODEL, F.col("table_name").alias("referenced_table"), F.lower("column_name").alias("__key")
+        ).agg(F.max("column_name").alias("__spelled"))
+        is_column = F.col("dependency_type") == "column"
+        refs = (
+            refs.withColumn("__key", F.lower("referenced_name"))
+            .join(spelled, [MODEL, "referenced_table", "__key"], "left")
+            .withColumn("referenced_name", F.when(is_column, F.coalesce("__spelled", "referenced_name")).otherwise(F.col("referenced_name")))
+            .drop("__key", "__spelled")
+            .distinct()
+        )
+    bare = bare_table_refs(texts, tables, text, keep, include_quoted).select(
+        *keep,
         F.lit("table").alias("dependency_type"),
         F.col("ref_table").alias("referenced_name"),
         F.lit(None).cast("string").alias("referenced_table"),
     )
-    return conform(refs.unionByName(bare), "measure_dependencies")
+    return refs.select(*bare.columns).unionByName(bare)
 
 
-def calculated_table_dependencies(cat: dict[str, DataFrame]) -> DataFrame:
-    """Dependencies of the source code of calculated tables (direct ones only)."""
-    tables = cat["semantic_model_table"]
-    code = tables.where("is_calculated").select(MODEL, "table_name", "source_code")
-    keep = (MODEL, "table_name")
-    owner = [MODEL, F.col("table_name").alias("calculated_table_name")]
-    refs = resolved_refs(code, "source_code", keep, tables, cat["semantic_model_measure"]).select(
-        *owner,
-        "dependency_type",
-        "referenced_name",
-        F.when(F.col("dependency_type") == "column", F.col("referenced_table")).alias("referenced_table"),
-    )
-    bare = bare_table_refs(code, tables, "source_code", keep).select(
-        *owner,
-        F.lit("table").alias("dependency_type"),
-        F.col("ref_table").alias("referenced_name"),
-        F.lit(None).cast("string").alias("referenced_table"),
+def direct_dependencies(
+    cat: dict[str, DataFrame],
+    include_quoted: bool = False,
+    spell_columns: bool = False,
+    dash_comments: bool = False,
+) -> DataFrame:
+    """Table, column and measure dependencies of every measure of every model.
+
+    ``include_quoted`` counts quoted table names without a column, which names with blanks need;
+    ``spell_columns`` gives columns the spelling of the model; with ``dash_comments`` the text
+    behind ``--`` holds no references.
+    """
+    measures = cat["semantic_model_measure"]
+    found = _dependencies(measures, "expression", _MEASURE_KEYS, cat, include_quoted, spell_columns, dash_comments)
+    return conform(found.withColumnRenamed("table_name", "measure_table"), "measure_dependencies")
+
+
+def function_dependencies(measures: DataFrame, known_functions: DataFrame | None = None) -> DataFrame:
+    """Called functions as dependency rows, for closures that inherit them."""
+    return conform(
+        functions_used(measures, known_functions).select(
+            MODEL,
+            "measure_name",
+            F.col("table_name").alias("measure_table"),
+            F.lit("function").alias("dependency_type"),
+            F.col("function_name").alias("referenced_name"),
+        ),
+        "measure_dependencies",
     )
-    return conform(refs.unionByName(bare), "calculated_table_dependencies")
+
+
+def calculated_table_dependencies(
+    cat: dict[str, DataFrame],
+    include_quoted: bool = False,
+    spell_columns: bool = False,
+    dash_comments: bool = False,
+) -> DataFrame:
+    """Dependencies of the source code of calculated tables (direct ones only)."""
+    code = cat["semantic_model_table"].where("is_calculated").select(MODEL, "table_name", "source_code")
+    found = _dependencies(code, "source_code", (MODEL, "table_name"), cat, include_quoted, spell_columns, dash_comments)
+    # A measure row has no home table here.
+    home = F.when(F.col("dependency_type") != "measure", F.col("referenced_table"))
+    found = found.withColumn("referenced_table", home).withColumnRenamed("table_name", "calculated_table_name")
+    return conform(found, "calculated_table_dependencies")
 
 
 def _light_rows(measures: DataFrame) -> DataFrame:

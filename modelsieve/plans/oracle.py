@@ -120,6 +120,10 @@ CTES: dict[str, str] = {
         UNION SELECT c.semantic_model_id, c.measure_name, c.measure_table, d.referenced_name
           FROM e_closure c JOIN e_direct d ON d.semantic_model_id = c.semantic_model_id AND d.measure_name = c.reached
           WHERE d.dependency_type = 'measure'""",
+    "e_function": """
+        SELECT semantic_model_id, measure_name, 'SUM' AS function_name FROM e_measure
+        UNION SELECT semantic_model_id, measure_name, 'MAX' FROM e_measure WHERE p_partkey % 3 = 0
+        UNION SELECT semantic_model_id, measure_name, 'COUNTROWS' FROM e_measure WHERE p_partkey % 7 = 0 OR p_partkey % 13 = 0""",
     "e_closed": """
         SELECT * FROM e_direct
         UNION SELECT c.semantic_model_id, c.measure_name, c.measure_table, d.dependency_type, d.referenced_name, d.referenced_table
@@ -455,6 +459,10 @@ BODIES: dict[str, str] = {
     "table_dependency_graph": """
         SELECT DISTINCT semantic_model_id, measure_table AS table_name, referenced_name AS depends_on FROM e_closed
         WHERE dependency_type = 'table' AND measure_table <> referenced_name""",
+    "inherited_functions": """
+        SELECT semantic_model_id, measure_name, function_name FROM e_function
+        UNION SELECT c.semantic_model_id, c.measure_name, f.function_name FROM e_closure c
+          JOIN e_function f ON f.semantic_model_id = c.semantic_model_id AND f.measure_name = c.reached""",
     "expand_tables": "SELECT * FROM e_expanded",
     "neighbours": """
         SELECT 'data' AS semantic_model_id, a AS table_name, b AS neighbour FROM e_edge UNION SELECT 'data', b, a FROM e_edge""",

@@ -191,6 +191,13 @@ def transitive_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.transitive_dependencies(_direct(spark, sf_dir))
 
 
+@query
+def inherited_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    direct = _direct(spark, sf_dir).unionByName(refs.function_dependencies(E.measures(spark, sf_dir)))
+    closed = graph.transitive_dependencies(materialize(direct, "direct"))
+    return closed.where("dependency_type = 'function'").select(MODEL, "measure_name", F.col("referenced_name").alias("function_name"))
+
+
 @query
 def table_dependency_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.table_dependency_graph(graph.transitive_dependencies(_direct(spark, sf_dir)))

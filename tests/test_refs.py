@@ -114,3 +114,37 @@ def test_one_model_with_most_measures_keeps_all_rows(spark):
     tables = measures.select("semantic_model_id", "table_name").distinct().withColumn("is_calculated", F.lit(False))
     deps = refs.direct_dependencies({"semantic_model_measure": measures, "semantic_model_table": tables})
     assert deps.groupBy("dependency_type").count().orderBy("dependency_type").collect() == [("column", n), ("table", n)]
+
+
+def test_options_of_dependencies(spark, rows):
+    from modelsieve.operators import graph
+    from modelsieve.schemas import conform
+
+    def table(name, data, ddl):
+        return conform(spark.createDataFrame(data, ddl), name)
+
+    cat = {
+        "semantic_model_table": table("semantic_model_table", [("m", "Date"), ("m", "Internet Sales"), ("m", "Sales")], "semantic_model_id STRING, table_name STRING"),
+        "semantic_model_column": table("semantic_model_column", [("m", "Sales", "Amount")], "semantic_model_id STRING, table_name STRING, column_name STRING"),
+        "semantic_model_measure": table(
+            "semantic_model_measure",
+            [
+                ("m", "Sales", "A", "COUNTROWS('Internet Sales') + SUM(Sales[AMOUNT])\n-- Date[Old]\n+ [B]"),
+                ("m", "Sales", "B", "CALCULATE(MIN(Sales[amount]))"),
+            ],
+            "semantic_model_id STRING, table_name STRING, measure_name STRING, expression STRING",
+        ),
+    }
+    columns = ("measure_name", "dependency_type", "referenced_table", "referenced_name")
+    plain = set(rows(refs.direct_dependencies(cat), *columns))
+    assert ("A", "column", "Sales", "AMOUNT") in plain and ("A", "column", "Date", "Old") in plain
+    assert ("A", "table", None, "Internet Sales") not in plain
+    direct = refs.direct_dependencies(cat, include_quoted=True, spell_columns=True, dash_comments=True)
+    assert set(rows(direct, *columns)) == {
+        ("A", "column", "Sales", "Amount"), ("A", "table", None, "Internet Sales"), ("A", "measure", "Sales", "B"), ("B", "column", "Sales", "Amount"),
+    }
+    functions = refs.function_dependencies(cat["semantic_model_measure"])
+    closed = graph.transitive_dependencies(direct.unionByName(functions)).where("dependency_type = 'function'")
+    assert rows(closed, "measure_name", "referenced_name") == [
+        ("A", "CALCULATE"), ("A", "COUNTROWS"), ("A", "MIN"), ("A", "SUM"), ("B", "CALCULATE"), ("B", "MIN"),
+    ]
