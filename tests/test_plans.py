@@ -6,21 +6,25 @@ from pyspark.sql import functions as F
 from modelsieve.operators import extract_model, extract_report
 from modelsieve.operators.ranking import running_count
 from modelsieve.plans.fixpoint import grow, materialize, scratch_dir
+from modelsieve.session import ensure_scratch
 from modelsieve.sources.definitions import FILES_DDL, decode_definition_parts
 
 
-def session(master, folder=None):
+def session(master, folder=None, set_later=None):
     return SimpleNamespace(
         conf=SimpleNamespace(get=lambda key, default=None: folder or default),
-        sparkContext=SimpleNamespace(master=master, applicationId="app-" + master),
+        sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: set_later),
     )
 
 
-def test_scratch_folder_comes_from_the_session(tmp_path):
+def test_scratch_folder_comes_from_the_session():
     assert scratch_dir(session("spark://host:7077", "/shared/folder/")) == "/shared/folder"
+    assert scratch_dir(session("local[2]", set_later="/set/later")) == "/set/later"
+    for master in ("yarn", "local[2]"):
+        with pytest.raises(RuntimeError):
+            scratch_dir(session(master))
     with pytest.raises(RuntimeError):
-        scratch_dir(session("yarn"))
-    assert scratch_dir(session("local[2]")) == scratch_dir(session("local[2]"))
+        ensure_scratch(session("yarn"))
 
 
 def test_grow_stops_after_the_rounds_and_on_cycles(spark, rows):
