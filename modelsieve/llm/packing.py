@@ -33,6 +33,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from pathlib import Path
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from modelsieve.llm.common import text_of, written
+from modelsieve.llm.token_count import byte_alphabet
 
 LENGTH = 2048
 END = 0
@@ -53,30 +55,65 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Separators that str.split takes for white space and tokenizers do not.
 _NOT_WHITE = re.compile("[\x1c-\x1f]")
+#: Letters whose lower case and kind no Unicode version changes.
+_LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0100-\u017f]+")
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit numbers; remembers the ids of words."""
+    """Ids of texts as little-endian 32-bit numbers; remembers the ids of words.
+
+    With ``whole_words`` a word of letters, alone or before one mark, is handed to the merges of the
+    tokenizer directly, in lower case and in the stand-ins of its bytes. Any other word goes through
+    the whole tokenizer.
+    """
 
     def __init__(self, definition: str, whole_words: bool) -> None:
         self.tokenizer = Tokenizer.from_str(definition)
+        self.model = self.tokenizer.model
         self.whole_words = whole_words
         self.known: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.stand_ins = {byte: sign for sign, byte in byte_alphabet().items()}
 
     def _merged(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in encoded]
 
+    def _letters(self, word: str) -> bytes | None:
+        """Ids of a word of letters, None if it is not one for sure."""
+        low = word.lower()
+        found = self.letters.get(low)
+        if found is None:
+            if not low.isalpha() or not (low.isascii() or (_LATIN.fullmatch(low) and is_normalized("NFC", low))):
+                return None
+            signs = low if low.isascii() else low.encode().decode("latin-1").translate(self.stand_ins)
+            found = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+            self.letters[low] = found
+        return found
+
+    def _word(self, word: str) -> bytes:
+        ids = self._letters(word)
+        if ids is None and word[-1] in ".,;:!?" and (ids := self._letters(word[:-1])) is not None:
+            ids += self._mark(word[-1])
+        return self._merged([word])[0] if ids is None else ids
+
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self._merged([mark])[0]
+        return self.marks[mark]
+
     def ids(self, text: str) -> bytes:
         if not self.whole_words:
             return self._merged([text])[0]
         words = re.split(r"[ \t\r\n]+", text) if _NOT_WHITE.search(text) else text.split()
-        new = list(set(words).difference(self.known))
-        if new:
-            self.known.update(zip(new, self._merged(new), strict=True))
+        for word in set(words).difference(self.known):
+            self.known[word] = self._word(word) if word else b""
         ids = b"".join(map(self.known.__getitem__, words))
         if len(self.known) > CACHE:
             self.known = {}
+        if len(self.letters) > CACHE:
+            self.letters = {}
         return ids
 
 
