@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelsieve.plans import fixpoint
+from modelsieve.session import ensure_scratch
 
 #: A frame that the driver counted at no more rows than this may be broadcast.
 BROADCAST_ROWS = 200_000
 
 
-def require_scratch(spark: SparkSession) -> None:
-    """Make sure that written intermediate tables have a folder.
-
-    A cluster names it in ``spark.checkpoint.dir``. A local session without that setting, such as
-    a test, gets a folder of its own.
-    """
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="modelsieve-"))
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and kept when executors are lost."""
-    require_scratch(df.sparkSession)
+    ensure_scratch(df.sparkSession)
     return fixpoint.materialize(df, label)
 
 
