@@ -155,6 +155,8 @@ def candidates(found: DataFrame, items: DataFrame, radius: int = RADIUS) -> Data
         .select("item", "n", "item_print", "b.block", "b.key", F.explode(changes).alias("change"))
         .select("item", "n", "item_print", "block", F.col("key").bitwiseXOR(F.col("change")).alias("key"))
     )
+    # A written table has its true size, by which the join is planned.
+    index = written(index, "benchmark-index")
     probes = found.withColumn("print", simhash(F.col("shingles"))).select(
         "*", F.explode(_blocks("print")).alias("b")
     )
