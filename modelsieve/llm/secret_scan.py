@@ -5,7 +5,8 @@ encoded parts, which are decoded into further layers until nothing new appears:
 
 * lines with URL escapes (``%41``) and lines with Unicode escapes (``\\u0041``, ``\\x41``,
   ``\\u{41}``, ``&#65;``, ``&#x41;``), decoded in place so that their surroundings stay;
-* base64 runs (both alphabets) whose bytes are readable text;
+* base64 runs (both alphabets) whose bytes are readable text, each within its line and, where lines
+  of one width follow each other, also joined over the line breaks;
 * compressed data (gzip, zlib, bzip2, xz, Zstandard) within base64, and within itself.
 
 Each character of a layer carries the span of the original text that it came from, so a match in
@@ -54,6 +55,11 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 # The shortest secret of any kind takes this many base64 digits.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{22,}={0,2}")
+# Runs that go on over line breaks, up to the end of a line or a closing character.
+_LINES = re.compile(
+    r"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++(?=={0,2}[\x20\t]*+(?:[\r\n"'`<>)\]},;]|\Z)))++={0,2}"""
+)
+_DIGITS = re.compile(r"[A-Za-z0-9+/_-]+")
 
 Span = tuple[str, int, int]
 
@@ -178,17 +184,63 @@ def _readable(raw: bytes) -> bool:
     return sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.95 * len(text)
 
 
+def _decoded(run: str) -> bytes | None:
+    digits = run.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(digits) % 4 == 1:
+        digits = digits[:-1]
+    try:
+        return base64.b64decode(digits + "=" * (-len(digits) % 4))
+    except (binascii.Error, ValueError):
+        return None
+
+
 def _base64(layer: Layer) -> Iterator[tuple[bytes, Layer]]:
     """Bytes of the base64 runs of a layer, with the run."""
     for m in _BASE64.finditer(layer.text):
-        digits = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(digits) % 4 == 1:
-            digits = digits[:-1]
-        try:
-            raw = base64.b64decode(digits + "=" * (-len(digits) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        yield raw, layer.part(m.start(), m.end())
+        if (raw := _decoded(m.group())) is not None:
+            yield raw, layer.part(m.start(), m.end())
+    if "\n" not in layer.text:
+        return
+    for m in _LINES.finditer(layer.text):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in _DIGITS.finditer(m.group())]
+        for first, end in _wrapped(layer.text, lines):
+            parts = lines[first:end]
+            if sum(b - a for a, b in parts) < 22:
+                continue
+            places = np.concatenate([np.arange(a, b) for a, b in parts])
+            run = layer.through("".join(layer.text[a:b] for a, b in parts), places, places + 1)
+            if (raw := _decoded(run.text)) is not None:
+                yield raw, run
+
+
+def _wrapped(text: str, lines: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """First line and end of each part that may be one wrapped run: lines of one width and a last one.
+
+    A first line within other text may be shorter than those below. Compressed data may also start
+    in any full line.
+    """
+    width = [b - a for a, b in lines]
+    first = 0
+    while first < len(lines) - 1:
+        last = first
+        while last + 1 < len(lines) and width[last + 1] == width[first]:
+            last += 1
+        if last + 1 < len(lines) and width[last + 1] < width[first]:
+            last += 1
+        if last > first:
+            if first == 1 and width[0] < width[1] and text[: lines[0][0]].rpartition("\n")[2].strip():
+                yield 0, last + 1
+            yield first, last + 1
+            for start in range(first + 1, last):
+                head = _decoded(text[lines[start][0] : lines[start][0] + 8])
+                if head and _compressed(head):
+                    yield start, last + 1
+        first = max(last, first + 1) if last == first or width[last] == width[first] else last + 1
+
+
+def _compressed(raw: bytes) -> bool:
+    zlib_head = raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0
+    return zlib_head or raw.startswith((b"\x1f\x8b", b"BZh", b"\xfd7zXZ", b"\x28\xb5\x2f\xfd"))
 
 
 class Scan:
@@ -199,7 +251,7 @@ class Scan:
         self.spans = dict.fromkeys(self.base)
         self.seen: set[bytes] = set()
         self.layers = self.refused = 0
-        if not ("%" in text or "\\" in text or "&#" in text or _BASE64.search(text)):
+        if not ("%" in text or "\\" in text or "&#" in text or _BASE64.search(text) or _LINES.search(text)):
             return
         places = np.arange(len(text))
         self.work = [Layer(text, places, places + 1)]
