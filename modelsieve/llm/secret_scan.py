@@ -5,9 +5,11 @@ encoded parts, which are decoded into further layers until nothing new appears:
 
 * lines with URL escapes (``%41``) and lines with Unicode escapes (``\\u0041``, ``\\x41``,
   ``\\u{41}``, ``&#65;``, ``&#x41;``), decoded in place so that their surroundings stay;
-* base64 runs (both alphabets) whose bytes are readable text, each within its line and, where lines
-  of one width follow each other, also joined over the line breaks;
-* compressed data (gzip, zlib, bzip2, xz, Zstandard) within base64, and within itself.
+* base64 runs (both alphabets), each within its line and, where lines
+  of one width follow each other, also joined over the line breaks; other bytes are scanned one
+  character each, and where every second byte is null as UTF-16;
+* compressed data (gzip, zlib, bzip2, xz, Zstandard) of any number of members within base64, and
+  within itself.
 
 Each character of a layer carries the span of the original text that it came from, so a match in
 any layer is reported as a span of the original text: the matched escapes, the base64 digits that
@@ -15,8 +17,9 @@ hold the bytes, or, for compressed data, the whole run. Layers seen before in th
 opened again, so cycles end. Base matches of the text itself always stay; a decoded match adds a
 span if it is not among them.
 
-A compressed layer is read up to MAX_LAYER bytes, which bounds memory against crafted data; a larger
-one is not opened and is counted in ``n_refused``.
+A layer above MAX_LAYER bytes is scanned in overlapping blocks, which bounds memory but not time
+against crafted data. Only an unbroken base64 run above MAX_LAYER within such a layer, which would
+have to be held as one, is left out and counted in ``n_refused``.
 
 Defined cases: a null text counts as empty and has no span. Every row gives one row, repeated rows
 too. Only the id and text columns are read. Offsets are code points, ends exclusive.
@@ -28,6 +31,7 @@ import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -43,6 +47,11 @@ from modelsieve.llm.common import text_of
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER = 32 << 20
+#: Bytes decompressed at a time, and those of each block of a large layer that the next one repeats.
+BLOCK = 1 << 20
+TAIL = 1 << 16
+#: Layers of compression around a large layer.
+DEPTH = 64
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
@@ -60,6 +69,10 @@ _LINES = re.compile(
     r"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++(?=={0,2}[\x20\t]*+(?:[\r\n"'`<>)\]},;]|\Z)))++={0,2}"""
 )
 _DIGITS = re.compile(r"[A-Za-z0-9+/_-]+")
+# Letters and signs of one byte each in either order of bytes; the shortest secret has 16.
+_UTF16 = re.compile(rb"(?:[^\0]\0){16,}+|(?:\0[^\0]){16,}+")
+_B64 = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
+_PRINTABLE = bytes(range(32, 127)) + b"\t\n\r"
 
 Span = tuple[str, int, int]
 
@@ -149,34 +162,72 @@ def _lines_with(layer: Layer, found: re.Pattern) -> Iterator[Layer]:
         at = end
 
 
-def inflated(raw: bytes) -> bytes | None:
-    """Decompressed bytes, None if they are not compressed; OverflowError beyond MAX_LAYER."""
-    if raw[:2] == b"\x1f\x8b":
-        opener = zlib.decompressobj(31)
-    elif raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-        opener = zlib.decompressobj(15)
-    elif raw[:3] == b"BZh":
-        opener = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        opener = lzma.LZMADecompressor(memlimit=4 * MAX_LAYER)
-    elif raw[:4] == b"\x28\xb5\x2f\xfd":
-        opener = None
-    else:
-        return None
-    try:
-        if opener is None:
-            with zstandard.ZstdDecompressor(max_window_size=MAX_LAYER).stream_reader(raw) as reader:
-                out = reader.read(MAX_LAYER + 1)
-        else:
-            out = opener.decompress(raw, MAX_LAYER + 1)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    if len(out) > MAX_LAYER:
-        raise OverflowError
-    return out
+class _File:
+    """Blocks to be read as a file."""
+
+    def __init__(self, blocks: Iterator[bytes]) -> None:
+        self.blocks, self.rest = blocks, b""
+
+    def read(self, size: int = -1) -> bytes:
+        while not self.rest and (block := next(self.blocks, None)) is not None:
+            self.rest = block
+        out, self.rest = (self.rest, b"") if size < 0 else (self.rest[:size], self.rest[size:])
+        return out
+
+
+def _opener(head: bytes) -> object | None:
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78":
+        return zlib.decompressobj(15)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor(memlimit=4 * MAX_LAYER)
+
+
+def inflated(blocks: Iterator[bytes]) -> Iterator[bytes]:
+    """Decompressed data of all members, in blocks, up to the first damage; nothing if not compressed.
+
+    What follows the last member is passed on as it is.
+    """
+    rest, opened = b"", False
+    while True:
+        while len(rest) < 6 and (more := next(blocks, None)) is not None:
+            rest += more
+        if not _compressed(rest):
+            if opened and rest:
+                yield rest
+                yield from blocks
+            return
+        data, some = rest, False
+        try:
+            if rest.startswith(b"\x28\xb5\x2f\xfd"):
+                source = _File(itertools.chain([rest], blocks))
+                opener = zstandard.ZstdDecompressor(max_window_size=MAX_LAYER)
+                with opener.stream_reader(source, read_across_frames=True) as reader:
+                    while out := reader.read(BLOCK):
+                        some = True
+                        yield out
+                return
+            member = _opener(rest)
+            while not member.eof:
+                out = member.decompress(data, BLOCK)
+                if out:
+                    some = True
+                    yield out
+                data = getattr(member, "unconsumed_tail", b"")
+                if len(out) < BLOCK and not member.eof and not data and (data := next(blocks, None)) is None:
+                    return
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+            if opened and not some:
+                yield rest
+            return
+        rest, opened = member.unused_data.lstrip(b"\0"), True
 
 
 def _readable(raw: bytes) -> bool:
+    if raw.isascii():
+        return len(raw.translate(None, _PRINTABLE)) <= 0.05 * len(raw)
     try:
         text = raw.decode()
     except UnicodeDecodeError:
@@ -184,6 +235,32 @@ def _readable(raw: bytes) -> bool:
     return sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.95 * len(text)
 
 
+def _texts(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Readable bytes as a text; others with each byte as a character, and their UTF-16 stretches."""
+    if _readable(raw):
+        yield _characters(raw)
+        return
+    places = np.arange(len(raw))
+    yield raw.decode("latin-1"), places, places + 1
+    for m in _UTF16.finditer(raw):
+        text = m.group()[0 if m.group()[1] == 0 else 1 :: 2].decode("latin-1")
+        starts = m.start() + 2 * np.arange(len(text))
+        yield text, starts, starts + 2
+
+
+def _unfinished(data: bytes) -> int:
+    """Where the base64 run, over lines or not, starts that may go on after the data."""
+    end = len(data)
+    while True:
+        start = data.rfind(b"\n", 0, end) + 1
+        line = data[start:end].rstrip(b"\x20\t\r")
+        if line.lstrip(b"\x20\t").translate(None, _B64):
+            return start + len(line.rstrip(_B64))
+        if not start:
+            return 0
+        end = start - 1
+
+
 def _decoded(run: str) -> bytes | None:
     digits = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(digits) % 4 == 1:
@@ -255,14 +332,16 @@ class Scan:
             return
         places = np.arange(len(text))
         self.work = [Layer(text, places, places + 1)]
-        first = True
-        while self.work:
+        self._unwrap(self.work.pop())
+        self._drain(0)
+
+    def _drain(self, kept: int) -> None:
+        """Scan and unwrap layers until so many are left."""
+        while len(self.work) > kept:
             layer = self.work.pop()
-            if not first:
-                self.layers += 1
-                for kind, start, end in base_spans(layer.text):
-                    self.spans.setdefault((kind, int(layer.starts[start:end].min()), int(layer.ends[start:end].max())))
-            first = False
+            self.layers += 1
+            for kind, start, end in base_spans(layer.text):
+                self.spans.setdefault((kind, int(layer.starts[start:end].min()), int(layer.ends[start:end].max())))
             self._unwrap(layer)
 
     def _new(self, content: bytes) -> bool:
@@ -287,24 +366,87 @@ class Scan:
             for line in _lines_with(layer, _ESCAPE):
                 self._add(_in_place(line, _ESCAPE, _escape))
         for raw, run in _base64(layer):
-            if _readable(raw):
-                text, starts, ends = _characters(raw)
-                self._add(run.through(text, starts * 4 // 3, np.minimum((ends * 4 + 2) // 3, len(run.text))))
-            else:
-                self._open(raw, run)
+            if _compressed(raw) and self._open(raw, run):
+                continue
+            for text, starts, ends in _texts(raw):
+                if text:
+                    self._add(run.through(text, starts * 4 // 3, np.minimum((ends * 4 + 2) // 3, len(run.text))))
+
+    def _open(self, raw: bytes, run: Layer) -> bool:
+        """Decompress, again and again, and add the texts as layers that stand for the whole run.
 
-    def _open(self, raw: bytes, run: Layer) -> None:
-        """Decompress, again and again, and add the text as a layer that stands for the whole run."""
+        False if the bytes are not compressed.
+        """
         first, last = int(run.starts.min()), int(run.ends.max())
         place = f"raw {first}:{last}:".encode()
-        try:
-            while (out := inflated(raw)) is not None and self._new(place + out):
-                raw = out
-                if _readable(raw):
-                    text = raw.decode()
-                    self._add(Layer(text, np.full(len(text), first), np.full(len(text), last)))
-        except OverflowError:
+        opened = False
+        while True:
+            blocks, out = inflated(iter([raw])), bytearray()
+            for block in blocks:
+                out += block
+                if len(out) > MAX_LAYER:
+                    self._large(itertools.chain([bytes(out)], blocks), first, last)
+                    return True
+            if not out:
+                break
+            opened, raw = True, bytes(out)
+            if not self._new(place + raw):
+                return True
+        if opened:
+            self._whole(raw, first, last)
+        return opened
+
+    def _whole(self, raw: bytes, first: int, last: int) -> None:
+        for text, _, _ in _texts(raw):
+            self._add(Layer(text, np.broadcast_to(first, len(text)), np.broadcast_to(last, len(text))))
+
+    def _large(self, blocks: Iterator[bytes], first: int, last: int) -> None:
+        """A layer beyond MAX_LAYER, block by block.
+
+        Each block repeats the end of the one before, and a base64 run that is not at its end is
+        carried on. One above MAX_LAYER is left out and counted as refused.
+        """
+        for _ in range(DEPTH):
+            head = next(blocks, b"")
+            if not _compressed(head):
+                break
+            inner = inflated(itertools.chain([head], blocks))
+            if (out := next(inner, None)) is None:
+                break
+            head, blocks = b"", itertools.chain([out], inner)
+        else:
             self.refused += 1
+            return
+        tail, skipping = b"", False
+        for block in itertools.chain([head], blocks):
+            if skipping:
+                block = block.lstrip(_B64 + b"\x20\t\r\n")
+                if not block:
+                    continue
+                skipping = False
+            data = tail + block
+            if len(data) < BLOCK:
+                tail = data
+                continue
+            cut = _unfinished(data)
+            self._piece(data[:cut], first, last)
+            if len(data) - cut > MAX_LAYER:
+                self.refused += 1
+                tail, skipping = b"", True
+            else:
+                tail = data[max(0, min(cut, len(data) - TAIL)) :]
+            if all((kind, first, last) in self.spans for kind in KINDS):
+                return
+        cut = _unfinished(tail)
+        if len(tail) - cut > MAX_LAYER:
+            self.refused += 1
+            tail = tail[:cut]
+        self._piece(tail, first, last)
+
+    def _piece(self, data: bytes, first: int, last: int) -> None:
+        kept = len(self.work)
+        self._whole(data, first, last)
+        self._drain(kept)
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

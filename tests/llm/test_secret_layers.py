@@ -1,8 +1,16 @@
 """Secrets in wrapped, binary and large encoded layers."""
 
 import base64
+import bz2
 import gzip
+import io
+import lzma
 import random
+import tarfile
+import zlib
+
+import pytest
+import zstandard
 
 from modelsieve.llm import secret_scan
 
@@ -33,3 +41,45 @@ def test_wrapped_base64():
             digits = [i for i, c in enumerate(text) if i > 4 and not c.isspace()]
             first, last = (pad + 1) * 4 // 3, ((pad + 1 + len(secret) - 1) * 4 + 2) // 3
             assert ("assign", digits[first], digits[last - 1] + 1) in secret_scan.Scan(text).spans
+
+
+SECRET = 'password = "Zx81kkQm27vvTTp0"'
+
+
+def archive():
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as tar:
+        entry = tarfile.TarInfo("settings.txt")
+        entry.size = len(SECRET)
+        tar.addfile(entry, io.BytesIO(SECRET.encode()))
+    return out.getvalue()
+
+
+@pytest.mark.parametrize(
+    "raw",
+    [
+        archive(),
+        SECRET.encode("utf-16"),
+        SECRET.encode("utf-16-be"),
+        gzip.compress(SECRET.encode("utf-16")),
+        f"caf\xe9 {SECRET}".encode("latin-1"),
+        *(pack(b"first") + pack(SECRET.encode()) for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress, zstandard.compress)),
+        gzip.compress(b"first") + SECRET.encode(),
+    ],
+)
+def test_binary_layers(raw):
+    assert kinds(f"a {b64(raw)} b") == {"assign"}
+
+
+def test_large_layers_are_scanned_in_blocks(monkeypatch):
+    monkeypatch.setattr(secret_scan, "MAX_LAYER", 100_000)
+    monkeypatch.setattr(secret_scan, "BLOCK", 10_000)
+    monkeypatch.setattr(secret_scan, "TAIL", 1_000)
+    prose = b"some words. " * 30_000
+    inner = wrapped(gzip.compress(random.Random(4).randbytes(30_000) + SECRET.encode()), 76).encode()
+    for shift in range(0, 60, 7):
+        for secret in (SECRET.encode(), inner):
+            data = prose + b"." * shift + b"\n" + secret + b"\n" + prose
+            for raw in (gzip.compress(data), gzip.compress(bz2.compress(data))):
+                scan = secret_scan.Scan(b64(raw))
+                assert ({k for k, _, _ in scan.spans}, scan.refused) == ({"assign"}, 0)
