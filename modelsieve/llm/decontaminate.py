@@ -12,11 +12,13 @@ its n shingles with the item. Windows that hold fewer shingles of items of their
 and are left out before the fingerprints; no other window is left out. RADIUS is wide for s = 0.8
 (expected distance 10 bits, standard deviation 3); windows at or near equality lie within a few bits.
 
+A document with fewer shingles than the item has one window, its whole list, if it holds enough of
+them: s times the size of the item at least, since no smaller text reaches the similarity.
+
 Only DataFrame functions are used. Shingles are compared by 64-bit hashes of their words: a window
 passes by collisions only if most of its shingles collide.
 
-Defined cases: a null or empty text has no window and is clean; so is a text shorter than every
-item. An item with fewer than five words has no shingle and is not searched. An item without an id is
+Defined cases: a null or empty text has no window and is clean. An item with fewer than five words has no shingle and is not searched. An item without an id is
 named by its text. Equal items match together. Rows with one id and different texts are reported together under
 that id, and repeated rows each keep their row. A null id is reported like any other id. Only
 the id and text columns are read.
@@ -85,6 +87,11 @@ def needed_shingles(n: Column, similarity: float) -> Column:
     return F.ceil(n * F.lit(2 * similarity / (1 + similarity)) - F.lit(1e-9)).cast("int")
 
 
+def fewest_shingles(n: Column, similarity: float) -> Column:
+    """Shingles of the smallest text that can be similar to an item of ``n``."""
+    return F.ceil(n * F.lit(similarity) - F.lit(1e-9)).cast("int")
+
+
 def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Item id, its shingle hashes, their number ``n`` and the fingerprint; a written table."""
     unnamed = F.concat(F.lit("unnamed-"), F.hex(F.xxhash64(text_of(text_col))))
@@ -97,9 +104,9 @@ def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str
 
 
 def windows(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Item-sized windows that hold enough shingles of items of their size.
+    """Item-sized windows, and whole shorter texts, that hold enough shingles of items of their size.
 
-    ``docs`` has ``id`` and ``body``. Returns ``id``, ``text_key``, ``start`` (word number from 1),
+    ``n`` is the size of the items. ``docs`` has ``id`` and ``body``. Returns ``id``, ``text_key``, ``start`` (word number from 1),
     ``n`` and the window's ``shingles``.
     """
     keyed = docs.select("id", "body", F.xxhash64("body").alias("text_key"))
@@ -110,7 +117,9 @@ def windows(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -
         .groupBy("id", "text_key", "n")
         .agg(F.array_sort(F.collect_set(F.col("at") + 1)).alias("at"))
         .withColumn("need", needed_shingles(F.col("n"), similarity))
-        .where("size(at) >= need")
+        .withColumn("fewest", fewest_shingles(F.col("n"), similarity))
+        # A text with fewer shingles than the item has no hit beyond its end.
+        .where("size(at) >= need or (size(at) >= fewest and element_at(at, -1) < n)")
     )
     # The i-th to the (i + need - 1)-th hit lie in a window that starts after the hit before the
     # i-th and reaches the last of them.
@@ -128,8 +137,9 @@ def windows(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -
     starts = F.flatten(
         F.transform(F.filter(ranges, lambda r: r["first"] <= r["last"]), lambda r: F.sequence(r["first"], r["last"]))
     )
+    starts = F.when(F.size("at") >= F.col("need"), starts).otherwise(F.array().cast("array<int>"))
     per_text = (
-        hits.select("id", "text_key", F.struct("n", starts.alias("starts")).alias("size"))
+        hits.select("id", "text_key", F.struct("n", starts.alias("starts"), "fewest").alias("size"))
         .groupBy("id", "text_key")
         .agg(F.collect_list("size").alias("sizes"))
         .withColumnsRenamed({"id": "hit_id", "text_key": "hit_key"})
@@ -138,9 +148,12 @@ def windows(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -
     texts = keyed.join(
         per_text, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key"))
     ).select("id", "text_key", shingle_hashes(words_of(F.col("body"))).alias("all"), F.explode("sizes").alias("size"))
+    shorter = F.size("all") < F.col("size.n")
+    at = F.when(shorter, F.array(F.lit(1))).otherwise(F.col("size.starts"))
+    fits = (F.col("start") + F.col("n") - 1 <= F.size("all")) | F.size("all").between(F.col("fewest"), F.col("n") - 1)
     return (
-        texts.select("id", "text_key", "all", F.col("size.n").alias("n"), F.explode("size.starts").alias("start"))
-        .where(F.col("start") + F.col("n") - 1 <= F.size("all"))
+        texts.select("id", "text_key", "all", F.col("size.n").alias("n"), F.col("size.fewest").alias("fewest"), F.explode(at).alias("start"))
+        .where(fits)
         .select("id", "text_key", "start", "n", F.slice("all", F.col("start"), F.col("n")).alias("shingles"))
     )
 
@@ -211,7 +224,7 @@ def matches(
         near.join(own, "item")
         .withColumn("similarity", weighted_similarity(F.col("shingles"), F.col("item_shingles")))
         .where(F.col("similarity") >= similarity)
-        .select("id", "text_key", "item", "start", (F.col("n") + SHINGLE - 1).alias("n_words"), "similarity")
+        .select("id", "text_key", "item", "start", (F.size("shingles") + SHINGLE - 1).alias("n_words"), "similarity")
     )
 
 
