@@ -250,10 +250,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
     """The documents without any benchmark passage, with all their columns."""
-    bad = matches(docs, benchmark, id_col, **options).select(F.col("id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    bad = matches(docs, benchmark, id_col, text_col, **options)
+    bad = bad.select(F.col("id").alias("__bad"), F.col("text_key").alias("__bad_text")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__bad")) & (F.col("__text") == F.col("__bad_text"))
+    return docs.withColumn("__text", F.xxhash64(text_of(text_col))).join(bad, same, "left_anti").drop("__text")
 
 
 def radius_recall(similarity: float, radius: int = RADIUS) -> float:

@@ -1,6 +1,6 @@
 """Benchmark passages in short texts, and rows that share an id."""
 
-from modelsieve.llm import decontaminate
+from modelsieve.llm import decontaminate, order_minhash
 
 ITEM = [f"w{i}" for i in range(44)]
 
@@ -22,3 +22,21 @@ def test_texts_shorter_than_the_item_they_copy(spark):
     assert {i: round(s, 9) for i, s in got.items()} == {i: round(s, 9) for i, s in expected.items()}
     words = {r["id"]: r["n_words"] for r in decontaminate.matches(docs, benchmark).collect() if r["id"] in (2, 3, 4)}
     assert words == {2: 43, 3: 39, 4: 36}
+
+
+def test_rows_are_dropped_by_id_and_text(spark):
+    item = " ".join(ITEM)
+    rows = [(None, item), (None, "a clean text without id or passage"), (7, item), (7, "another clean text of the same id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(docs, benchmark)
+    assert kept.columns == docs.columns
+    assert sorted(r["text"] for r in kept.collect()) == sorted([rows[1][1], rows[3][1]])
+
+    alone = "a text of its own that no row with an id repeats"
+    rows = [(None, item), (1, item), (2, item), (None, alone), (2, "something else that only row two holds")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = order_minhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"]) == [(1, item), rows[4]]
+    assert [r["text"] for r in kept.collect() if r["doc_id"] is None] == [alone]
