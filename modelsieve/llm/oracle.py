@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from modelsieve.llm.oracle_climbs import ORACLES as CLIMBS
 
 
 def _merkle_sql() -> str:
@@ -57,6 +58,7 @@ def _merkle_sql() -> str:
 
 
 ORACLES: dict[str, str] = {
+    **CLIMBS,
     "op6_warc_fixity": _merkle_sql(),
     "op1_exact_dedup": r"""
         WITH t AS (

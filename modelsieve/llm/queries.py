@@ -6,8 +6,24 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from modelsieve.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, order_minhash, packing, secret_scan, token_count, warc_fixity
+from pyspark.sql import functions as F
+
+from modelsieve.llm import (
+    conversation_repair,
+    decontaminate,
+    exact_dedup,
+    language_id,
+    license_scan,
+    line_dedup,
+    merkle_manifest,
+    order_minhash,
+    packing,
+    secret_scan,
+    token_count,
+    url_filter,
+    warc_fixity,
+)
+from modelsieve.llm.rules import LISTED_SITES, URL_RULES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +77,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), path)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, with known damage, and what repairs them."""
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversations, conversation_repair.damaged(conversations))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages; listed are the URLs of all pages on junk sites."""
+    pages = table(spark, sf_dir, "pages")
+    junk = url_filter.host_of(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_SITES)})\.")
+    return url_filter.verdicts(pages, spark.createDataFrame(URL_RULES, url_filter.RULE), pages.where(junk))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verified(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_license_scan": op2_license_scan,
@@ -72,4 +105,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_packing": op10_packing,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_url_filter": op12_url_filter,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }

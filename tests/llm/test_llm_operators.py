@@ -38,7 +38,7 @@ from modelsieve.llm.oracle import ORACLES
 from modelsieve.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark", "pages")
+TABLES = ("documents", "benchmark", "pages", "conversations")
 
 
 @pytest.fixture(scope="module")
