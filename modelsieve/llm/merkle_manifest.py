@@ -4,8 +4,9 @@ Every row is a leaf. Per language the leaves, by id, are paired level by level u
 subroots are paired likewise up to the root. STRIDE levels are built in one grouping: the nodes that
 share a position after STRIDE halvings form a block of at most 2**STRIDE nodes. A block's node rows are
 stored; each has the sibling of every level of its block and a link to the row of the node that the
-block leads to. A recursive query then climbs from every leaf along the links, appends the siblings
-and folds the (perhaps tampered) hash of the leaf.
+block leads to (the rows that lead to a subroot have its siblings on the way to the root as well). A
+recursive query then climbs from every leaf along the links, appends the siblings and folds the (perhaps
+tampered) hash of the leaf. A round of the climb moves every leaf once; 24 levels take two rounds.
 
 All leaves of a language pass the same few rows near the top. A linked row is therefore stored once per
 SPREAD leaves below it, and each leaf takes the copy of its own number, so that no key of the climb
@@ -30,7 +31,7 @@ from modelsieve.llm.common import written
 from modelsieve.operators.ranking import running_count
 
 #: Levels of the tree in one stored row, and leaves that share one copy of a row.
-STRIDE = 8
+STRIDE = 12
 SPREAD = 4096
 #: Name of the tree over the subroots; the trees of languages are named "" (null) or "=" and the language.
 TOP = "^"
@@ -90,23 +91,32 @@ def _blocks(nodes: DataFrame, level: int, stride: int) -> DataFrame:
 
 def _rows(blocks: DataFrame, level: int, stride: int) -> DataFrame:
     """The node rows of blocks; ``steps`` has the level-by-level siblings, null where a node is alone."""
-    each = blocks.select("*", F.posexplode("nodes").alias("at", "node"))
-    steps = [
-        F.when(
-            F.col("height") > level * stride + k,
-            F.struct(
-                F.expr(f"shiftright(at, {k}) % 2 = 1").alias("left"),
-                F.get(F.col(f"l{k}"), F.expr(f"shiftright(at, {k}) ^ 1")).alias("digest"),
-            ),
-        )
-        for k in range(stride)
-    ]
-    return each.select(
-        "tree", F.lit(level).alias("level"), F.col("node.pos").alias("pos"), F.col("node.digest").alias("digest"),
-        F.col("node.size").alias("leaves"), F.col("node.about").alias("about"), F.filter(F.array(*steps), lambda s: s.isNotNull()).alias("steps"),
-        F.when(F.col("height") > (level + 1) * stride, F.struct(F.col("tree").alias("tree"), F.lit(level + 1).alias("level"), F.col("block").alias("pos"))).alias("up"),
+
+    def row(node: Column, at: Column) -> Column:
+        steps = [
+            F.when(
+                F.col("height") > level * stride + k,
+                F.struct(
+                    (F.shiftright(at, k) % 2 == 1).alias("left"),
+                    F.get(F.col(f"l{k}"), F.shiftright(at, k).bitwiseXOR(F.lit(1))).alias("digest"),
+                ),
+            )
+            for k in range(stride)
+        ]
+        return F.struct(
+            node["pos"].alias("pos"), node["digest"].alias("digest"), node["size"].alias("leaves"),
+            node["about"].alias("about"), F.filter(F.array(*steps), lambda s: s.isNotNull()).alias("steps"),
+        )
+
+    up = F.struct(F.col("tree").alias("tree"), F.lit(level + 1).alias("level"), F.col("block").alias("pos"))
+    linked = blocks.select(
+        "tree",
+        F.lit(level).alias("level"),
+        F.when(F.col("height") > (level + 1) * stride, up).alias("up"),
         F.col("size").alias("up_leaves"),
-    )
+        F.transform("nodes", row).alias("nodes"),
+    )
+    return linked.select("tree", "level", "up", "up_leaves", F.inline("nodes"))
 
 
 def _grow(nodes: DataFrame, stride: int) -> tuple[DataFrame, DataFrame]:
@@ -129,7 +139,9 @@ def _grow(nodes: DataFrame, stride: int) -> tuple[DataFrame, DataFrame]:
 def _with_height(nodes: DataFrame) -> DataFrame:
     """Levels above the leaves of each tree: halvings until one node remains."""
     last = nodes.groupBy("tree").agg(F.max("pos").alias("last"))
-    return nodes.join(last.select("tree", F.when(F.col("last") > 0, F.length(F.bin("last"))).otherwise(0).alias("height")), "tree")
+    height = F.when(F.col("last") > 0, F.length(F.bin("last"))).otherwise(0)
+    # Written first, so that its size is known: the nodes are not dealt out by tree, one of which may hold most.
+    return nodes.join(written(last.select("tree", height.alias("height")), "manifest-heights"), "tree")
 
 
 def manifest(docs: DataFrame, stride: int = STRIDE) -> tuple[DataFrame, DataFrame, str | None]:
@@ -146,16 +158,15 @@ def manifest(docs: DataFrame, stride: int = STRIDE) -> tuple[DataFrame, DataFram
     tops = written(_with_height(tops.withColumn("about", F.struct("name"))), "manifest-top")
     top_rows, root = _grow(tops, stride)
     found = root.first()
-    # The last row of a language leads to its subroot's row in the tree over the subroots.
-    links = tops.select(
-        F.col("name").alias("tree"),
-        F.struct(F.lit(TOP).alias("tree"), F.lit(0).alias("level"), "pos").alias("top"),
-        F.col("size").alias("top_leaves"),
+    # The last rows of a language go on with the steps of its subroot in the tree over the subroots.
+    links = top_rows.where("level = 0").select(
+        F.col("about.name").alias("tree"), F.col("steps").alias("top"), F.col("up").alias("over"), F.col("up_leaves").alias("over_leaves")
     )
     last = rows.where("up is null").join(links, "tree")
-    last = last.withColumn("up", F.col("top")).withColumn("up_leaves", F.col("top_leaves")).drop("top", "top_leaves")
+    last = last.withColumns({"steps": F.concat("steps", "top"), "up": F.col("over"), "up_leaves": F.col("over_leaves")})
     nothing = F.lit(None).cast(rows.schema["about"].dataType)
-    nodes = rows.where("up is not null").unionByName(last).unionByName(top_rows.withColumn("about", nothing))
+    higher = top_rows.where("level > 0").withColumn("about", nothing)
+    nodes = rows.where("up is not null").unionByName(last.drop("top", "over", "over_leaves")).unionByName(higher)
     return written(nodes, "manifest-nodes"), ends, None if found is None else found["digest"].hex()
 
 
@@ -167,7 +178,7 @@ SIBLINGS = "aggregate({steps}, {start}, (p, s) -> concat(p, coalesce(s.digest, c
 
 def climbs(nodes: DataFrame, spread: int = SPREAD) -> DataFrame:
     """``doc_id, tree, leaf, folded, proof`` of every leaf: the end of its climb along the links."""
-    is_leaf = (F.col("level") == 0) & (F.col("tree") != TOP)
+    is_leaf = F.col("level") == 0
     copies = F.expr(f"sequence(0L, (leaves - 1) div {spread})")
     upper = nodes.where(~is_leaf).withColumn("copy", F.explode(copies))
     query = f"""
