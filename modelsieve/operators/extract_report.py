@@ -6,9 +6,8 @@ their JSON text. Everything after that is shared.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,7 +203,7 @@ def visual_documents(files: DataFrame, legacy: DataFrame) -> DataFrame:
     modern = files.where(F.col("rel_path").rlike(_VISUAL_FILE)).select(
         _report_id(),
         F.regexp_extract("rel_path", _VISUAL_FILE, 1).alias("folder"),
-        _json("content", "$.name").alias("name"),
+        J.parsed(F.col("content"), "STRUCT<name: STRING>")["name"].alias("name"),
         F.col("content").alias("doc"),
         _json("content", "$.filterConfig.filters").alias("filters"),
         F.lit(None).cast("struct<x:double,y:double,width:double,height:double>").alias("container_position"),
@@ -233,9 +232,11 @@ def report_visuals(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return visual_documents(files, legacy_visuals), pages
 
 
-_TEXT_OBJECTS = "ARRAY<STRUCT<properties: STRUCT<text: STRUCT<expr: STRUCT<Literal: STRUCT<Value: STRING>>>>>>"
-_LINK_OBJECTS = (
-    "ARRAY<STRUCT<properties: STRUCT<navigationSection: STRUCT<expr: STRUCT<Literal: STRUCT<Value: STRING>>>>>>"
+_LITERAL = "STRUCT<expr: STRUCT<Literal: STRUCT<Value: STRING>>>"
+_SHOWN = (
+    "STRUCT<position: STRUCT<x: STRING, y: STRING, width: STRING, height: STRING>, singleVisual: STRUCT<visualType: STRING>, "
+    f"visual: STRUCT<visualType: STRING, objects: STRUCT<text: ARRAY<STRUCT<properties: STRUCT<text: {_LITERAL}>>>>, "
+    f"visualContainerObjects: STRUCT<visualLink: ARRAY<STRUCT<properties: STRUCT<navigationSection: {_LITERAL}>>>>>>"
 )
 
 
@@ -247,24 +248,21 @@ def _last_literal(entries: F.Column, prop: str) -> F.Column:
 
 def extract_visuals(visuals: DataFrame, pages: DataFrame) -> DataFrame:
     """Visual rows: type, position (defaults 0, 0, 100, 100), text and navigation target."""
+    shown = visuals.select(*_KEYS, "name", "container_position", J.parsed(F.col("doc"), _SHOWN).alias("v"))
 
     def position(name: str, default: float) -> F.Column:
-        return F.coalesce(
-            F.col(f"container_position.{name}"), _json("doc", f"$.position.{name}").try_cast("double"), F.lit(default)
-        )
+        return F.coalesce(F.col(f"container_position.{name}"), F.col(f"v.position.{name}").try_cast("double"), F.lit(default))
 
-    texts = F.from_json(_json("doc", "$.visual.objects.text"), _TEXT_OBJECTS)
-    links = F.from_json(_json("doc", "$.visual.visualContainerObjects.visualLink"), _LINK_OBJECTS)
-    found = visuals.select(
+    found = shown.select(
         *_KEYS,
         "name",
-        F.coalesce(_json("doc", "$.visual.visualType"), _json("doc", "$.singleVisual.visualType")).alias("visual_type"),
+        F.coalesce("v.visual.visualType", "v.singleVisual.visualType").alias("visual_type"),
         position("x", 0.0).alias("x"),
         position("y", 0.0).alias("y"),
         position("width", 100.0).alias("width"),
         position("height", 100.0).alias("height"),
-        _last_literal(texts, "text").alias("text_content"),
-        _last_literal(links, "navigationSection").alias("navigation_target"),
+        _last_literal(F.col("v.visual.objects.text"), "text").alias("text_content"),
+        _last_literal(F.col("v.visual.visualContainerObjects.visualLink"), "navigationSection").alias("navigation_target"),
     )
     return conform(with_page_names(found, pages), "report_visual")
 
@@ -273,107 +271,65 @@ _FROM = f"STRUCT<`From`: {J.ALIASES}>"
 _QUERY = f"STRUCT<prototypeQuery: {_FROM}, singleVisual: STRUCT<prototypeQuery: {_FROM}>>"
 
 
-def query_aliases(parsed: F.Column) -> F.Column:
-    """Alias map of a parsed visual: its own query prototype, else that of ``singleVisual``."""
-    return J.alias_map(F.coalesce(parsed["prototypeQuery"]["From"], parsed["singleVisual"]["prototypeQuery"]["From"]))
-
-
 def visual_aliases(visuals: DataFrame, pages: DataFrame) -> DataFrame:
     """Alias → entity rows of the query of each visual."""
-    parsed = visuals.select(*_KEYS, F.col("name").alias("visual_name"), F.from_json("doc", _QUERY).alias("v"))
-    found = parsed.select(*_KEYS, "visual_name", F.explode(query_aliases(F.col("v"))).alias("alias", "entity"))
+    parsed = visuals.select(*_KEYS, F.col("name").alias("visual_name"), J.parsed(F.col("doc"), _QUERY).alias("v"))
+    found = parsed.select(*_KEYS, "visual_name", F.explode(J.query_aliases(F.col("v"))).alias("alias", "entity"))
     return with_page_names(found, pages)
 
 
-_FACTS = (
-    "report_id STRING, folder STRING, visual_name STRING, fact STRING, ref STRING, "
-    "filter_name STRING, table_name STRING, column_name STRING, filter_description STRING"
-)
-
-
-def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for *keys, doc, filters in batch.itertuples(index=False, name=None):
-            filters = J.parsed(filters)
-            for kind, ref in J.document_refs(J.parsed(doc), filters):
-                rows.append((*keys, kind, ref, None, None, None, None))
-            for parts in J.filter_parts(filters):
-                rows.append((*keys, "filter", None, *parts))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _FACTS.split(", ")], dtype=object)
-
-
-def visual_facts(visuals: DataFrame) -> DataFrame:
-    """Field references and filters of visual documents, each document parsed once.
+def extract_field_refs(visuals: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row per field reference occurrence: ``report_id, page_name, visual_name, kind, ref``.
 
-    ``fact`` is ``column`` or ``measure`` (with ``ref``) or ``filter`` (with the filter columns).
+    See :func:`report_json.document_refs` for what counts.
     """
-    return visuals.select(*_KEYS, F.col("name").alias("visual_name"), "doc", "filters").mapInPandas(_facts, _FACTS)
-
+    refs = visuals.select(*_KEYS, F.col("name").alias("visual_name"), F.explode(J.document_refs(F.col("doc"), F.col("filters"))).alias("r"))
+    return with_page_names(refs.select(*_KEYS, "visual_name", "r.kind", "r.ref"), pages)
 
-def field_refs(facts: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row per field reference occurrence: ``report_id, page_name, visual_name, kind, ref``."""
-    found = facts.where(F.col("fact") != "filter").select(*_KEYS, "visual_name", F.col("fact").alias("kind"), "ref")
-    return with_page_names(found, pages)
 
-
-def extract_field_refs(visuals: DataFrame, pages: DataFrame) -> DataFrame:
-    """Field reference occurrences of visuals; see :func:`report_json.document_refs` for what counts."""
-    return field_refs(visual_facts(visuals), pages)
+def unreadable_documents(files: DataFrame) -> DataFrame:
+    """``report_id, rel_path`` of JSON documents that are no JSON objects; nothing is extracted from these."""
+    documents = files.where(F.col("rel_path").rlike(r"\.json$") | (F.col("rel_path") == "definition.pbir"))
+    return documents.where(~J.is_readable(F.col("content"))).select(_report_id(), "rel_path")
 
 
 def filter_rows(owners: DataFrame, level: str) -> DataFrame:
-    """Filters of reports or pages.
+    """Filters of reports, pages or visuals.
 
-    ``owners`` has ``report_id``, ``page_name`` and ``filters`` (JSON array text).
+    ``owners`` has ``report_id``, ``folder`` or ``page_name``, perhaps ``visual_name`` and ``filters`` (JSON
+    array text); where that is null, a visual's ``doc`` may have filters that are nested too deeply for it.
     """
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["report_id", "page_name", "filter_name", "table_name", "column_name", "filter_description"]
-        for batch in batches:
-            rows = [
-                (report, page, *parts)
-                for report, page, filters in batch.itertuples(index=False, name=None)
-                for parts in J.filter_parts(J.parsed(filters))
-            ]
-            yield pd.DataFrame(rows, columns=names, dtype=object)
-
-    schema = "report_id STRING, page_name STRING, filter_name STRING, table_name STRING, column_name STRING, filter_description STRING"
-    found = owners.where("filters is not null").select("report_id", "page_name", "filters").mapInPandas(parse, schema)
-    return found.withColumn("level", F.lit(level))
-
-
-def all_filters(reports: DataFrame, pages: DataFrame, facts: DataFrame) -> DataFrame:
-    """Filters of all three levels in one frame with a ``level`` column."""
-    at_report = reports.select("report_id", F.lit(None).cast("string").alias("page_name"), "filters")
-    at_page = pages.select("report_id", F.col("name").alias("page_name"), "filters")
-    found = filter_rows(at_report, "report").unionByName(filter_rows(at_page, "page"))
-    at_visual = facts.where(F.col("fact") == "filter").drop("fact", "ref").withColumn("level", F.lit("visual"))
-    in_visuals = with_page_names(at_visual, pages)
-    return conform(found, "report_filter").unionByName(conform(in_visuals, "report_filter"))
+    owns = "doc" in owners.columns
+    parts = J.filter_parts(F.col("filters"), J.own_filters(F.col("doc")) if owns else None)
+    names = [c for c in owners.columns if c not in ("filters", "doc")]
+    with_any = owners if owns else owners.where("filters is not null")
+    return with_any.select(*names, F.inline(parts)).withColumn("level", F.lit(level))
 
 
 def extract_filters(reports: DataFrame, pages: DataFrame, visuals: DataFrame) -> DataFrame:
-    """Filters of reports, pages and visuals."""
-    return all_filters(reports, pages, visual_facts(visuals))
+    """Filters of reports, pages and visuals in one frame with a ``level`` column."""
+    at_report = filter_rows(reports.select("report_id", F.lit(None).cast("string").alias("page_name"), "filters"), "report")
+    at_page = filter_rows(pages.select("report_id", F.col("name").alias("page_name"), "filters"), "page")
+    owners = visuals.select(*_KEYS, F.col("name").alias("visual_name"), "filters", "doc")
+    at_visual = with_page_names(filter_rows(owners, "visual"), pages)
+    found = (conform(rows, "report_filter") for rows in (at_report, at_page, at_visual))
+    return reduce(DataFrame.unionByName, found)
 
 
 def extract_report_catalog(files: DataFrame) -> dict[str, DataFrame]:
     """All report tables of the catalog from definition files.
 
-    The facts of visuals are written once, as three tables come from them; documents are parsed
-    in that one pass.
+    The field references are written once, as two tables come from them.
     """
     found = files.where(F.col("item_kind") == "report") if "item_kind" in files.columns else files
     headers = extract_report_header(found)
     visuals, pages = report_visuals(found)
-    facts = materialize(visual_facts(visuals), "visual-facts")
-    refs = field_refs(facts, pages)
+    refs = materialize(extract_field_refs(visuals, pages), "field-refs")
     return {
         "report": conform(headers, "report"),
         "report_page": conform(pages, "report_page"),
         "report_visual": extract_visuals(visuals, pages),
         "report_column_used": column_usage(refs),
         "report_measure_used": measure_usage(refs),
-        "report_filter": all_filters(headers, pages, facts),
+        "report_filter": extract_filters(headers, pages, visuals),
     }

@@ -96,10 +96,7 @@ def transitive_dependencies(direct: DataFrame) -> DataFrame:
 
 
 def table_dependency_graph(dependencies: DataFrame) -> DataFrame:
-    """Owner table → other tables that its measures name, without self edges.
-
-    Follows the ``table`` rows of the dependencies, as column rows are a separate kind.
-    """
+    """Owner table → other tables that its measures name, alone or with a column, without self edges."""
     return (
         dependencies.where((F.col("dependency_type") == "table") & (F.coalesce("measure_table", F.lit("")) != ""))
         .select(MODEL, F.col("measure_table").alias("table_name"), F.col("referenced_name").alias("depends_on"))

@@ -47,6 +47,11 @@ def reference_rows(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
 
 
 def resolved_refs(df: DataFrame, text: str, keep: Sequence[str], tables: DataFrame, measures: DataFrame) -> DataFrame:
+    """References of each expression, each once; see :func:`reference_occurrences`."""
+    return reference_occurrences(df, text, keep, tables, measures).distinct()
+
+
+def reference_occurrences(df: DataFrame, text: str, keep: Sequence[str], tables: DataFrame, measures: DataFrame) -> DataFrame:
     """References of each expression in long form, spelled as in the model.
 
     Output: ``keep``, ``dependency_type`` (``column`` or ``measure``), ``referenced_name``,
@@ -79,7 +84,7 @@ def resolved_refs(df: DataFrame, text: str, keep: Sequence[str], tables: DataFra
         .otherwise(F.coalesce("__home.table_name", F.lit("")))
         .alias("referenced_table"),
         F.when(is_column, F.col("__table").isNotNull()).otherwise(F.col("__home").isNotNull()).alias("is_known"),
-    ).distinct()
+    )
 
 
 _MEASURE_KEYS = (MODEL, "table_name", "measure_name")
@@ -242,31 +247,41 @@ def _dependencies(
     spell_columns: bool,
     dash_comments: bool,
 ) -> DataFrame:
-    """Table, column and measure rows of expressions: ``keep`` and the three dependency columns."""
+    """Table, column and measure rows of expressions: ``keep`` and the three dependency columns.
+
+    A column reference names its table too, the home table of a measure included: it gives a row of
+    each kind.
+    """
     tables = cat["semantic_model_table"]
     if dash_comments:
         texts = texts.withColumn(text, X.clean_expression(F.col(text), dash_comments=True))
-    refs = resolved_refs(texts, text, keep, tables, cat["semantic_model_measure"]).drop("is_known")
+    refs = reference_occurrences(texts, text, keep, tables, cat["semantic_model_measure"]).drop("is_known")
+    is_column = F.col("dependency_type") == "column"
     if spell_columns:
         columns = cat["semantic_model_column"]
         spelled = columns.groupBy(
             MODEL, F.col("table_name").alias("referenced_table"), F.lower("column_name").alias("__key")
         ).agg(F.max("column_name").alias("__spelled"))
-        is_column = F.col("dependency_type") == "column"
         refs = (
             refs.withColumn("__key", F.lower("referenced_name"))
             .join(spelled, [MODEL, "referenced_table", "__key"], "left")
             .withColumn("referenced_name", F.when(is_column, F.coalesce("__spelled", "referenced_name")).otherwise(F.col("referenced_name")))
             .drop("__key", "__spelled")
-            .distinct()
         )
+    names = ("dependency_type", "referenced_name", "referenced_table")
+    as_read = F.struct(*names)
+    of_table = F.struct(
+        F.lit("table").alias(names[0]), F.col("referenced_table").alias(names[1]), F.lit(None).cast("string").alias(names[2])
+    )
+    # Both rows come out of the one scan of the texts.
+    each = F.when(is_column, F.array(as_read, of_table)).otherwise(F.array(as_read))
     bare = bare_table_refs(texts, tables, text, keep, include_quoted).select(
         *keep,
         F.lit("table").alias("dependency_type"),
         F.col("ref_table").alias("referenced_name"),
         F.lit(None).cast("string").alias("referenced_table"),
     )
-    return refs.select(*bare.columns).unionByName(bare)
+    return refs.select(*keep, F.inline(each)).unionByName(bare).distinct()
 
 
 def direct_dependencies(

@@ -30,10 +30,11 @@ def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table whose rows go into costly text work, dealt out evenly before the texts are built.
 
     A table of few files gives few scan tasks, so its short rows are dealt out by their key, the
-    first column.
+    first column. The number is given, as adaptive execution would merge partitions by the size of the
+    short rows.
     """
     df = load(spark, sf_dir, name)
-    return df.repartition(df.columns[0])
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), df.columns[0])
 
 
 def _sql(df: DataFrame, *columns: str) -> DataFrame:

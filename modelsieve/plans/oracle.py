@@ -113,6 +113,7 @@ CTES: dict[str, str] = {
     "e_direct": """
         SELECT semantic_model_id, measure_name, table_name AS measure_table, 'column' AS dependency_type, ref_column AS referenced_name, ref_table AS referenced_table FROM e_column_ref
         UNION SELECT semantic_model_id, measure_name, table_name, 'table', ref_table, NULL FROM e_table_ref
+        UNION SELECT semantic_model_id, measure_name, table_name, 'table', ref_table, NULL FROM e_column_ref
         UNION SELECT r.semantic_model_id, r.measure_name, r.table_name, 'measure', ref_measure, coalesce(m.table_name, '')
           FROM e_measure_ref r LEFT JOIN e_measure m ON m.semantic_model_id = r.semantic_model_id AND m.measure_name = ref_measure""",
     "e_closure": """
@@ -563,8 +564,13 @@ BODIES: dict[str, str] = {
         SELECT semantic_model_id, table_name, measure_name, CASE WHEN semantic_model_id IN (SELECT 'sm' || n_nationkey FROM nation WHERE n_regionkey = 1) THEN 'new' ELSE expression END AS expression
         FROM e_measure WHERE NOT (semantic_model_id IN (SELECT 'sm' || n_nationkey FROM nation WHERE n_regionkey = 1) AND p_type = 'LARGE')""",
     "stored_catalog": """
-        SELECT m.semantic_model_id, n_name || '.SemanticModel' AS name, m.table_name, m.measure_name, CASE WHEN n_regionkey = 1 THEN 'new' ELSE m.expression END AS expression
-        FROM e_measure m JOIN nation ON m.semantic_model_id = 'sm' || n_nationkey WHERE NOT (n_regionkey = 1 AND m.p_type = 'LARGE')""",
+        SELECT id AS semantic_model_id, workspace_id, n_name || '.SemanticModel' AS name, m.table_name, m.measure_name, coalesce(new_text, m.expression) AS expression
+        FROM nation JOIN e_measure m ON m.semantic_model_id = 'sm' || n_nationkey JOIN (
+          SELECT n_nationkey AS k, 'sm' || n_nationkey AS id, 'w' || (n_nationkey * 3) AS workspace_id,
+            CASE WHEN n_regionkey = 1 THEN 'new' END AS new_text FROM nation
+          UNION ALL SELECT n_nationkey, 'twin' || n_nationkey, 'elsewhere', 'new twin' FROM nation WHERE n_regionkey = 2
+          UNION ALL SELECT n_nationkey, x || n_nationkey, 'w' || (n_nationkey * 3), x FROM nation, (VALUES ('x'), ('y')) v(x) WHERE n_regionkey = 3
+        ) i ON i.k = n_nationkey WHERE new_text IS NULL OR m.p_type <> 'LARGE'""",
     "upsert_workspaces": """
         SELECT 'u' || user_id AS id, arg_max(event_type, event_id) AS displayName, max(event_id) AS updated_at, min(event_id) AS created_at FROM events GROUP BY user_id""",
     "table_counts": """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -436,29 +437,44 @@ def upsert_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result["semantic_model_measure"].select(MODEL, "table_name", "measure_name", "expression")
 
 
+def _copied(rows: DataFrame, nations: DataFrame, new_id: str, **changed: str) -> DataFrame:
+    """Rows of the models of ``nations`` under another id, with some columns replaced."""
+    ids = nations.selectExpr("concat('sm', n_nationkey) as stored", f"{new_id} as new_id")
+    moved = rows.join(ids, F.col(MODEL) == F.col("stored")).withColumn(MODEL, F.col("new_id")).drop("stored", "new_id")
+    return moved.withColumns({c: F.expr(e) for c, e in changed.items()})
+
+
 @query
 def stored_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Models and measures written, partly imported again (some by name only), and read back."""
+    """Models and measures written, partly imported again, and read back.
+
+    Region 1 comes again, half of it known by name only. Models of region 2 have a namesake in another
+    workspace, and only that one comes again, by name. Of region 3, two new models come under one name.
+    """
     path = f"{scratch_dir(spark)}/stored-catalog-{uuid.uuid4().hex}"
-    models = E.models(spark, sf_dir)
-    C.write_catalog({"semantic_model": models, "semantic_model_measure": E.measures(spark, sf_dir)}, path, buckets=16)
-    region = E.load(spark, sf_dir, "nation").where("n_regionkey = 1")
-    again = region.selectExpr(
-        "concat('sm', n_nationkey) as stored", "concat(if(n_nationkey % 2 = 0, 'sm', 'local_'), n_nationkey) as new_id"
-    )
-    batch_models = models.join(again, F.col(MODEL) == F.col("stored")).withColumn(MODEL, F.col("new_id")).drop("stored", "new_id")
-    batch_measures = (
-        E.measures(spark, sf_dir)
-        .join(again, F.col(MODEL) == F.col("stored"))
-        .where(~F.col("expression").contains("[LARGE]"))
-        .withColumn(MODEL, F.col("new_id"))
-        .withColumn("expression", F.lit("new"))
-        .drop("stored", "new_id")
-    )
-    C.upsert_stored_catalog(spark, path, {"semantic_model": batch_models, "semantic_model_measure": batch_measures})
+    models, measures, nations = E.models(spark, sf_dir), E.measures(spark, sf_dir), E.load(spark, sf_dir, "nation")
+    region = [nations.where(f"n_regionkey = {i}") for i in range(4)]
+    twins = _copied(models, region[2], "concat('twin', n_nationkey)", workspace_id="'elsewhere'")
+    twin_measures = _copied(measures, region[2], "concat('twin', n_nationkey)", expression="'twin'")
+    stored = {"semantic_model": models.unionByName(twins), "semantic_model_measure": measures.unionByName(twin_measures)}
+    C.write_catalog(stored, path, buckets=16)
+    again = "concat(if(n_nationkey % 2 = 0, 'sm', 'local_'), n_nationkey)"
+    kept = measures.where(~F.col("expression").contains("[LARGE]"))
+    batch_models = [
+        _copied(models, region[1], again),
+        _copied(models, region[2], "concat('local_', n_nationkey)", workspace_id="'elsewhere'"),
+        *(_copied(models, region[3], f"concat('{x}', n_nationkey)") for x in "xy"),
+    ]
+    batch_measures = [
+        _copied(kept, region[1], again, expression="'new'"),
+        _copied(kept, region[2], "concat('local_', n_nationkey)", expression="'new twin'"),
+        *(_copied(kept, region[3], f"concat('{x}', n_nationkey)", expression=f"'{x}'") for x in "xy"),
+    ]
+    batch = {"semantic_model": reduce(DataFrame.unionByName, batch_models), "semantic_model_measure": reduce(DataFrame.unionByName, batch_measures)}
+    C.upsert_stored_catalog(spark, path, batch)
     cat = C.read_catalog(spark, path, views=False)
-    return cat["semantic_model_measure"].join(cat["semantic_model"].select(MODEL, "name"), MODEL).select(
-        MODEL, "name", "table_name", "measure_name", "expression"
+    return cat["semantic_model_measure"].join(cat["semantic_model"].select(MODEL, "workspace_id", "name"), MODEL).select(
+        MODEL, "workspace_id", "name", "table_name", "measure_name", "expression"
     )
 
 

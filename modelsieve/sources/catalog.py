@@ -30,18 +30,34 @@ def replace_items(target: DataFrame, batch: DataFrame, key: str | Sequence[str])
     return kept.unionByName(batch, allowMissingColumns=True)
 
 
-def match_items(existing: DataFrame, incoming: DataFrame, key: str, name: str = "name") -> DataFrame:
+def match_items(
+    existing: DataFrame, incoming: DataFrame, key: str, name: str = "name", within: str = "workspace_id"
+) -> DataFrame:
     """Key under which each incoming item is stored: its own if known, else that of its name.
 
+    A name stands for an item only within its workspace, and only if no other stored or incoming
+    item bears it there and the batch does not bring the stored item itself. In every other case
+    the item keeps its own key, so that no item takes the place of another.
+
     Returns ``incoming`` with a column ``stored_key``.
     """
-    by_key = existing.select(key).distinct().withColumn("__by_key", F.col(key))
-    by_name = existing.groupBy(name).agg(F.min(key).alias("__by_name"))
+    scope = [c for c in (within, name) if c in existing.columns and c in incoming.columns]
+    named = F.when(F.col(name).isNotNull(), F.to_json(F.struct(*scope)))
+    stored = existing.select(key, named.alias("__named")).distinct()
+    # One row per name: the one stored item that has it, if the batch does not have that item.
+    alone = stored.where("__named is not null").groupBy("__named").agg(
+        F.min(key).alias("__by_name"), F.count(F.lit(1)).alias("__n")
+    )
+    free = alone.where("__n = 1").join(incoming.select(F.col(key).alias("__by_name")), "__by_name", "left_anti")
+    asked = incoming.select(key, named.alias("__named")).distinct().groupBy("__named").agg(F.count(F.lit(1)).alias("__asked"))
+    by_name = free.join(asked.where("__asked = 1"), "__named").select("__named", "__by_name")
+    by_key = stored.select(key).distinct().withColumn("__by_key", F.col(key))
     return (
-        incoming.join(by_key, key, "left")
-        .join(by_name, name, "left")
+        incoming.withColumn("__named", named)
+        .join(by_key, key, "left")
+        .join(by_name, "__named", "left")
         .withColumn("stored_key", F.coalesce("__by_key", "__by_name", key))
-        .drop("__by_key", "__by_name")
+        .drop("__by_key", "__by_name", "__named")
     )
 
 
@@ -143,7 +159,7 @@ def upsert_stored_catalog(spark: SparkSession, path: str, batch: Catalog, bucket
     """Replace the items of ``batch`` in a stored catalog; only their buckets are rewritten.
 
     Items are those of the parent table (``semantic_model`` or ``report``) where the batch has it.
-    An item is matched by id, else by name, and takes over the stored id. Every child table of the
+    An item is matched by id, else by workspace and name, and takes over the stored id. Every child table of the
     kind loses its rows first, whether or not the batch has that table. Workspaces are upserted by
     id, workspace-wide dependencies replaced by workspace. The bucket count is the stored one;
     ``buckets`` is for a catalog that is not there yet. All tables are prepared before the first

@@ -67,9 +67,24 @@ def test_direct_dependencies(cat, rows):
         ("Ratio", "measure", "Total", "Sales"),
         ("Total", "column", "Amount", "Internet Sales"),
         ("Total", "column", "Qty", "Sales"),
+        # A column names its table, too, also the measure's own.
+        ("Total", "table", "Internet Sales", None),
+        ("Total", "table", "Sales", None),
     ]
 
 
+def test_a_column_of_another_table_links_the_tables(spark, rows):
+    from modelsieve.operators import graph
+
+    ddl = "semantic_model_id STRING, table_name STRING, measure_name STRING, expression STRING"
+    measures = spark.createDataFrame([("m", "A", "x", "SUM(B[q])"), ("m", "A", "y", "[x] + SUM(A[r])"), ("m", "C", "z", "[x]")], ddl)
+    tables = spark.createDataFrame([("m", t, False) for t in "ABC"], "semantic_model_id STRING, table_name STRING, is_calculated BOOLEAN")
+    direct = refs.direct_dependencies({"semantic_model_measure": measures, "semantic_model_table": tables})
+    assert rows(graph.table_dependency_graph(direct), "table_name", "depends_on") == [("A", "B")]
+    closed = graph.table_dependency_graph(graph.transitive_dependencies(direct))
+    assert rows(closed, "table_name", "depends_on") == [("A", "B"), ("C", "B")]
+
+
 def test_calculated_tables(cat, rows):
     found = refs.calculated_table_dependencies(cat)
     assert rows(found, "calculated_table_name", "dependency_type", "referenced_name", "referenced_table") == [
@@ -142,6 +157,7 @@ def test_options_of_dependencies(spark, rows):
     direct = refs.direct_dependencies(cat, include_quoted=True, spell_columns=True, dash_comments=True)
     assert set(rows(direct, *columns)) == {
         ("A", "column", "Sales", "Amount"), ("A", "table", None, "Internet Sales"), ("A", "measure", "Sales", "B"), ("B", "column", "Sales", "Amount"),
+        ("A", "table", None, "Sales"), ("B", "table", None, "Sales"),
     }
     functions = refs.function_dependencies(cat["semantic_model_measure"])
     closed = graph.transitive_dependencies(direct.unionByName(functions)).where("dependency_type = 'function'")

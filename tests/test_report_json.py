@@ -1,6 +1,9 @@
 import json
+import random
 
+import plain_report
 import pytest
+from pyspark.sql import functions as F
 
 from modelsieve.functions import report_json as J
 from modelsieve.operators import extract_report as XR
@@ -204,15 +207,90 @@ def test_filters(cat, rows):
     }
 
 
-@pytest.mark.parametrize("levels", [3, 5, 9, 60])
-def test_field_nodes_at_any_depth(levels):
-    node = {"Property": "P", "Expression": {"SourceRef": {"Entity": "T"}}}
-    inner = {"Column": {"Property": "inner", "Table": "T"}}
-    for _ in range(levels):
-        inner = {"more": [inner]}
-    value = {"Column": {**node, "deep": inner}}
-    for _ in range(levels):
-        value = {"x": value}
+def refs_of(spark, *pairs):
+    """Sorted references that the column function finds for documents and lists of filters (texts)."""
+    frame = spark.createDataFrame(list(enumerate(pairs)), "n int, t struct<doc: string, filters: string>")
+    found = frame.select("n", J.document_refs(F.col("t.doc"), F.col("t.filters")).alias("refs")).collect()
+    return [sorted((r["kind"], r["ref"]) for r in row["refs"]) for row in sorted(found, key=lambda r: r["n"])]
+
+
+@pytest.mark.parametrize("levels", [3, 9, 60, 1200, 5000])
+def test_field_nodes_at_any_depth(spark, levels):
+    node = json.dumps({"Property": "P", "Expression": {"SourceRef": {"Entity": "T"}}})
+    opened, closed = '{"x":[' * levels, "]}" * levels
+    inner = opened + '{"Column":{"Property":"inner","Table":"T"}}' + closed
+    value = opened + '{"Column":' + node[:-1] + ',"deep":' + inner + "}}" + closed
+    filters = '{"filters":[{"a":1},{"filter":{"From":[{"Name":"T","Entity":"U"}]},"y":' + value + "}]}"
+    objects = '{"visual":{"objects":{"o":' + value + '}},"name":"v"}'
+    found = refs_of(spark, ('{"a":' + value + "}", None), (objects, None), ('{"filterConfig":' + filters + "}", None), ("{}", filters[11:-1]))
     # What lies inside a node belongs to it.
-    assert list(J.document_refs({"a": value}, None)) == [("column", "T.P")]
-    assert J.parsed("{broken") is None and list(J.document_refs(None, None)) == []
+    assert found == [[("column", "T.P")], [("column", "T.P")] * 2, [("column", "U.P")], [("column", "U.P")]]
+
+
+def random_document(rnd, depth=0):
+    def name():
+        return rnd.choice(["a", "b", "T1", "x.y", "", 'q"Column": {', None, "\\"])
+
+    def node():
+        found = {rnd.choice(["Entity", "Table", "Property"]): name()}
+        if rnd.random() < 0.8:
+            found |= {"Expression": {"SourceRef": {rnd.choice(["Entity", "Source"]): name()}}, "Property": rnd.choice(["p", "q r", 'a"b'])}
+        if rnd.random() < 0.15:
+            found["more"] = value(3)
+        return found
+
+    def value(level):
+        kind = rnd.random()
+        if level > 4 or kind < 0.15:
+            return rnd.choice([1, None, "text", "{", '"}', "Column", True, [], {}])
+        if kind < 0.5:
+            return {rnd.choice(["Column", "Measure"]): rnd.choice([node(), node(), node(), [node()], "odd"]), "k": value(level + 1)}
+        if kind < 0.7:
+            return [value(level + 1) for _ in range(rnd.randint(0, 3))]
+        return {rnd.choice(["k", "objects", "filters", "visual", "filterConfig", 'e"Column']): value(level + 1) for _ in range(2)}
+
+    def source():
+        return [{"Name": rnd.choice(["a", "b", "T1"]), "Entity": rnd.choice(["E", "F"])} for _ in range(rnd.randint(0, 3))]
+
+    def entry():
+        found = {"name": name(), rnd.choice(["field", "expression"]): rnd.choice([value(3), {"Column": node()}, {"Aggregation": {"Expression": {"Column": node()}}}])}
+        conditions = [{"Condition": {rnd.choice(["Not", "In", "Equals", "Comparison", "Odd"]): {"ComparisonKind": rnd.choice([0, 2, 5, 6, -1, "x"])}}} for _ in range(2)]
+        return rnd.choice([found, found, {**found, "filter": {"From": source(), "Where": conditions, "z": value(2)}}, "odd" if rnd.random() < 0.1 else found])
+
+    def projection():
+        return {"field": rnd.choice([{"Column": node()}, {"Measure": node()}, {"Aggregation": {"Expression": {"Column": node()}}}, {}]), "queryRef": rnd.choice([None, "a.p", "plain", "T1.x.y", ""])}
+
+    state = {f"role{i}": rnd.choice([{"projections": [projection() for _ in range(2)]}, {}]) for i in range(2)}
+    visual = {"query": {"queryState": state, "sortDefinition": {"sort": [projection()]}}, "objects": rnd.choice([value(1), {"o": value(1)}])}
+    filters = [entry() for _ in range(rnd.randint(0, 4))]
+    doc = {"name": "v", "visual": visual, "filterConfig": {"filters": filters, "other": value(2)}, "more": value(0)}
+    doc[rnd.choice(["prototypeQuery", "singleVisual"])] = rnd.choice([{"From": source()}, {"prototypeQuery": {"From": source()}}])
+    if rnd.random() < 0.2:
+        doc["Measure"] = node()
+    return doc, filters
+
+
+def test_references_and_filters_against_a_plain_walk(spark):
+    rnd = random.Random(17)
+    cases = [random_document(rnd) for _ in range(400)]
+    texts = [(json.dumps(d, indent=rnd.choice([None, 1]), ensure_ascii=rnd.random() < 0.5), rnd.choice([None, json.dumps(f)])) for d, f in cases]
+    expected = [sorted(plain_report.document_refs(d, f)) for d, f in cases]
+    assert refs_of(spark, *texts) == expected
+    frame = spark.createDataFrame([(i, json.dumps(f)) for i, (_, f) in enumerate(cases)], "n int, filters string")
+    parts = frame.select("n", J.filter_parts(F.col("filters")).alias("parts")).collect()
+    found = [[tuple(p) for p in r["parts"]] for r in sorted(parts, key=lambda r: r["n"])]
+    assert found == [list(plain_report.filter_parts(f)) for _, f in cases]
+
+
+def test_damaged_documents_are_told_apart(spark, files, rows):
+    assert refs_of(spark, ("{broken", None), (None, None), ("", "[1"), ("[1]", None), ('{"Column":', None)) == [[]] * 5
+    damaged = item("bad", {"definition/report.json": "{", "definition/pages/p/page.json": "", "definition.pbir": "[]", "notes.txt": "{"})
+    found = XR.unreadable_documents(files.unionByName(spark.createDataFrame(damaged, FILES_DDL)))
+    assert rows(found) == [("bad", "definition.pbir"), ("bad", "definition/pages/p/page.json"), ("bad", "definition/report.json")]
+
+
+def test_no_python_worker_reads_documents(files):
+    visuals, pages = XR.report_visuals(files)
+    for frame in (XR.extract_field_refs(visuals, pages), XR.extract_filters(XR.extract_report_header(files), pages, visuals)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "MapInPandas" not in plan and "MapInArrow" not in plan

@@ -92,6 +92,25 @@ def test_upsert_catalog_matches_by_id_then_name(spark, rows):
     assert rows(result["semantic_model_measure"], "semantic_model_id", "measure_name") == [("2", "newB"), ("3", "old3"), ("9", "new9")]
 
 
+def test_items_match_within_their_workspace_only(spark, rows):
+    models = "semantic_model_id STRING, workspace_id STRING, name STRING"
+    stored = [("s1", "w1", "Sales"), ("d1", "w1", "Twice"), ("d2", "w1", "Twice"), ("g", None, "Global"), ("n", "w1", None)]
+    incoming = [
+        ("l2", "w2", "Sales"),  # the same name elsewhere
+        ("l1", "w1", "Sales"),
+        ("l3", "w1", "Twice"),  # two stored items have the name
+        ("l4", "w1", "New"), ("l5", "w1", "New"),
+        ("l6", None, "Global"), ("l7", "w1", "Global"), ("l8", "w1", None),
+    ]
+    found = C.match_items(spark.createDataFrame(stored, models), spark.createDataFrame(incoming, models), "semantic_model_id")
+    assert dict(rows(found, "semantic_model_id", "stored_key")) == {k: {"l1": "s1", "l6": "g"}.get(k, k) for k, *_ in incoming}
+    # The batch brings the stored item itself and another one of its name; and two new ones of one name.
+    both = spark.createDataFrame([("s1", "w1", "Sales"), ("l1", "w1", "Sales")], models)
+    assert rows(C.match_items(spark.createDataFrame(stored, models), both, "semantic_model_id"), "stored_key") == [("l1",), ("s1",)]
+    pair = spark.createDataFrame([("l1", "w1", "Sales"), ("l2", "w1", "Sales")], models)
+    assert rows(C.match_items(spark.createDataFrame(stored, models), pair, "semantic_model_id"), "stored_key") == [("l1",), ("l2",)]
+
+
 def test_stored_catalog(spark, tmp_path, rows):
     path = str(tmp_path / "catalog")
     measures = spark.range(50).selectExpr("cast(id % 7 as string) as semantic_model_id", "'T' as table_name", "concat('m', id) as measure_name")
