@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelsieve.plans.fixpoint import ROUND, grow, materialize
+from modelsieve.plans.fixpoint import ROUND, grow, grow_by_doubling, materialize
 from modelsieve.schemas import conform
 
 MODEL = "semantic_model_id"
@@ -30,10 +30,9 @@ def reachable_measures(dependencies: DataFrame, measures: DataFrame) -> DataFram
 
 
 def _measure_pairs(direct: DataFrame) -> DataFrame:
-    """(measure, reached measure) pairs; home tables travel along, so no join brings them back."""
+    """(measure, reached measure) pairs with their steps; home tables travel along, so no join brings them back."""
     blank = F.lit("")
-    # Written once: the edges are the first frontier and the join partner of every round.
-    edges = materialize(
+    edges = (
         direct.where(F.col("dependency_type") == "measure")
         .select(
             MODEL,
@@ -42,32 +41,19 @@ def _measure_pairs(direct: DataFrame) -> DataFrame:
             F.col("referenced_name").alias("reached"),
             F.coalesce("referenced_table", blank).alias("reached_table"),
         )
-        .distinct(),
-        "measure-edges",
-    )
-    hops = edges.select(
-        MODEL,
-        F.col("measure_name").alias("reached"),
-        F.col("reached").alias("__next"),
-        F.col("reached_table").alias("__next_table"),
+        .distinct()
     )
-    return grow(
-        edges,
-        lambda frontier: frontier.join(hops, [MODEL, "reached"]).select(
-            MODEL,
-            "measure_name",
-            "measure_table",
-            F.col("__next").alias("reached"),
-            F.col("__next_table").alias("reached_table"),
-        ),
-        label="measure-closure",
-        seed_is_distinct=True,
+    return grow_by_doubling(
+        edges, [MODEL], ["measure_name", "measure_table"], ["reached", "reached_table"], label="measure-closure"
     )
 
 
 def measure_closure(direct: DataFrame) -> DataFrame:
     """All (measure, reached measure) pairs with the number of steps, cycles included."""
-    return _measure_pairs(direct).select(MODEL, "measure_name", "reached", (F.col(ROUND) + 1).alias("steps"))
+    return _measure_pairs(direct).select(MODEL, "measure_name", "reached", "steps")
+
+
+_ROW = [MODEL, "measure_name", "measure_table", "dependency_type", "referenced_name", "referenced_table"]
 
 
 def transitive_dependencies(direct: DataFrame) -> DataFrame:
@@ -91,10 +77,64 @@ def transitive_dependencies(direct: DataFrame) -> DataFrame:
         .distinct()
     )
     inherited = pairs.join(leaves, [MODEL, "reached"]).select(*reached.columns)
-    own = direct.where(F.col("dependency_type") != "measure").select(*reached.columns)
+    owner = F.coalesce("measure_table", F.lit("")).alias("measure_table")
+    own = direct.where(F.col("dependency_type") != "measure").select(*_ROW[:2], owner, *_ROW[3:])
     return conform(reached.unionByName(inherited).unionByName(own), "measure_dependencies").distinct()
 
 
+def changed_measures(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Measures (model, name) whose direct rows are not the same any more, found by counting supports."""
+    support = before.select(*_ROW, F.lit(-1).alias("n")).unionByName(after.select(*_ROW, F.lit(1).alias("n")))
+    # A row that both sides have, however often each has it, cancels out.
+    sides = support.groupBy(*_ROW).agg(F.max("n").alias("now"), F.min("n").alias("then"))
+    return sides.where("now <> -then").select(MODEL, "measure_name").distinct()
+
+
+def maintain_dependencies(closed: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """``transitive_dependencies(after)`` from ``transitive_dependencies(before)``, by delete and re-derive.
+
+    Only measures that changed or that reach a changed one are affected: a way through a changed
+    reference first leads to the measure that has it, over references that were there before, so the
+    closed rows name all of them in one join. Their rows are deleted and derived again from the
+    references among themselves; where such a way leaves the affected measures it never comes back,
+    and the closed rows of the measure there are taken over as they are. Work grows with the rows
+    of affected measures, whatever the size of the rest. Cycles that a change breaks or closes are
+    affected as a whole.
+    """
+    changed = materialize(changed_measures(before, after), "changed-measures")
+    is_measure = F.col("dependency_type") == "measure"
+    reaching = closed.where(is_measure).join(
+        changed.withColumnRenamed("measure_name", "referenced_name"), [MODEL, "referenced_name"], "left_semi"
+    )
+    affected = materialize(
+        changed.unionByName(reaching.select(MODEL, "measure_name")).distinct(), "affected-measures"
+    )
+    kept = closed.select(*_ROW).join(affected, [MODEL, "measure_name"], "left_anti")
+    home = F.when(is_measure, F.coalesce("referenced_table", F.lit(""))).otherwise(F.col("referenced_table"))
+    rows = after.select(*_ROW[:5], home.alias("referenced_table")).distinct()
+    own = materialize(rows.join(affected, [MODEL, "measure_name"], "left_semi"), "affected-rows")
+    inside = affected.withColumnRenamed("measure_name", "referenced_name")
+    among = own.where(is_measure).join(inside, [MODEL, "referenced_name"], "left_semi")
+    pairs = _measure_pairs(among).select(MODEL, "measure_name", "measure_table", "reached")
+    selves = own.select(MODEL, "measure_name", F.coalesce("measure_table", F.lit("")).alias("measure_table"), F.col("measure_name").alias("reached"))
+    ways = materialize(pairs.unionByName(selves).distinct(), "affected-ways")
+
+    def along(rows: DataFrame) -> DataFrame:
+        """Rows of reached measures as rows of the measures that reach them."""
+        theirs = rows.select(MODEL, F.col("measure_name").alias("reached"), *_ROW[3:]).distinct()
+        return ways.join(theirs, [MODEL, "reached"]).select(*_ROW)
+
+    exits = own.where(is_measure).join(inside, [MODEL, "referenced_name"], "left_anti")
+    beyond = (
+        exits.select(MODEL, "measure_name", F.col("referenced_name").alias("__exit"))
+        .distinct()
+        .join(kept.select(MODEL, F.col("measure_name").alias("__exit"), *_ROW[3:]).distinct(), [MODEL, "__exit"])
+        .select(MODEL, "measure_name", F.lit(None).cast("string").alias("measure_table"), *_ROW[3:])
+    )
+    again = along(own.unionByName(beyond))
+    return conform(kept.unionByName(again.distinct()), "measure_dependencies")
+
+
 def table_dependency_graph(dependencies: DataFrame) -> DataFrame:
     """Owner table → other tables that its measures name, alone or with a column, without self edges."""
     return (

@@ -23,6 +23,7 @@ from modelsieve.operators.ranking import running_count
 from modelsieve.operators.refs import external_table_refs
 from modelsieve.operators.usage import linked_usage
 from modelsieve.plans.fixpoint import materialize
+from modelsieve.sources.catalog import one_item
 
 TABLE = [MODEL, "table_name"]
 COLUMN = [MODEL, "table_name", "column_name"]
@@ -203,15 +204,13 @@ def minimal_model(
 ) -> MinimalModel:
     """Tables, columns, measures and relationships that the reports of a model need.
 
-    All models of the catalog at once, or one model id. A kept table that nothing names a
+    All models of the catalog at once, or one model id, of a stored catalog by its bucket alone. A kept table that nothing names a
     column (or measure) of keeps all of them; ``tables`` shows that in ``keeps_all_columns``
     and ``keeps_all_measures``. ``provenance`` is ``report`` for tables that reports use
     directly and ``dax-dep`` for tables that come in through dependencies.
     """
     if model is not None:
-        cat = {
-            name: (df.where(F.col(MODEL) == model) if MODEL in df.columns else df) for name, df in cat.items()
-        }
+        cat = one_item(cat, MODEL, model)
     return MinimalModel(cat, link_by, include_filters)
 
 

@@ -129,6 +129,23 @@ CTES: dict[str, str] = {
         SELECT * FROM e_direct
         UNION SELECT c.semantic_model_id, c.measure_name, c.measure_table, d.dependency_type, d.referenced_name, d.referenced_table
           FROM e_closure c JOIN e_direct d ON d.semantic_model_id = c.semantic_model_id AND d.measure_name = c.reached""",
+    # An earlier state of the measures, with the later one for the models of region 1.
+    "r_early": f"""
+        SELECT semantic_model_id, measure_name, table_name, 'column' AS dependency_type, 'c' AS referenced_name, 'Old' AS referenced_table FROM e_measure
+        UNION SELECT semantic_model_id, measure_name, table_name, 'table', 'Old', NULL FROM e_measure
+        UNION SELECT r.semantic_model_id, r.measure_name, r.table_name, 'measure', ref, coalesce(m.table_name, '') FROM (
+          SELECT semantic_model_id, measure_name, table_name, 'm' || (p_partkey + 25) AS ref FROM e_measure WHERE p_partkey < 25
+          UNION SELECT semantic_model_id, measure_name, table_name, 'm' || {_PARENT} FROM e_measure WHERE p_partkey >= 25 AND p_partkey % 5 <> 2
+          UNION SELECT semantic_model_id, measure_name, table_name, 'm' || (p_partkey % 25) FROM e_measure WHERE p_partkey % 7 = 3) r
+          LEFT JOIN e_measure m ON m.semantic_model_id = r.semantic_model_id AND m.measure_name = r.ref""",
+    "r_direct": """
+        SELECT * FROM r_early WHERE semantic_model_id NOT IN (SELECT 'sm' || n_nationkey FROM nation WHERE n_regionkey = 1)
+        UNION SELECT * FROM e_direct WHERE semantic_model_id IN (SELECT 'sm' || n_nationkey FROM nation WHERE n_regionkey = 1)""",
+    "r_closure": """
+        SELECT semantic_model_id, measure_name, table_name, referenced_name AS reached FROM r_direct WHERE dependency_type = 'measure'
+        UNION SELECT c.semantic_model_id, c.measure_name, c.table_name, d.referenced_name
+          FROM r_closure c JOIN r_direct d ON d.semantic_model_id = c.semantic_model_id AND d.measure_name = c.reached
+          WHERE d.dependency_type = 'measure'""",
     "e_calc_dep": """
         SELECT semantic_model_id, 'Calc_' || p_size AS calculated_table_name, 'column' AS dependency_type, 'Key' AS referenced_name, 'Dim_' || t AS referenced_table FROM e_calc
         UNION ALL SELECT semantic_model_id, 'Calc_' || p_size, 'table', 'Dim_' || t, NULL FROM e_calc
@@ -287,7 +304,7 @@ CTES: dict[str, str] = {
         UNION ALL SELECT report_id, page_name, visual_name, 'column', 'E' || (o_custkey % 2) || '.Flt', 1 FROM v_doc""",
 }
 
-RECURSIVE = {"e_closure", "e_walk", "m_closed_table", "m_sorted"}
+RECURSIVE = {"e_closure", "r_closure", "e_walk", "m_closed_table", "m_sorted"}
 
 
 def _needed(text: str, found: list[str]) -> None:
@@ -563,6 +580,10 @@ BODIES: dict[str, str] = {
     "upsert_catalog": """
         SELECT semantic_model_id, table_name, measure_name, CASE WHEN semantic_model_id IN (SELECT 'sm' || n_nationkey FROM nation WHERE n_regionkey = 1) THEN 'new' ELSE expression END AS expression
         FROM e_measure WHERE NOT (semantic_model_id IN (SELECT 'sm' || n_nationkey FROM nation WHERE n_regionkey = 1) AND p_type = 'LARGE')""",
+    "reimport_closure": """
+        SELECT semantic_model_id, measure_name, table_name AS measure_table, dependency_type, referenced_name, referenced_table FROM r_direct
+        UNION SELECT c.semantic_model_id, c.measure_name, c.table_name, d.dependency_type, d.referenced_name, d.referenced_table
+          FROM r_closure c JOIN r_direct d ON d.semantic_model_id = c.semantic_model_id AND d.measure_name = c.reached""",
     "stored_catalog": """
         SELECT id AS semantic_model_id, workspace_id, n_name || '.SemanticModel' AS name, m.table_name, m.measure_name, coalesce(new_text, m.expression) AS expression
         FROM nation JOIN e_measure m ON m.semantic_model_id = 'sm' || n_nationkey JOIN (

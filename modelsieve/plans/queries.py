@@ -21,6 +21,7 @@ from modelsieve.plans.oracle import checksum_sql
 from modelsieve.sources import catalog as C
 from modelsieve.sources import definitions as D
 from modelsieve.sources import manifests as S
+from modelsieve.sources import reimport as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -192,6 +193,33 @@ def transitive_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.transitive_dependencies(_direct(spark, sf_dir))
 
 
+def _earlier_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier state of the measures: roots in a cycle with one that needs them, other references."""
+    return E.measures(spark, sf_dir).withColumn("k", F.expr("cast(substr(measure_name, 2) as int)")).selectExpr(
+        MODEL, "table_name", "measure_name",
+        """concat_ws(' + ', 'SUM(Old[c])', if(k < 25, concat('[m', k + 25, ']'), if(k % 5 = 2, null, concat('[m', (k div 50) * 25 + k % 25, ']'))),
+            if(k % 7 = 3, concat('[m', k % 25, ']'), null)) as expression""",
+        "format_string", "is_hidden",
+    )
+
+
+@query
+def reimport_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed dependencies of a stored catalog after the models of one region came again.
+
+    The new measures add references, lack some, and break the cycles.
+    """
+    path = f"{scratch_dir(spark)}/reimported-{uuid.uuid4().hex}"
+    whole = E.catalog(spark, sf_dir)
+    tables = ("semantic_model", "semantic_model_table", "semantic_model_column")
+    stored = {**{t: whole[t] for t in tables}, "semantic_model_measure": _earlier_measures(spark, sf_dir)}
+    R.write_with_dependencies(stored, path, buckets=16)
+    again = E.load(spark, sf_dir, "nation").where("n_regionkey = 1").selectExpr(f"concat('sm', n_nationkey) as {MODEL}")
+    batch = {t: whole[t].join(again, MODEL, "left_semi") for t in (*tables, "semantic_model_measure")}
+    R.reimport_models(spark, path, batch)
+    return C.read_catalog(spark, path, views=False)["measure_dependencies"]
+
+
 @query
 def inherited_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     direct = _direct(spark, sf_dir).unionByName(refs.function_dependencies(E.measures(spark, sf_dir)))

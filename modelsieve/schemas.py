@@ -41,6 +41,10 @@ DDL: dict[str, str] = {
         "semantic_model_id STRING, table_name STRING, partition_name STRING, "
         "source_type STRING, mode STRING, source_expression STRING"
     ),
+    "measure_direct_dependencies": (
+        "semantic_model_id STRING, measure_name STRING, measure_table STRING, "
+        "dependency_type STRING, referenced_name STRING, referenced_table STRING"
+    ),
     "measure_dependencies": (
         "semantic_model_id STRING, measure_name STRING, measure_table STRING, "
         "dependency_type STRING, referenced_name STRING, referenced_table STRING"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from modelsieve.plans.fixpoint import materialize
 from modelsieve.schemas import DDL, conform, empty, struct_of
 
-Catalog = dict[str, DataFrame]
+Catalog = Mapping[str, DataFrame]
 
 # Tables are stored in hash buckets of the item they belong to, so that a re-import rewrites
 # the buckets of the imported items only, and millions of items do not make millions of folders.
@@ -211,25 +211,31 @@ def _prepared_items(
         stored, rows = _stored(spark, path, table), batch.get(table)
         if stored is None and rows is None:
             continue
-        parts = []
         if rows is not None:
-            renamed = rows.join(keys, rows[key] == keys["__key"]).select(
+            rows = rows.join(keys, rows[key] == keys["__key"]).select(
                 *[(F.col("stored_key").alias(key) if c == key else rows[c]) for c in rows.columns]
             )
-            parts.append(_bucketed(renamed, table, buckets))
-        if stored is not None:
-            old = stored.where(F.col(BUCKET).isin(touched))
-            parts.append(old.join(marks, key, "left_anti"))
-            # An overwrite leaves a folder alone that it has no rows for, so each touched bucket
-            # gets one row without an item; readers drop such rows.
-            parts.append(_bucketed(marks, table, buckets).select(BUCKET).distinct())
-        merged = parts[0]
-        for more in parts[1:]:
-            merged = merged.unionByName(more, allowMissingColumns=True)
-        result.append((table, materialize(merged, "upsert")))
+        result.append((table, _merged(stored, rows, table, marks, touched, buckets)))
     return result
 
 
+def _merged(
+    stored: DataFrame | None, rows: DataFrame | None, table: str, marks: DataFrame, touched: list[int], buckets: int
+) -> DataFrame:
+    """New content of the touched buckets of a table: old rows of other items, and the new rows."""
+    parts = [] if rows is None else [_bucketed(rows, table, buckets)]
+    if stored is not None:
+        old = stored.where(F.col(BUCKET).isin(touched))
+        parts.append(old.join(marks, _ITEM_KEY[table], "left_anti"))
+        # An overwrite leaves a folder alone that it has no rows for, so each touched bucket
+        # gets one row without an item; readers drop such rows.
+        parts.append(_bucketed(marks, table, buckets).select(BUCKET).distinct())
+    merged = parts[0]
+    for more in parts[1:]:
+        merged = merged.unionByName(more, allowMissingColumns=True)
+    return materialize(merged, "upsert")
+
+
 def _prepared_plain(spark: SparkSession, path: str, table: str, rows: DataFrame) -> DataFrame:
     stored = _stored(spark, path, table)
     if stored is None:
@@ -251,13 +257,60 @@ def _stored(spark: SparkSession, path: str, table: str) -> DataFrame | None:
         raise
 
 
-def read_catalog(spark: SparkSession, path: str, tables: Sequence[str] | None = None, views: bool = True) -> Catalog:
+class StoredCatalog(Mapping):
+    """Tables of a stored catalog. Parts of it read the buckets of the items asked for, and no others."""
+
+    def __init__(self, stored: dict[str, DataFrame], buckets: int) -> None:
+        self._stored, self._buckets = stored, buckets
+
+    def __getitem__(self, table: str) -> DataFrame:
+        return conform(self._stored[table], table)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._stored)
+
+    def __len__(self) -> int:
+        return len(self._stored)
+
+    def of_items(self, key: str, *items: str) -> Catalog:
+        """The catalog with the rows of some items only, in the tables that belong to items of this kind.
+
+        The buckets follow from the ids before anything is read, so the scan lists their folders alone.
+        """
+        buckets = [F.pmod(F.xxhash64(F.lit(i)), F.lit(self._buckets)).cast("int") for i in items]
+        wanted = F.col(key).isin(*items) & F.col(BUCKET).isin(*buckets)
+        return {t: conform(df.where(wanted) if _ITEM_KEY.get(t) == key else df, t) for t, df in self._stored.items()}
+
+    def of_each(self, key: str, items: DataFrame) -> Catalog:
+        """Like :meth:`of_items` for a frame of ids, however many.
+
+        The bucket is part of the join key: Spark takes the folders to read from the other side at
+        run time (dynamic partition pruning) where that side is small enough to be sent along.
+        """
+        asked = items.select(key).distinct()
+        marks = asked.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(self._buckets)).cast("int"))
+        # Written, so that its size is known. Spark prunes only by a side that a comparison has made smaller.
+        marks = materialize(marks, "asked-items").where(F.col(BUCKET) >= 0)
+        return {
+            t: conform(df.join(marks, [key, BUCKET], "left_semi") if _ITEM_KEY.get(t) == key else df, t)
+            for t, df in self._stored.items()
+        }
+
+
+def one_item(catalog: Catalog, key: str, item: str) -> Catalog:
+    """A catalog with the rows of one item in every table that has the key."""
+    if isinstance(catalog, StoredCatalog):
+        return catalog.of_items(key, item)
+    return {name: (df.where(F.col(key) == item) if key in df.columns else df) for name, df in catalog.items()}
+
+
+def read_catalog(spark: SparkSession, path: str, tables: Sequence[str] | None = None, views: bool = True) -> StoredCatalog:
     """Catalog tables below ``path``; with ``views`` each becomes a temporary view.
 
     Columns that an older table lacks read as null.
     """
     stored = {table: _stored(spark, path, table) for table in tables or DDL}
-    catalog = {table: conform(df, table) for table, df in stored.items() if df is not None}
+    catalog = StoredCatalog({t: df for t, df in stored.items() if df is not None}, _layout(spark, path) or BUCKETS)
     if views:
         register_views(catalog)
     return catalog

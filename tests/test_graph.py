@@ -1,8 +1,11 @@
 import random
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from modelsieve.operators import graph
+from modelsieve.plans.fixpoint import grow_by_doubling
 
 
 def frame(spark, data, ddl):
@@ -188,3 +191,68 @@ def test_relationships_between_and_their_columns(spark, rows):
     kept = graph.relationships_between(edges, tables)
     assert rows(kept, "from_table", "to_table") == [("F", "A")]
     assert rows(graph.relationship_key_columns(kept), "table_name", "column_name") == [("A", "pk"), ("F", "fk")]
+
+
+def steps_of(edges):
+    """Length of the shortest way, by breadth-first search."""
+    found = {}
+    for start in {a for a, _ in edges}:
+        level, n = {start}, 0
+        while level:
+            n += 1
+            level = {b for a, b in edges if a in level and (start, b) not in found}
+            found.update({(start, b): n for b in level})
+    return found
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_doubling_gives_the_smallest_number_of_steps(spark, rows, seed):
+    rng = random.Random(seed)
+    edges = {(f"a{rng.randrange(30)}", f"a{rng.randrange(30)}") for _ in range(36)}
+    edges |= {(f"c{i}", f"c{(i + 1) % 9}") for i in range(9)}
+    found = graph.measure_closure(direct_frame(spark, sorted(edges)))
+    assert {(a, b): n for a, b, n in rows(found, "measure_name", "reached", "steps")} == steps_of(edges)
+
+
+def test_a_chain_of_a_thousand_takes_few_rounds(spark, tmp_path):
+    edges = spark.range(999).selectExpr("'m' as g", "concat('n', id) as a", "concat('n', id + 1) as b")
+    before = set(Path(spark.conf.get("spark.checkpoint.dir")).glob("chain-*"))
+    found = grow_by_doubling(edges, ["g"], ["a"], ["b"], label="chain")
+    assert found.count() == 999 * 1000 // 2 and found.agg({"steps": "max"}).first()[0] == 999
+    (folder,) = set(Path(spark.conf.get("spark.checkpoint.dir")).glob("chain-*")) - before
+    assert len(list(folder.glob("round=*"))) <= 12
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_maintained_dependencies_equal_a_rebuild(spark, rows, seed):
+    rng = random.Random(seed)
+
+    def state(edges, leaves):
+        one = direct_frame(spark, sorted(edges), sorted(leaves))
+        return one.unionByName(one.where("measure_name < 'a3'").withColumn("semantic_model_id", F.lit("other")))
+
+    def name():
+        return f"a{rng.randrange(9)}"
+
+    edges = {(name(), name()) for _ in range(9)} | {("x", "y"), ("y", "z"), ("z", "x")}
+    leaves = {(name(), f"col{rng.randrange(4)}") for _ in range(8)} | {("z", "deep")}
+    after_edges = {e for e in edges if rng.random() < 0.7 and e != ("y", "z")} | {(name(), name()) for _ in range(3)}
+    after_leaves = {x for x in leaves if rng.random() < 0.8} | {("new", "fresh")}
+    before, after = state(edges, leaves), state(after_edges | {("new", "a1")}, after_leaves)
+    columns = before.columns
+    kept = graph.maintain_dependencies(graph.transitive_dependencies(before), before, after)
+    assert rows(kept, *columns) == rows(graph.transitive_dependencies(after), *columns)
+    same = graph.maintain_dependencies(graph.transitive_dependencies(before), before, before)
+    assert rows(same, *columns) == rows(graph.transitive_dependencies(before), *columns)
+
+
+def test_only_measures_that_reach_a_change_are_derived_again(spark, rows):
+    before = direct_frame(spark, [("a", "b"), ("b", "c"), ("d", "c"), ("e", "d")], [("c", "x")])
+    after = direct_frame(spark, [("a", "b"), ("b", "q"), ("d", "c"), ("e", "d")], [("c", "x")])
+    assert rows(graph.changed_measures(before, after), "measure_name") == [("b",)]
+    # Rows that nothing affects are taken over, not derived: a mark on them is still there.
+    closed = graph.transitive_dependencies(before)
+    marked = closed.withColumn("referenced_table", F.when(F.col("measure_name") == "e", "mark").otherwise(F.col("referenced_table")))
+    found = graph.maintain_dependencies(marked, before, after)
+    assert {t for (t,) in rows(found.where("measure_name = 'e'"), "referenced_table")} == {"mark"}
+    assert rows(found.where("measure_name = 'a'"), "dependency_type", "referenced_name") == [("measure", "b"), ("measure", "q")]

@@ -4,11 +4,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from modelsieve.operators import extract_model, links, usage
+from modelsieve.operators import extract_model, links, subset, usage
 from modelsieve.schemas import conform
 from modelsieve.sources import catalog as C
 from modelsieve.sources import definitions as D
 from modelsieve.sources import manifests as S
+from modelsieve.sources import reimport as R
 from modelsieve.streaming.ingest import item_stream, upsert_stream
 
 
@@ -308,3 +309,67 @@ def test_a_name_of_many_reports_and_models_gives_no_pairs(spark):
     # Usage is reduced per report, then by name before the models join, then per model.
     depths = [len(line) - len(line.lstrip(" :+-")) for line in plan.split("\n") if "Aggregate [" in line and "kind" in line]
     assert len(depths) >= 3 and depths == sorted(depths)
+
+
+def stored_models(spark, tmp_path, buckets=64):
+    """A stored catalog of forty models, each with two tables, one of them used."""
+    ids = [f"m{i}" for i in range(40)]
+
+    def table(name, columns, data):
+        return conform(spark.createDataFrame(data, ", ".join(f"{c} STRING" for c in columns.split())), name)
+
+    key = "semantic_model_id "
+    cat = {
+        "semantic_model": table("semantic_model", key + "name", [(i, f"N{i}.SemanticModel") for i in ids]),
+        "semantic_model_table": table("semantic_model_table", key + "table_name", [(i, t) for i in ids for t in ("A", "B", "C")]),
+        "semantic_model_column": table("semantic_model_column", key + "table_name column_name", [(i, t, "c") for i in ids for t in ("A", "B", "C")]),
+        "semantic_model_measure": table("semantic_model_measure", key + "table_name measure_name expression", [(i, "A", "x", "SUM(B[c])") for i in ids]),
+        "semantic_model_relationship": table("semantic_model_relationship", key + "from_table from_column to_table to_column", [(i, "A", "c", "B", "c") for i in ids]),
+        "semantic_model_table_bins": table("semantic_model_table_bins", key + "table_name", []),
+        "calculated_table_dependencies": table("calculated_table_dependencies", key + "calculated_table_name", []),
+        "report": table("report", "report_id name", [(f"r{i}", f"N{i}") for i in ids]),
+        "report_column_used": table("report_column_used", "report_id", []),
+        "report_measure_used": table("report_measure_used", "report_id table_name measure_name", [(f"r{i}", "A", "x") for i in ids]),
+    }
+    path = str(tmp_path / "catalog")
+    R.write_with_dependencies(cat, path, buckets)
+    return path
+
+
+def test_an_item_is_read_from_its_bucket_alone(spark, tmp_path, rows):
+    path = stored_models(spark, tmp_path)
+    cat = C.read_catalog(spark, path, views=False)
+    part = cat.of_items("semantic_model_id", "m7")
+    scans = [part[t]._jdf.queryExecution().executedPlan().toString() for t in part if t.startswith(("semantic_model", "measure_")) and not part[t].isEmpty()]
+    assert len(scans) == 7 and all("PartitionFilters: [" in s and "item_bucket" in s.split("PartitionFilters: [")[1].split("]")[0] for s in scans)
+    (bucket,) = {r[0] for r in C._bucketed(cat["semantic_model"].where("semantic_model_id = 'm7'"), "semantic_model", 64).select(C.BUCKET).collect()}
+    # Whoever reads another bucket of a model's tables now fails.
+    for folder in (tmp_path / "catalog").glob("*/item_bucket=*"):
+        if folder.name != f"item_bucket={bucket}" and not folder.parent.name.startswith("report"):
+            for file in folder.glob("*.parquet"):
+                file.write_bytes(b"not a table")
+    minimal = subset.minimal_model(cat, "m7")
+    assert rows(minimal["tables"], "semantic_model_id", "table_name", "provenance") == [("m7", "A", "report"), ("m7", "B", "dax-dep")]
+    assert rows(minimal["columns"], "table_name", "column_name") == [("A", "c"), ("B", "c")]
+    asked = spark.createDataFrame([("m7",), ("none",)], "semantic_model_id STRING")
+    found = cat.of_each("semantic_model_id", asked.where("semantic_model_id = 'm7'"))["semantic_model_table"]
+    assert rows(found, "table_name") == [("A",), ("B",), ("C",)]
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_reimport_touches_the_rows_of_its_models_only(spark, tmp_path, rows):
+    path = stored_models(spark, tmp_path, buckets=8)
+    models = conform(spark.createDataFrame([("m7", "N7.SemanticModel")], "semantic_model_id STRING, name STRING"), "semantic_model")
+    tables = conform(spark.createDataFrame([("m7", t) for t in "AB"], "semantic_model_id STRING, table_name STRING"), "semantic_model_table")
+    measures = conform(spark.createDataFrame([("m7", "A", "x", "[y]"), ("m7", "A", "y", "[x] + SUM(A[q])")], MEASURE), "semantic_model_measure")
+    batch = {"semantic_model": models, "semantic_model_table": tables, "semantic_model_measure": measures}
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "catalog").glob("measure_*/item_bucket=*/*.parquet")}
+    for _ in range(2):  # again, with nothing new
+        R.reimport_models(spark, path, batch)
+        cat = C.read_catalog(spark, path, views=False)
+        closed = rows(cat["measure_dependencies"].where("semantic_model_id = 'm7'"), "measure_name", "dependency_type", "referenced_name")
+        assert closed == [(m, *r) for m in "xy" for r in (("column", "q"), ("measure", "x"), ("measure", "y"), ("table", "A"))]
+        assert cat["measure_dependencies"].where("semantic_model_id <> 'm7'").count() == 39 * 2
+        assert R.stale_models(spark, path).collect() == []
+    left = {f for f, t in files.items() if f.exists() and f.stat().st_mtime_ns == t}
+    assert len({f.parent.name for f in files}) == 8 and len({f.parent.name for f in set(files) - left}) == 1
