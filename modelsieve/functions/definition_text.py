@@ -33,18 +33,53 @@ def protect_fences(content: Column) -> Column:
     return F.array_join(hidden, "```")
 
 
+def levelled(content: Column) -> Column:
+    """Text with protected fences and with blanks for the tabs before each line (stops of four)."""
+    return F.regexp_replace(protect_fences(content), r"(?m)(?:^|\G)((?: {4})*+) {0,3}\t", "$1    ")
+
+
+_HEADER = "\u0002"
+
+
 def split_blocks(content: Column) -> Column:
     """Text pieces that each start at a block header (the first one may be a preamble).
 
-    A header opens a block only at the depth of its kind: at the margin, or as far in as the first
-    indented line of the file. Such words further in belong to the text of the block around them.
+    Which lines are headers follows from indentation alone, by a stack of the lines that a line lies
+    below: a top kind opens a block where nothing is around it, a member kind where the innermost line
+    around it is the header of a table. Such words further in are text of the block around them, and members
+    of one table need not be equally far in. Blank lines and comments have no place in the stack.
     """
-    text = protect_fences(content)
-    step = F.regexp_extract(text, r"(?:^|\n)([ \t]+)[^\s]", 1)
-    headers = F.concat(
-        F.lit(rf"\n(?=(?:{'|'.join(TOP_KINDS)})[ \t]|"), step, F.lit(rf"(?:{'|'.join(MEMBER_KINDS)})[ \t])")
-    )
-    return F.split(text, headers)
+    top, member = "|".join(TOP_KINDS), "|".join(MEMBER_KINDS)
+
+    def described(line: Column) -> Column:
+        rest = F.ltrim(line)
+        word = F.regexp_extract(rest, rf"^({top}|{member})[ \t]", 1)
+        return F.struct(
+            (F.length(line) - F.length(rest)).alias("indent"),
+            F.when((F.trim(rest) == "") | rest.startswith("//"), F.lit(None)).otherwise(word).alias("word"),
+        )
+
+    def read(state: Column, line: Column) -> Column:
+        around = F.filter(state["around"], lambda a: a["indent"] < line["indent"])
+        parent = F.try_element_at(around, F.lit(-1))
+        is_header = F.when(line["word"].isin(*TOP_KINDS), parent.isNull()).otherwise(
+            line["word"].isin(*MEMBER_KINDS) & F.coalesce(parent["table"], F.lit(False))
+        )
+        here = F.struct(line["indent"].alias("indent"), (is_header & (line["word"] == "table")).alias("table"))
+        placed = F.struct(
+            F.array_append(around, here).alias("around"),
+            F.concat(state["marks"], F.when(is_header, "h").otherwise(".")).alias("marks"),
+        )
+        return F.when(line["word"].isNull(), F.struct(state["around"].alias("around"), F.concat(state["marks"], F.lit(".")).alias("marks"))).otherwise(placed)
+
+    start = F.struct(F.expr("cast(array() as array<struct<indent: int, table: boolean>>)").alias("around"), F.lit("").alias("marks"))
+
+    def cut(lines: Column) -> Column:
+        marks = F.split(F.aggregate(F.transform(lines, described), start, read)["marks"], "")
+        marked = F.transform(F.arrays_zip(lines.alias("line"), marks.alias("mark")), lambda z: F.when(z["mark"] == "h", F.concat(F.lit(_HEADER), z["line"])).otherwise(z["line"]))
+        return F.split(F.array_join(marked, "\n"), rf"\n?{_HEADER}")
+
+    return F.element_at(F.transform(F.array(F.split(levelled(content), "\n")), cut), 1)
 
 
 def block_kind(block: Column) -> Column:

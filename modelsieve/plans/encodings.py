@@ -365,9 +365,9 @@ def data_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One table definition file per part."""
+    """One table definition file per part; a third is indented by blanks, a third has an odd first line."""
     content = r"""concat(
-        'table ''', p_brand, '-', p_partkey, '''', chr(10),
+        'table ''', p_brand, '-', p_partkey, '''', chr(10), if(p_partkey % 3 = 2, concat('  /// a note on ', p_name, chr(10)), ''),
         if(p_size > 40, concat(chr(9), 'isHidden', chr(10)), ''),
         chr(9), 'lineageTag: t', p_partkey, chr(10), chr(10),
         chr(9), 'measure ''M ', p_partkey, ''' = SUM(''', p_brand, '''[', p_type, '])', chr(10),
@@ -400,6 +400,7 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         chr(9), chr(9), chr(9), chr(9), '    table = a{[Item="Sales"]}[Data],', chr(10),
         chr(9), chr(9), chr(9), chr(9), 'in a', chr(10), chr(10),
         chr(9), 'annotation Kind = Table', chr(10))"""
+    content = f"if(p_partkey % 3 = 1, replace({content}, chr(9), '    '), {content})"
     return _sql(
         spread(spark, sf_dir, "part"),
         "concat('sm', p_partkey % 25) as item_id",

@@ -620,7 +620,7 @@ BODIES: dict[str, str] = {
         SELECT 'sm' || (p_partkey % 25) AS semantic_model_id, p_brand || '-' || p_partkey AS table_name, b.kind,
           CASE b.i WHEN 0 THEN p_brand || '-' || p_partkey WHEN 1 THEN 'M ' || p_partkey WHEN 2 THEN 'n' || p_partkey WHEN 3 THEN p_type
             WHEN 4 THEN 'Size ' || p_size ELSE p_brand || '-' || p_partkey END AS block_name,
-          CAST(CASE b.i WHEN 0 THEN CASE WHEN p_size > 40 THEN 2 ELSE 1 END WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 8 WHEN 4 THEN 2 ELSE 6 END AS BIGINT) AS lines
+          CAST(CASE b.i WHEN 0 THEN CASE WHEN p_size > 40 THEN 2 ELSE 1 END + CASE WHEN p_partkey % 3 = 2 THEN 1 ELSE 0 END WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 8 WHEN 4 THEN 2 ELSE 6 END AS BIGINT) AS lines
         FROM part, (SELECT unnest(['table', 'measure', 'measure', 'column', 'column', 'partition']) AS kind, unnest([0, 1, 2, 3, 4, 5]) AS i) b""",
     "extract_tables": """
         SELECT 'sm' || (p_partkey % 25) AS semantic_model_id, p_brand || '-' || p_partkey AS table_name, p_size > 40 AS is_hidden, p_partkey % 5 = 0 AS is_calculated,

@@ -235,3 +235,57 @@ def test_relationship_ends(spark, value, parts):
 
     frame = spark.createDataFrame([(value,)], "v STRING")
     assert tuple(frame.select(T.endpoint_part(F.col("v"), 1), T.endpoint_part(F.col("v"), 2)).first()) == parts
+
+
+MIXED = """table T
+  /// a note two blanks in
+\tmeasure A = 1
+\t    formatString: 0
+    measure B =
+\t\t\tcolumn + 1
+        isHidden
+  column C
+\tdataType: int64
+        sourceColumn: c
+\t/// column D
+\tannotation Look =
+\t\tcolumn not this one
+  partition P = m
+\t\tmode: import
+        source =
+\t\t\t\tlet
+\t\t\t\ttable = x,
+                column y
+\t\t\t\tin table
+"""
+
+
+def members(spark, text):
+    files = spark.createDataFrame([("ws", "m", "M", "model", "definition/tables/T.tmdl", text)], FILES_DDL)
+    return XM.attribute_blocks(files)
+
+
+def test_members_by_an_indentation_stack(spark, rows):
+    blocks = members(spark, MIXED)
+    assert [(r["kind"], r["block_name"]) for r in blocks.orderBy("block_no").collect()] == [
+        ("table", "T"), ("measure", "A"), ("measure", "B"), ("column", "C"), ("partition", "P"),
+    ]
+    assert rows(XM.extract_measures(blocks), "measure_name", "expression", "format_string", "is_hidden") == [
+        ("A", "1", "0", False), ("B", "column + 1", None, True),
+    ]
+    assert rows(XM.extract_columns(blocks), "column_name", "data_type", "source_column") == [("C", "int64", "c")]
+    assert rows(XM.extract_partitions(blocks), "partition_name", "mode", "source_expression") == [
+        ("P", "import", "let\ntable = x,\ncolumn y\nin table"),
+    ]
+
+
+@pytest.mark.parametrize("first", ["  /// note", "   // note", "      ", "\t\t/// far in", ""])
+@pytest.mark.parametrize("step", ["\t", "  ", "    ", " \t"])
+def test_a_first_line_does_not_decide_the_depth_of_members(spark, rows, first, step):
+    text = f"table T\n{first}\n{step}measure m = 1\n{step}{step}isHidden\n\n{step}column c\n{step}{step}dataType: string\n"
+    assert rows(members(spark, text), "kind", "block_name") == [("column", "c"), ("measure", "m"), ("table", "T")]
+
+
+def test_a_long_file_is_cut_in_one_pass(spark):
+    text = "table T\n" + "".join(f"\tcolumn c{i}\n\t\tdataType: int64\n" for i in range(3000))
+    assert members(spark, text).count() == 3001
