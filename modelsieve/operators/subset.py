@@ -18,6 +18,7 @@ from modelsieve.operators.graph import (
     relationship_key_columns,
     relationships_between,
 )
+from modelsieve.operators.lineage import physical_subset
 from modelsieve.operators.links import MODEL, report_links
 from modelsieve.operators.ranking import running_count
 from modelsieve.operators.refs import external_table_refs
@@ -326,15 +327,20 @@ def drop_invalid_variations(variations: DataFrame, relationships: DataFrame) ->
     ).select(*variations.columns)
 
 
-def prune_tables(tables: Mapping[str, DataFrame], kept: DataFrame, model: str | None = None) -> dict[str, DataFrame]:
+def prune_tables(
+    tables: Mapping[str, DataFrame], kept: DataFrame, model: str | None = None, lineage: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """Apply a subset to the data itself: kept tables with their kept columns only.
 
-    ``kept`` holds (table_name, column_name). What comes to the driver is at most one row per
+    ``kept`` holds (table_name, column_name) of the model. ``tables`` bear these names, or with ``lineage``
+    (see :func:`lineage.physical_columns`) the physical ones that the model's columns come from. What comes to the driver is at most one row per
     column of the given schemas; the data is pruned in the scan.
     """
     spark = kept.sparkSession
     if model is not None:
         kept = kept.where(F.col(MODEL) == model)
+    if lineage is not None:
+        kept = physical_subset(kept, lineage)
     schema = spark.createDataFrame(
         [(name, column) for name, df in tables.items() for column in df.columns],
         "table_name STRING, column_name STRING",

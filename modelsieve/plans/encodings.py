@@ -551,15 +551,40 @@ def star_columns() -> list[tuple[str, str]]:
     return [(t, c) for t, names in STAR.items() for c in names]
 
 
+def _star_source(table: str, names: list[str]) -> str:
+    """Query text of a star table: its odd columns are renamed, in two steps."""
+    odd = names[1::2]
+    pairs = [", ".join('{"%s", "%s"}' % pair for pair in step) for step in (
+        [(c, f"tmp {c}") for c in odd], [(f"tmp {c}", f"src {c}") for c in odd])]
+    return "\n".join([
+        "let", 'Source = Sql.Database("server", "shop"),',
+        f'dbo_{table} = Source{{[Schema="dbo",Item="{table}"]}}[Data],',
+        f'#"Renamed, once" = Table.RenameColumns(dbo_{table},{{{pairs[0]}}}),',
+        f'#"Typed = all" = Table.TransformColumnTypes(#"Renamed, once",{{{{"{names[0]}", Int64.Type}}}}),',
+        f'Renamed = Table.RenameColumns(#"Typed = all",{{{pairs[1]}}})', "in", "Renamed",
+    ])
+
+
 def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The star schema as a model whose reports (users) use columns that events name."""
+    """The star schema as a model whose reports (users) use columns that events name.
+
+    The model has names of its own; the queries of its partitions say which table they read and how its
+    columns were renamed.
+    """
     model = F.lit("star").alias("semantic_model_id")
-    listed = spark.createDataFrame(
-        [(i, t, c) for i, (t, c) in enumerate(star_columns())], "i INT, table_name STRING, column_name STRING"
+    table, column = "concat('The ', table_name, 's') as table_name", "concat(upper(column_name), ' of it') as column_name"
+    given = spark.createDataFrame(
+        [(i, t, c, f"src {c}" if STAR[t].index(c) % 2 else c) for i, (t, c) in enumerate(star_columns())],
+        "i INT, table_name STRING, column_name STRING, source_column STRING",
     )
+    listed = given.selectExpr("i", table, column, "source_column")
     keys = spark.createDataFrame(
         list(STAR_KEYS), "from_table STRING, from_column STRING, to_table STRING, to_column STRING"
-    )
+    ).selectExpr(*(e for side in ("from", "to") for e in (
+        f"concat('The ', {side}_table, 's') as {side}_table", f"concat(upper({side}_column), ' of it') as {side}_column")))
+    partitions = spark.createDataFrame(
+        [(t, _star_source(t, names)) for t, names in STAR.items()], "table_name STRING, source_expression STRING"
+    ).selectExpr(table, "source_expression")
     events = load(spark, sf_dir, "events").withColumn("k", F.expr("cast(get_json_object(props, '$.k') as int)"))
     # Squares leave many columns unused, whatever the number of events.
     counted = events.selectExpr("user_id", "event_type", f"(k * k) % {len(star_columns())} as i").groupBy(
@@ -573,7 +598,8 @@ def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return {
         "semantic_model": conform(spark.range(1).select(model, F.lit("star.SemanticModel").alias("name")), "semantic_model"),
         "semantic_model_table": conform(listed.select(model, "table_name").distinct(), "semantic_model_table"),
-        "semantic_model_column": conform(listed.select(model, "table_name", "column_name"), "semantic_model_column"),
+        "semantic_model_column": conform(listed.select(model, "table_name", "column_name", "source_column"), "semantic_model_column"),
+        "semantic_model_partitions": conform(partitions.select(model, "table_name", F.lit("p").alias("partition_name"), "source_expression"), "semantic_model_partitions"),
         "semantic_model_measure": none("semantic_model_measure"),
         "semantic_model_relationship": conform(keys.select(model, "*"), "semantic_model_relationship"),
         "semantic_model_table_bins": none("semantic_model_table_bins"),

@@ -627,8 +627,8 @@ BODIES: dict[str, str] = {
           CASE WHEN p_partkey % 5 = 0 THEN 'let' || chr(10) || 'a = ' || p_partkey || chr(10) || 'table = a{[Item="Sales"]}[Data],' || chr(10) || 'in a' END AS source_code FROM part""",
     "extract_columns": """
         SELECT 'sm' || (p_partkey % 25) AS semantic_model_id, p_brand || '-' || p_partkey AS table_name, p_type AS column_name, 'int64' AS data_type,
-          'src_' || p_type AS source_column, 'none' AS summarize_by, 'Size ' || p_size AS sort_by_column, false AS is_hidden FROM part
-        UNION ALL SELECT 'sm' || (p_partkey % 25), p_brand || '-' || p_partkey, 'Size ' || p_size, 'string', NULL, NULL, NULL, true FROM part""",
+          'src_' || p_type AS source_column, 'none' AS summarize_by, 'Size ' || p_size AS sort_by_column, false AS is_hidden, NULL AS format_string FROM part
+        UNION ALL SELECT 'sm' || (p_partkey % 25), p_brand || '-' || p_partkey, 'Size ' || p_size, 'string', NULL, NULL, NULL, true, NULL FROM part""",
     "extract_measures": """
         SELECT 'sm' || (p_partkey % 25) AS semantic_model_id, p_brand || '-' || p_partkey AS table_name, 'M ' || p_partkey AS measure_name,
           'SUM(''' || p_brand || '''[' || p_type || '])'::VARCHAR AS expression, '0' AS format_string, false AS is_hidden FROM part

@@ -13,7 +13,7 @@ from modelsieve.functions import expressions as X
 from modelsieve.functions import names as N
 from modelsieve.operators import extract_model as XM
 from modelsieve.operators import extract_report as XR
-from modelsieve.operators import graph, links, refs, subset, unused, usage
+from modelsieve.operators import graph, lineage, links, refs, subset, unused, usage
 from modelsieve.operators.links import MODEL
 from modelsieve.plans import encodings as E
 from modelsieve.plans.fixpoint import materialize, scratch_dir
@@ -388,10 +388,12 @@ def merge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def prune_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile of the star tables after the subset is applied: only kept columns are read."""
-    kept = subset.minimal_model(E.star_catalog(spark, sf_dir))["columns"]
+    cat = E.star_catalog(spark, sf_dir)
+    kept = subset.minimal_model(cat)["columns"]
+    physical = lineage.physical_columns(cat["semantic_model_column"], cat["semantic_model_partitions"])
     star = {name: E.load(spark, sf_dir, name) for name in E.STAR}
     profile = None
-    for name, df in subset.prune_tables(star, kept).items():
+    for name, df in subset.prune_tables(star, kept, lineage=physical).items():
         # One pass over the table; its few totals are then turned into rows.
         sums = [f"count({c}) as n_{c}" for c in df.columns]
         sums += [f"cast(sum({checksum_sql(c)}) as bigint) as s_{c}" for c in df.columns]
@@ -573,7 +575,7 @@ def _part_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def extract_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return XM.extract_columns(_part_blocks(spark, sf_dir)).drop("semantic_links", "format_string")
+    return XM.extract_columns(_part_blocks(spark, sf_dir)).drop("semantic_links")
 
 
 @query

@@ -22,7 +22,7 @@ DDL: dict[str, str] = {
     ),
     "semantic_model_column": (
         "semantic_model_id STRING, table_name STRING, column_name STRING, data_type STRING, "
-        "summarize_by STRING, is_hidden BOOLEAN, format_string STRING, sort_by_column STRING"
+        "summarize_by STRING, is_hidden BOOLEAN, format_string STRING, sort_by_column STRING, source_column STRING"
     ),
     "semantic_model_measure": (
         "semantic_model_id STRING, table_name STRING, measure_name STRING, expression STRING, "
