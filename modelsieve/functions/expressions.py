@@ -114,14 +114,12 @@ def piece_class(piece: Column) -> Column:
     )
 
 
+#: A name of ASCII words that does not begin with a digit.
+_PLAIN_NAME = r"^(?!\d)[\w ]+$"
+
+
 def light_references(c: Column) -> Column:
-    """Array of ``{table, column}`` for plain ``Name[Name]`` references (ASCII names only)."""
-    pattern = r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_ ]*+\s*+(?:\[\s*[A-Za-z_][A-Za-z0-9_ ]*\s*\])?"
-    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    return F.transform(
-        F.filter(found, lambda t: t.endswith("]")),
-        lambda t: F.struct(
-            F.trim(F.regexp_extract(t, r"^([A-Za-z0-9_ ]+)", 1)).alias("table"),
-            F.trim(F.regexp_extract(t, r"\[\s*([A-Za-z0-9_ ]+)\s*\]$", 1)).alias("column"),
-        ),
-    )
+    """Array of ``{table, column}`` of the unquoted references with plain ASCII names only."""
+    unquoted = F.filter(reference_tokens(c), lambda t: ~t.startswith("'"))
+    named = F.transform(unquoted, lambda t: F.struct(token_table(t).alias("table"), token_field(t).alias("column")))
+    return F.filter(named, lambda r: r["table"].rlike(_PLAIN_NAME) & r["column"].rlike(_PLAIN_NAME))

@@ -470,6 +470,11 @@ BODIES: dict[str, str] = {
         SELECT DISTINCT 'sm' || (l_suppkey % 25) AS semantic_model_id, l_returnflag || l_linestatus AS table_name, 'Q' || l_linenumber AS column_name FROM lineitem""",
     "search_measures": """
         SELECT semantic_model_id, table_name, measure_name FROM e_measure WHERE expression ILIKE '%countrows(calc_%'""",
+    "search_measures_indexed": """
+        SELECT DISTINCT text, semantic_model_id, table_name, measure_name FROM e_measure, (
+          SELECT DISTINCT lower(p_brand) || '[' AS text FROM part UNION SELECT '[m' || n_nationkey || ']' FROM nation
+          UNION SELECT unnest(['v_', 'CountRows(calc_'])) t
+        WHERE contains(lower(measure_name), lower(text)) OR contains(lower(expression), lower(text))""",
     "search_documents": "SELECT doc_id FROM documents WHERE text ILIKE '%license%'",
     # graph
     "measure_closure": "SELECT DISTINCT semantic_model_id, measure_name, reached FROM e_closure",
@@ -607,6 +612,10 @@ BODIES: dict[str, str] = {
     "query_catalog": """
         SELECT t.semantic_model_id, t.table_name, count(m.measure_name) AS measures FROM e_table t LEFT JOIN e_measure m
           ON m.semantic_model_id = t.semantic_model_id AND m.table_name = t.table_name GROUP BY 1, 2 HAVING count(m.measure_name) > 1""",
+    "query_with_parameters": """
+        SELECT m.semantic_model_id, m.measure_name, count(c.reached) AS reached, count(*) FILTER (starts_with(c.reached, 'm1')) AS matching
+        FROM e_measure m LEFT JOIN (SELECT DISTINCT semantic_model_id, measure_name, reached FROM e_closure) c USING (semantic_model_id, measure_name)
+        GROUP BY ALL""",
     "load_calc_dependencies": """
         SELECT 'w1' AS workspace_id, CASE WHEN p_partkey % 40 < 25 THEN 'sm' || (p_partkey % 40) END AS semantic_model_id,
           'NATION_' || (p_partkey % 40) || '.SemanticModel' AS database_name, p_name AS object_name, 'MEASURE' AS object_type,

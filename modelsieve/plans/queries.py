@@ -13,7 +13,7 @@ from modelsieve.functions import expressions as X
 from modelsieve.functions import names as N
 from modelsieve.operators import extract_model as XM
 from modelsieve.operators import extract_report as XR
-from modelsieve.operators import graph, lineage, links, refs, subset, unused, usage
+from modelsieve.operators import graph, lineage, links, refs, search_index, subset, unused, usage
 from modelsieve.operators.links import MODEL
 from modelsieve.plans import encodings as E
 from modelsieve.plans.fixpoint import materialize, scratch_dir
@@ -170,6 +170,18 @@ def search_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(MODEL, "table_name", "measure_name")
 
 
+@query
+def search_measures_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures that hold the name of a brand, of a part, or a few letters, through the trigram index."""
+    path = f"{scratch_dir(spark)}/measure-grams-{uuid.uuid4().hex}"
+    measures = E.measures(spark, sf_dir)
+    search_index.write_index(measures, path)
+    brands = E.load(spark, sf_dir, "part").selectExpr("concat(lower(p_brand), '[') as text")
+    names = E.load(spark, sf_dir, "nation").selectExpr("concat('[m', n_nationkey, ']') as text")
+    texts = brands.union(names).union(spark.range(1).selectExpr("explode(array('v_', 'CountRows(calc_')) as text")).distinct()
+    return search_index.search(search_index.read_index(spark, path), measures, texts)
+
+
 @query
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = E.spread(spark, sf_dir, "documents").selectExpr("doc_id", "'' as measure_name", "text as expression")
@@ -532,6 +544,21 @@ def query_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def query_with_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per measure, how many measures it reaches, and how many of them have a given beginning."""
+    cat = E.catalog(spark, sf_dir)
+    closed = materialize(graph.transitive_dependencies(_direct(spark, sf_dir)), "closed")
+    C.register_functions(spark, {"semantic_model_measure": cat["semantic_model_measure"], "measure_dependencies": closed})
+    return C.query_catalog(
+        spark,
+        """SELECT m.semantic_model_id, m.measure_name, count(r.reached) AS reached, count_if(startswith(r.reached, :beginning)) AS matching
+           FROM semantic_model_measure m LEFT JOIN LATERAL reachable(m.semantic_model_id, m.measure_name) r
+           GROUP BY m.semantic_model_id, m.measure_name""",
+        {"beginning": "m1"},
+    )
+
+
 @query
 def load_calc_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = E.load(spark, sf_dir, "part").selectExpr(

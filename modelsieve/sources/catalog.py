@@ -322,13 +322,80 @@ def register_views(catalog: Catalog) -> None:
         df.createOrReplaceTempView(table)
 
 
-def query_catalog(spark: SparkSession, sql: str) -> DataFrame:
-    """Run a read-only query. Wrapping it as a subquery makes commands a syntax error."""
+#: Table functions over the views of a catalog: name, the view they need, arguments and result, body.
+_FUNCTIONS = (
+    (
+        "reachable", "measure_dependencies", "model STRING, measure STRING", "reached STRING, home_table STRING",
+        """SELECT DISTINCT referenced_name, referenced_table FROM measure_dependencies
+           WHERE semantic_model_id = model AND measure_name = measure AND dependency_type = 'measure'""",
+    ),
+    (
+        "needed_columns", "measure_dependencies", "model STRING, measure STRING", "table_name STRING, column_name STRING",
+        """SELECT DISTINCT referenced_table, referenced_name FROM measure_dependencies
+           WHERE semantic_model_id = model AND measure_name = measure AND dependency_type = 'column'""",
+    ),
+    (
+        "neighbours", "semantic_model_relationship", "model STRING, of_table STRING", "neighbour STRING",
+        """SELECT DISTINCT if(from_table = of_table, to_table, from_table) FROM semantic_model_relationship
+           WHERE semantic_model_id = model AND (from_table = of_table OR to_table = of_table)""",
+    ),
+    (
+        "expanded", "semantic_model_relationship", "model STRING, of_table STRING, max_depth INT", "table_name STRING, depth INT",
+        """WITH RECURSIVE walk(node, depth, way) MAX RECURSION LEVEL 100 AS (
+             SELECT of_table, 0, array(of_table)
+             UNION ALL
+             SELECT r.to_table, w.depth + 1, array_append(w.way, r.to_table)
+             FROM walk w JOIN semantic_model_relationship r ON r.semantic_model_id = model AND r.from_table = w.node
+             WHERE w.depth < max_depth AND NOT array_contains(w.way, r.to_table)
+               AND contains(lower(coalesce(r.cardinality, 'manyToOne')), 'many'))
+           SELECT node, min(depth) FROM walk GROUP BY node""",
+    ),
+)
+
+
+def register_functions(spark: SparkSession, catalog: Catalog) -> None:
+    """Make closures and neighbourhoods callable in SQL, as table functions over the views of the catalog.
+
+    ``reachable`` and ``needed_columns`` read the stored dependencies and follow as many steps as
+    these do (all, where they are closed). ``expanded`` follows relationships from the many side to the one
+    side of one model, way by way: it is for questions about single tables;
+    :func:`graph.expand_tables` answers for many at once.
+    """
+    register_views(catalog)
+    for name, view, arguments, result, body in _FUNCTIONS:
+        if view in catalog:
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS TABLE ({result}) RETURN {body}")
+
+
+#: Plan nodes that do more than read.
+_NOT_READING = ("Command", "Insert", "Create", "Drop", "ScriptTransformation", "ScriptInputOutput")
+
+
+def _nodes(plan: object) -> Iterator[object]:
+    """Nodes of an analysed plan, those inside views and subqueries included."""
+    yield plan
+    for group in (plan.children(), plan.innerChildren()):
+        for i in range(group.size()):
+            child = group.apply(i)
+            if hasattr(child, "innerChildren"):
+                yield from _nodes(child)
+
+
+def query_catalog(spark: SparkSession, sql: str, args: dict[str, object] | None = None) -> DataFrame:
+    """Run a read-only query over the registered views and functions.
+
+    ``args`` are values for named markers (``:name``), which are never read as SQL. The text is a
+    subquery of the statement that runs, where commands are a syntax error; a query whose analysed plan does
+    more than read, as by starting a script, is refused before it runs.
+    """
     text = sql.strip().rstrip(";")
-    first = text.split(None, 1)[0].upper() if text else ""
-    if first not in ("SELECT", "WITH", "FROM", "VALUES", "TABLE", "(SELECT"):
+    if not text:
         raise ValueError("only queries are allowed")
-    return spark.sql(f"SELECT * FROM (\n{text}\n)")
+    found = spark.sql(f"SELECT * FROM (\n{text}\n)", args=args or {})
+    for node in _nodes(found._jdf.queryExecution().analyzed()):
+        if any(word in node.nodeName() for word in _NOT_READING):
+            raise ValueError("only queries are allowed")
+    return found
 
 
 def table_counts(catalog: Catalog) -> DataFrame:

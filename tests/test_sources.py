@@ -136,12 +136,36 @@ def test_stored_catalog(spark, tmp_path, rows):
     ]
 
 
-@pytest.mark.parametrize("sql", ["DROP TABLE x", "INSERT INTO x VALUES (1)", "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a", "SELECT 1; DROP TABLE x", ""])
+@pytest.mark.parametrize("sql", ["DROP TABLE x", "INSERT INTO x VALUES (1)", "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a", "SELECT 1; DROP TABLE x", "", "  ;", "SELECT 1) t; DROP TABLE x; SELECT * FROM (SELECT 1", "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM range(3)",
+                                 "CREATE TEMPORARY VIEW v AS SELECT 1", "SET a = b"])
 def test_only_queries_run(spark, sql):
     with pytest.raises(Exception):  # noqa: B017
         C.query_catalog(spark, sql)
 
 
+def test_queries_with_parameters_and_table_functions(spark, rows):
+    ddl = ", ".join(f"{c} STRING" for c in "semantic_model_id measure_name measure_table dependency_type referenced_name referenced_table".split())
+    deps = [("m", "a", "T", "measure", "b", "T"), ("m", "a", "T", "column", "c", "U"), ("m", "a", "T", "table", "U", None), ("n", "a", "T", "measure", "z", "")]
+    edges = [("m", "F", "D", None), ("m", "D", "S", "manyToOne"), ("m", "S", "F", None), ("m", "F", "X", "oneToOne"), ("n", "F", "Q", None)]
+    cat = {
+        "measure_dependencies": spark.createDataFrame(deps, ddl),
+        "semantic_model_relationship": spark.createDataFrame(edges, "semantic_model_id STRING, from_table STRING, to_table STRING, cardinality STRING"),
+    }
+    C.register_functions(spark, cat)
+
+    def ask(sql, **args):
+        return rows(C.query_catalog(spark, sql, args))
+
+    assert ask("-- a note first\nSELECT * FROM reachable(:model, :name)", model="m", name="a") == [("b", "T")]
+    assert ask("SELECT * FROM reachable(:model, :name)", model="m", name="a' OR '1'='1") == []
+    assert ask("FROM needed_columns('m', 'a')") == [("U", "c")]
+    assert ask("SELECT * FROM neighbours('m', 'F')") == [("D",), ("S",), ("X",)]
+    assert ask("SELECT * FROM expanded('m', :t, :depth)", t="F", depth=5) == [("D", 1), ("F", 0), ("S", 2)]
+    assert ask("SELECT * FROM expanded('m', :t, :depth)", t="F", depth=1) == [("D", 1), ("F", 0)]
+    both = "WITH k AS (SELECT DISTINCT semantic_model_id AS k FROM measure_dependencies) SELECT k, r.reached FROM k, LATERAL reachable(k, 'a') r"
+    assert ask(both) == [("m", "b"), ("n", "z")]
+
+
 def test_calc_dependencies(spark, rows):
     data = [("w", {"DATABASE_NAME": "A", "OBJECT_NAME": "", "object_name": "o"}), ("w", {"database_name": "Z"})]
     found = D.load_calc_dependencies(
