@@ -18,8 +18,9 @@ opened again, so cycles end. Base matches of the text itself always stay; a deco
 span if it is not among them.
 
 A layer above MAX_LAYER bytes is scanned in overlapping blocks, which bounds memory but not time
-against crafted data. Only an unbroken base64 run above MAX_LAYER within such a layer, which would
-have to be held as one, is left out and counted in ``n_refused``.
+against crafted data. ``n_refused`` counts what is left out: an unbroken base64 run above MAX_LAYER within
+such a layer, which would have to be held as one; compressed data whose window takes more than
+MAX_WINDOW; and a large layer in more than DEPTH layers of compression.
 
 Defined cases: a null text counts as empty and has no span. Every row gives one row, repeated rows
 too. Only the id and text columns are read. Offsets are code points, ends exclusive.
@@ -47,6 +48,8 @@ from modelsieve.llm.common import text_of
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER = 32 << 20
+#: Memory for the window of compressed data (xz dictionaries, Zstandard windows).
+MAX_WINDOW = 512 << 20
 #: Bytes decompressed at a time, and those of each block of a large layer that the next one repeats.
 BLOCK = 1 << 20
 TAIL = 1 << 16
@@ -182,13 +185,14 @@ def _opener(head: bytes) -> object | None:
         return zlib.decompressobj(15)
     if head[:3] == b"BZh":
         return bz2.BZ2Decompressor()
-    return lzma.LZMADecompressor(memlimit=4 * MAX_LAYER)
+    return lzma.LZMADecompressor(memlimit=MAX_WINDOW)
 
 
-def inflated(blocks: Iterator[bytes]) -> Iterator[bytes]:
+def inflated(blocks: Iterator[bytes], refuse: Callable[[], None] = lambda: None) -> Iterator[bytes]:
     """Decompressed data of all members, in blocks, up to the first damage; nothing if not compressed.
 
-    What follows the last member is passed on as it is.
+    What follows the last member is passed on as it is. ``refuse`` is called for a member whose
+    window takes more memory than allowed.
     """
     rest, opened = b"", False
     while True:
@@ -203,7 +207,7 @@ def inflated(blocks: Iterator[bytes]) -> Iterator[bytes]:
         try:
             if rest.startswith(b"\x28\xb5\x2f\xfd"):
                 source = _File(itertools.chain([rest], blocks))
-                opener = zstandard.ZstdDecompressor(max_window_size=MAX_LAYER)
+                opener = zstandard.ZstdDecompressor(max_window_size=MAX_WINDOW)
                 with opener.stream_reader(source, read_across_frames=True) as reader:
                     while out := reader.read(BLOCK):
                         some = True
@@ -218,7 +222,9 @@ def inflated(blocks: Iterator[bytes]) -> Iterator[bytes]:
                 data = getattr(member, "unconsumed_tail", b"")
                 if len(out) < BLOCK and not member.eof and not data and (data := next(blocks, None)) is None:
                     return
-        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError) as error:
+            if "memory" in str(error).lower():
+                refuse()
             if opened and not some:
                 yield rest
             return
@@ -381,7 +387,7 @@ class Scan:
         place = f"raw {first}:{last}:".encode()
         opened = False
         while True:
-            blocks, out = inflated(iter([raw])), bytearray()
+            blocks, out = inflated(iter([raw]), self._refuse), bytearray()
             for block in blocks:
                 out += block
                 if len(out) > MAX_LAYER:
@@ -396,6 +402,9 @@ class Scan:
             self._whole(raw, first, last)
         return opened
 
+    def _refuse(self) -> None:
+        self.refused += 1
+
     def _whole(self, raw: bytes, first: int, last: int) -> None:
         for text, _, _ in _texts(raw):
             self._add(Layer(text, np.broadcast_to(first, len(text)), np.broadcast_to(last, len(text))))
@@ -410,7 +419,7 @@ class Scan:
             head = next(blocks, b"")
             if not _compressed(head):
                 break
-            inner = inflated(itertools.chain([head], blocks))
+            inner = inflated(itertools.chain([head], blocks), self._refuse)
             if (out := next(inner, None)) is None:
                 break
             head, blocks = b"", itertools.chain([out], inner)

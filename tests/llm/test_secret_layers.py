@@ -83,3 +83,16 @@ def test_large_layers_are_scanned_in_blocks(monkeypatch):
             for raw in (gzip.compress(data), gzip.compress(bz2.compress(data))):
                 scan = secret_scan.Scan(b64(raw))
                 assert ({k for k, _, _ in scan.spans}, scan.refused) == ({"assign"}, 0)
+
+
+def test_windows_beyond_the_memory_allowed_are_counted():
+    import lzma
+
+    secret = b"password = Tr0ub4dor-and-3x"
+    for size, refused in ((1 << 28, 0), (1 << 30, 1)):
+        packed = lzma.compress(secret, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": size}]) if size < 1 << 29 else None
+        if packed is None:
+            # A frame that asks for a window of two gigabytes.
+            packed = b"\x28\xb5\x2f\xfd\x00" + bytes([21 << 3]) + b"\x01\x00\x00"
+        scan = secret_scan.Scan("x " + base64.b64encode(packed + b"\0" * 12).decode())
+        assert scan.refused == refused and bool(scan.spans) == (not refused)
