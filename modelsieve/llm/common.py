@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from modelsieve.plans import fixpoint
 from modelsieve.session import ensure_scratch
 
-#: A frame that the driver counted at no more rows than this may be broadcast.
-BROADCAST_ROWS = 200_000
-
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and kept when executors are lost."""
@@ -20,11 +17,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return fixpoint.materialize(df, label)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a written table), to be broadcast if it has at most ``rows`` rows, else shuffled."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def text_of(column: str) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelsieve.llm.common import bound, small, text_of, words_of, written
+from modelsieve.llm.common import bound, text_of, words_of, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -110,7 +110,7 @@ def windows(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -
     ``n`` and the window's ``shingles``.
     """
     keyed = docs.select("id", "body", F.xxhash64("body").alias("text_key"))
-    known = small(written(items.select(F.explode("shingles").alias("shingle"), "n").distinct(), "benchmark-shingles"))
+    known = written(items.select(F.explode("shingles").alias("shingle"), "n").distinct(), "benchmark-shingles")
     hits = (
         keyed.select("id", "text_key", F.posexplode(shingle_hashes(words_of(F.col("body")))).alias("at", "shingle"))
         .join(known, "shingle")
@@ -219,7 +219,7 @@ def matches(
     items = benchmark_items(benchmark)
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("body"))
     near = candidates(windows(base, items, similarity), items, radius)
-    own = small(items.select("item", F.col("shingles").alias("item_shingles"), F.col("n").alias("item_n")))
+    own = items.select("item", F.col("shingles").alias("item_shingles"), F.col("n").alias("item_n"))
     return (
         near.join(own, "item")
         .withColumn("similarity", weighted_similarity(F.col("shingles"), F.col("item_shingles")))
@@ -255,9 +255,11 @@ def drop_contaminated(
 ) -> DataFrame:
     """The documents without any benchmark passage, with all their columns."""
     bad = matches(docs, benchmark, id_col, text_col, **options)
-    bad = bad.select(F.col("id").alias("__bad"), F.col("text_key").alias("__bad_text")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__bad")) & (F.col("__text") == F.col("__bad_text"))
-    return docs.withColumn("__text", F.xxhash64(text_of(text_col))).join(bad, same, "left_anti").drop("__text")
+    bad = bad.select(F.col("id").alias("bad"), F.col("text_key").alias("bad_text")).distinct()
+    # The row is one column, so that its own columns may have any names.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("text"))
+    same = F.col("id").eqNullSafe(F.col("bad")) & (F.col("text") == F.col("bad_text"))
+    return rows.join(bad, same, "left_anti").select("row.*")
 
 
 def radius_recall(similarity: float, radius: int = RADIUS) -> float:

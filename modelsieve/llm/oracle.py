@@ -69,22 +69,22 @@ ORACLES: dict[str, str] = {
         FROM t JOIN g ON t.body = g.body""",
     "op7_line_dedup": r"""
         WITH l AS (
-            SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+            SELECT doc_id, source, ' ' || chr(9) || chr(11) || chr(12) || chr(13) AS ends, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
             FROM documents
         ), b AS (
-            SELECT trim(line) AS line, min({'doc_id': doc_id, 'pos': pos}) AS first FROM l WHERE trim(line) <> ''
-            GROUP BY trim(line) HAVING count(DISTINCT coalesce(source, '')) >= 10
+            SELECT trim(line, ends) AS line, min({'doc_id': doc_id, 'pos': pos}) AS first FROM l WHERE trim(line, ends) <> ''
+            GROUP BY trim(line, ends) HAVING count(DISTINCT coalesce(source, '')) >= 10
         ), m AS (
             SELECT l.doc_id, l.pos, l.line, b.line IS NOT NULL AND {'doc_id': l.doc_id, 'pos': l.pos} <> b.first AS gone
-            FROM l LEFT JOIN b ON trim(l.line) = b.line
+            FROM l LEFT JOIN b ON trim(l.line, ends) = b.line
         ), d AS (
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
                    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS rest
             FROM m GROUP BY doc_id
         )
         SELECT doc_id, n_lines, n_removed, length(rest) AS n_chars, sha256(rest) AS text_sha256 FROM d""",
-    # Every window of the size of an item, compared with that item through their shingle texts.
+    # Every window of the size of an item, and every shorter text as a whole, compared with that item through their shingle texts.
     "op9_decontaminate": r"""
         WITH dw AS (
             SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
@@ -102,14 +102,15 @@ ORACLES: dict[str, str] = {
         ), i AS (SELECT item_id, n, s, count(*) AS times FROM s GROUP BY ALL),
         hit AS (SELECT doc_id, total, p, ds.s, item_id, n, times FROM ds JOIN i ON ds.s = i.s),
         win AS (
-            SELECT doc_id, item_id, n, s, times, unnest(range(greatest(p - n + 1, 1), least(p, total - n + 1) + 1)) AS start
+            SELECT doc_id, item_id, n, s, times, unnest(range(greatest(p - n + 1, 1), least(p, total - n + 1) + 1)) AS start, n AS size
             FROM hit WHERE total >= n
+            UNION ALL SELECT doc_id, item_id, n, s, times, 1, total FROM hit WHERE total < n
         ), shared AS (
-            SELECT doc_id, item_id, n, start, sum(least(found, times)) AS common
-            FROM (SELECT doc_id, item_id, n, start, s, times, count(*) AS found FROM win GROUP BY ALL) GROUP BY ALL
+            SELECT doc_id, item_id, n, size, start, sum(least(found, times)) AS common
+            FROM (SELECT doc_id, item_id, n, size, start, s, times, count(*) AS found FROM win GROUP BY ALL) GROUP BY ALL
         ), best AS (
-            SELECT doc_id, item_id, max(common / (2 * n - common)) AS similarity FROM shared GROUP BY ALL
-            HAVING max(common / (2 * n - common)) >= 0.8
+            SELECT doc_id, item_id, max(common / (n + size - common)) AS similarity FROM shared GROUP BY ALL
+            HAVING max(common / (n + size - common)) >= 0.8
         ), d AS (SELECT doc_id, count(*) AS n_items, max(similarity) AS max_similarity FROM best GROUP BY doc_id)
         SELECT o.doc_id, d.doc_id IS NOT NULL AS contaminated, coalesce(d.n_items, 0) AS n_items,
                coalesce(d.max_similarity, 0.0) AS max_similarity
