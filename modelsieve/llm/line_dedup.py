@@ -8,7 +8,7 @@ counted exactly. A line on ``min_sites`` or more sites stays only where it occur
 document with the smallest id; all its other occurrences go. Only hashes are joined; texts meet the
 numbers of their removed lines once.
 
-Lines are compared without blanks at their ends, by 96 bits of hash. Blank lines stay and are never
+Lines are compared without blanks, tabs, form feeds and carriage returns at their ends, by 96 bits of hash. Blank lines stay and are never
 boilerplate. A null site counts as one site of its own.
 
 Defined cases: a null text counts as empty; it has one blank line and stays as it is (null in
@@ -28,6 +28,8 @@ from modelsieve.llm.common import text_of, written
 MIN_SITES = 10
 #: Registers of a sketch, as a power of two.
 REGISTERS = 12
+#: Characters at the ends of a line that do not count: blank, tab, form and line feeds, carriage return.
+ENDS = " \t\x0b\x0c\r"
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str | None) -> DataFrame:
@@ -39,7 +41,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str | None) ->
         site.alias("site"),
         F.posexplode(F.split(body, "\n")).alias("at", "line"),
     )
-    line = F.trim("line")
+    line = F.trim("line", F.lit(ENDS))
     return lines.where(line != "").select("id", "text_key", "site", "at", F.xxhash64(line).alias("k1"), F.hash(line).alias("k2"))
 
 
@@ -93,40 +95,55 @@ def removed_lines(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", tex
 
 
 def _rewritten(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """``docs`` with ``__gone``, the numbers of removed lines (null if none go)."""
+    """``row`` of ``docs`` with its ``id`` and ``body`` and the numbers of the removed lines, ``gone`` (null if none go)."""
     found = boilerplate(docs, id_col=id_col, text_col=text_col, **options)
-    gone = removed_lines(docs, found, id_col, text_col).select(
-        F.col("id").alias("__id"), F.col("text_key").alias("__key"), F.col("gone").alias("__gone")
+    gone = removed_lines(docs, found, id_col, text_col).withColumnsRenamed({"id": "gone_id", "text_key": "gone_key"})
+    # The row is one column, so that its own columns may have any names.
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.xxhash64(text_of(text_col)).alias("text_key")
     )
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(text_col)) == F.col("__key"))
-    return docs.join(gone, same, "left").drop("__id", "__key")
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key"))
+    return rows.join(gone, same, "left").select("row", "id", "body", "gone")
 
 
-def _cleaned(text_col: str) -> Column:
-    rest = F.filter(F.split(text_of(text_col), "\n"), lambda _, i: ~F.array_contains("__gone", i))
-    return F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))
+def _cleaned() -> Column:
+    """The text without its removed lines: what lies between one and the next, in one pass."""
+    lines = F.split(text_of("body"), "\n")
+    cuts = F.concat(F.array(F.lit(-1)), F.array_sort("gone"), F.array(F.size(lines)))
+
+    def between(i: Column) -> Column:
+        before, after = F.get(cuts, i - 1), F.get(cuts, i)
+        return F.slice(lines, before + 2, after - before - 1)
+
+    rest = F.flatten(F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), between))
+    return F.when(F.col("gone").isNull(), F.col("body")).otherwise(F.array_join(rest, "\n"))
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """All documents with their columns; texts without boilerplate lines, ``n_chars`` to match."""
-    texts = _rewritten(docs, id_col, text_col, **options).withColumn(text_col, _cleaned(text_col))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        texts = texts.withColumn(
-            "n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(kind)
-        )
-    return texts.select(*docs.columns)
+    texts = _rewritten(docs, id_col, text_col, **options).withColumn("clean", _cleaned())
+    changed = F.col("gone").isNotNull()
+
+    def column(name: str) -> Column:
+        given = F.col("row").getField(name)
+        if name == text_col:
+            return F.col("clean").alias(name)
+        if name == "n_chars":
+            return F.when(changed, F.length("clean")).otherwise(given).cast(docs.schema[name].dataType).alias(name)
+        return given.alias(name)
+
+    return texts.select(*map(column, docs.columns))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: id, ``n_lines``, ``n_removed``, ``n_chars`` and ``text_sha256`` of what is left."""
     columns = [c for c in (id_col, text_col, options.get("site_col", "source")) if c in docs.columns]
     texts = _rewritten(docs.select(*columns), id_col, text_col, **options)
-    clean = F.coalesce(_cleaned(text_col), F.lit(""))
+    clean = F.coalesce(_cleaned(), F.lit(""))
     return texts.select(
-        F.col(id_col),
-        F.size(F.split(text_of(text_col), "\n")).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.col("id").alias(id_col),
+        F.size(F.split(text_of("body"), "\n")).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
         F.length(clean).cast("bigint").alias("n_chars"),
         F.sha2(clean, 256).alias("text_sha256"),
     )

@@ -171,3 +171,46 @@ def test_stages_on_edge_rows(spark, docs, empty, tmp_path, stage):
         if stage < len(corpus_pipeline.STAGES) - 1:
             assert result.columns == docs.columns
         result.collect()
+
+
+TAKEN = (
+    "__id __text __digest __keep __keep_node __node __bad __bad_text __gone __key __at __part __flag row keep gone clean body id node text_key "
+    "digest bad bad_text gone_id gone_key keep_node text_sha256 kept line at site k1 k2 first"
+).split()
+
+
+@pytest.mark.parametrize("name", ["exact", "near", "contaminated", "lines"])
+def test_columns_may_have_the_names_of_helpers(spark, name):
+    some = ROWS[:4] if name == "near" else ROWS
+    rows = spark.createDataFrame(some, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    named = rows.withColumns({c: F.lit(c) for c in TAKEN})
+    clean = {
+        "exact": exact_dedup.drop_duplicates,
+        "near": order_minhash.drop_near_duplicates,
+        "contaminated": lambda d: decontaminate.drop_contaminated(d, benchmark(spark)),
+        "lines": lambda d: line_dedup.clean_documents(d, min_sites=2),
+    }[name]
+    found = clean(named)
+    assert found.columns == named.columns
+    result = found.collect()
+    assert result and all(r[c] == c for r in result for c in TAKEN)
+    plain = clean(rows).collect()
+    assert sorted((tuple(r)[:5] for r in result), key=repr) == sorted(map(tuple, plain), key=repr)
+
+
+def test_line_ends_do_not_tell_lines_apart(spark):
+    ends = ["", "\r", " ", "\t", "\x0b", "\x0c \r"]
+    rows = [(i, f"own line {i}\nthe same everywhere{ends[i % 6]}\n{ends[i % 6]}\nend {i}", None, f"site{i}") for i in range(18)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.clean_documents(docs).collect()}
+    assert [i for i, text in kept.items() if "everywhere" in text] == [0]
+    # Lines of blanks and tabs alone are blank, and stay.
+    assert all(kept[i] == f"own line {i}\n{ends[i % 6]}\nend {i}" for i in range(1, 18))
+
+
+def test_a_long_text_loses_many_lines_in_one_pass(spark):
+    lines = [f"common {i}" if i % 2 else f"own {i}" for i in range(40_000)]
+    rows = [(0, "\n".join(x for x in lines if x.startswith("common")), "a"), (1, "\n".join(lines), "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.clean_documents(docs, min_sites=2).collect()}
+    assert kept[1] == "\n".join(x for x in lines if x.startswith("own"))
