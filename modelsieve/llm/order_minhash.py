@@ -453,6 +453,8 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """One document of each class, with all its columns."""
     keep = _placed(docs, id_col, text_col, similarity).where("kept")
-    keep = keep.select(F.col("id").alias("__keep"), F.col("node").alias("__keep_node")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__keep")) & (F.col("__node") == F.col("__keep_node"))
-    return docs.withColumn("__node", _node(words_text(text_col))).join(keep, same, "left_semi").drop("__node")
+    keep = keep.select(F.col("id").alias("keep"), F.col("node").alias("keep_node")).distinct()
+    # The row is one column, so that its own columns may have any names.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), _node(words_text(text_col)).alias("node"))
+    same = F.col("id").eqNullSafe(F.col("keep")) & (F.col("node") == F.col("keep_node"))
+    return rows.join(keep, same, "left_semi").select("row.*")
