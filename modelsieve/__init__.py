@@ -4,13 +4,15 @@ from modelsieve.operators import (
     extract_model,
     extract_report,
     graph,
+    lineage,
     links,
     refs,
+    search_index,
     subset,
     unused,
     usage,
 )
-from modelsieve.sources import catalog, definitions, manifests
+from modelsieve.sources import catalog, definitions, manifests, reimport
 
 __all__ = [
     "catalog",
@@ -18,9 +20,12 @@ __all__ = [
     "extract_model",
     "extract_report",
     "graph",
+    "lineage",
     "links",
     "manifests",
     "refs",
+    "reimport",
+    "search_index",
     "subset",
     "unused",
     "usage",

@@ -131,7 +131,39 @@ def variables_used(measures: DataFrame) -> DataFrame:
     )
 
 
-def _name_candidates() -> Column:
+def variable_scopes(pieces: Column) -> Column:
+    """Where variables hide tables of their name: ``{name, first, last}`` (places from 1, both exclusive).
+
+    ``pieces`` holds ``{text, cls}``, in lower case. A variable is visible from its declaration to the
+    end of the block that declares it: the parenthesis that closes around the block, or the comma
+    behind it among the arguments of a call. Blocks further in see it, those beside it do not.
+    """
+    places = F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1)))
+
+    def declares(i: Column) -> Column:
+        name = F.get(pieces, i + 1)
+        return F.coalesce((F.get(pieces, i - 1)["text"] == "var") & (F.get(pieces, i)["cls"] == "s") & (name["cls"] == "w"), F.lit(False))
+
+    def end_of_block(i: Column) -> Column:
+        start = F.struct(F.lit(0).alias("depth"), (i + 2).alias("at"), F.lit(0).alias("end"))
+
+        def step(state: Column, piece: Column) -> Column:
+            at, depth = state["at"] + 1, state["depth"]
+            ends = (depth == 0) & piece["text"].isin(")", ",")
+            deeper = F.when(piece["text"] == "(", depth + 1).when(piece["text"] == ")", depth - 1).otherwise(depth)
+            moved = F.struct(deeper.alias("depth"), at.alias("at"), F.when(ends, at).otherwise(F.lit(0)).alias("end"))
+            return F.when(state["end"] > 0, state).otherwise(moved)
+
+        found = F.aggregate(F.slice(pieces, i + 3, F.size(pieces)), start, step)["end"]
+        return F.when(found > 0, found).otherwise(F.size(pieces) + 1)
+
+    return F.transform(
+        F.filter(places, declares),
+        lambda i: F.struct(F.get(pieces, i + 1)["text"].alias("name"), i.alias("first"), end_of_block(i).alias("last")),
+    )
+
+
+def _name_candidates(scoped: bool) -> Column:
     """Runs of ``__pieces`` that may be a table name: ``{start, length, key}`` per run.
 
     ``__pieces`` holds ``{text, cls}``; ``__shapes`` holds the (class of the first piece,
@@ -169,7 +201,12 @@ def _name_candidates() -> Column:
         after = run["start"] + run["length"]
         return F.when(cls(after) == "s", text(after + 1)).otherwise(text(after)) == "("
 
-    return F.filter(runs, lambda run: ~is_call(run) & ~F.array_contains(variables, run["key"]))
+    def is_variable(run: Column) -> Column:
+        if not scoped:
+            return F.array_contains(variables, run["key"])
+        return F.exists("__scopes", lambda v: (v["name"] == run["key"]) & (v["first"] < run["start"]) & (run["start"] < v["last"]))
+
+    return F.filter(runs, lambda run: ~is_call(run) & ~is_variable(run))
 
 
 def bare_table_refs(
@@ -178,14 +215,16 @@ def bare_table_refs(
     text: str = "expression",
     keep: Sequence[str] = _MEASURE_KEYS,
     include_quoted: bool = False,
+    scoped_variables: bool = False,
 ) -> DataFrame:
     """Known tables named in an expression without a ``[column]`` after the name.
 
     A name may hold several words. Each expression is cut into words and marks, and every
     run of pieces that is as long as some table name of the model becomes one candidate;
     candidates meet the names by an equi-join on (model, lower-case text). The longest name
-    wins at each place, and names declared as variables do not count. Names inside single
-    quotes count only with ``include_quoted``.
+    wins at each place, and names declared as variables do not count: nowhere in the expression, or
+    with ``scoped_variables`` only where the variable is visible (see :func:`variable_scopes`). Names
+    inside single quotes count only with ``include_quoted``.
     """
     named = tables.where(F.col("table_name") != "").select(MODEL, "table_name").distinct()
     name_pieces = X.pieces(F.col("table_name"))
@@ -208,9 +247,11 @@ def bare_table_refs(
             lambda p: F.struct(p.alias("text"), X.piece_class(p).alias("cls")),
         ).alias("__pieces"),
     ).join(shapes, MODEL)
+    if scoped_variables:
+        words = words.withColumn("__scopes", variable_scopes(F.col("__pieces")))
     # Candidates are built inside the row, so the pieces of a long text are not copied to
     # every start position.
-    candidates = words.select(*keep, F.explode(_name_candidates()).alias("__c")).select(
+    candidates = words.select(*keep, F.explode(_name_candidates(scoped_variables)).alias("__c")).select(
         *keep, F.col("__c.start").alias("__start"), F.col("__c.length").alias("__length"), F.col("__c.key").alias("__key")
     )
 
@@ -246,6 +287,7 @@ def _dependencies(
     include_quoted: bool,
     spell_columns: bool,
     dash_comments: bool,
+    scoped_variables: bool,
 ) -> DataFrame:
     """Table, column and measure rows of expressions: ``keep`` and the three dependency columns.
 
@@ -275,7 +317,7 @@ def _dependencies(
     )
     # Both rows come out of the one scan of the texts.
     each = F.when(is_column, F.array(as_read, of_table)).otherwise(F.array(as_read))
-    bare = bare_table_refs(texts, tables, text, keep, include_quoted).select(
+    bare = bare_table_refs(texts, tables, text, keep, include_quoted, scoped_variables).select(
         *keep,
         F.lit("table").alias("dependency_type"),
         F.col("ref_table").alias("referenced_name"),
@@ -289,15 +331,17 @@ def direct_dependencies(
     include_quoted: bool = False,
     spell_columns: bool = False,
     dash_comments: bool = False,
+    scoped_variables: bool = False,
 ) -> DataFrame:
     """Table, column and measure dependencies of every measure of every model.
 
     ``include_quoted`` counts quoted table names without a column, which names with blanks need;
     ``spell_columns`` gives columns the spelling of the model; with ``dash_comments`` the text
-    behind ``--`` holds no references.
+    behind ``--`` holds no references; with ``scoped_variables`` a variable hides a table of its name
+    only where it is visible.
     """
     measures = cat["semantic_model_measure"]
-    found = _dependencies(measures, "expression", _MEASURE_KEYS, cat, include_quoted, spell_columns, dash_comments)
+    found = _dependencies(measures, "expression", _MEASURE_KEYS, cat, include_quoted, spell_columns, dash_comments, scoped_variables)
     return conform(found.withColumnRenamed("table_name", "measure_table"), "measure_dependencies")
 
 
@@ -320,10 +364,11 @@ def calculated_table_dependencies(
     include_quoted: bool = False,
     spell_columns: bool = False,
     dash_comments: bool = False,
+    scoped_variables: bool = False,
 ) -> DataFrame:
     """Dependencies of the source code of calculated tables (direct ones only)."""
     code = cat["semantic_model_table"].where("is_calculated").select(MODEL, "table_name", "source_code")
-    found = _dependencies(code, "source_code", (MODEL, "table_name"), cat, include_quoted, spell_columns, dash_comments)
+    found = _dependencies(code, "source_code", (MODEL, "table_name"), cat, include_quoted, spell_columns, dash_comments, scoped_variables)
     # A measure row has no home table here.
     home = F.when(F.col("dependency_type") != "measure", F.col("referenced_table"))
     found = found.withColumn("referenced_table", home).withColumnRenamed("table_name", "calculated_table_name")

@@ -19,7 +19,7 @@ from modelsieve.operators.graph import (
     relationships_between,
 )
 from modelsieve.operators.lineage import physical_subset
-from modelsieve.operators.links import MODEL, report_links
+from modelsieve.operators.links import MODEL, link_keys
 from modelsieve.operators.ranking import running_count
 from modelsieve.operators.refs import external_table_refs
 from modelsieve.operators.usage import linked_usage
@@ -39,14 +39,11 @@ def used_objects(cat: Catalog, link_by: str = "name", include_filters: bool = Fa
     """
     used = linked_usage(cat, link_by)
     if include_filters:
-        fields = (
-            cat["report_filter"]
-            .select("report_id", "table_name", F.col("column_name").alias("field"))
-            .distinct()
-            .join(report_links(cat, link_by), "report_id")
-            .select(MODEL, "table_name", "field")
-            .distinct()
-        )
+        reports, models = link_keys(cat, link_by)
+        # By what reports and models have in common first, so that no report is paired with each model of a name.
+        per_report = cat["report_filter"].select("report_id", "table_name", F.col("column_name").alias("field")).distinct()
+        per_link = per_report.join(reports, "report_id").select("link", "table_name", "field").distinct()
+        fields = per_link.join(models, "link").select(MODEL, "table_name", "field").distinct()
         columns = cat["semantic_model_column"].select(MODEL, "table_name", F.col("column_name").alias("field"), F.lit("column").alias("kind"))
         measures = cat["semantic_model_measure"].select(MODEL, "table_name", F.col("measure_name").alias("field"), F.lit("measure").alias("kind"))
         known = fields.join(columns.unionByName(measures), [MODEL, "table_name", "field"])

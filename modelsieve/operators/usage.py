@@ -182,28 +182,43 @@ def page_columns(cat: dict[str, DataFrame]) -> DataFrame:
 
 
 def page_measures(cat: dict[str, DataFrame], link_by: str = "name") -> DataFrame:
-    """Distinct measures per page with the expression in the report's model, if it has one."""
+    """Distinct measures per page with the expression in the report's model, if it has one.
+
+    Models are reduced to what they link by first: where several models of one name have the measure,
+    the least expression stands for them, and no page is paired with each of them.
+    """
+    reports, models = link_keys(cat, link_by)
     used = cat["report_measure_used"].select("report_id", "page_name", "measure_name").distinct()
     expressions = (
         cat["semantic_model_measure"]
         .where(F.coalesce("expression", F.lit("")) != "")
-        .groupBy(MODEL, "measure_name")
+        .select(MODEL, "measure_name", "expression")
+        .join(models, MODEL)
+        .groupBy("link", "measure_name")
         .agg(F.min("expression").alias("expression"))
     )
     return (
-        used.join(report_links(cat, link_by), "report_id", "left")
-        .join(expressions, [MODEL, "measure_name"], "left")
+        used.join(reports, "report_id", "left")
+        .join(expressions, ["link", "measure_name"], "left")
         .select("report_id", "page_name", "measure_name", "expression")
     )
 
 
 def page_sources(cat: dict[str, DataFrame], link_by: str = "name") -> DataFrame:
-    """Partition sources of the tables whose columns a page uses."""
+    """Partition sources of the tables whose columns a page uses; equal ones of models of one name once."""
+    reports, models = link_keys(cat, link_by)
     used = cat["report_column_used"].select("report_id", "page_name", "table_name").distinct()
-    sources = cat["semantic_model_partitions"].where(F.coalesce("source_expression", F.lit("")) != "")
+    sources = (
+        cat["semantic_model_partitions"]
+        .where(F.coalesce("source_expression", F.lit("")) != "")
+        .select(MODEL, "table_name", "partition_name", "source_expression")
+        .join(models, MODEL)
+        .select("link", "table_name", "partition_name", "source_expression")
+        .distinct()
+    )
     return (
-        used.join(report_links(cat, link_by), "report_id")
-        .join(sources.select(MODEL, "table_name", "partition_name", "source_expression"), [MODEL, "table_name"])
+        used.join(reports, "report_id")
+        .join(sources, ["link", "table_name"])
         .select("report_id", "page_name", "table_name", "partition_name", "source_expression")
     )
 

@@ -164,3 +164,28 @@ def test_options_of_dependencies(spark, rows):
     assert rows(closed, "measure_name", "referenced_name") == [
         ("A", "CALCULATE"), ("A", "COUNTROWS"), ("A", "MIN"), ("A", "SUM"), ("B", "CALCULATE"), ("B", "MIN"),
     ]
+
+
+@pytest.mark.parametrize(
+    ("expression", "seen"),
+    [
+        # beside the block that declares it, among the arguments of a call
+        ("CALCULATE(VAR Sales = 1 RETURN Sales, Sales)", True),
+        ("SUMX((VAR Sales = 1 RETURN Sales + 1), COUNTROWS(Sales))", True),
+        # before its declaration
+        ("VAR x = COUNTROWS(Sales) VAR Sales = 2 RETURN Sales", True),
+        # in its own block, also further in, and in a block of its own there
+        ("VAR Sales = 1 RETURN Sales", False),
+        ("VAR Sales = 1 RETURN CALCULATE(MAX(Sales, 2), (Sales))", False),
+        ("VAR a = 1 RETURN IF(a > 0, VAR Sales = MAX(a, 2) RETURN (Sales) * Sales, 3)", False),
+        ("VAR Sales = 1 RETURN IF(TRUE(), VAR Sales = 2 RETURN Sales, Sales)", False),
+        ("IF(TRUE(), VAR Sales = 1 RETURN Sales, VAR Sales = 2 RETURN Sales)", False),
+        # two blocks, the second without it
+        ("IF(TRUE(), VAR Sales = 1 RETURN Sales, VAR s = COUNTROWS(sales) RETURN s)", True),
+    ],
+)
+def test_variables_hide_tables_in_their_scope_only(spark, rows, expression, seen):
+    measures = spark.createDataFrame([("m", "T", "x", expression)], "semantic_model_id STRING, table_name STRING, measure_name STRING, expression STRING")
+    tables = spark.createDataFrame([("m", "Sales"), ("m", "T")], "semantic_model_id STRING, table_name STRING")
+    assert rows(refs.bare_table_refs(measures, tables, scoped_variables=True), "ref_table") == ([("Sales",)] if seen else [])
+    assert rows(refs.bare_table_refs(measures, tables)) == []
