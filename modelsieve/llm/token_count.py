@@ -5,10 +5,12 @@ and come back as a single token are proven to cost one token wherever they occur
 because merges never cross pre-tokens. A text is cut into pre-tokens; proven ones are counted, and
 only the others are merged by the tokenizer, each distinct one once per worker's memory.
 
-Pre-tokens are cut by a pattern whose letter and digit classes are written out for the characters
-of ``KNOWN``, where Unicode versions agree. A text with any other character, or with one of the
-tokenizer's special strings, is given to the tokenizer whole, so special strings count as it
-counts them by default.
+Texts are first cut at the tokenizer's special strings, which are one token each, as the tokenizer does
+by default. Pre-tokens are then cut by a pattern whose letter and digit classes are written out for the
+characters of ``KNOWN``, where Unicode versions agree, or where a part holds any other character by the
+tokenizer's own pre-tokenizer. Both ways give the same pre-tokens, and every text is counted by them.
+
+The pattern and the shortcut hold for byte-level BPE; a definition of another kind is refused.
 
 Defined cases: a null text counts as empty and has no tokens. Each row gives one row, repeated rows
 too. Only the id and text columns are read. Memory: the vocabulary and CACHE strings per worker.
@@ -70,27 +72,50 @@ def single_tokens(tokenizer: Tokenizer) -> list[str]:
             text = bytes(alphabet[c] for c in entry).decode()
         except (KeyError, UnicodeDecodeError):
             continue  # not the stand-ins of a whole text
-        if not _UNKNOWN.search(text) and PRE_TOKEN.findall(text) == [text]:
+        if pre_tokens(tokenizer, text) == [text]:
             strings.append(text)
     strings.sort()
     encoded = tokenizer.encode_batch(strings, add_special_tokens=False)
     return [s for s, e in zip(strings, encoded, strict=True) if len(e.ids) == 1]
 
 
+def check_definition(definition: str) -> None:
+    """Refuse a tokenizer whose pre-tokens are not those of byte-level BPE, or that rewrites texts."""
+    parts = json.loads(definition)
+    cutter, model = parts.get("pre_tokenizer") or {}, parts.get("model") or {}
+    byte_level = (cutter.get("type"), cutter.get("add_prefix_space"), cutter.get("use_regex", True)) == ("ByteLevel", False, True)
+    plain_model = model.get("type") == "BPE" and not any(
+        model.get(k) for k in ("unk_token", "dropout", "continuing_subword_prefix", "end_of_word_suffix")
+    )
+    flags = ("lstrip", "rstrip", "single_word", "normalized")
+    plain_specials = not any(t.get(f) for t in parts.get("added_tokens") or [] for f in flags)
+    if parts.get("normalizer") or not (byte_level and plain_model and plain_specials):
+        raise ValueError("token counts need a byte-level BPE definition without a normalizer")
+
+
+def pre_tokens(tokenizer: Tokenizer, text: str) -> list[str]:
+    """Pre-tokens of a text without special strings."""
+    if not _UNKNOWN.search(text):
+        return PRE_TOKEN.findall(text)
+    return [text[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+
 class Counter:
     """Counts tokens of texts; remembers the cost of pre-tokens."""
 
     def __init__(self, definition: str, singles: list[str]) -> None:
         self.tokenizer = Tokenizer.from_str(definition)
-        special = [t["content"] for t in json.loads(definition).get("added_tokens") or []]
+        special = sorted((t["content"] for t in json.loads(definition).get("added_tokens") or []), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.singles = dict.fromkeys(singles, 1)
         self.cost = dict(self.singles)
 
     def count(self, text: str) -> int:
-        if _UNKNOWN.search(text) or (self.special and self.special.search(text)):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        pieces = PRE_TOKEN.findall(text)
+        parts = self.special.split(text) if self.special else [text]
+        return len(parts) - 1 + sum(map(self._count, parts))
+
+    def _count(self, text: str) -> int:
+        pieces = pre_tokens(self.tokenizer, text)
         new = list(set(pieces).difference(self.cost))
         if new:
             merged = self.tokenizer.encode_batch(new, add_special_tokens=False)
@@ -109,6 +134,7 @@ def token_counts(
 ) -> DataFrame:
     """One row per document: id, ``n_bytes``, ``n_tokens``, ``over_limit``."""
     definition = Path(tokenizer_path).read_text(encoding="utf-8")
+    check_definition(definition)
     key = hashlib.sha256(definition.encode()).hexdigest()
     # Bounded by the vocabulary.
     sent = docs.sparkSession.sparkContext.broadcast((definition, single_tokens(Tokenizer.from_str(definition))))
