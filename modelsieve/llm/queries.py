@@ -87,7 +87,9 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages; listed are the URLs of all pages on junk sites."""
     pages = table(spark, sf_dir, "pages")
     junk = url_filter.host_of(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_SITES)})\.")
-    return url_filter.verdicts(pages, spark.createDataFrame(URL_RULES, url_filter.RULE), pages.where(junk))
+    listed = [F.struct(*(F.lit(v).alias(c) for c, v in zip(("host", "path", "action"), rule))) for rule in URL_RULES]
+    rules = spark.range(1).select(F.inline(F.array(*listed)))
+    return url_filter.verdicts(pages, rules, pages.where(junk))
 
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
