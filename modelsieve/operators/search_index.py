@@ -24,10 +24,14 @@ KEY = ["semantic_model_id", "table_name", "measure_name"]
 
 def grams(text: Column) -> Column:
     """The distinct runs of three characters of a text, in lower case."""
-    lower = F.lower(text)
-    places = F.filter(F.sequence(F.lit(1), F.length(lower) - (N - 1)), lambda i: i > 0)
-    runs = F.transform(places, lambda i: F.substr(lower, i, F.lit(N)))
-    return F.when(F.length(lower) >= N, F.array_distinct(runs)).otherwise(F.expr("cast(array() as array<string>)"))
+
+    def of_lower(lower: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.length(lower) - (N - 1)), lambda i: i > 0)
+        runs = F.transform(places, lambda i: F.substr(lower, i, F.lit(N)))
+        return F.when(F.length(lower) >= N, F.array_distinct(runs)).otherwise(F.expr("cast(array() as array<string>)"))
+
+    # Bound to a name, or each run would put the whole text in lower case again.
+    return F.element_at(F.transform(F.array(F.lower(text)), of_lower), 1)
 
 
 def _bucket(gram: Column) -> Column:
@@ -35,13 +39,17 @@ def _bucket(gram: Column) -> Column:
 
 
 def postings(measures: DataFrame) -> DataFrame:
-    """``gram``, where it is (``name`` or ``expression``) and the key of the measure."""
+    """``gram``, where it is (``name`` or ``expression``) and the key of the measure.
+
+    Measures of one key with different expressions list their common trigrams once each.
+    """
     parts = F.array(
         F.struct(F.lit("name").alias("part"), grams(F.col("measure_name")).alias("grams")),
         F.struct(F.lit("expression").alias("part"), grams(F.coalesce("expression", F.lit(""))).alias("grams")),
     )
-    each = measures.select(*KEY, F.inline(parts))
-    return each.select(F.explode("grams").alias("gram"), "part", *KEY).distinct()
+    # Measures that come again go before their trigrams are listed, which are a hundred times as many rows.
+    each = measures.select(*KEY, "expression").distinct().select(*KEY, F.inline(parts))
+    return each.select(F.explode("grams").alias("gram"), "part", *KEY)
 
 
 def write_index(measures: DataFrame, path: str) -> None:
@@ -61,13 +69,28 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def candidates(index: DataFrame, texts: DataFrame) -> DataFrame:
-    """Measures that hold all trigrams of a text (column ``text``), in one of their parts."""
-    asked = texts.select("text").distinct().withColumn("__grams", grams(F.col("text")))
-    asked = asked.where(F.size("__grams") > 0).select("text", F.size("__grams").alias("__n"), F.explode("__grams").alias("gram"))
+    """Measures that hold all trigrams of a text (column ``text``), in one of their parts.
+
+    A text is looked up by the one of its trigrams that the fewest measures hold, and these measures'
+    lists are compared with its other trigrams. So trigrams that all measures hold are read once, and are not
+    paired with every text that has them.
+    """
+    asked = texts.select("text").distinct().withColumn("__grams", grams(F.col("text"))).where(F.size("__grams") > 0)
+    each = asked.select("text", "__grams", F.explode("__grams").alias("gram"))
     # Written, so that its size is known; the comparison lets Spark prune buckets by it.
-    asked = materialize(asked.withColumn(BUCKET, _bucket(F.col("gram"))), "asked-grams").where(F.col(BUCKET) >= 0)
-    held = index.join(asked, [BUCKET, "gram"]).groupBy("text", "part", *KEY)
-    return held.agg(F.count(F.lit(1)).alias("__held"), F.max("__n").alias("__n")).where("__held = __n").select("text", *KEY).distinct()
+    each = materialize(each.withColumn(BUCKET, _bucket(F.col("gram"))), "asked-grams").where(F.col(BUCKET) >= 0)
+    here = [BUCKET, "gram"]
+    lists = index.join(each.select(*here).distinct(), here)
+    sizes = lists.groupBy(*here).agg(F.count(F.lit(1)).alias("__size"))
+    # A trigram that nothing holds has no size and comes first; the text then has no measures.
+    rarest = each.join(sizes, here, "left").groupBy("text").agg(
+        F.min(F.struct(F.coalesce("__size", F.lit(0)).alias("size"), *here, "__grams")).alias("__first")
+    )
+    rarest = materialize(rarest.select("text", f"__first.{BUCKET}", "__first.gram", "__first.__grams"), "rarest-grams")
+    found = index.join(rarest.where(F.col(BUCKET) >= 0), here).select("text", "__grams", "part", *KEY).distinct()
+    # At most the trigrams asked for that one measure holds.
+    held = lists.groupBy("part", *KEY).agg(F.collect_set("gram").alias("__held"))
+    return found.join(held, ["part", *KEY]).where(F.size(F.array_except("__grams", "__held")) == 0).select("text", *KEY).distinct()
 
 
 def search(index: DataFrame, measures: DataFrame, texts: DataFrame) -> DataFrame:

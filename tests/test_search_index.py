@@ -1,6 +1,7 @@
 """Search through the index against a scan."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,3 +48,18 @@ def test_search_without_measures(spark, tmp_path):
     I.write_index(nothing, str(tmp_path / "none"))
     asked = spark.createDataFrame([("abc",), ("a",)], "text STRING")
     assert I.search(I.read_index(spark, str(tmp_path / "none")), nothing, asked).collect() == []
+
+
+def test_common_trigrams_are_not_paired_with_every_text(spark, tmp_path):
+    rows = [("s", "T", f"m{i}", f"Brand#{i % 10}[x]") for i in range(500)]
+    # One key twice, with parts of a text in different expressions: no hit.
+    rows += [("s", "U", "u", "brand#"), ("s", "U", "u", "and#7["), ("s", "U", "v", "brand#7["), ("s", "U", "v", "brand#7[")]
+    measures = spark.createDataFrame(rows, DDL)
+    I.write_index(measures, str(tmp_path / "common"))
+    index = I.read_index(spark, str(tmp_path / "common"))
+    asked = spark.createDataFrame([(f"brand#{i}[",) for i in range(10)], "text STRING")
+    found = Counter(r["text"] for r in I.search(index, measures, asked).collect())
+    assert found == Counter({f"brand#{i}[": 50 + 2 * (i == 7) for i in range(10)})
+    # A text meets the lists of one of its trigrams only.
+    plan = I.candidates(index, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_except" in plan and "count(1) AS __held" not in plan
