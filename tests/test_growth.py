@@ -23,3 +23,19 @@ def test_used_objects_are_found_once(spark, rows, monkeypatch):
     found, tables = Q._needed_columns(cat)
     assert rows(found) == [("m", "T", "a")] and rows(tables) == [("m", "T")]
     assert calls == ["used", "needed"]
+
+
+def test_usage_is_made_distinct_by_link_only(spark, rows):
+    used = "report_id STRING, page_name STRING, visual_name STRING, table_name STRING, {} STRING, usage_count BIGINT"
+    cat = {
+        "report_column_used": spark.createDataFrame([(f"r{i % 7}", f"p{i}", "v", "T", f"c{i % 2}", 1) for i in range(20)], used.format("column_name")),
+        "report_measure_used": spark.createDataFrame([("r0", "p", "v", "T", "m", 1), (None, "p", "v", "T", "m", 1)], used.format("measure_name")),
+        # One report is listed twice, r6 not at all.
+        "report": spark.createDataFrame([(f"r{i % 6}", f"n{i % 2}") for i in range(7)], "report_id STRING, name STRING"),
+        "semantic_model": spark.createDataFrame([("s0", "n0.SemanticModel"), ("s1", "n1.SemanticModel"), ("s2", "n1.SemanticModel")], "semantic_model_id STRING, name STRING"),
+    }
+    found = usage.linked_usage(cat)
+    expected = {(s, "column", "T", c) for s in ("s0", "s1", "s2") for c in ("c0", "c1")} | {("s0", "measure", "T", "m")}
+    assert rows(found) == sorted(expected, key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[report_id#\d+, kind", plan)
