@@ -39,3 +39,14 @@ def test_usage_is_made_distinct_by_link_only(spark, rows):
     assert rows(found) == sorted(expected, key=repr)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Aggregate \[report_id#\d+, kind", plan)
+
+
+def test_tasks_of_a_distinct_follow_the_rows(spark, rows, monkeypatch):
+    df = spark.createDataFrame([(i % 50, None if i % 3 else "x") for i in range(300)], "a INT, b STRING")
+    assert fixpoint.distinct_rows(df, 300, per_task=20).rdd.getNumPartitions() == 15
+    assert rows(fixpoint.distinct_rows(df, 300, per_task=20)) == rows(df.distinct())
+    asked = []
+    monkeypatch.setattr(graph, "distinct_rows", lambda df, n: asked.append(n) or fixpoint.distinct_rows(df, n))
+    edges = spark.createDataFrame([("m", "A", "B"), ("m", "A", "B"), ("m", None, "B")], "semantic_model_id STRING, from_table STRING, to_table STRING")
+    assert rows(graph.neighbours(edges)) == [("m", "A", "B"), ("m", "B", "A")]
+    assert asked == [4]
