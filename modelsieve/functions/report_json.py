@@ -91,10 +91,14 @@ def node_ref(node: Column, *aliases: Column) -> Column:
 _STRING = r'[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _KEYS = r'(?:Column|Measure|visual|objects|filterConfig|filters)"\s*+:\s*+[{\[]'
 #: What a text is reduced to: its braces, and keys of interest with the brace of their value.
-_NOISE = rf'(?s)("{_KEYS})|"{_STRING}|[^"{{}}\[\]]++'
-_BRACES = rf'"{_KEYS}|[{{}}\[\]]'
+_NOISE = rf'(?s)("{_KEYS})|(?:[^"{{}}\[\]]++|"(?!{_KEYS}){_STRING})++'
+_BRACES = rf'"{_KEYS}|[{{}}\[\]CM]'
 #: Braces around nothing, three deep, but not those of a key of interest.
 _HOLLOW = r"(?<![:\s])[{\[](?:[{\[](?:[{\[][}\]])*+[}\]])*+[}\]]"
+#: A node without a key of interest inside, once its own braces are hollow, and what takes its place.
+_LEAF, _LETTER = r'"(C|M)(?:olumn|easure)"\s*+:\s*+\{\}', "$1"
+#: Braces around such nodes alone, which say nothing of where these lie.
+_AROUND = r"(?<![:\s])[{\[]([CM]++)[}\]]"
 #: The key of a field node. Inside a text, its first quote would be escaped.
 _NODE_KEY = r'"(?<!\\")(?:Column|Measure)"\s*+:\s*+(?=\{)'
 _NONE = -1
@@ -154,6 +158,17 @@ def _node_places(text: Column, listed: bool, numbered: Column) -> Column:
         entry = (s["filters"] != _NONE) & (s["depth"] == entry_depth) & (token == "{")
         return F.when(entry, moved(s, 1, n=s["n"] + 1)).otherwise(moved(s, 1))
 
+    def leaf(s: Column, token: Column) -> Column:
+        """A node that ends at once. A key lies in an object, so in a list of filters it lies in an entry."""
+        place = (
+            F.when(s["node"] != _NONE, "n")
+            .when(s["filters"] != _NONE, "f")
+            .when(s["config"] != _NONE, "x")
+            .when(s["objects"] != _NONE, "o")
+            .otherwise("r")
+        )
+        return moved(s, 0, places=F.concat(s["places"], place, token, s["n"].cast("string"), F.lit(",")))
+
     def closed(s: Column) -> Column:
         depth = s["depth"] - 1
         ended = {c: F.when(s[c] != depth, s[c]).otherwise(_NONE) for c in marks}
@@ -162,12 +177,23 @@ def _node_places(text: Column, listed: bool, numbered: Column) -> Column:
 
     braces = F.regexp_replace(text, _NOISE, "$1")
     # Most braces go before the pass over the rest, but not where empty filters have to be counted.
-    few = bound(braces, lambda b: F.when(numbered, b).otherwise(F.regexp_replace(F.regexp_replace(b, _HOLLOW, ""), _HOLLOW, "")))
+    few = bound(braces, lambda b: F.when(numbered, b).otherwise(_without_plain_braces(b)))
     tokens = F.regexp_extract_all(few, F.lit(_BRACES), F.lit(0))
-    last = F.aggregate(tokens, start, lambda s, t: F.when(t.isin("}", "]"), closed(s)).when(t.isin("{", "["), plain(s, t)).otherwise(opened(s, t)))
+
+    def step(s: Column, t: Column) -> Column:
+        return F.when(t.isin("}", "]"), closed(s)).when(t.isin("{", "["), plain(s, t)).when(t.isin("C", "M"), leaf(s, t)).otherwise(opened(s, t))
+
+    last = F.aggregate(tokens, start, step)
     return F.split(F.rtrim(last["places"], F.lit(",")), ",")
 
 
+def _without_plain_braces(braces: Column) -> Column:
+    """Braces without pairs that no place depends on; nodes with nothing inside are a letter each."""
+    for pattern, kept in ((_HOLLOW, ""), (_HOLLOW, ""), (_LEAF, _LETTER), *[(_AROUND, "$1")] * 5):
+        braces = F.regexp_replace(braces, pattern, kept)
+    return braces
+
+
 _PLACED = f"ARRAY<STRUCT<kind: STRING, place: STRING, filter: INT, node: {_NODE}>>"
 
 
@@ -297,7 +323,7 @@ def document_refs(doc: Column, filters: Column) -> Column:
         return bound(
             parsed(text, _VISUAL),
             lambda visual: bound(
-                F.struct(query_aliases(visual).alias("aliases"), _list(field_nodes(text, numbered=filters.isNull()), _PLACED).alias("nodes")),
+                F.struct(query_aliases(visual).alias("aliases"), _list(field_nodes(text, numbered=filters.isNull() & text.contains('"filters"')), _PLACED).alias("nodes")),
                 lambda found: of_visual(text, filters, visual, found["aliases"], found["nodes"]),
             ),
         )

@@ -283,8 +283,11 @@ def extract_field_refs(visuals: DataFrame, pages: DataFrame) -> DataFrame:
 
     See :func:`report_json.document_refs` for what counts.
     """
-    refs = visuals.select(*_KEYS, F.col("name").alias("visual_name"), F.explode(J.document_refs(F.col("doc"), F.col("filters"))).alias("r"))
-    return with_page_names(refs.select(*_KEYS, "visual_name", "r.kind", "r.ref"), pages)
+    refs = visuals.select(*_KEYS, F.col("name").alias("visual_name"), J.document_refs(F.col("doc"), F.col("filters")).alias("refs"))
+    # A visual meets its page in one row, and its references come apart afterwards. A plain explode would
+    # read every document once more, to leave out those without references where the files are read.
+    found = with_page_names(refs, pages).select("report_id", "page_name", "visual_name", F.explode_outer("refs").alias("r"))
+    return found.where("r is not null").select("report_id", "visual_name", "r.kind", "r.ref", "page_name")
 
 
 def unreadable_documents(files: DataFrame) -> DataFrame:
