@@ -214,3 +214,13 @@ def test_a_long_text_loses_many_lines_in_one_pass(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = {r["doc_id"]: r["text"] for r in line_dedup.clean_documents(docs, min_sites=2).collect()}
     assert kept[1] == "\n".join(x for x in lines if x.startswith("own"))
+
+
+def test_exact_duplicates_move_each_text_once(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a  b"), (3, "c"), (4, None), (None, "c")], "doc_id bigint, text string")
+    base = docs.select(F.col("doc_id").alias("id"), exact_dedup.normalised(F.coalesce("text", F.lit(""))).alias("body"))
+    base = base.withColumn("digest", F.length("body") > 5)
+    winners = {salts: exact_dedup._winners(base, salts) for salts in (exact_dedup.SALTS, 3)}
+    moves = {salts: w._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for salts, w in winners.items()}
+    assert moves == {exact_dedup.SALTS: 1, 3: 2}
+    assert len({tuple(sorted(map(tuple, w.collect()))) for w in winners.values()}) == 1
