@@ -27,8 +27,9 @@ Rounds end when every text is similar to its pivots. A pair is similar if its wo
 diagonal of a band of that width. Linked texts form classes (connected components).
 
 Equal word sequences are one node from the start, so copies are never paired. Nodes are 128-bit
-digests. Intermediate tables hold digests and numbers; texts are shuffled once, and then only the
-texts of candidates.
+digests. Documents are read once; their words are stored compressed beside the sketches. Other
+intermediate tables hold digests and numbers; compressed words are shuffled once, and then only those
+of candidates.
 
 Candidate search is probabilistic. Share of pairs with scattered substitutions that share a bucket
 (simulated, 150 pairs each): of 300 words, all at 10% and 15%, 0.99 at 18% and 0.97 at 20% edits; of
@@ -48,8 +49,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelsieve.llm.common import text_of, written
@@ -63,8 +66,8 @@ TUPLE = 2
 #: Runs in a tuple where texts consist of passages found elsewhere.
 LONG_TUPLE = 8
 SIMILARITY = 0.8
-#: Word hashes kept by a Python worker before it starts anew.
-CACHE = 150_000
+#: Rows whose words a Python worker holds at a time.
+SLICE = 500
 #: Sketches compared first; texts that they join need no other alignment between them.
 FIRST = 6
 #: Ratios of lengths that fall into one class, for texts that failed against a pivot.
@@ -75,7 +78,7 @@ OFFERED = 4
 BLOCK = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_word_hashes: dict[str, int] = {}
+_ZSTD = pa.Codec("zstd")
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -89,16 +92,43 @@ def _seeds(sketches: int) -> tuple[np.ndarray, np.ndarray]:
     return _mixed(n * _MIX), _mixed(n + np.uint64(1 << 40)) | np.uint64(1)
 
 
+def _packed(body: str) -> bytes:
+    """A text compressed, after its length in bytes."""
+    raw = body.encode()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _unpacked(packed: bytes) -> str:
+    return _ZSTD.decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True).decode()
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+
+
+def _numbered(bodies: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The words of each text as numbers, and the hash of each number's word."""
+    split = pc.split_pattern(pa.array(bodies, pa.large_string()), " ")
+    flat = split.flatten().dictionary_encode()
+    numbers = flat.indices.to_numpy()
+    return np.split(numbers, split.offsets.to_numpy()[1:-1]), _hashes(flat.dictionary.to_pylist())
+
+
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch[at : at + SLICE]
+
+
 def labelled_runs(words: list[str], size: int = SHINGLE) -> np.ndarray:
     """Hash of each run of ``size`` words and its occurrence number, in text order."""
-    if len(_word_hashes) > CACHE:
-        _word_hashes.clear()
-    known = _word_hashes
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w)
-    h = np.array([known[w] for w in words], dtype=np.uint64)
-    size = min(size, len(words))
-    n = len(words) - size + 1
+    return _labelled(_hashes(words), size)
+
+
+def _labelled(h: np.ndarray, size: int) -> np.ndarray:
+    """``labelled_runs`` from the hashes of the words."""
+    size = min(size, len(h))
+    n = len(h) - size + 1
     run = np.zeros(n, dtype=np.uint64)
     for j in range(size):
         run = _mixed(run * _MIX + h[j : j + n])
@@ -186,22 +216,24 @@ def allowed_edits(longer: int, similarity: float) -> int:
 
 
 def _distances(similarity: float, reach: int):
-    """Rows ``a, b, a_body, b_body`` to ``a, b, n_a, n_b, distance, common``.
+    """Rows ``a, b, a_words, b_words`` (compressed) to ``a, b, n_a, n_b, distance, common``.
 
     The distance is null beyond ``reach`` times the allowed one. ``common`` has, for pairs that are
     not similar and a reach above 1, first and last number of each stretch of runs of ``b`` that ``a`` has too.
     """
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            numbers: dict[str, int] = {}
-            out, last, left, left_runs = [], None, None, None
-            for a, b, a_body, b_body in batch.itertuples(index=False, name=None):
-                if last != a:
-                    last, left_runs = a, None
-                    left = np.array([numbers.setdefault(w, len(numbers)) for w in a_body.split(" ")])
-                words = b_body.split(" ")
-                right = np.array([numbers.setdefault(w, len(numbers)) for w in words])
+        for batch in _slices(batches):
+            # Rows come sorted by ``a``: its words are unpacked once for those that follow each other.
+            new = (batch.a != batch.a.shift()).to_numpy()
+            bodies = [_unpacked(w) for w in [*batch.a_words[new], *batch.b_words]]
+            numbers, hashes = _numbered(bodies)
+            lefts, rights = numbers[: new.sum()], numbers[new.sum() :]
+            out, last, left_runs = [], -1, None
+            for a, b, at, right in zip(batch.a, batch.b, np.cumsum(new) - 1, rights, strict=True):
+                left = lefts[at]
+                if last != at:
+                    last, left_runs = at, None
                 longer = max(len(left), len(right))
                 allowed = allowed_edits(longer, similarity)
                 most = min(longer, reach * allowed)
@@ -210,8 +242,8 @@ def _distances(similarity: float, reach: int):
                 common = None
                 if reach > 1 and (distance is None or distance > allowed):
                     if left_runs is None:
-                        left_runs = labelled_runs(a_body.split(" "), RUN)
-                    common = _stretches(np.isin(labelled_runs(words, RUN), left_runs))
+                        left_runs = _labelled(hashes[left], RUN)
+                    common = _stretches(np.isin(_labelled(hashes[right], RUN), left_runs))
                 out.append((a, b, len(left), len(right), distance, common))
             names = ["a", "b", "n_a", "n_b", "distance", "common"]
             yield pd.DataFrame(out, columns=names).astype({"distance": "Int32"})
@@ -239,10 +271,10 @@ _VERIFIED = "a binary, b binary, n_a int, n_b int, distance int, common array<in
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, reach: int) -> DataFrame:
     """Pairs of nodes ``a, b`` with word counts, distance and, if not ``linked``, common stretches; a written table."""
-    bodies = pairs.join(texts.select(F.col("node").alias("b"), F.col("body").alias("b_body")), "b").join(
-        texts.select(F.col("node").alias("a"), F.col("body").alias("a_body")), "a"
+    words = pairs.join(texts.select(F.col("node").alias("b"), F.col("words").alias("b_words")), "b").join(
+        texts.select(F.col("node").alias("a"), F.col("words").alias("a_words")), "a"
     )
-    found = bodies.select("a", "b", "a_body", "b_body").mapInPandas(_distances(similarity, reach), _VERIFIED)
+    found = words.select("a", "b", "a_words", "b_words").mapInPandas(_distances(similarity, reach), _VERIFIED)
     linked = F.coalesce(F.col("distance") <= _allowed("n_a", "n_b", similarity), F.lit(False))
     return written(found.withColumn("linked", linked), "omh-verified")
 
@@ -257,20 +289,25 @@ def words_text(text_col: str) -> Column:
 
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        words = [body.split(" ") if body else [] for body in batch.body]
-        keys = [sketch(labelled_runs(w, RUN)) if w else np.empty(0, dtype=np.int64) for w in words]
+    """Rows ``id, node, body`` to ``id, node, n, keys, words`` (compressed)."""
+    for batch in _slices(batches):
+        numbers, hashes = _numbered(batch.body.to_list())
+        # An empty text has no words.
+        numbers = [w if body else w[:0] for w, body in zip(numbers, batch.body, strict=True)]
+        keys = [sketch(_labelled(hashes[w], RUN)) if len(w) else np.empty(0, dtype=np.int64) for w in numbers]
+        n = np.array([len(w) for w in numbers], dtype=np.int32)
         yield pd.DataFrame(
-            {"id": batch.id, "node": batch.node, "n": np.array([len(w) for w in words], dtype=np.int32), "keys": keys}
+            {"id": batch.id, "node": batch.node, "n": n, "keys": pd.Series(keys, batch.index), "words": batch.body.map(_packed)}
         )
 
 
 def _sketches_of_the_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows ``node, body, aside`` (stretches of runs) to ``node, keys``."""
-    for batch in batches:
+    """Rows ``node, words, aside`` (stretches of runs) to ``node, keys``."""
+    for batch in _slices(batches):
         keys = []
-        for body, aside in zip(batch.body, batch.aside, strict=True):
-            runs = labelled_runs(body.split(" "), RUN)
+        numbers, hashes = _numbered([_unpacked(w) for w in batch.words])
+        for words, aside in zip(numbers, batch.aside, strict=True):
+            runs = _labelled(hashes[words], RUN)
             rest = np.ones(len(runs), dtype=bool)
             for first, last in np.asarray(aside).reshape(-1, 2):
                 rest[first : last + 1] = False
@@ -278,7 +315,7 @@ def _sketches_of_the_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
                 keys.append(sketch(runs[rest]))
             else:
                 keys.append(~sketch(runs, taken=LONG_TUPLE))
-        yield pd.DataFrame({"node": batch.node, "keys": keys})
+        yield pd.DataFrame({"node": batch.node, "keys": pd.Series(keys, batch.index)})
 
 
 def _star(rows: DataFrame) -> DataFrame:
@@ -298,20 +335,18 @@ def _same_lengths(members: DataFrame, verified: DataFrame, labels: DataFrame) ->
     more than the ratio share one. The pivot is the smallest node, as in any bucket.
     """
     failed = verified.where("not linked").select(F.col("b").alias("node")).distinct()
-    classes = [F.struct(F.lit(r).alias("ratio"), (_length_class("n", r) + step).alias("at")) for r in LENGTHS for step in (0, 1)]
+    classes = [
+        F.struct(F.lit(i).alias("ratio"), (_length_class("n", r) + step).alias("at")) for i, r in enumerate(LENGTHS) for step in (0, 1)
+    ]
     rows = (
         members.join(failed, "node")
         .join(labels, "node", "left")
-        .select("key", "node", F.coalesce("label", "node").alias("label"), F.explode(F.array(*classes)).alias("length"))
-    )
-    pivots = (
-        rows.groupBy("key", "length")
-        .agg(F.min(F.struct("node", "label")).alias("pivot"), F.min("label").alias("low"), F.max("label").alias("top"))
-        .where("low < top")
-        .select("key", "length", F.col("pivot.node").alias("a"), F.col("pivot.label").alias("a_label"))
+        .select("key", "node", F.coalesce("label", "node").alias("label"), F.inline(F.array(*classes)))
     )
-    met = rows.join(pivots, ["key", "length"]).where("label != a_label").select("a", F.col("node").alias("b"))
-    return met.distinct()
+    # Each row meets the first of its bucket and no other, so there are never more pairs than rows.
+    bucket = Window.partitionBy("key", "ratio", "at").orderBy("node")
+    met = rows.withColumn("pivot", F.first(F.struct("node", "label")).over(bucket)).where("label != pivot.label")
+    return met.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _of_near_classes(members: DataFrame, verified: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
@@ -363,16 +398,16 @@ def _close_calls(verified: DataFrame, labels: DataFrame, similarity: float) -> D
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def links(base: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified pairs ``a, b`` of nodes; a written table."""
-    rows = nodes.where("size(keys) > 0").select("node", "n", F.posexplode("keys").alias("sketch", "key")).distinct()
-    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top").select("key")
-    members = written(rows.join(shared, "key", "left_semi").select("sketch", "key", "node", "n"), "omh-members")
-    chosen = members.select("node").distinct().join(nodes.groupBy("node").agg(F.min("id").alias("rep")), "node")
-    chosen = chosen.withColumnRenamed("node", "rep_node")
-    # A node's text is taken from one of its documents.
-    one = (F.col("node") == F.col("rep_node")) & F.col("id").eqNullSafe(F.col("rep"))
-    texts = written(base.join(chosen, one).select("node", "body").distinct(), "omh-texts")
+def links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Verified pairs ``a, b`` of nodes, from the ``node, n, keys, words`` of each document; a written table."""
+    worded = nodes.where("n > 0")
+    # Copies go before keys come apart, and combine before the shuffle.
+    keys = worded.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    rows = keys.select("node", "n", F.posexplode("keys").alias("sketch", "key"))
+    shared = rows.withColumn("nodes", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("nodes > 1")
+    members = written(shared.select("sketch", "key", "node", "n"), "omh-members")
+    words = worded.groupBy("node").agg(F.first("words").alias("words"))
+    texts = written(words.join(members.select("node").distinct(), "node", "left_semi"), "omh-texts")
     # Members of a large class meet under many pivots. The first sketches join most of them.
     first = _star(members.where(F.col("sketch") < FIRST).select("key", "node"))
     seen = _verified(first, texts, similarity, 2)
@@ -406,7 +441,7 @@ def links(base: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) ->
         if aside is not None:
             now = now.join(aside, "node", "left").withColumn("now", F.concat("now", F.coalesce("aside", F.array().cast("array<int>"))))
         aside = written(now.select("node", F.col("now").alias("aside")), "omh-aside")
-        rest = texts.join(aside, "node").select("node", "body", "aside")
+        rest = texts.join(aside, "node").select("node", "words", "aside")
         keys = rest.mapInPandas(_sketches_of_the_rest, "node binary, keys array<bigint>")
         star = _star(written(keys, "omh-rest").select("node", F.explode("keys").alias("key")).distinct())
         verified = _verified(star, texts, similarity, 2)
@@ -430,10 +465,12 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> D
         "node", _node(F.col("body"))
     )
     nodes = written(
-        base.select("id", "node", "body").mapInPandas(_sketches, f"id {_type(docs, id_col)}, node binary, n int, keys array<bigint>"),
+        base.select("id", "node", "body").mapInPandas(
+            _sketches, f"id {_type(docs, id_col)}, node binary, n int, keys array<bigint>, words binary"
+        ),
         "omh-sketches",
     )
-    labels = connected(links(base, nodes, similarity))
+    labels = connected(links(nodes, similarity))
     placed = written(
         nodes.select("id", "node").join(labels, "node", "left").select("id", "node", F.coalesce("label", "node").alias("class")),
         "omh-classes",
