@@ -10,8 +10,8 @@ A bucket is never paired out. In rounds,
 1. every text of a bucket is aligned with the bucket's pivot (its smallest node), unless the links of
    the first sketches join the two already;
 2. texts that only just fail are aligned with those texts similar to the same pivot that the triangle
-   inequality of the edit distance does not exclude, and, in every bucket of theirs, with some
-   members of the pivot's class of about their length, which need not have been aligned themselves;
+   inequality of the edit distance and their marks do not exclude, and, in every bucket of theirs, with
+   some members of the pivot's class of about their length, which need not have been aligned themselves;
 3. texts that are not similar to a pivot leave the runs that they share with it aside, and their
    sketches over the remaining runs form the buckets of the next round. A passage that thousands of
    unrelated documents share thus brings each of them to one alignment per pivot, and similar ones
@@ -22,9 +22,13 @@ Texts that failed against a pivot also meet again over their whole text, per buc
 lengths: where most of a text is a passage that longer texts hold too, texts of its own length are
 similar by that passage alone.
 
+Marks are MARKS bits of a text, each the parity of its labelled words of one hash. An edit changes two
+of them at most, so texts whose marks differ in more are not similar. They spare the alignment of pairs that
+cannot be similar; no other pair is left out by them. Marks of a bucket's members are compared pair by pair.
+
 Rounds end when every text is similar to its pivots. A pair is similar if its word edit distance is at most
-``1 - similarity`` of the longer text; the alignment follows the furthest reaching point on each
-diagonal of a band of that width. Linked texts form classes (connected components).
+``1 - similarity`` of the longer text; the alignment goes through a band of that width, all diagonals
+of a word at once. Linked texts form classes (connected components).
 
 Equal word sequences are one node from the start, so copies are never paired. Nodes are 128-bit
 digests. Documents are read once; their words are stored compressed beside the sketches. Other
@@ -74,6 +78,8 @@ FIRST = 6
 LENGTHS = (1.25, 1.09, 1.03)
 #: Members of a class that a bucket offers to each text which only just failed against the class.
 OFFERED = 4
+#: Bits of a text's marks, a multiple of 64. Texts of more words pass the comparison and are aligned.
+MARKS = 2048
 #: Hash values computed at a time.
 BLOCK = 1 << 20
 
@@ -167,59 +173,59 @@ def sketch(runs: np.ndarray, sketches: int = SKETCHES, taken: int = TUPLE) -> np
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance of two integer sequences, or None if it exceeds ``most``.
 
-    Diagonal k holds the furthest position i in ``a`` (i + k in ``b``) that d edits reach. Only
-    the diagonals of the band -most..most exist; runs of equal words are followed in blocks.
+    Only the diagonals of the band -most..most exist. A column of the band is a number with a bit per diagonal: where
+    its cells exceed (``up``) or fall short of (``down``) the cell above by one. What lies outside counts as too dear.
     """
+    if len(a) < len(b):
+        a, b = b, a
     n, m = len(a), len(b)
-    if abs(n - m) > most:
+    if n - m > most:
         return None
-    step = 16
-    pad_a = np.concatenate((a, np.full(step + 1, -1, dtype=a.dtype)))
-    pad_b = np.concatenate((b, np.full(step + 1, -2, dtype=b.dtype)))
-    ahead = np.arange(step)
-    goal = m - n
-
-    def slide(i: np.ndarray, k: np.ndarray) -> np.ndarray:
-        live = np.flatnonzero((i < n) & (i + k < m))
-        while len(live):
-            at = i[live]
-            equal = pad_a[np.minimum(at[:, None] + ahead, n)] == pad_b[np.minimum((at + k[live])[:, None] + ahead, m)]
-            whole = equal.all(axis=1)
-            i[live] = at + np.where(whole, step, equal.argmin(axis=1))
-            live = live[whole]
-        return i
-
-    none = -2
-    reach = slide(np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))
-    if goal == 0 and reach[0] >= n:
-        return 0
-    for d in range(1, most + 1):
-        # Diagonals -d..d; what one edit fewer reached on -(d - 1)..(d - 1).
-        k = np.arange(-d, d + 1)
-        wide = np.full(2 * d + 3, none, dtype=np.int64)
-        wide[2:-2] = reach
-        # deletion (from k + 1, i + 1), substitution (k, i + 1), insertion (k - 1, i)
-        i = np.maximum(np.maximum(wide[2:], wide[1:-1]) + 1, wide[:-2])
-        i = np.minimum(i, np.minimum(n, m - k))
-        dead = (i < 0) | (i + k < 0)
-        i[dead] = none
-        alive = ~dead
-        i[alive] = slide(i[alive], k[alive])
-        reach = i
-        if -d <= goal <= d and reach[goal + d] >= n:
-            return d
-    return None
+    places: dict[int, int] = {}
+    for i, word in enumerate(a.tolist()):
+        places[word] = places.get(word, 0) | 1 << (i + most)
+    band, last = (1 << (2 * most + 1)) - 1, 1 << (2 * most)
+    up, down = band ^ ((1 << most) - 1), 0
+    # The diagonal that ends in the last cell: its cells never fall.
+    goal, distance = 1 << (n - m + most), n - m
+    for j, word in enumerate(b.tolist()):
+        equal = (places.get(word, 0) >> j) & band
+        kept = ((((equal & up) + up) ^ up) | equal | down) & band
+        if not kept & goal:
+            distance += 1
+            if distance > most:
+                return None
+        right, left = down | (band & ~(kept | up)), kept & up
+        kept >>= 1
+        up, down = left | (band & ~(kept | right)) | last, kept & right
+    return distance
 
 
 def allowed_edits(longer: int, similarity: float) -> int:
     return int((1 - similarity) * longer + 1e-9)
 
 
+def _marks(words: np.ndarray) -> np.ndarray:
+    """Parities of the labelled words by hash, as 64-bit numbers."""
+    places = _labelled(words, 1) % np.uint64(MARKS)
+    odd = np.bincount(places.astype(np.int64), minlength=MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_be_similar(x: str, y: str, n: str, m: str, similarity: float) -> Column:
+    """Whether marks ``x, y`` of texts of ``n`` and ``m`` words leave room for the edits allowed.
+
+    A substitution changes two marks; a length that differs needs that many edits, which change one each.
+    """
+    differ = sum(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(MARKS // 64))
+    return differ <= 2 * _allowed(n, m, similarity) - F.abs(F.col(n) - F.col(m))
+
+
 def _distances(similarity: float, reach: int):
-    """Rows ``a, b, a_words, b_words`` (compressed) to ``a, b, n_a, n_b, distance, common``.
+    """Rows ``a, b, a_words, b_words`` (compressed) to ``a, b, n_a, n_b, distance, common, marks``.
 
-    The distance is null beyond ``reach`` times the allowed one. ``common`` has, for pairs that are
-    not similar and a reach above 1, first and last number of each stretch of runs of ``b`` that ``a`` has too.
+    The distance is null beyond ``reach`` times the allowed one. With a reach above 1, ``marks`` are those of ``b``, and
+    ``common`` has, for pairs that are not similar, first and last number of each stretch of runs of ``b`` that ``a`` has too.
     """
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,8 +250,8 @@ def _distances(similarity: float, reach: int):
                     if left_runs is None:
                         left_runs = _labelled(hashes[left], RUN)
                     common = _stretches(np.isin(_labelled(hashes[right], RUN), left_runs))
-                out.append((a, b, len(left), len(right), distance, common))
-            names = ["a", "b", "n_a", "n_b", "distance", "common"]
+                out.append((a, b, len(left), len(right), distance, common, _marks(hashes[right]) if reach > 1 else None))
+            names = ["a", "b", "n_a", "n_b", "distance", "common", "marks"]
             yield pd.DataFrame(out, columns=names).astype({"distance": "Int32"})
 
     return align
@@ -266,11 +272,11 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(np.bincount(a, minlength=size), np.bincount(b, minlength=size)).sum())
 
 
-_VERIFIED = "a binary, b binary, n_a int, n_b int, distance int, common array<int>"
+_VERIFIED = "a binary, b binary, n_a int, n_b int, distance int, common array<int>, marks array<bigint>"
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, reach: int) -> DataFrame:
-    """Pairs of nodes ``a, b`` with word counts, distance and, if not ``linked``, common stretches; a written table."""
+    """Pairs of nodes ``a, b`` with word counts, distance, marks and, if not ``linked``, common stretches; a written table."""
     words = pairs.join(texts.select(F.col("node").alias("b"), F.col("words").alias("b_words")), "b").join(
         texts.select(F.col("node").alias("a"), F.col("words").alias("a_words")), "a"
     )
@@ -381,23 +387,35 @@ def _of_near_classes(members: DataFrame, verified: DataFrame, labels: DataFrame,
 
 
 def _close_calls(verified: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs with a common pivot, one similar to it and one not, that its distances do not rule out.
+    """Pairs with a common pivot, one similar to it and one not, that its distances and their marks do not rule out.
 
     Pairs that links join already are left out: they are in one class either way.
     """
-    near = verified.where("linked").select("a", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("distance").alias("d_x"))
+    near = verified.where("linked").select(
+        "a", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("distance").alias("d_x"), F.col("marks").alias("m_x")
+    )
     near = near.join(labels.select(F.col("node").alias("a"), F.col("label").alias("l_x")), "a")
     grey = verified.where("not linked and distance is not null").select(
-        F.col("a").alias("g"), F.col("b").alias("y"), F.col("n_b").alias("n_y"), F.col("distance").alias("d_y")
+        F.col("a").alias("g"), F.col("b").alias("y"), F.col("n_b").alias("n_y"), F.col("distance").alias("d_y"), F.col("marks").alias("m_y")
     )
     grey = grey.join(labels.select(F.col("node").alias("y"), F.col("label").alias("l_y")), "y", "left")
     allowed = _allowed("n_x", "n_y", similarity)
     apart = F.coalesce(F.col("l_x") != F.col("l_y"), F.lit(True))
     possible = (F.col("d_y") - F.col("d_x") <= allowed) & (F.abs(F.col("n_x") - F.col("n_y")) <= allowed)
+    possible &= _may_be_similar("m_x", "m_y", "n_x", "n_y", similarity)
     pairs = near.join(grey, (F.col("a") == F.col("g")) & apart & possible)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _not_ruled_out(pairs: DataFrame, verified: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` without those whose marks tell them apart; texts that were only pivots have no marks."""
+    known = written(verified.groupBy(F.col("b").alias("node")).agg(F.first("n_b").alias("n"), F.first("marks").alias("m")), "omh-marks")
+    for side in ("a", "b"):
+        own = known.select("node", F.col("n").alias(f"n_{side}"), F.col("m").alias(f"m_{side}"))
+        pairs = pairs.join(own, F.col(side) == F.col("node"), "left").drop("node")
+    return pairs.where(F.coalesce(_may_be_similar("m_a", "m_b", "n_a", "n_b", similarity), F.lit(True))).select("a", "b")
+
+
 def links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Verified pairs ``a, b`` of nodes, from the ``node, n, keys, words`` of each document; a written table."""
     worded = nodes.where("n > 0")
@@ -429,8 +447,8 @@ def links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         labels = connected(near)
         pairs = _close_calls(verified, labels, similarity)
         if aside is None:
-            pairs = pairs.union(_same_lengths(members, verified, labels))
-            pairs = pairs.union(_of_near_classes(members, verified, labels, similarity))
+            met = _same_lengths(members, verified, labels).union(_of_near_classes(members, verified, labels, similarity))
+            pairs = pairs.union(_not_ruled_out(met.distinct(), verified, similarity))
             pairs = pairs.distinct().join(verified, ["a", "b"], "left_anti")
         close = _verified(pairs, texts, similarity, 1).where("linked").select("a", "b")
         found = near.union(close) if found is None else found.union(near).union(close)
@@ -441,9 +459,13 @@ def links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         if aside is not None:
             now = now.join(aside, "node", "left").withColumn("now", F.concat("now", F.coalesce("aside", F.array().cast("array<int>"))))
         aside = written(now.select("node", F.col("now").alias("aside")), "omh-aside")
-        rest = texts.join(aside, "node").select("node", "words", "aside")
+        # Later rounds read the words of their own texts alone.
+        rest = written(texts.join(aside, "node").select("node", "words", "aside"), "omh-texts")
+        texts = rest.select("node", "words")
         keys = rest.mapInPandas(_sketches_of_the_rest, "node binary, keys array<bigint>")
         star = _star(written(keys, "omh-rest").select("node", F.explode("keys").alias("key")).distinct())
+        if star.isEmpty():
+            return written(found.distinct(), "omh-links")
         verified = _verified(star, texts, similarity, 2)
 
 
