@@ -1,6 +1,8 @@
 """Steps whose work or memory must not grow faster than their input."""
 
+import math
 import re
+from collections import Counter
 
 from modelsieve.operators import graph, usage
 from modelsieve.plans import fixpoint
@@ -50,3 +52,40 @@ def test_tasks_of_a_distinct_follow_the_rows(spark, rows, monkeypatch):
     edges = spark.createDataFrame([("m", "A", "B"), ("m", "A", "B"), ("m", None, "B")], "semantic_model_id STRING, from_table STRING, to_table STRING")
     assert rows(graph.neighbours(edges)) == [("m", "A", "B"), ("m", "B", "A")]
     assert asked == [4]
+
+
+def _page_catalog(spark, pages, sources):
+    return {
+        "report_column_used": spark.createDataFrame(
+            [(f"r{i % 7}", f"p{i // 7}", table) for table, n in pages.items() for i in range(n)],
+            "report_id STRING, page_name STRING, table_name STRING",
+        ),
+        "semantic_model_partitions": spark.createDataFrame(
+            [("m", table, f"s{i}", f"a = {i}") for table, n in sources.items() for i in range(n)],
+            "semantic_model_id STRING, table_name STRING, partition_name STRING, source_expression STRING",
+        ),
+        "report": spark.createDataFrame([(f"r{i}", "n") for i in range(6)] + [("r6", None), ("r0", "n")], "report_id STRING, name STRING"),
+        "semantic_model": spark.createDataFrame([("m", "n.SemanticModel")], "semantic_model_id STRING, name STRING"),
+    }
+
+
+def test_tasks_of_page_sources_follow_from_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(fixpoint, "ROWS_PER_SIDE", 5, raising=False)
+    # T has many rows on both sides, U many pages, V many sources; W has no sources.
+    pages, sources = {"T": 70, "U": 21, "V": 1, "W": 7, None: 7}, {"T": 40, "U": 1, "V": 30, "X": 3, None: 2}
+    found = usage.page_sources(_page_catalog(spark, pages, sources))
+    expected = Counter()
+    for table, n in pages.items():
+        for i in range(n):
+            for k in range(sources.get(table, 0) if table and i % 7 < 6 else 0):
+                expected[(f"r{i % 7}", f"p{i // 7}", table, f"s{k}", f"a = {k}")] += 1 + (i % 7 == 0)
+    assert Counter(tuple(r) for r in found.collect()) == expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    tasks = {int(n) for n in re.findall(r", (\d+)\), REPARTITION_BY_NUM", plan)}
+    assert tasks == {math.ceil(expected.total() / 25)}
+
+
+def test_few_pairs_of_page_sources_are_joined_plainly(spark, rows):
+    found = usage.page_sources(_page_catalog(spark, {"T": 2}, {"T": 1}))
+    assert rows(found) == [("r0", "p0", "T", "s0", "a = 0")] * 2 + [("r1", "p0", "T", "s0", "a = 0")]
+    assert "REPARTITION_BY_NUM" not in found._jdf.queryExecution().executedPlan().toString()
